@@ -97,7 +97,7 @@ def shingles(texts: list[str], k: int) -> list[np.ndarray]:
     h, at = words(texts)
     n = len(h)
     grams = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         grams[: n - j] += h[j:] * (_ROLES[j % 8] + U(2 * (j // 8)))
     grams = mix(grams + U(k))
     out = []

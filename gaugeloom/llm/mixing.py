@@ -11,8 +11,9 @@ lambda - (S exp(lambda) - T) / (S exp(lambda)) for all sources at once; S, the o
 documents, is aggregated once with partial sums, and the iterations run as a fold on the rows of sources.
 
 Copies: documents of a source are ordered by size and by the md5 of their id, and the p-th gets
-floor(r p + 1/2) - floor(r (p - 1) + 1/2) copies, so words taken follow the target at every size. Positions come
-from counts by (source, size) and (source, size, hash bucket), so no task orders a whole source.
+floor(r p + f) - floor(r (p - 1) + f) copies, so words taken follow the target at every size. The phase f of a
+source is the one, of PHASES, whose words come nearest to the target. Positions come from counts by
+(source, size) and (source, size, hash bucket), so no task orders a whole source.
 
 Defined cases: a null text has size 0; a source of size 0 has target 0; sizes of 0 take 0 words;
 a null doc_id orders like an empty one; repeated rows are documents of their own.
@@ -28,6 +29,8 @@ from .shared import written
 
 CEILING = 3
 NEWTON_STEPS = 60
+#: Phases of the rounding that are tried, (k + 1/2) / PHASES.
+PHASES = 32
 #: Digits of the rates; the same in every engine.
 _DIGITS = 9
 
@@ -85,11 +88,27 @@ def mix(documents: DataFrame, ceiling: int = CEILING) -> DataFrame:
     joined = docs.join(cells, same(docs, cells, ["source", "size", "bucket"])).drop(cells["source"]).drop(cells["size"]).drop(cells["bucket"])
     place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
     joined = joined.withColumn("p", (F.col("before") + F.col("inner") + place).cast("double"))
-    copies = F.floor(F.col("rate") * F.col("p") + 0.5) - F.floor(F.col("rate") * (F.col("p") - 1) + 0.5)
-    joined = joined.withColumn("copies", F.least(copies, F.lit(ceiling)).cast("long"))
+    placed = written(joined.select("doc_id", "source", "size", "source_size", "target", "rate", "p", "h"), "placed")
+    tried = placed.groupBy("source").agg(F.max("target").alias("t"), *(F.sum(_copies(F.lit((k + 0.5) / PHASES), ceiling) * F.col("size")).alias(f"w{k}") for k in range(PHASES)))
+    off = lambda k: F.col(f"w{k}") - F.col("t")
+    nearest = F.array_min(F.array(*(F.struct(F.abs(off(k)).alias("off"), F.lit((k + 0.5) / PHASES).alias("phase"), off(k).alias("excess")) for k in range(PHASES))))
+    phases = written(tried.select("source", nearest["phase"].alias("phase"), nearest["excess"].alias("excess")), "phases")
+    rounded = placed.join(phases, same(placed, phases, ["source"])).drop(phases["source"]).withColumn("copies", _copies(F.col("phase"), ceiling))
+    mends = ((F.col("excess") > 0) & (F.col("copies") > 0)) | ((F.col("excess") < 0) & (F.col("copies") < ceiling))
+    short = F.abs(F.col("size") - F.abs("excess"))
+    mended = rounded.filter(mends & (short < F.abs("excess"))).groupBy("source").agg(F.min(F.struct(short.alias("short"), "h", "doc_id")).alias("m"))
+    mended = written(phases.join(mended.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "phase", "excess", F.col("m.h").alias("mh"), F.col("m.doc_id").alias("mid")), "mended")
+    joined = placed.join(mended, same(placed, mended, ["source"])).withColumn("copies", _copies(F.col("phase"), ceiling))
+    sign = F.when((F.col("h") == F.col("mh")) & F.col("doc_id").eqNullSafe(F.col("mid")), -F.signum("excess")).otherwise(0).cast("long")
+    joined = joined.withColumn("copies", F.col("copies") + sign)
     return joined.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _copies(phase: Column, ceiling: int) -> Column:
+    copies = F.floor(F.col("rate") * F.col("p") + phase) - F.floor(F.col("rate") * (F.col("p") - 1) + phase)
+    return F.least(copies, F.lit(ceiling)).cast("long")
+
+
 #: The same in DuckDB's SQL, over the view ``documents``: positions by one ordering of each source.
 ORACLE_SQL = r"""
 WITH docs AS (
@@ -113,11 +132,24 @@ WITH docs AS (
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN round(target / source_size, 9) ELSE 0 END AS rate FROM targets
 ), placed AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
+  SELECT d.doc_id, d.source, d.size, d.h, r.source_size, r.target, r.rate,
          (row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.h, d.doc_id))::DOUBLE AS p
   FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+), tried AS (
+  SELECT source, phase, SUM(LEAST(floor(rate * p + phase) - floor(rate * (p - 1) + phase), 3) * size) - max(target) AS excess
+  FROM placed, (SELECT ((k + 0.5) / 32)::DOUBLE AS phase FROM range(32) t(k)) f GROUP BY source, phase
+), phases AS (
+  SELECT source, phase, excess FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(excess), phase) = 1
+), rounded AS (
+  SELECT p.*, f.excess, LEAST(floor(rate * p + phase) - floor(rate * (p - 1) + phase), 3)::BIGINT AS c
+  FROM placed p JOIN phases f ON p.source IS NOT DISTINCT FROM f.source
+), mended AS (
+  SELECT source, h, doc_id FROM rounded
+  WHERE ((excess > 0 AND c > 0) OR (excess < 0 AND c < 3)) AND abs(size - abs(excess)) < abs(excess)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - abs(excess)), h, doc_id) = 1
+), final AS (
+  SELECT r.*, c - CASE WHEN m.h IS NOT NULL THEN sign(excess) ELSE 0 END::BIGINT AS copies
+  FROM rounded r LEFT JOIN mended m ON r.source IS NOT DISTINCT FROM m.source AND r.h = m.h AND r.doc_id IS NOT DISTINCT FROM m.doc_id
 )
-SELECT doc_id, size, source_size, target, LEAST(floor(rate * p + 0.5) - floor(rate * (p - 1) + 0.5), 3)::BIGINT AS copies,
-       (LEAST(floor(rate * p + 0.5) - floor(rate * (p - 1) + 0.5), 3) * size)::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM final
 """
