@@ -2,14 +2,263 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .functions import text as TX
+from .functions.stats import bootstrap_means, hash_uniform, percentile_interval
+from .operators import advise as AD
+from .operators import cells as CE
+from .operators import frontier as FR
+from .operators import grading as GR
+from .operators import grid as GD
+from .operators import paired as PA
+from .operators import runs as RU
+from .operators.dedupe import latest_grade, latest_ok
+from .plans.adapters import EVENT_SQL, LEDGER_SQL, TIES, event_ledger, orders_ledger
+from .schema import CELL
+
+#: The efforts of the ledger view, and what stands for the reflex configuration and the variants.
+EFFORTS, REFLEX, A, B = ("F", "O"), "R/F", "F", "O"
+_ROUND = 4
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, _ROUND).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CE.aggregate(latest_grade(orders_ledger(spark, sf_dir), TIES))
+
+
+def cell_report(spark, sf_dir):
+    return _rounded(CE.report(orders_ledger(spark, sf_dir), TIES))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_report(spark, sf_dir)
+
+
+def dropped_runs(spark, sf_dir):
+    return CE.dropped_runs(orders_ledger(spark, sf_dir))
+
+
+def fully_dropped_cells(spark, sf_dir):
+    rows = orders_ledger(spark, sf_dir).withColumn("variant", F.concat_ws("-", "variant", "grader_version", "run_id"))
+    return CE.fully_dropped(rows, latest_grade(rows, TIES))
+
+
+def ledger_latest_grade(spark, sf_dir):
+    return latest_grade(event_ledger(spark, sf_dir), ("event_id",)).select("run_id", "event_id", "ts", "grade_status", "value")
+
+
+def last_ok_by_key(spark, sf_dir):
+    return latest_ok(event_ledger(spark, sf_dir), ("run_id",), "event_id").select("run_id", "event_id", "k")
+
+
+def _pareto(axis):
+    def query(spark, sf_dir):
+        marked = FR.mark_frontier(_cells(spark, sf_dir), axis).withColumn("x", FR.axis_value(axis)).filter("pareto")
+        return FR.staircase(marked).select(*CELL, F.round("x", _ROUND).alias("x"), F.round("mean_value", _ROUND).alias("mean_value"), F.col("step").cast("long").alias("step"))
+
+    return query
+
+
+def ab_compare(spark, sf_dir):
+    out = PA.compare(orders_ledger(spark, sf_dir), A, B, TIES).withColumn("note", PA.note())
+    return _rounded(out.drop("diffs"))
+
+
+def _advice(axis, margin=0.2):
+    def query(spark, sf_dir):
+        return _rounded(AD.advise(_cells(spark, sf_dir), REFLEX, margin, axis, EFFORTS))
+
+    return query
+
+
+def advise_total(spark, sf_dir):
+    return _rounded(AD.total(AD.advise(_cells(spark, sf_dir), REFLEX, 0.2, "latency", EFFORTS)))
+
+
+def epoch_interval(spark, sf_dir):
+    grades = latest_grade(event_ledger(spark, sf_dir), ("event_id",)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.round("value", 6))).alias("v"))
+    low, high = percentile_interval(F.col("means"))
+    return grades.filter("size(v) between 3 and 5").withColumn("means", bootstrap_means("v")).select("user_id", F.round(low, _ROUND).alias("low"), F.round(high, _ROUND).alias("high"))
+
+
+def infra_breaker(spark, sf_dir):
+    return RU.breaker(event_ledger(spark, sf_dir), ("user_id",), ("event_id",))
+
+
+def tool_histogram(spark, sf_dir):
+    runs = event_ledger(spark, sf_dir).withColumn("tools", F.array("event_type"))
+    return RU.tool_histogram(runs, "user_id", "tools")
+
+
+def status_tallies(spark, sf_dir):
+    return RU.tallies(event_ledger(spark, sf_dir))
+
+
+def balanced_subsample(spark, sf_dir):
+    return GR.balanced_subsample(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "toxic", 20)
+
+
+def clf_confusion(spark, sf_dir):
+    return _rounded(GR.confusion(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic"))
+
+
+def _axes(spark, sf_dir):
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    tasks = nation.select(F.col("n_name").alias("task_id"), F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit("r"), (F.col("n_nationkey") % 3).cast("string"))).alias("repo"), F.col("n_nationkey").cast("int").alias("task_pos"))
+    models = region.select(F.lower("r_name").alias("model"), F.col("r_regionkey").cast("int").alias("model_pos"))
+    efforts = spark.createDataFrame([(e, i) for i, e in enumerate(("low", "medium", "high"))], "effort string, effort_pos int")
+    variants = spark.createDataFrame([(v, i) for i, v in enumerate(("none", "r0@main", "r1@main", "r1@dev@x", "r2@", "bad"))], "variant string, variant_pos int")
+    support = region.filter("r_regionkey < 2").select(F.lower("r_name").alias("model"), F.lit("high").alias("effort"))
+    return tasks, models, efforts, variants, support
+
+
+def grid_expand(spark, sf_dir):
+    tasks, models, efforts, variants, support = _axes(spark, sf_dir)
+    return GD.expand(tasks, models, efforts, variants, 2, support, ("asia",)).select("task_id", "model", "effort", "variant", "epoch")
+
+
+def grid_sizes(spark, sf_dir):
+    return GD.plan_sizes(grid_expand(spark, sf_dir))
+
+
+def resume_plan(spark, sf_dir):
+    ledger = orders_ledger(spark, sf_dir).withColumn("epoch", F.col("tie_part") % 4).withColumn("seq", F.struct("ts", "run_id", *TIES))
+    cells = ledger.select(*CELL, "epoch").distinct().withColumn("grader_version", F.lit("v1")).withColumn("spec_sha", F.lit("s1"))
+    return GD.resume(cells, ledger).select(*CELL, "epoch", "action")
+
+
+def verdict_parse(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    worded = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Injection: ", " safe ", "is it an INJECTION? ", "looks safe ", "injection or safe ", ""))), (F.col("turn") % 6 + 1).cast("int")), F.col("role"))
+    return c.select("conv_id", "turn", TX.verdict(worded).cast("int").alias("verdict"))
+
+
+def answer_forms(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    raw = F.concat(F.lit("`"), F.format_number(F.col("p_partkey") * 997, 0), F.lit("`."))
+    return p.select("p_partkey", TX.bare_integer(raw).alias("bare"), TX.squashed(F.concat(F.lit(" '"), F.col("p_name"), F.lit("..' # note"))).alias("squashed"), TX.first_number(F.concat(F.lit("about "), F.format_number(F.col("p_partkey") * 1000, 0), F.lit(" items"))).alias("number"))
+
+
+def spec_fingerprint(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", TX.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("fingerprint"))
+
+
+def sanitize_violations(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    from .operators.sanitize import leaks
+
+    return d.filter(leaks(F.col("text"), ("@", "License"), 5000)).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+def hashed_draws(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(hash_uniform(F.lit("42"), F.col("s_suppkey").cast("string")), 6).alias("u"))
 
 
 def queries() -> dict:
-    return {}
+    plain = (
+        cell_report, dropped_runs, fully_dropped_cells, ledger_latest_grade, last_ok_by_key, ab_compare, advise_total, epoch_interval, infra_breaker, tool_histogram, status_tallies,
+        balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws,
+    )
+    return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
+
+
+_X = {"cost": "mean_cost", "latency": "mean_latency", "tokens": "CASE WHEN n_token_epochs >= n_epochs THEN mean_output_tokens END", "throughput": "CASE WHEN n_total_token_epochs >= n_epochs THEN mean_total_tokens END"}
+_LEAD = {"cost": "save_cost", "latency": "save_latency", "tokens": "save_tokens", "throughput": "save_tokens"}
+
+
+def _pareto_sql(axis: str) -> str:
+    return LEDGER_SQL + f""", xs AS (SELECT *, {_X[axis]} AS x FROM cells), front AS (
+  SELECT * FROM xs c WHERE x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM xs o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.x <= c.x AND (o.mean_value > c.mean_value OR o.x < c.x)))
+SELECT task_id, model, effort, variant, round(x, 4) AS x, round(mean_value, 4) AS mean_value, row_number() OVER (PARTITION BY task_id ORDER BY x, model, effort, variant)::BIGINT AS step FROM front"""
+
+
+def _advice_sql(axis: str, tail: str) -> str:
+    return LEDGER_SQL + f""", marked AS (
+  SELECT *, coalesce({_X[axis]}, 'Infinity'::DOUBLE) AS axis_key, {_X["throughput"]} AS tokens, max(mean_value) OVER (PARTITION BY task_id, variant) AS best,
+    leakage OR n_spec > 1 OR n_grader_versions > 1 OR n_unparseable > 0 AS suspect,
+    CASE WHEN model = 'R' AND effort = 'F' THEN 0 WHEN model = 'R' THEN 1 ELSE 2 END AS tier, CASE effort WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE -1 END AS level FROM cells
+), reflex AS (
+  SELECT * FROM marked QUALIFY row_number() OVER (PARTITION BY task_id, variant ORDER BY tier, CASE WHEN tier = 1 THEN -level ELSE 0 END, mean_cost DESC, model, effort) = 1
+), choice AS (
+  SELECT *, count(*) OVER (PARTITION BY task_id, variant) AS n_candidates FROM marked WHERE mean_value >= best - 0.2
+  QUALIFY row_number() OVER (PARTITION BY task_id, variant ORDER BY axis_key, mean_latency, mean_cost, model, effort) = 1
+), advice AS (
+  SELECT r.task_id, r.variant, r.best AS best_value, c.n_candidates, r.model AS reflex_model, r.effort AS reflex_effort, r.tier > 0 AS fallback, c.model AS rec_model, c.effort AS rec_effort,
+    c.mean_value AS rec_value, r.mean_cost - c.mean_cost AS save_cost, r.mean_latency - c.mean_latency AS save_latency, r.tokens - c.tokens AS save_tokens,
+    CASE WHEN c.mean_cost > 0 THEN r.mean_cost / c.mean_cost END AS cost_multiple, r.best <= 0.2 AS vacuous, r.suspect OR c.suspect AS suspect
+  FROM reflex r JOIN choice c ON r.task_id = c.task_id AND r.variant = c.variant
+), led AS (SELECT *, {_LEAD[axis]} AS lead_saving FROM advice) {tail}"""
+
+
+_ADVICE_TAIL = """SELECT task_id, variant, round(best_value, 4) AS best_value, n_candidates, reflex_model, reflex_effort, fallback, rec_model, rec_effort, round(rec_value, 4) AS rec_value, round(save_cost, 4) AS save_cost,
+  round(save_latency, 4) AS save_latency, round(save_tokens, 4) AS save_tokens, round(cost_multiple, 4) AS cost_multiple, vacuous, suspect, round(lead_saving, 4) AS lead_saving FROM led"""
+_CELL = "task_id, model, effort, variant"
+_GRID = """
+WITH tasks AS (SELECT n_name AS task_id, CASE WHEN n_nationkey % 2 = 1 THEN 'r' || (n_nationkey % 3) END AS repo FROM nation),
+pairs AS (
+  SELECT lower(r_name) AS model, effort, pos FROM region, (VALUES ('low', 0), ('medium', 1), ('high', 2)) e(effort, pos) WHERE r_regionkey >= 2 OR effort = 'high'
+), kept AS (SELECT * FROM pairs p WHERE NOT regexp_matches(model, '(?i)\\basia\\b') OR pos = (SELECT min(pos) FROM pairs q WHERE q.model = p.model)),
+grid AS (
+  SELECT task_id, model, effort, variant, epoch FROM tasks, kept, (VALUES ('none', NULL), ('r0@main', 'r0'), ('r1@main', 'r1'), ('r1@dev@x', 'r1')) v(variant, vrepo), (SELECT range::BIGINT AS epoch FROM range(2)) n
+  WHERE CASE WHEN repo IS NULL THEN variant = 'none' ELSE vrepo IS NOT NULL AND vrepo = repo END
+) """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "cell_report": LEDGER_SQL + f"""SELECT {_CELL}, n_epochs, round(mean_value, 4) AS mean_value, round(std_value, 4) AS std_value, round(mean_cost, 4) AS mean_cost, round(mean_latency, 4) AS mean_latency, n_spec,
+  n_grader_versions, n_unparseable, round(mean_output_tokens, 4) AS mean_output_tokens, n_token_epochs, round(mean_total_tokens, 4) AS mean_total_tokens, n_total_token_epochs,
+  round(mean_shuffled_auroc, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped,
+  NOT EXISTS (SELECT 1 FROM cells o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.mean_latency <= c.mean_latency AND (o.mean_value > c.mean_value OR o.mean_latency < c.mean_latency)) AS pareto
+FROM cells c LEFT JOIN dropped USING ({_CELL})""",
+        "dropped_runs": LEDGER_SQL + "SELECT * FROM dropped",
+        "fully_dropped_cells": LEDGER_SQL + """, wide AS (SELECT *, concat_ws('-', variant, grader_version, run_id) AS v FROM ledger), best AS (SELECT DISTINCT task_id, model, effort, concat_ws('-', variant, grader_version, run_id) AS v FROM grades)
+SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped FROM wide w WHERE run_status <> 'ok'
+  AND NOT EXISTS (SELECT 1 FROM best b WHERE b.task_id = w.task_id AND b.model = w.model AND b.effort = w.effort AND b.v = w.v) GROUP BY ALL""",
+        "ledger_latest_grade": EVENT_SQL + """SELECT run_id, event_id, ts, grade_status, value FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'""",
+        "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
+        "ab_compare": LEDGER_SQL + """, pairs AS (
+  SELECT task_id, model, effort, avg(value) FILTER (variant = 'F') AS ma, avg(value) FILTER (variant = 'O') AS mb, count(*) FILTER (grade_status = 'unparseable') AS bad FROM grades WHERE variant IN ('F', 'O') GROUP BY ALL
+), kept AS (SELECT *, round(mb - ma, 12) AS diff FROM pairs WHERE ma IS NOT NULL AND mb IS NOT NULL),
+tasks AS (SELECT task_id, count(*) AS n_pairs, avg(ma) AS mean_a, avg(mb) AS mean_b, avg(diff) AS delta, count(*) FILTER (diff <> 0) AS n_nonzero, sum(bad)::BIGINT AS n_unparseable, list(diff ORDER BY model, effort) FILTER (diff <> 0) AS d FROM kept GROUP BY task_id),
+tested AS (SELECT *, (SELECT avg((abs(s) / n_nonzero >= abs(list_sum(d)) / n_nonzero - 1e-12)::INT::DOUBLE) FROM
+  (SELECT list_sum(list_transform(d, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END)) AS s FROM (SELECT unnest(range((1 << n_nonzero)::BIGINT)) AS m))) AS p FROM tasks)
+SELECT task_id, n_pairs, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(delta, 4) AS delta, n_nonzero, n_unparseable, round(p, 4) AS p_value, coalesce(p <= 0.05, false) AS real,
+  concat_ws('; ', CASE WHEN n_nonzero = 0 THEN 'no directional evidence: all differences are zero' END, CASE WHEN n_nonzero BETWEEN 1 AND 5 THEN 'cannot reach p <= 0.05 with ' || n_nonzero || ' nonzero pairs' END, CASE WHEN n_nonzero > 0 THEN 'exact sign-flip test' END) AS note FROM tested""",
+        "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous), 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
+        "epoch_interval": EVENT_SQL + """, grades AS (SELECT * FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'),
+v AS (SELECT user_id, list(round(value, 6) ORDER BY value) AS v, count(*) AS n FROM grades GROUP BY user_id HAVING count(*) BETWEEN 3 AND 5),
+m AS (SELECT user_id, list_sum(list_transform(v, lambda x, i: v[1 + (floor(m / pow(n, i - 1))::BIGINT % n)])) / n AS mean FROM (SELECT *, unnest(range(pow(n, n)::BIGINT)) AS m FROM v))
+SELECT user_id, round(quantile_disc(mean, 0.025), 4) AS low, round(quantile_disc(mean, 0.975), 4) AS high FROM m GROUP BY user_id""",
+        "infra_breaker": EVENT_SQL + """, i AS (SELECT *, sum((run_status = 'ok')::INT) OVER w AS island, row_number() OVER w AS pos FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, sum((run_status IN ('infra_error', 'timeout'))::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM i)
+SELECT user_id, count(*) AS n_runs, max(streak)::BIGINT AS longest, min(pos) FILTER (streak >= 5)::BIGINT AS halt_at FROM s GROUP BY user_id""",
+        "tool_histogram": "SELECT user_id, event_type AS tool, count(*) AS n FROM events GROUP BY ALL",
+        "status_tallies": EVENT_SQL + "SELECT run_status, grade_status, count(*) AS n FROM runs GROUP BY ALL",
+        "balanced_subsample": """WITH p AS (SELECT doc_id, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id), doc_id) <= 10)
+SELECT row_number() OVER (ORDER BY md5('42o:' || doc_id), doc_id) - 1 AS idx, doc_id, toxic FROM p""",
+        "clf_confusion": """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels)
+SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 4) AS auroc FROM c""",
+        "grid_expand": _GRID + "SELECT * FROM grid",
+        "grid_sizes": _GRID + f"SELECT {_CELL}, count(*) AS n_cells FROM grid GROUP BY ALL",
+        "resume_plan": LEDGER_SQL + f""", l AS (SELECT *, tie_part % 4 AS epoch FROM ledger), ok AS (SELECT * FROM l WHERE run_status = 'ok'),
+g AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY {_CELL}, epoch, grader_version ORDER BY ts DESC, run_id DESC, tie_part DESC, tie_supplier DESC, tie_price DESC) = 1),
+r AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY {_CELL}, epoch ORDER BY ts DESC, run_id DESC, tie_part DESC, tie_supplier DESC, tie_price DESC) = 1)
+SELECT c.task_id, c.model, c.effort, c.variant, c.epoch, CASE WHEN g.spec_sha = 's1' AND g.grade_status <> 'grader_error' THEN 'skip' WHEN r.spec_sha = 's1' THEN 'regrade' ELSE 'run' END AS action
+FROM (SELECT DISTINCT {_CELL}, epoch FROM l) c
+LEFT JOIN g ON g.task_id = c.task_id AND g.model = c.model AND g.effort = c.effort AND g.variant = c.variant AND g.epoch = c.epoch AND g.grader_version = 'v1'
+LEFT JOIN r ON r.task_id = c.task_id AND r.model = c.model AND r.effort = c.effort AND r.variant = c.variant AND r.epoch = c.epoch""",
+        "verdict_parse": """WITH t AS (SELECT conv_id, turn, lower(trim(['Injection: ', ' safe ', 'is it an INJECTION? ', 'looks safe ', 'injection or safe ', ''][turn % 6 + 1] || role)) AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN starts_with(t, 'injection') THEN 1 WHEN starts_with(t, 'safe') THEN 0 WHEN contains(t, 'injection') AND NOT contains(t, 'safe') THEN 1 WHEN contains(t, 'safe') AND NOT contains(t, 'injection') THEN 0 END AS verdict FROM t""",
+        "answer_forms": "SELECT p_partkey, p_partkey * 997 AS bare, regexp_replace(p_name, '\\s+', '', 'g') AS squashed, (p_partkey * 1000)::DOUBLE AS number FROM part",
+        "spec_fingerprint": "SELECT p_partkey, substr(sha256(concat_ws(chr(31), p_name, p_brand, p_type)), 1, 16) AS fingerprint FROM part",
+        "sanitize_violations": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, '@') OR contains(text, 'License') OR length(text) > 5000",
+        "hashed_draws": "SELECT s_suppkey, round(('0x' || substr(md5('42:' || s_suppkey), 1, 8))::BIGINT / 4294967296, 6) AS u FROM supplier",
+    }
+    return out | {f"pareto_{a}": _pareto_sql(a) for a in FR.AXES} | {f"advise_{a}": _advice_sql(a, _ADVICE_TAIL) for a in FR.AXES}
