@@ -23,8 +23,13 @@ EFFORTS, REFLEX, A, B = ("F", "O"), "R/F", "F", "O"
 _ROUND = 4
 
 
+def _round(c):
+    """Rounded a hair upwards, since engines differ on exact halves."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, _ROUND)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, _ROUND).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(_round(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def last_ok_by_key(spark, sf_dir):
 def _pareto(axis):
     def query(spark, sf_dir):
         marked = FR.mark_frontier(_cells(spark, sf_dir), axis).withColumn("x", FR.axis_value(axis)).filter("pareto")
-        return FR.staircase(marked).select(*CELL, F.round("x", _ROUND).alias("x"), F.round("mean_value", _ROUND).alias("mean_value"), F.col("step").cast("long").alias("step"))
+        return FR.staircase(marked).select(*CELL, _round("x").alias("x"), _round("mean_value").alias("mean_value"), F.col("step").cast("long").alias("step"))
 
     return query
 
@@ -83,7 +88,7 @@ def advise_total(spark, sf_dir):
 def epoch_interval(spark, sf_dir):
     grades = latest_grade(event_ledger(spark, sf_dir), ("event_id",)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.round("value", 6))).alias("v"))
     low, high = percentile_interval(F.col("means"))
-    return grades.filter("size(v) between 3 and 5").withColumn("means", bootstrap_means("v")).select("user_id", F.round(low, _ROUND).alias("low"), F.round(high, _ROUND).alias("high"))
+    return grades.filter("size(v) between 3 and 5").withColumn("means", bootstrap_means("v")).select("user_id", _round(low).alias("low"), _round(high).alias("high"))
 
 
 def infra_breaker(spark, sf_dir):
@@ -175,7 +180,7 @@ _LEAD = {"cost": "save_cost", "latency": "save_latency", "tokens": "save_tokens"
 def _pareto_sql(axis: str) -> str:
     return LEDGER_SQL + f""", xs AS (SELECT *, {_X[axis]} AS x FROM cells), front AS (
   SELECT * FROM xs c WHERE x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM xs o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.x <= c.x AND (o.mean_value > c.mean_value OR o.x < c.x)))
-SELECT task_id, model, effort, variant, round(x, 4) AS x, round(mean_value, 4) AS mean_value, row_number() OVER (PARTITION BY task_id ORDER BY x, model, effort, variant)::BIGINT AS step FROM front"""
+SELECT task_id, model, effort, variant, round(x + 1e-9, 4) AS x, round(mean_value + 1e-9, 4) AS mean_value, row_number() OVER (PARTITION BY task_id ORDER BY x, model, effort, variant)::BIGINT AS step FROM front"""
 
 
 def _advice_sql(axis: str, tail: str) -> str:
@@ -196,8 +201,8 @@ def _advice_sql(axis: str, tail: str) -> str:
 ), led AS (SELECT *, {_LEAD[axis]} AS lead_saving FROM advice) {tail}"""
 
 
-_ADVICE_TAIL = """SELECT task_id, variant, round(best_value, 4) AS best_value, n_candidates, reflex_model, reflex_effort, fallback, rec_model, rec_effort, round(rec_value, 4) AS rec_value, round(save_cost, 4) AS save_cost,
-  round(save_latency, 4) AS save_latency, round(save_tokens, 4) AS save_tokens, round(cost_multiple, 4) AS cost_multiple, vacuous, suspect, round(lead_saving, 4) AS lead_saving FROM led"""
+_ADVICE_TAIL = """SELECT task_id, variant, round(best_value + 1e-9, 4) AS best_value, n_candidates, reflex_model, reflex_effort, fallback, rec_model, rec_effort, round(rec_value + 1e-9, 4) AS rec_value, round(save_cost + 1e-9, 4) AS save_cost,
+  round(save_latency + 1e-9, 4) AS save_latency, round(save_tokens + 1e-9, 4) AS save_tokens, round(cost_multiple + 1e-9, 4) AS cost_multiple, vacuous, suspect, round(lead_saving + 1e-9, 4) AS lead_saving FROM led"""
 _CELL = "task_id, model, effort, variant"
 _GRID = """
 WITH tasks AS (SELECT n_name AS task_id, CASE WHEN n_nationkey % 2 = 1 THEN 'r' || (n_nationkey % 3) END AS repo FROM nation),
@@ -212,9 +217,9 @@ grid AS (
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "cell_report": LEDGER_SQL + f"""SELECT {_CELL}, n_epochs, round(mean_value, 4) AS mean_value, round(std_value, 4) AS std_value, round(mean_cost, 4) AS mean_cost, round(mean_latency, 4) AS mean_latency, n_spec,
-  n_grader_versions, n_unparseable, round(mean_output_tokens, 4) AS mean_output_tokens, n_token_epochs, round(mean_total_tokens, 4) AS mean_total_tokens, n_total_token_epochs,
-  round(mean_shuffled_auroc, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped,
+        "cell_report": LEDGER_SQL + f"""SELECT {_CELL}, n_epochs, round(mean_value + 1e-9, 4) AS mean_value, round(std_value + 1e-9, 4) AS std_value, round(mean_cost + 1e-9, 4) AS mean_cost, round(mean_latency + 1e-9, 4) AS mean_latency, n_spec,
+  n_grader_versions, n_unparseable, round(mean_output_tokens + 1e-9, 4) AS mean_output_tokens, n_token_epochs, round(mean_total_tokens + 1e-9, 4) AS mean_total_tokens, n_total_token_epochs,
+  round(mean_shuffled_auroc + 1e-9, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped,
   NOT EXISTS (SELECT 1 FROM cells o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.mean_latency <= c.mean_latency AND (o.mean_value > c.mean_value OR o.mean_latency < c.mean_latency)) AS pareto
 FROM cells c LEFT JOIN dropped USING ({_CELL})""",
         "dropped_runs": LEDGER_SQL + "SELECT * FROM dropped",
@@ -229,13 +234,13 @@ SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped
 tasks AS (SELECT task_id, count(*) AS n_pairs, avg(ma) AS mean_a, avg(mb) AS mean_b, avg(diff) AS delta, count(*) FILTER (diff <> 0) AS n_nonzero, sum(bad)::BIGINT AS n_unparseable, list(diff ORDER BY model, effort) FILTER (diff <> 0) AS d FROM kept GROUP BY task_id),
 tested AS (SELECT *, (SELECT avg((abs(s) / n_nonzero >= abs(list_sum(d)) / n_nonzero - 1e-12)::INT::DOUBLE) FROM
   (SELECT list_sum(list_transform(d, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END)) AS s FROM (SELECT unnest(range((1 << n_nonzero)::BIGINT)) AS m))) AS p FROM tasks)
-SELECT task_id, n_pairs, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(delta, 4) AS delta, n_nonzero, n_unparseable, round(p, 4) AS p_value, coalesce(p <= 0.05, false) AS real,
+SELECT task_id, n_pairs, round(mean_a + 1e-9, 4) AS mean_a, round(mean_b + 1e-9, 4) AS mean_b, round(delta + 1e-9, 4) AS delta, n_nonzero, n_unparseable, round(p + 1e-9, 4) AS p_value, coalesce(p <= 0.05, false) AS real,
   concat_ws('; ', CASE WHEN n_nonzero = 0 THEN 'no directional evidence: all differences are zero' END, CASE WHEN n_nonzero BETWEEN 1 AND 5 THEN 'cannot reach p <= 0.05 with ' || n_nonzero || ' nonzero pairs' END, CASE WHEN n_nonzero > 0 THEN 'exact sign-flip test' END) AS note FROM tested""",
-        "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous), 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
+        "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous) + 1e-9, 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
         "epoch_interval": EVENT_SQL + """, grades AS (SELECT * FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'),
 v AS (SELECT user_id, list(round(value, 6) ORDER BY value) AS v, count(*) AS n FROM grades GROUP BY user_id HAVING count(*) BETWEEN 3 AND 5),
 m AS (SELECT user_id, list_sum(list_transform(v, lambda x, i: v[1 + (floor(m / pow(n, i - 1))::BIGINT % n)])) / n AS mean FROM (SELECT *, unnest(range(pow(n, n)::BIGINT)) AS m FROM v))
-SELECT user_id, round(quantile_disc(mean, 0.025), 4) AS low, round(quantile_disc(mean, 0.975), 4) AS high FROM m GROUP BY user_id""",
+SELECT user_id, round(quantile_disc(mean, 0.025) + 1e-9, 4) AS low, round(quantile_disc(mean, 0.975) + 1e-9, 4) AS high FROM m GROUP BY user_id""",
         "infra_breaker": EVENT_SQL + """, i AS (SELECT *, sum((run_status = 'ok')::INT) OVER w AS island, row_number() OVER w AS pos FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 s AS (SELECT *, sum((run_status IN ('infra_error', 'timeout'))::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM i)
 SELECT user_id, count(*) AS n_runs, max(streak)::BIGINT AS longest, min(pos) FILTER (streak >= 5)::BIGINT AS halt_at FROM s GROUP BY user_id""",
@@ -244,7 +249,7 @@ SELECT user_id, count(*) AS n_runs, max(streak)::BIGINT AS longest, min(pos) FIL
         "balanced_subsample": """WITH p AS (SELECT doc_id, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id), doc_id) <= 10)
 SELECT row_number() OVER (ORDER BY md5('42o:' || doc_id), doc_id) - 1 AS idx, doc_id, toxic FROM p""",
         "clf_confusion": """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels)
-SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 4) AS auroc FROM c""",
+SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn) + 1e-9, 4) AS accuracy, round(tp / (tp + fp) + 1e-9, 4) AS precision, round(tp / (tp + fn) + 1e-9, 4) AS recall, round(2 * tp / (2 * tp + fp + fn) + 1e-9, 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2 + 1e-9, 4) AS auroc FROM c""",
         "grid_expand": _GRID + "SELECT * FROM grid",
         "grid_sizes": _GRID + f"SELECT {_CELL}, count(*) AS n_cells FROM grid GROUP BY ALL",
         "resume_plan": LEDGER_SQL + f""", l AS (SELECT *, tie_part % 4 AS epoch FROM ledger), ok AS (SELECT * FROM l WHERE run_status = 'ok'),
