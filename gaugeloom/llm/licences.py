@@ -51,24 +51,39 @@ KNOWN = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
-#: (pattern, replacement), in this order, on lower-cased text; in the syntax that Java and RE2 share.
+#: (pattern, replacement, strings without all of which it can't match; none: it may always), in this order, on lower-cased text; in the syntax that Java and RE2 share.
 STEPS = (
-    ("[‘’‛´`]", "'"), ("[“”„«»]", '"'), ("[‐‑‒–—]", "-"), ("©", "(c)"),
-    (r"(?m)^[ \t*#/;-]*(portions )?(copyright( \(c\))?|\(c\))[ :,]*[0-9 ,-]*[^\n]*$", " "), (r"(?m)^[ \t*#/;-]*all rights reserved[.]?[ \t\r]*$", " "),
-    (r"(?m)^[ \t*#/;-]*the mit license( \(mit\))?[ \t\r]*$|^[ \t*#/;-]*mit license[ \t\r]*$|^[ \t*#/;-]*isc license[ \t\r]*$", " "),
-    (r"https?://", " "), (r"(?m)^[ \t*#/;-]*(\(?[0-9a-h][.)]|[*-])[ \t]+", " "),
-    (r"\b(license)(d|s|e|es)?\b", "licence$2"),
-    (r"\bsub[- ]?license\b", "sublicence"), (r"\b(favor|color|honor|labor)\b", "$1r"), (r"\backnowledgment\b", "acknowledgement"), (r"\bnon[- ]?infringement\b", "noninfringement"),
-    (r"\bcopyright (owner|holder)\b", "copyright holder"), (r"\b(authors?|contributors?)\(s\)", "$1"), (r"\bper cent\b", "percent"),
-    ("[^a-z0-9\u0080-\U0010ffff]+", " "),
+    ("[‘’‛´]", "'", ("‘", "’", "‛", "´")), ("[“”„«»]", '"', ("“", "”", "„", "«", "»")), ("[‐‑‒–—]", "-", ("‐", "‑", "‒", "–", "—")), ("©", "(c)", ("©",)),
+    (r"(?m)^[ \t*#/;-]*(portions )?(copyright( \(c\))?|\(c\))[ :,]*[0-9 ,-]*[^\n]*$", " ", ("copyright", "(c)")),
+    (r"(?m)^[ \t*#/;-]*all rights reserved[.]?[ \t\r]*$", " ", ("all rights reserved",)),
+    (r"(?m)^[ \t*#/;-]*the mit license( \(mit\))?[ \t\r]*$|^[ \t*#/;-]*mit license[ \t\r]*$|^[ \t*#/;-]*isc license[ \t\r]*$", " ", ("license",)),
+    (r"https?://", " ", ("://",)), (r"(?m)^[ \t*#/;-]*(\(?[0-9a-h][.)]|[*-])[ \t]+", " ", ()),
+    (r"\b(license)(d|s|e|es)?\b", "licence$2", ("license",)), (r"\bsub[- ]?license\b", "sublicence", ("license",)),
+    (r"\b(fav|col|hon|lab)or\b", "$1our", ("favor", "color", "honor", "labor")), (r"\backnowledgment\b", "acknowledgement", ("acknowledgment",)),
+    (r"\bnon[- ]?infringement\b", "noninfringement", ("infringement",)), (r"\bcopyright (owner|holder)\b", "copyright holder", ("copyright ",)),
+    (r"\b(authors?|contributors?)\(s\)", "$1", ("(s)",)), (r"\bper cent\b", "percent", ("per cent",)), ("[^a-z0-9\u0080-\U0010ffff]+", " ", ()),
 )
 
 
+def _step(form: Column, pattern: str, replacement: str, needs: tuple[str, ...]) -> Column:
+    done = F.regexp_replace(form, pattern, replacement)
+    if not needs:
+        return done
+    there = form.contains(needs[0])
+    for s in needs[1:]:
+        there = there | form.contains(s)
+    return F.when(there, done).otherwise(form)
+
+
+def _bound(step: tuple):
+    return lambda x: _step(x, *step)
+
+
 def canonical(text: Column) -> Column:
-    """The canonical form of a whole text."""
+    """The canonical form of a whole text. A pattern runs only on texts with a string that it needs, which changes no result."""
     form = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, replacement in STEPS:
-        form = F.regexp_replace(form, pattern, replacement)
+    for step in STEPS:  # an array of one binds the form, so it is not repeated in the expression
+        form = F.transform(F.array(form), _bound(step)).getItem(0)
     return F.trim(form)
 
 
@@ -93,7 +108,7 @@ def oracle_sql(known: dict[str, str] | None = None) -> str:
 
     def form(column: str) -> str:
         out = f"lower(coalesce({column}, ''))"
-        for pattern, replacement in STEPS:
+        for pattern, replacement, _ in STEPS:
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(replacement.replace('$', chr(92)))}, 'g')"
         return f"trim({out}, ' ')"
 
