@@ -40,10 +40,13 @@ from pyspark.sql.window import Window
 from .bytehash import mix, shingles
 from .components import components
 from .shared import map_batches, size_chunks, texts_of, written
+from .skew import lookup_join
 
 U = np.uint64
-#: Rounds with one more pivot each time a bucket has to go on; from the third on the number doubles.
+#: Most rounds of pivots; each has four times as many pivots a bucket as the one before.
 _ROUNDS = 40
+#: How much wider each band of w is than the one before.
+_STEP = 1.5
 
 
 class Scheme:
@@ -309,6 +312,129 @@ def _hashes(documents: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return map_batches(chosen.select("ent", "text"), batch, "ent long, hashes binary")
 
 
+def _still_open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows (sig, ent, probe) of buckets that hold several components and not only probes, with root and rank in the bucket."""
+    by_sig = Window.partitionBy("sig")
+    if roots is not None:
+        named = rows.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
+    else:
+        named = rows.withColumn("root", F.lit(None).cast("long"))
+    named = named.withColumn("root", F.coalesce("root", "ent")).withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig))
+    ranked = named.filter("lo <> hi").withColumn("rank", F.row_number().over(by_sig.orderBy("probe", "ent"))).withColumn("only_probes", F.min(F.col("probe").cast("int")).over(by_sig))
+    return written(ranked.filter("only_probes = 0").select("sig", "ent", "probe", "root", "rank"), "open")
+
+
+def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int = 1000) -> DataFrame:
+    """(ent, g, w, n, diff) of ``members`` (ent, g, hashes): how each set differs from the centre of its group.
+
+    The centre holds the shingles of more than half of the group's sets. ``diff`` is ordered by how many sets of the
+    group differ there, rare first; shingles of at most a quarter of the sets count as equally rare. ``w`` is
+    (100 + percent) * n - (100 - percent) * set size. Groups are dealt out in parts of about ``part`` sets.
+    """
+
+    def counted(rows: pa.RecordBatch):
+        g = rows.column("g").to_numpy()
+        hashes = [np.frombuffer(x.as_buffer(), U) for x in rows.column("hashes")]
+        order = np.argsort(g, kind="stable")
+        for i, j in size_chunks([8 * len(hashes[r]) for r in order], 8 << 20):
+            chosen = order[i:j]
+            which = np.repeat(g[chosen], [len(hashes[r]) for r in chosen])
+            found = np.concatenate([hashes[r] for r in chosen])
+            at = np.lexsort((found, which))
+            which, found = which[at], found[at]
+            new = np.flatnonzero((np.diff(which, prepend=~which[:1]) != 0) | (np.diff(found, prepend=~found[:1]) != 0))
+            yield {"g": pa.array(which[new]), "shingle": pa.array(found[new].view(np.int64)), "have": pa.array(np.diff(new, append=len(found)))}
+
+    have = map_batches(members.select("g", "hashes"), counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
+    often = lookup_join(have, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"]).filter("4 * have > size")
+    centre = often.groupBy("g").agg(F.max("size").alias("size"), F.collect_list(F.struct("shingle", "have")).alias("often"))
+    parts = F.ceil(F.col("size") / part).cast("int")
+    heads = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    sized = lookup_join(members, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"])
+    none = F.lit(None)
+    rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", F.col("often.shingle").alias("shingle"), F.col("often.have").alias("have"))
+    rows = rows.unionByName(sized.select("g", F.pmod(F.xxhash64("ent"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), "ent", "hashes", "size", none.cast("array<bigint>").alias("shingle"), none.cast("array<bigint>").alias("have")))
+    rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
+
+    def differ(batches):
+        group, often, below, heart = None, np.zeros(0, U), np.zeros(0), np.zeros(0, U)
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                g, kind = batch.column("g")[r].as_py(), batch.column("kind")[r].as_py()
+                if g != group:
+                    group, often, below, heart = g, np.zeros(0, U), np.zeros(0), np.zeros(0, U)
+                if kind == 0:
+                    size = batch.column("size")[r].as_py()
+                    often = batch.column("shingle")[r].values.to_numpy().view(U)
+                    count = batch.column("have")[r].values.to_numpy()
+                    order = np.argsort(often)
+                    often, count = often[order], count[order]
+                    central = 2 * count > size
+                    below, heart = np.where(central, size - count, count), often[central]
+                    continue
+                found = np.frombuffer(batch.column("hashes")[r].as_buffer(), U)
+                diff = np.setxor1d(found, heart, assume_unique=True)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, diff), len(often) - 1)
+                    diff = diff[np.argsort(np.where(often[at] == diff, below[at], 0), kind="stable")]
+                out.append((batch.column("ent")[r].as_py(), g, (100 + percent) * len(diff) - (100 - percent) * len(found), len(diff), diff.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["ent", "g", "w", "n", "diff"])
+
+    return written(rows.mapInArrow(differ, "ent long, g long, w long, n long, diff binary"), "differences")
+
+
+def _centred(open_rows: DataFrame, links: DataFrame, hashes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Replaces open buckets (sig, ent, probe) by fewer candidates: (new rows, links, roots).
+
+    Sets that share an open bucket, directly or in a chain, form a group with a centre. Sets whose
+    differences to it are d and e differ by |d| + |e| - 2 |d and e|; so they are similar if w + w' <= 0, and otherwise
+    only if d and e share at least (w + w') / (2 (100 + percent)) shingles. The first kind is settled by the member of least w.
+    For the second, sets are cut into bands of w, and for each band of partners a set is indexed under the rarest shingles
+    of its difference, as many as leave too few for such an overlap. Members of the leader's component are only
+    probes, for partners outside it: links within it change nothing.
+    """
+    star = open_rows.select(F.min("ent").over(Window.partitionBy("sig")).alias("a"), F.col("ent").alias("b")).filter("a <> b").distinct()
+    groups = written(components(star).select(F.col("node").alias("ent"), F.col("root").alias("g")), "groups")
+    sizes = written(groups.groupBy("g").agg(F.count("*").alias("size")), "sizes")
+    diffs = _differences(groups.join(hashes, "ent"), sizes, percent)
+    weighted = sizes.select("g", F.col("size").alias("weight"))
+    least = diffs.groupBy("g").agg(F.min(F.struct("w", "ent")).alias("m")).select("g", F.col("m.w").alias("least"), F.col("m.ent").alias("lead"))
+    led = written(lookup_join(diffs.select("ent", "g", "w"), weighted.join(least, "g"), "g", "weight", ["least", "lead"]), "led")
+    links = links.unionByName(led.filter("w + least <= 0 and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")))
+    roots = None if links.isEmpty() else written(components(links), "roots")
+    named = led if roots is None else led.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
+    named = named.withColumn("root", F.coalesce(F.col("root") if roots is not None else F.lit(None).cast("long"), "ent"))
+    named = written(named, "named")
+    main = named.filter("ent = lead").select("g", F.col("root").alias("main"))
+    sided = lookup_join(named, weighted.join(main, "g"), "g", "weight", ["main"])
+    band = F.floor(F.log(1 + (F.col("w") - F.col("least")) / (100 + percent)) / math.log(_STEP)).cast("int")
+    sided = written(sided.select("ent", "g", "w", "least", (F.col("root") == F.col("main")).alias("probe"), band.alias("band")), "sided")
+    bands = sided.groupBy("g").agg(F.collect_set("band").alias("every"), F.collect_set(F.when(~F.col("probe"), F.col("band"))).alias("other")).filter(F.size("other") > 0)
+    asked = lookup_join(sided, weighted.join(bands, "g"), "g", "weight", ["every", "other"]).filter("other is not null")
+    asked = asked.select("ent", "w", "least", "probe", "band", F.when(F.col("probe"), F.col("other")).otherwise(F.col("every")).alias("partners"))
+    rows = diffs.select("ent", "g", "diff").join(asked, "ent")
+
+    def batch(rows: pa.RecordBatch) -> dict:
+        w, least, own, salt = (rows.column(c).to_numpy() for c in ("w", "least", "band", "g"))
+        at, sigs = [], []
+        for r, (d, partners) in enumerate(zip(rows.column("diff"), rows.column("partners"))):
+            d = np.frombuffer(d.as_buffer(), U)
+            for other in partners.as_py():
+                floor = least[r] + (100 + percent) * (_STEP**other * (1 - 1e-9) - 1)  # no partner of that band has less
+                need = max(1, math.ceil((w[r] + floor) / (2 * (100 + percent)) - 1e-6))
+                if need <= len(d):
+                    key = mix(np.array([salt[r]], np.int64).view(U) + U(256 * min(own[r], other) + max(own[r], other)))
+                    sigs.append(mix(d[: len(d) - need + 1] ^ key))
+                    at.append(r)
+        sig = np.concatenate(sigs) if sigs else np.zeros(0, U)
+        at = pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in sigs]))
+        return {"sig": pa.array(sig.view(np.int64)), "ent": rows.column("ent").take(at), "probe": rows.column("probe").take(at)}
+
+    return map_batches(rows, batch, "sig long, ent long, probe boolean"), links, roots
+
+
 def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(node, root) over classes (d1) that are linked with another class, directly or not; None if none is."""
     by_sig = Window.partitionBy("sig")
@@ -323,21 +449,20 @@ def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int)
     reps = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("d1").alias("ent")).agg(F.min("doc_id").alias("rep"))
     hashes = written(_hashes(documents, reps.join(ents, "ent", "left_semi"), k), "hashes")
     tried, links, roots, pivots = pairs, None, None, 1
-    for _ in range(_ROUNDS):
+    for step in range(_ROUNDS):
         fresh = written(_verified(pairs, hashes, percent), "links")
         links = fresh if links is None else links.unionByName(fresh)
-        roots = None if links.isEmpty() else written(components(links), "roots")
+        if not fresh.isEmpty():
+            roots = written(components(links), "roots")
         # rows of buckets that hold several components, without the pivots that have met all others
-        left = open_rows.filter("pivot is null or ent <> pivot").drop("pivot")
-        if roots is not None:
-            named = left.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
-        else:
-            named = left.withColumn("root", F.lit(None).cast("long"))
-        named = named.withColumn("root", F.coalesce("root", "ent")).withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig))
-        ranked = named.filter("lo <> hi").withColumn("rank", F.row_number().over(by_sig.orderBy("probe", "ent"))).withColumn("only_probes", F.min(F.col("probe").cast("int")).over(by_sig))
-        open_rows = written(ranked.filter("only_probes = 0").select("sig", "ent", "probe", "root", "rank"), "open")
+        open_rows = _still_open(open_rows.filter("pivot is null or ent <> pivot").select("sig", "ent", "probe"), roots)
         if open_rows.isEmpty():
             break
+        if step == 0:
+            rows, links, roots = _centred(open_rows, links, hashes, percent)
+            open_rows = _still_open(rows, roots)
+            if open_rows.isEmpty():
+                break
         heads = open_rows.filter((F.col("rank") <= pivots) & ~F.col("probe")).select("sig", F.col("ent").alias("a"), F.col("root").alias("ra"), F.col("rank").alias("at"))
         candidates = open_rows.join(heads, "sig").filter("root <> ra and ent <> a and (probe or rank > at)")
         candidates = candidates.select("a", F.col("ent").alias("b")).distinct()
@@ -346,7 +471,7 @@ def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int)
         tried = tried.unionByName(pairs)
         keep = (F.col("rank") > pivots) | F.col("probe")
         open_rows = open_rows.filter(keep).select("sig", "ent", "probe", F.lit(None).cast("long").alias("pivot"))
-        pivots *= 2
+        pivots *= 4
     else:
         raise RuntimeError("buckets are still open")
     return roots

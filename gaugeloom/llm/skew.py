@@ -24,8 +24,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, count: str, values:
     name = {v: f"_hot_{v}" for v in values}
     hot = table.filter(F.col(count) > total / HOT_KEYS).select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"), *(F.col(v).alias(name[v]) for v in values))
     rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    salted = F.when(F.col("_hot"), F.concat(F.lit("\x00hot"), F.xxhash64(*[c for c in rows.columns if not c.startswith("_hot") and rows.schema[c].dataType.typeName() in ("long", "string", "integer")]).cast("string"))).otherwise(F.col(key))
-    rest = table.select(F.col(key).alias("_cold_key"), *(F.col(v).alias(f"_cold_{v}") for v in values))
+    salted = F.when(F.col("_hot"), F.concat(F.lit("\x00hot"), F.xxhash64(*[c for c in rows.columns if not c.startswith("_hot") and rows.schema[c].dataType.typeName() in ("long", "string", "integer")]).cast("string"))).otherwise(F.col(key).cast("string"))
+    rest = table.select(F.col(key).cast("string").alias("_cold_key"), *(F.col(v).alias(f"_cold_{v}") for v in values))
     joined = rows.withColumn("_salted", salted).join(rest, F.col("_salted") == F.col("_cold_key"), "left")
     drop = ["_hot_key", "_hot", "_salted", "_cold_key"]
     for v in values:
