@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps: each node's larger neighbours, then its smaller ones,
     are linked to its smallest. It ends when the edges form stars, after a number of rounds that grows with
-    the logarithm of the longest path. Each round is written to shared storage; nulls and loops are left out.
+    the logarithm of the longest path; edges that a large-star step turns into stars need no further step.
+    Each step is written to shared storage; nulls and loops are left out.
     """
     edges = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi is not null and hi <> lo").distinct()
     edges = written(edges, "edges")
@@ -22,15 +23,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         large = written(large, "large")
+        if _are_stars(large):
+            break
         down = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "down")
         linked = large.join(down, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        small = written(linked.unionByName(down.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct(), "small")
-        # stars: each node hangs on one root, and no root hangs on another node
-        done = small.groupBy("hi").count().filter("count > 1").isEmpty() and small.select(F.col("lo").alias("hi")).join(small, "hi", "left_semi").isEmpty()
-        edges = small
-        if done:
-            break
+        edges = written(linked.unionByName(down.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct(), "small")
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
-    roots = edges.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)
+    roots = large.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return large.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root hangs on another node."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.agg(F.count(F.when(F.col("below") + F.col("above") > 1, 1)).alias("odd")).first()["odd"] == 0

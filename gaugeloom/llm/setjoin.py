@@ -346,11 +346,11 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
             yield {"g": pa.array(which[new]), "shingle": pa.array(found[new].view(np.int64)), "have": pa.array(np.diff(new, append=len(found)))}
 
     have = map_batches(members.select("g", "hashes"), counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
-    often = lookup_join(have, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"]).filter("4 * have > size")
+    often = lookup_join(have, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"], stored=True).filter("4 * have > size")
     centre = often.groupBy("g").agg(F.max("size").alias("size"), F.collect_list(F.struct("shingle", "have")).alias("often"))
     parts = F.ceil(F.col("size") / part).cast("int")
     heads = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    sized = lookup_join(members, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"])
+    sized = lookup_join(members, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"], stored=True)
     none = F.lit(None)
     rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", F.col("often.shingle").alias("shingle"), F.col("often.have").alias("have"))
     rows = rows.unionByName(sized.select("g", F.pmod(F.xxhash64("ent"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), "ent", "hashes", "size", none.cast("array<bigint>").alias("shingle"), none.cast("array<bigint>").alias("have")))
@@ -385,8 +385,17 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
     return written(rows.mapInArrow(differ, "ent long, g long, w long, n long, diff binary"), "differences")
 
 
-def _centred(open_rows: DataFrame, links: DataFrame, hashes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Replaces open buckets (sig, ent, probe) by fewer candidates: (new rows, links, roots).
+def _linked(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components ``roots`` (node, root) after new ``links`` (a, b); known components stand for the links that made them."""
+    if links.isEmpty():
+        return roots
+    if roots is not None:
+        links = links.unionByName(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return written(components(links), "roots")
+
+
+def _centred(open_rows: DataFrame, roots: DataFrame | None, hashes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Replaces open buckets (sig, ent, probe) by fewer candidates: (new rows, roots).
 
     Sets that share an open bucket, directly or in a chain, form a group with a centre. Sets whose
     differences to it are d and e differ by |d| + |e| - 2 |d and e|; so they are similar if w + w' <= 0, and otherwise
@@ -402,8 +411,7 @@ def _centred(open_rows: DataFrame, links: DataFrame, hashes: DataFrame, percent:
     weighted = sizes.select("g", F.col("size").alias("weight"))
     least = diffs.groupBy("g").agg(F.min(F.struct("w", "ent")).alias("m")).select("g", F.col("m.w").alias("least"), F.col("m.ent").alias("lead"))
     led = written(lookup_join(diffs.select("ent", "g", "w"), weighted.join(least, "g"), "g", "weight", ["least", "lead"]), "led")
-    links = links.unionByName(led.filter("w + least <= 0 and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")))
-    roots = None if links.isEmpty() else written(components(links), "roots")
+    roots = _linked(roots, led.filter("w + least <= 0 and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")))
     named = led if roots is None else led.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
     named = named.withColumn("root", F.coalesce(F.col("root") if roots is not None else F.lit(None).cast("long"), "ent"))
     named = written(named, "named")
@@ -432,7 +440,7 @@ def _centred(open_rows: DataFrame, links: DataFrame, hashes: DataFrame, percent:
         at = pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in sigs]))
         return {"sig": pa.array(sig.view(np.int64)), "ent": rows.column("ent").take(at), "probe": rows.column("probe").take(at)}
 
-    return map_batches(rows, batch, "sig long, ent long, probe boolean"), links, roots
+    return map_batches(rows, batch, "sig long, ent long, probe boolean"), roots
 
 
 def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -448,18 +456,15 @@ def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int)
     ents = open_rows.select("ent").distinct()
     reps = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("d1").alias("ent")).agg(F.min("doc_id").alias("rep"))
     hashes = written(_hashes(documents, reps.join(ents, "ent", "left_semi"), k), "hashes")
-    tried, links, roots, pivots = pairs, None, None, 1
+    tried, roots, pivots = pairs, None, 1
     for step in range(_ROUNDS):
-        fresh = written(_verified(pairs, hashes, percent), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        if not fresh.isEmpty():
-            roots = written(components(links), "roots")
+        roots = _linked(roots, written(_verified(pairs, hashes, percent), "links"))
         # rows of buckets that hold several components, without the pivots that have met all others
         open_rows = _still_open(open_rows.filter("pivot is null or ent <> pivot").select("sig", "ent", "probe"), roots)
         if open_rows.isEmpty():
             break
         if step == 0:
-            rows, links, roots = _centred(open_rows, links, hashes, percent)
+            rows, roots = _centred(open_rows, roots, hashes, percent)
             open_rows = _still_open(rows, roots)
             if open_rows.isEmpty():
                 break

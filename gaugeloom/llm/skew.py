@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 HOT_KEYS = 500
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, count: str, values: list[str]) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, count: str, values: list[str], stored: bool = False) -> DataFrame:
     """Left join of many ``rows`` to a ``table`` with one row a ``key``; null where there is none.
 
     ``table[count]`` is how many rows have the key. Keys with more than 1/HOT_KEYS of all counted rows
     are fewer than HOT_KEYS, whatever the data, so those are broadcast, and their rows go through the
     other, hashed join under a random key that finds nothing: no task gets a key's worth of rows.
-    The table is written to shared storage, since it is read three times.
+    The table is written to shared storage, since it is read three times, unless it is ``stored`` there already.
     """
     from .shared import written
 
-    table = written(table.select(key, count, *values), "lookup")
+    table = table.select(key, count, *values)
+    table = table if stored else written(table, "lookup")
     total = table.agg(F.sum(count).alias("t")).first()["t"] or 0
     name = {v: f"_hot_{v}" for v in values}
     hot = table.filter(F.col(count) > total / HOT_KEYS).select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"), *(F.col(v).alias(name[v]) for v in values))
