@@ -146,7 +146,10 @@ def _solve(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, ridge: float = 0.3, width: float = 3.0, parts: int = 8) -> Model:
-    """Statistics of the sampled rows are written; two passes over them sum moments and normal equations by task."""
+    """Statistics of the sampled rows are written; two passes over them sum moments and normal equations by task.
+
+    At most ``parts`` tasks send sums to the driver, however many partitions the session deals the rows to.
+    """
     from .shared import written
 
     rows = training_rows(documents, labels, "quality", per_class)
@@ -156,7 +159,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rid
         x = statistics(texts_of(batch.column("text")))
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))}
 
-    sample = written(map_batches(rows, stats_of, "doc_id long, y int, x array<double>"), "quality").repartition(parts, F.xxhash64("doc_id"))
+    sample = written(map_batches(rows, stats_of, "doc_id long, y int, x array<double>"), "quality").repartition(parts, F.xxhash64("doc_id")).coalesce(parts)
     rng = np.random.Generator(np.random.PCG64(3))
     waves, phase = rng.normal(0, 1 / width, (k, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
 
