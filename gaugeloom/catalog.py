@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import answers as AN
 from .functions import text as TX
 from .functions.stats import bootstrap_means, hash_uniform, percentile_interval
 from .operators import advise as AD
@@ -14,6 +15,8 @@ from .operators import grading as GR
 from .operators import grid as GD
 from .operators import paired as PA
 from .operators import runs as RU
+from .operators import shuffled as SH
+from .operators import transcripts as TR
 from .operators.dedupe import latest_grade, latest_ok
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL
@@ -165,10 +168,45 @@ def hashed_draws(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(hash_uniform(F.lit("42"), F.col("s_suppkey").cast("string")), 6).alias("u"))
 
 
+def shuffled_auroc(spark, sf_dir):
+    labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    return _rounded(SH.shuffled_auroc(labels.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "doc_id", "quality", "toxic"))
+
+
+def answer_set(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey").cast("string")
+    reply = F.concat(F.lit("Well.\nANSWER 1: "), key, F.lit("\n> answer #2 = "), F.col("p_name"), F.lit(" \nANSWER 1: 0"), key)
+    gold = F.create_map(F.lit(1).cast("bigint"), F.concat(F.lit("0"), key), F.lit(2).cast("bigint"), F.col("p_brand"))
+    found = p.select("p_partkey", AN.numbered_answers(reply).alias("found"), gold.alias("gold"))
+    return found.select("p_partkey", F.col("found")[F.lit(1).cast("bigint")].alias("first"), F.col("found")[F.lit(2).cast("bigint")].alias("second"), AN.hits(F.col("found"), F.col("gold")).alias("share"))
+
+
+def chapter_fence(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/part.parquet")
+    reply = F.concat(F.lit("Here:\n```\nshort\n```\n```mdx\n# "), F.col("p_name"), F.lit("\n"), F.col("p_brand"), F.lit("\n```\ndone"))
+    return d.select("p_partkey", AN.chapter(reply, "#").alias("chapter"), F.size(AN.fenced_blocks(reply)).cast("long").alias("n_blocks"))
+
+
+def tag_census(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", AN.rendered_only(F.col("html")).alias("html"))
+    tags = {k: AN.tags(F.col("html"), k) for k in ("a", "p", "div")}
+    return p.select("page_id", *(F.size(t).cast("long").alias(f"n_{k}") for k, t in tags.items()), F.size(F.filter(tags["a"], lambda m: F.map_contains_key(m, "href"))).cast("long").alias("n_href"))
+
+
+def stream_json_parse(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    call = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"text","text":"x"},7,{"type":"tool_use","name":"'), F.col("role"), F.lit('"}]}}'))
+    result = F.concat(F.lit('{"type":"result","n":'), F.col("turn").cast("string"), F.lit("}"))
+    lines = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, call).when(F.col("turn") % 3 == 1, result).otherwise(F.lit("not json {")).alias("line"))
+    return TR.parse_streams(lines, "conv_id", "turn", "line").select("conv_id", "payload", F.array_join("tools", ",").alias("tools"))
+
+
 def queries() -> dict:
     plain = (
         cell_report, dropped_runs, fully_dropped_cells, ledger_latest_grade, last_ok_by_key, ab_compare, advise_total, epoch_interval, infra_breaker, tool_histogram, status_tallies,
         balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws,
+        shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -265,5 +303,15 @@ SELECT conv_id, turn, CASE WHEN starts_with(t, 'injection') THEN 1 WHEN starts_w
         "spec_fingerprint": "SELECT p_partkey, substr(sha256(concat_ws(chr(31), p_name, p_brand, p_type)), 1, 16) AS fingerprint FROM part",
         "sanitize_violations": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, '@') OR contains(text, 'License') OR length(text) > 5000",
         "hashed_draws": "SELECT s_suppkey, round(('0x' || substr(md5('42:' || s_suppkey), 1, 8))::BIGINT / 4294967296, 6) AS u FROM supplier",
+        "shuffled_auroc": """WITH r AS (SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id, quality, toxic) AS pos, quality AS g, toxic AS p FROM labels JOIN documents d USING (doc_id)),
+s AS (SELECT lang, b, g, row_number() OVER (PARTITION BY lang, b ORDER BY md5('12345:' || b || ':' || pos), pos) AS place FROM r, range(200) t(b)),
+c AS (SELECT s.lang, b, count(*) AS n, count(*) FILTER (s.g = 1 AND p = 1) / nullif(count(*) FILTER (s.g = 1), 0) AS one, count(*) FILTER (s.g = 0 AND p = 0) / nullif(count(*) FILTER (s.g = 0), 0) AS zero FROM s JOIN r ON r.lang = s.lang AND pos = place GROUP BY s.lang, b)
+SELECT lang, max(n) AS n, round(avg((one + zero) / 2) + 1e-9, 4) AS shuffled_auroc FROM c GROUP BY lang""",
+        "answer_set": "SELECT p_partkey, '0' || p_partkey AS first, trim(p_name) AS second, CASE WHEN trim(p_name) = p_brand THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM part",
+        "chapter_fence": "SELECT p_partkey, '# ' || p_name || chr(10) || p_brand AS chapter, 2::BIGINT AS n_blocks FROM part",
+        "tag_census": r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?sm)^[ \t]*```.*?^[ \t]*```', '', 'g') AS h FROM pages)
+SELECT page_id, len(regexp_extract_all(h, '<a\b([^>]*?)/?>'))::BIGINT AS n_a, len(regexp_extract_all(h, '<p\b([^>]*?)/?>'))::BIGINT AS n_p, len(regexp_extract_all(h, '<div\b([^>]*?)/?>'))::BIGINT AS n_div,
+  len(list_filter(regexp_extract_all(h, '<a\b([^>]*?)/?>'), lambda x: regexp_matches(x, '\bhref\s*=\s*("[^"]*"|''[^'']*''|\{[^}]*\})')))::BIGINT AS n_href FROM h""",
+        "stream_json_parse": """SELECT conv_id, '{"type":"result","n":' || max(turn) FILTER (turn % 3 = 1) || '}' AS payload, coalesce(string_agg(role, ',' ORDER BY turn, role) FILTER (turn % 3 = 0), '') AS tools FROM conversations GROUP BY conv_id""",
     }
     return out | {f"pareto_{a}": _pareto_sql(a) for a in FR.AXES} | {f"advise_{a}": _advice_sql(a, _ADVICE_TAIL) for a in FR.AXES}
