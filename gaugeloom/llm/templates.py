@@ -2,22 +2,27 @@
 
 A text becomes a sequence of template tokens: numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders that keep their value as a slot; other words stay, in
-lower case. Neighbouring numbers, or names, are one. Windows of WINDOW tokens with enough plain words are
-hash-joined between documents and benchmark items, and the windows of one alignment must agree on their
-slots: each value of the item stands for one value in the document and the other way round. A document
-is contaminated by an item if the agreeing windows of an alignment make up enough of the item.
+lower case. Neighbouring numbers, or names, are one.
+Windows of WINDOW tokens with enough plain words are hash-joined between
+documents and benchmark items. Alignments whose shifts are apart by no more than the item's length are
+added up, so that words put in or left out don't part a passage. Each value of the item stands for one
+value in the document, and windows in which it stands for several are no match. A document is contaminated by an
+item if, in one view, the agreeing windows make up enough of the item; a gap of at most WINDOW windows
+between two of them is what one changed word leaves, and counts as covered.
 
 Documents only emit windows that pass a bitmap of fixed size with the benchmark's windows, so what is
 shuffled grows with the matches. The benchmark's windows are broadcast if they are few (counted first),
 else joined by shuffle.
 
 Defined cases: null and empty texts have no windows; items shorter than a window are one window of
-their own length; items with fewer than LITERALS plain words in every window can't be found; repeated
-rows and ids are joined as they are and reported once for each (doc_id, item_id).
+their own length; items with fewer than LITERALS plain words in every window can't be found; repeated rows and ids are joined as they are and reported once for each (doc_id, item_id).
 """
 
 from __future__ import annotations
 
+import collections
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +58,9 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
 _TYPE = mix(np.arange(1, 5, dtype=U) * U(0x9E3779B97F4A7C15))
+_PLAIN, _EXACT = range(2)
+#: Windows of EXACT have hashes of their own.
+_EXACT_ROLE = 1 << 32
 
 
 def _known(words: list[str]) -> np.ndarray:
@@ -64,8 +72,19 @@ def _known(words: list[str]) -> np.ndarray:
 _UNIT_HASHES, _NUMBER_HASHES = _known(UNITS), _known(NUMBERS)
 
 
-def _tokens(texts: list[str]):
-    """(text of each token, token hash, slot value or 0, kind): consecutive numbers or names of a text are one token."""
+@dataclass(frozen=True)
+class View:
+    """Tokens of some texts: text of each, hash, slot value or 0, kind, and the place of its first word in the text (in PLAIN's tokens; in EXACT: in words)."""
+
+    text: np.ndarray
+    token: np.ndarray
+    value: np.ndarray
+    kind: np.ndarray
+    place: np.ndarray
+
+
+def _views(texts: list[str]) -> list[View]:
+    """PLAIN of some texts."""
     buf, starts = buffer_of(texts)
     two = np.zeros(len(buf), bool)  # second bytes of two-byte capitals of the Latin-1 supplement
     if len(buf) > 1:
@@ -86,28 +105,45 @@ def _tokens(texts: list[str]):
     if len(a) > 1:
         after_number[1:] = (kind[:-1] == _NUMBER) & ~begins[1:]
     kind = np.where(after_number & in_list(_UNIT_HASHES), _UNIT, kind)
-    joins = np.zeros(len(a), bool)
-    if len(a) > 1:
+    plain_first = ~_joins(kind, begins)
+    place = _places(text, plain_first)
+    return [_view(text, h, kind, begins, place)]
+
+
+def _joins(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Words that are one token with the word before: consecutive numbers or names of a sentence."""
+    joins = np.zeros(len(kind), bool)
+    if len(kind) > 1:
         joins[1:] = ((kind[1:] == _NUMBER) | (kind[1:] == _NAME)) & (kind[1:] == kind[:-1]) & ~begins[1:]
-    first = np.flatnonzero(~joins)
+    return joins
+
+
+def _places(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word the place in its text of the token that it is in."""
+    at = np.cumsum(first) - 1
+    return at - at[np.searchsorted(text, text)] if len(text) else at
+
+
+def _view(text, h, kind, begins, place) -> View:
+    first = np.flatnonzero(~_joins(kind, begins))
     if not len(first):
-        return text[:0], h[:0], h[:0], kind[:0]
-    place = np.arange(len(a)) - np.repeat(first, np.diff(first, append=len(a)))
-    value = np.add.reduceat(mix(h + place.astype(U)), first)
+        return View(text[:0], h[:0], h[:0], kind[:0], place[:0])
+    offset = np.arange(len(h)) - np.repeat(first, np.diff(first, append=len(h)))
+    value = np.add.reduceat(mix(h + offset.astype(U)), first)
     kind = kind[first]
-    return text[first], np.where(kind == _LITERAL, h[first], _TYPE[kind]), np.where(kind == _LITERAL, U(0), value | U(1)), kind
+    return View(text[first], np.where(kind == _LITERAL, h[first], _TYPE[kind]), np.where(kind == _LITERAL, U(0), value | U(1)), kind, place[first])
 
 
-def _windows(text, token, kind, width: int):
+def _windows(view: View, width: int, exact: bool):
     """(first token, hash) of the windows of ``width`` tokens within one text that have enough plain words."""
-    n = len(token) - width + 1
+    n = len(view.token) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    plain = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-    at = np.flatnonzero((text[:n] == text[width - 1 :]) & (plain[width:] - plain[:n] >= min(LITERALS, width)))
-    h = np.full(len(at), U(width))
+    plain = np.concatenate([[0], np.cumsum(view.kind == _LITERAL)])
+    at = np.flatnonzero((view.text[:n] == view.text[width - 1 :]) & (plain[width:] - plain[:n] >= min(LITERALS, width)))
+    h = np.full(len(at), U(width + (_EXACT_ROLE if exact else 0)))
     for j in range(width):
-        h = h + token[at + j] * _ROLES[j]
+        h = h + view.token[at + j] * _ROLES[j]
     return at, mix(h)
 
 
@@ -118,23 +154,28 @@ def _slots(value: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, w, item_pos, item_slots, n_windows, width of the benchmark's windows."""
+    """The benchmark's windows: item_id, view, w, source (view that w is of), width, item_no (which of the view's n_windows it stands for), item_at (its place), item_slots, reach (length of the item)."""
 
     def batch(rows: pa.RecordBatch):
         ids = rows.column("item_id").to_pylist()
         for i, raw in enumerate(texts_of(rows.column("text"))):
-            text, token, value, kind = _tokens([raw])
-            width = min(WINDOW, len(token))
-            if width < LITERALS:
-                continue
-            at, h = _windows(text, token, kind, width)
-            n = len(at)
-            yield {
-                "item_id": pa.array([ids[i]] * n, pa.int64()), "w": pa.array(h.view(np.int64)), "item_pos": pa.array(at.astype(np.int64)), "item_slots": _slots(value, at, width),
-                "n_windows": pa.array(np.full(n, n, np.int64)), "width": pa.array(np.full(n, width, np.int32)),
-            }
-
-    schema = "item_id long, w long, item_pos long, item_slots array<long>, n_windows long, width int"
+            views = _views([raw])
+            found = []
+            for v, view in enumerate(views):
+                width = min(WINDOW, len(view.token))
+                at, h = _windows(view, width, v == _EXACT) if width >= (1 if v == _EXACT else LITERALS) else _windows(view, len(view.token) + 1, False)
+                found.append((view, width, at, h, view.place[at]))
+            parts = [(v, v, *found[v][:4], np.arange(len(found[v][2]))) for v in range(len(views))]
+            for v, source, view, width, at, h, no in parts:
+                n = len(at)
+                if n:
+                    yield {
+                        "item_id": pa.array([ids[i]] * n, pa.int64()), "view": pa.array(np.full(n, v, np.int32)), "w": pa.array(h.view(np.int64)), "source": pa.array(np.full(n, source, np.int32)),
+                        "width": pa.array(np.full(n, width, np.int32)), "item_no": pa.array(no.astype(np.int64)), "item_at": pa.array(view.place[at].astype(np.int64)), "item_slots": _slots(view.value, at, width),
+                        "n_windows": pa.array(np.full(n, len(found[v][2]), np.int64)), "reach": pa.array(np.full(n, len(view.token), np.int64)),
+                    }
+
+    schema = "item_id long, view int, w long, source int, width int, item_no long, item_at long, item_slots array<long>, n_windows long, reach long"
     return map_batches(benchmark.select(F.col("item_id").cast("long"), "text"), batch, schema)
 
 
@@ -153,35 +194,93 @@ def _bitmap(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _agreeing(hit: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, known: dict[int, int]) -> np.ndarray:
+    """Which of ``n`` windows have no pair (item value, document value) in conflict with ``known`` or with each other; ``known`` takes the new pairs."""
+    good = np.ones(n, bool)
+    pairs = set(zip(left.tolist(), right.tolist()))
+    times = collections.Counter(x for x, _ in pairs)
+    bad = {(x, y) for x, y in pairs if (known[x] != y if x in known else times[x] > 1)}
+    if bad:
+        good[hit[[p in bad for p in zip(left.tolist(), right.tolist())]]] = False
+    known.update(pairs - bad)
+    return good
+
+
+def _judge(shift, no, at, offsets, left, right, reach: int) -> tuple[int, int, int]:
+    """(windows of an item that agree, these with gaps that one changed word explains, slots) in the best place of a document."""
+    best = (0, 0, 0)
+    order = np.lexsort((no, shift))
+    at_shift = shift[order]
+    runs = np.split(order, np.flatnonzero(np.diff(at_shift)) + 1)
+    cuts = np.flatnonzero(np.diff([shift[r[0]] for r in runs]) > reach) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(runs)]):
+        alone = []
+        for r in runs[a:b]:
+            sizes = offsets[r + 1] - offsets[r]
+            hit = np.repeat(np.arange(len(r)), sizes)
+            flat = np.repeat(offsets[r] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            known: dict[int, int] = {}
+            alone.append((int(_agreeing(hit, left[flat], right[flat], len(r), known).sum()), r, hit, flat))
+        alone.sort(key=lambda x: -x[0])  # the alignment that agrees most comes first, others add what agrees with it
+        known = {}
+        kept = np.concatenate([r[_agreeing(hit, left[flat], right[flat], len(r), known)] for _, r, hit, flat in alone])
+        numbers, which = np.unique(no[kept], return_index=True)
+        places = at[kept][which]
+        gap = np.diff(numbers) - 1
+        bridged = int(gap[np.diff(places) - 1 <= WINDOW].sum())
+        best = max(best, (len(numbers), len(numbers) + bridged, len(known)), key=lambda x: (x[1], x[0]))
+    return best
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
-    """doc_id, item_id, matched, n_windows, coverage, n_slots of the documents that hold an item, with its own or with other numbers, names and units."""
+    """doc_id, item_id, matched (agreeing windows), n_windows, coverage (with gaps that one word explains), n_slots of the documents that hold an item, with its own or with other numbers, names and units."""
     spark = documents.sparkSession
     items = written(item_windows(benchmark), "items")
-    stats = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
-    shared = spark.sparkContext.broadcast((_bitmap(items), sorted(stats["widths"])))
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("source", "width")).alias("widths")).first()
+    shared = spark.sparkContext.broadcast((_bitmap(items), sorted((r["source"], r["width"]) for r in stats["widths"])))
 
     def batch(rows: pa.RecordBatch):
         bits, widths = shared.value
         bits = np.frombuffer(bits, np.uint8)
         texts, ids = texts_of(rows.column("text")), rows.column("doc_id")
         for i, j in size_chunks([len(t) for t in texts]):
-            text, token, value, kind = _tokens(texts[i:j])
-            begin = np.searchsorted(text, np.arange(j - i))
-            for width in widths:
-                at, h = _windows(text, token, kind, width)
+            views = _views(texts[i:j])
+            for v, width in widths:
+                view = views[v]
+                at, h = _windows(view, width, v == _EXACT)
                 place = (h >> U(64 - _BITS)).astype(np.int64)
                 hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
                 at, h = at[hit], h[hit]
                 if len(at):
-                    yield {"doc_id": ids.take(pa.array(text[at] + i)), "row": pa.array(text[at] + i), "w": pa.array(h.view(np.int64)), "pos": pa.array((at - begin[text[at]]).astype(np.int64)), "slots": _slots(value, at, width)}
+                    text = pa.array(view.text[at] + i)
+                    yield {"doc_id": ids.take(text), "row": text, "w": pa.array(h.view(np.int64)), "at": pa.array(view.place[at].astype(np.int64)), "slots": _slots(view.value, at, width)}
+
+    def judge(rows: pa.RecordBatch):
+        lists = rows.column("hits")
+        begin, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
+        shift, no, at = (flat.field(k).to_numpy() for k in ("shift", "item_no", "item_at"))
+        a, b = flat.field("item_slots"), flat.field("slots")
+        offsets, offsets_b = a.offsets.to_numpy().astype(np.int64), b.offsets.to_numpy().astype(np.int64)
+        left, right = a.values.to_numpy()[offsets[0] : offsets[-1]], b.values.to_numpy()[offsets_b[0] : offsets_b[-1]]
+        offsets = offsets - offsets[0]
+        n_windows, reach = rows.column("n_windows").to_numpy(), rows.column("reach").to_numpy()
+        keep, matched, covered, slots = [], [], [], []
+        for g in range(rows.num_rows):
+            x, y = begin[g], begin[g + 1]
+            m, c, s = _judge(shift[x:y], no[x:y], at[x:y], offsets[x : y + 1], left, right, int(reach[g]))
+            if c >= coverage * n_windows[g] or m >= enough:
+                keep.append(g)
+                matched.append(m)
+                covered.append(c / n_windows[g])
+                slots.append(s)
+        at = pa.array(keep, pa.int64())
+        return {"doc_id": rows.column("doc_id").take(at), "item_id": rows.column("item_id").take(at), "matched": pa.array(matched, pa.int64()), "n_windows": rows.column("n_windows").take(at), "coverage": pa.array(covered, pa.float64()), "n_slots": pa.array(slots, pa.int64())}
 
-    hits = map_batches(documents.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, row long, w long, pos long, slots array<long>")
+    hits = map_batches(documents.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, row long, w long, at long, slots array<long>")
     right = F.broadcast(items) if stats["n"] <= BROADCAST_WINDOWS else items
     pairs = hits.join(right, "w").filter(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.select("doc_id", "item_id", "row", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("s"))
-    aligned = pairs.groupBy("doc_id", "item_id", "row", "shift").agg(F.countDistinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"))
-    one = lambda field: F.size(F.array_distinct(F.transform("s", lambda x: x[field]))) == F.size("s")
-    aligned = aligned.filter(one("item_slots") & one("slots")).withColumn("coverage", F.col("matched") / F.col("n_windows"))
-    found = aligned.filter((F.col("coverage") >= coverage) | (F.col("matched") >= enough))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n_windows", "coverage", F.size("s").cast("long").alias("n_slots"))).alias("m"))
+    hit = F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_no", "item_at", "item_slots", "slots")
+    groups = pairs.groupBy("doc_id", "item_id", "row", "view").agg(F.collect_list(hit).alias("hits"), F.max("n_windows").alias("n_windows"), F.max("reach").alias("reach"))
+    found = map_batches(groups.select("doc_id", "item_id", "hits", "n_windows", "reach"), judge, "doc_id long, item_id long, matched long, n_windows long, coverage double, n_slots long")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "n_windows", "n_slots")).alias("m"))
     return best.select("doc_id", "item_id", "m.matched", "m.n_windows", F.round("m.coverage", 6).alias("coverage"), "m.n_slots")

@@ -110,6 +110,26 @@ def test_templates(spark, odd, empty):
     assert templates.contaminated(odd, bench).count() == 0 == templates.contaminated(empty, bench).count() == templates.contaminated(docs, bench.limit(0)).count()
 
 
+def found_by(spark, item, *texts):
+    """Which of the texts hold the item."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return sorted(r.doc_id for r in templates.contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect())
+
+
+def test_templates_split_passages_and_conflicts(spark):
+    words = "while walking along a quiet river bank every morning some people count small grey birds that rest under old willow trees near water before going back home again for tea".split()
+    item = " ".join(words)
+    put = " ".join([*words[:15], "quite", *words[15:]])
+    short = words[:20]
+    changed = " ".join([*short[:10], "odd", *short[11:]])
+    assert found_by(spark, item, put, " ".join([*words[:15], *words[16:]]), " ".join(words[:12])) == [0, 1]
+    assert found_by(spark, " ".join(short), changed, " ".join(short[:9])) == [0]
+    item = "a farmer sells 3 apples and keeps another 5 pears in some wooden box behind an old barn until market day comes around"
+    assert found_by(spark, item, item.replace("3", "4").replace("5", "4"), "nothing of that kind here") == [0]
+    item = "a clerk counts 30 letters in one grey box and then walks along a very long road until evening comes so that people may read them at home with 30 friends who wait"
+    assert found_by(spark, item, item.replace("30 friends", "31 friends")) == [0]
+
+
 def test_licences(spark, odd):
     mit = "The MIT License (MIT)\n\nCopyright (c) 2019 Jane Doe\n\n" + licences.KNOWN["MIT"].upper().replace("LICENSE", "LICENCE").replace('"', "“")
     docs = spark.createDataFrame([(1, mit), (2, mit + " and more"), (3, "")], "doc_id long, text string")
