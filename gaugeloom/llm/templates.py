@@ -2,8 +2,10 @@
 
 A text becomes a sequence of template tokens: numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders that keep their value as a slot; other words stay, in
-lower case. Neighbouring numbers, or names, are one.
-Windows of WINDOW tokens with enough plain words are hash-joined between
+lower case. Neighbouring numbers, or names, are one. That is the view PLAIN of a text; in
+another one, EXACT, every word stays, numbers and names too, so any item can be found as it is.
+
+Windows of WINDOW tokens (in PLAIN those with enough plain words) are hash-joined between
 documents and benchmark items. Alignments whose shifts are apart by no more than the item's length are
 added up, so that words put in or left out don't part a passage. Each value of the item stands for one
 value in the document, and windows in which it stands for several are no match. A document is contaminated by an
@@ -15,7 +17,8 @@ shuffled grows with the matches. The benchmark's windows are broadcast if they a
 else joined by shuffle.
 
 Defined cases: null and empty texts have no windows; items shorter than a window are one window of
-their own length; items with fewer than LITERALS plain words in every window can't be found; repeated rows and ids are joined as they are and reported once for each (doc_id, item_id).
+their own length; items with fewer than LITERALS plain words in every window are found in their own words
+only; repeated rows and ids are joined as they are and reported once for each (doc_id, item_id).
 """
 
 from __future__ import annotations
@@ -84,7 +87,7 @@ class View:
 
 
 def _views(texts: list[str]) -> list[View]:
-    """PLAIN of some texts."""
+    """PLAIN and EXACT of some texts."""
     buf, starts = buffer_of(texts)
     two = np.zeros(len(buf), bool)  # second bytes of two-byte capitals of the Latin-1 supplement
     if len(buf) > 1:
@@ -105,9 +108,11 @@ def _views(texts: list[str]) -> list[View]:
     if len(a) > 1:
         after_number[1:] = (kind[:-1] == _NUMBER) & ~begins[1:]
     kind = np.where(after_number & in_list(_UNIT_HASHES), _UNIT, kind)
+    index = _places(text, np.ones(len(a), bool))
+    exact = View(text, h, np.zeros(len(a), U), np.full(len(a), _LITERAL), index)
     plain_first = ~_joins(kind, begins)
     place = _places(text, plain_first)
-    return [_view(text, h, kind, begins, place)]
+    return [_view(text, h, kind, begins, place), exact]
 
 
 def _joins(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:

@@ -130,6 +130,11 @@ def test_templates_split_passages_and_conflicts(spark):
     assert found_by(spark, item, item.replace("30 friends", "31 friends")) == [0]
 
 
+@pytest.mark.parametrize("item", ["What is 12 plus 7?", "Compute 12 + 7 * 3.", "Who wrote War and Peace?", "The Old Man And His Very Long Journey To London", "WHO WAS THE FIRST KING OF ALL ENGLAND", "What"])
+def test_templates_find_any_item_in_its_own_words(spark, item):
+    assert found_by(spark, item, f"Some text - {item} More text.", "some text " + item.lower(), "What else is 12 for", "no such thing") == ([0, 1, 2] if item == "What" else [0, 1])
+
+
 def test_licences(spark, odd):
     mit = "The MIT License (MIT)\n\nCopyright (c) 2019 Jane Doe\n\n" + licences.KNOWN["MIT"].upper().replace("LICENSE", "LICENCE").replace('"', "“")
     docs = spark.createDataFrame([(1, mit), (2, mit + " and more"), (3, "")], "doc_id long, text string")
