@@ -2,10 +2,11 @@
 
 A text becomes a sequence of template tokens: numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders that keep their value as a slot; other words stay, in
-lower case. Neighbouring numbers, or names, are one. That is the view PLAIN of a text; in
-another one, EXACT, every word stays, numbers and names too, so any item can be found as it is.
+lower case. Neighbouring numbers, or names, are one. A capitalised word that begins a sentence may be a name
+or not, so there are two views of a text: PLAIN, where it is a word, and NAMED, where it is a name. In a
+third view, EXACT, every word stays, numbers and names too, so any item can be found as it is.
 
-Windows of WINDOW tokens (in PLAIN those with enough plain words) are hash-joined between
+Windows of WINDOW tokens (in PLAIN and NAMED those with enough plain words) are hash-joined between
 documents and benchmark items. Alignments whose shifts are apart by no more than the item's length are
 added up, so that words put in or left out don't part a passage. Each value of the item stands for one
 value in the document, and windows in which it stands for several are no match. A document is contaminated by an
@@ -61,7 +62,7 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
 _TYPE = mix(np.arange(1, 5, dtype=U) * U(0x9E3779B97F4A7C15))
-_PLAIN, _EXACT = range(2)
+_PLAIN, _NAMED, _EXACT = range(3)
 #: Windows of EXACT have hashes of their own.
 _EXACT_ROLE = 1 << 32
 
@@ -87,7 +88,7 @@ class View:
 
 
 def _views(texts: list[str]) -> list[View]:
-    """PLAIN and EXACT of some texts."""
+    """PLAIN, NAMED and EXACT of some texts."""
     buf, starts = buffer_of(texts)
     two = np.zeros(len(buf), bool)  # second bytes of two-byte capitals of the Latin-1 supplement
     if len(buf) > 1:
@@ -108,11 +109,12 @@ def _views(texts: list[str]) -> list[View]:
     if len(a) > 1:
         after_number[1:] = (kind[:-1] == _NUMBER) & ~begins[1:]
     kind = np.where(after_number & in_list(_UNIT_HASHES), _UNIT, kind)
+    initial = (kind == _LITERAL) & capital & begins
     index = _places(text, np.ones(len(a), bool))
     exact = View(text, h, np.zeros(len(a), U), np.full(len(a), _LITERAL), index)
     plain_first = ~_joins(kind, begins)
     place = _places(text, plain_first)
-    return [_view(text, h, kind, begins, place), exact]
+    return [_view(text, h, kind, begins, place), _view(text, h, np.where(initial, _NAME, kind), begins, place), exact]
 
 
 def _joins(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -171,6 +173,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 at, h = _windows(view, width, v == _EXACT) if width >= (1 if v == _EXACT else LITERALS) else _windows(view, len(view.token) + 1, False)
                 found.append((view, width, at, h, view.place[at]))
             parts = [(v, v, *found[v][:4], np.arange(len(found[v][2]))) for v in range(len(views))]
+            view, width, at, h, place = found[_PLAIN]  # a window of NAMED is matched as well by the one of PLAIN at its place
+            named = found[_NAMED][4]
+            no = np.searchsorted(named, place)
+            same = no < len(named)
+            same[same] = named[no[same]] == place[same]
+            parts.append((_NAMED, _PLAIN, view, width, at[same], h[same], no[same]))
             for v, source, view, width, at, h, no in parts:
                 n = len(at)
                 if n:

@@ -135,6 +135,14 @@ def test_templates_find_any_item_in_its_own_words(spark, item):
     assert found_by(spark, item, f"Some text - {item} More text.", "some text " + item.lower(), "What else is 12 for", "no such thing") == ([0, 1, 2] if item == "What" else [0, 1])
 
 
+def test_templates_take_names_that_begin_sentences(spark):
+    item = "Tom has 3 apples and buys 5 more. Tom gives 2 apples to Anna. How many apples has Tom now?"
+    other = item.replace("Tom", "Peter").replace("Anna", "Maria").replace("3", "7")
+    question = "What is the sum of all even numbers under 50?"
+    assert found_by(spark, item, other, "Tom has a house and Anna has none. How many people live there now?") == [0]
+    assert found_by(spark, question, "Question - " + question.replace("50", "90")) == [0]
+
+
 def test_licences(spark, odd):
     mit = "The MIT License (MIT)\n\nCopyright (c) 2019 Jane Doe\n\n" + licences.KNOWN["MIT"].upper().replace("LICENSE", "LICENCE").replace('"', "“")
     docs = spark.createDataFrame([(1, mit), (2, mit + " and more"), (3, "")], "doc_id long, text string")
