@@ -4,6 +4,7 @@ Markup is stripped to lines (one for each block-level piece of text), each line
 lengths are summed over sliding windows of lines, and the text between a surge of that sum and the
 next dive is kept. Lines of menus, forms, notices and the like, known by their element, role, class
 or id, and lines that are mostly links count as empty, so they end a block of text and are never kept.
+Article and main elements are blocks of their own, and count double where found blocks are chosen.
 
 Defined cases: a null or empty page has the empty text; unclosed elements end with their parent;
 a comment, script or style that is never closed runs to the end of the page.
@@ -165,35 +166,35 @@ def main_text(page: str | None, params: Params = Params()) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    within = any(article and not apart for _, _, apart, article in lines)
-    weight = [
-        0 if apart or (within and not article) or (not article and linked > params.links * len(text)) else len(text)
-        for text, linked, apart, article in lines
-    ]
+    weight = [0 if apart or (not article and linked > params.links * len(text)) else len(text) for text, linked, apart, article in lines]
     n, k = len(lines), params.window
     total = [0] * (n + 1)
     for i, w in enumerate(weight):
         total[i + 1] = total[i] + w
     block = [total[min(n, i + k)] - total[i] for i in range(n)]
-    surge = 1 if within or not n else max(1, min(params.surge, max(block) // 4))
-    pieces = []
+    surge = max(1, min(params.surge, max(block, default=0) // 4))
+    pieces = []  # (first line, line after the last, in an article or main element)
     i = 0
     while i < n:
-        if block[i] < surge:
+        article = lines[i][3]
+        if block[i] < (1 if article else surge):
             i += 1
             continue
         first = i
-        while i < n and block[i] > 0:  # the dive: a whole window without text
+        while i < n and block[i] > 0 and (lines[i][3] == article or not weight[i]):  # the dive: a whole window without text
             i += 1
-        pieces.append((first, i))
-    most = max((total[b] - total[a] for a, b in pieces), default=0)
-    return " ".join(
-        lines[j][0]
-        for a, b in pieces
-        if within or total[b] - total[a] >= params.share * most
-        for j in range(a, b)
-        if weight[j] or (not lines[j][2] and not within and a < j < b - 1 and weight[j - 1] and weight[j + 1])
-    )
+        pieces.append((first, i, article))
+    size = lambda piece: total[piece[1]] - total[piece[0]]
+    inside = sum(size(p) for p in pieces if p[2])
+    if inside and 2 * inside >= max((size(p) for p in pieces if not p[2]), default=0):
+        return " ".join(lines[j][0] for a, b, article in pieces if article for j in range(a, b) if weight[j] and lines[j][3])
+    most = max(map(size, pieces), default=0)
+    kept = set()
+    for piece in pieces:
+        if size(piece) >= params.share * most:
+            a, b, _ = piece
+            kept.update(j for j in range(a, b) if weight[j] or (not lines[j][2] and a < j < b - 1 and weight[j - 1] and weight[j + 1]))
+    return " ".join(lines[j][0] for j in sorted(kept))
 
 
 def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:

@@ -44,6 +44,13 @@ def test_html():
     assert [html_blocks.main_text(x) for x in (None, "", "<p>x", "<script>never closed", "a < b")] == ["", "", "x", "", "a < b"]
 
 
+def test_html_article_elements_are_weighed():
+    story = "This is the story of the page, told in some words that go on for a while. " * 5
+    card = "<article><h3>Another story</h3></article>"
+    assert html_blocks.main_text(f"<body><div><p>{story}</p><p>{story}</p></div>{card}</body>").split() == (story * 2).split()
+    assert html_blocks.main_text(f"<body><article><p>{story}</p></article><div>A line without.</div></body>").split() == story.split()
+
+
 def test_archives_round_trip_and_lookup(spark):
     pages = spark.createDataFrame([(3, "http://B.org/x", "same"), (1, "https://a.b.org/y?q=1", "same"), (2, "http://B.org/x", None), (7, None, ""), (9, "http://c.org/é ü", "ä" * 5000)], "page_id long, url string, html string")
     directory = warc.build_index(warc.write_archives(pages), block_lines=2)
