@@ -5,9 +5,11 @@ lengths are summed over sliding windows of lines, and the text between a surge o
 next dive is kept. Lines of menus, forms, notices and the like, known by their element, role, class
 or id, and lines that are mostly links count as empty, so they end a block of text and are never kept.
 Article and main elements are blocks of their own, and count double where found blocks are chosen.
+What stands in the container of the longest block's text belongs to it, whatever lies between.
 
 Defined cases: a null or empty page has the empty text; unclosed elements end with their parent;
-a comment, script or style that is never closed runs to the end of the page.
+a comment, script or style that is never closed runs to the end of the page; where all text is in
+elements that their class or id sets apart, the outermost of these are taken for wrappers.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 @dataclass(frozen=True)
 class Params:
-    """window: lines in a block; surge: characters in a block where text begins (outside article or main elements); share: part of the longest piece that another piece needs to be kept; links: part of a line in links from which it is a menu line."""
+    """window: lines in a block; surge: characters in a block where text begins (outside article or main elements); share: part of the longest piece that a piece in another container needs to be kept; links: part of a line in links from which it is a menu line."""
 
     window: int = 3
     surge: int = 86
@@ -51,8 +53,8 @@ class Params:
     links: float = 0.5
 
 
-def _apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds no article text; ``inside``: it is within an article or main element."""
+def _apart(tag: str, attributes: str, inside: bool, words: bool = True) -> bool:
+    """Whether an element holds no article text; ``inside``: it is within an article or main element; ``words``: words of its class or id count."""
     if tag in APART or (tag == "header" and not inside):
         return True
     if not attributes or attributes.isspace():
@@ -61,7 +63,7 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") and any(w.lower() in APART_WORDS for w in _WORD.findall(value)):
+            if words and tag not in ("body", "html", "article", "main") and any(w.lower() in APART_WORDS for w in _WORD.findall(value)):
                 return True
         elif name == "role":
             if value.strip().lower() in APART_ROLES:
@@ -71,13 +73,15 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, apart, in an article or main element) for each line of a page, empty ones left out; an apart stretch leaves one line for each of its own."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str, unwrap: bool = False) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
+    """(text, characters in links, apart, in an article or main element, numbers of the open elements) for each line of a page, empty ones left out; an apart stretch leaves one line for each of its own. The whole page is 0; ``unwrap``: the outermost elements that class or id sets apart are not apart."""
+    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements that hold blocks or are apart
-    apart = links = article = 0
+    numbers: list[int] = []  # of the elements in the stack
+    apart = links = article = opened = 0
+    wrapper: int | None = None  # place in the stack of an element that is not taken as apart
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -85,16 +89,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, apart > 0, article > 0))
+                out.append((text, linked, apart > 0, article > 0, (0, *numbers)))
             parts.clear()
         linked = 0
 
     def close_to(depth: int) -> None:
-        nonlocal apart, article
+        nonlocal apart, article, wrapper
         while len(stack) > depth:
             tag, was = stack.pop()
+            numbers.pop()
             apart -= was
             article -= tag in ("article", "main")
+        if wrapper is not None and depth <= wrapper:
+            wrapper = None
+
+    def push(tag: str, was: bool) -> None:
+        nonlocal opened
+        opened += 1
+        stack.append((tag, was))
+        numbers.append(0 if tag in ("html", "body") else opened)
 
     while at < end:
         m = _MARKUP.search(page, at)
@@ -140,6 +153,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
             continue
         is_apart = _apart(tag, attributes, article > 0)
+        unwraps = unwrap and is_apart and wrapper is None and not apart and not _apart(tag, attributes, article > 0, False)
+        is_apart = is_apart and not unwraps
         if tag in BLOCK:
             if tag in ("article", "main") and apart and not any(t in APART for t, was in stack if was):
                 close_to(next(i for i, (_, was) in enumerate(stack) if was))  # a notice that was never closed
@@ -150,12 +165,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                         break
                     if stack[depth][0] in ("ul", "ol", "table", "dl", "div", "section", "article", "main", "select"):
                         break
-            stack.append((tag, is_apart))
+            if unwraps:
+                wrapper = len(stack)
+            push(tag, is_apart)
             apart += is_apart
             article += tag in ("article", "main")
         elif is_apart:
             flush()
-            stack.append((tag, True))
+            push(tag, True)
             apart += 1
     flush()
     return out
@@ -166,7 +183,9 @@ def main_text(page: str | None, params: Params = Params()) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    weight = [0 if apart or (not article and linked > params.links * len(text)) else len(text) for text, linked, apart, article in lines]
+    if all(apart for _, _, apart, _, _ in lines):
+        lines = lines_of(page, unwrap=True)
+    weight = [0 if apart or (not article and linked > params.links * len(text)) else len(text) for text, linked, apart, article, _ in lines]
     n, k = len(lines), params.window
     total = [0] * (n + 1)
     for i, w in enumerate(weight):
@@ -188,15 +207,25 @@ def main_text(page: str | None, params: Params = Params()) -> str:
     inside = sum(size(p) for p in pieces if p[2])
     if inside and 2 * inside >= max((size(p) for p in pieces if not p[2]), default=0):
         return " ".join(lines[j][0] for a, b, article in pieces if article for j in range(a, b) if weight[j] and lines[j][3])
-    most = max(map(size, pieces), default=0)
-    kept = set()
+    longest = max(pieces, key=size, default=(0, 0, False))
+    held: dict[int, int] = {}
+    for j in range(longest[0], longest[1]):
+        parent = _parent(lines[j][4])
+        held[parent] = held.get(parent, 0) + weight[j]
+    home = max(held, key=held.get, default=0)
+    kept = {j for j in range(n) if weight[j] and (home in lines[j][4] if home else not _parent(lines[j][4]))}
     for piece in pieces:
-        if size(piece) >= params.share * most:
+        if size(piece) >= params.share * size(longest):
             a, b, _ = piece
             kept.update(j for j in range(a, b) if weight[j] or (not lines[j][2] and a < j < b - 1 and weight[j - 1] and weight[j + 1]))
     return " ".join(lines[j][0] for j in sorted(kept))
 
 
+def _parent(path: tuple[int, ...]) -> int:
+    """The element that holds the element of a line."""
+    return path[-2] if len(path) > 1 else 0
+
+
 def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """page_id, url, text, n_chars for every page; repeated rows stay, other columns are not read."""
 

@@ -51,6 +51,14 @@ def test_html_article_elements_are_weighed():
     assert html_blocks.main_text(f"<body><article><p>{story}</p></article><div>A line without.</div></body>").split() == story.split()
 
 
+def test_html_keeps_all_text_of_a_container():
+    long, end = "Many words of a long paragraph. " * 60, "The last words of it. " * 9
+    advert = "<div class=ad><p>Buy</p><p>it</p><p>now</p><p>here</p></div>"
+    assert html_blocks.main_text(f"<body><div><p>{long}</p>{advert}<p>{end}</p>{advert}<p>Short end.</p></div></body>").split() == (long + end + "Short end.").split()
+    assert html_blocks.main_text(f'<body><div class="layout has-sidebar"><p>{long}</p>{advert}</div></body>').split() == long.split()
+    assert html_blocks.main_text("<body><div class=menu><p>Menu</p></div><p>Text.</p></body>") == "Text."
+
+
 def test_archives_round_trip_and_lookup(spark):
     pages = spark.createDataFrame([(3, "http://B.org/x", "same"), (1, "https://a.b.org/y?q=1", "same"), (2, "http://B.org/x", None), (7, None, ""), (9, "http://c.org/é ü", "ä" * 5000)], "page_id long, url string, html string")
     directory = warc.build_index(warc.write_archives(pages), block_lines=2)
