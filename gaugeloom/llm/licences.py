@@ -51,19 +51,28 @@ KNOWN = {
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
-#: (pattern, replacement, strings without all of which it can't match; none: it may always), in this order, on lower-cased text; in the syntax that Java and RE2 share.
+#: A line that gives a notice: copyright and something else than words that follow it within a sentence.
+_COPYRIGHT = r"(?m)^[ \t*#/;-]*(portions )?(copyright\b(?![ \t]*\r?$|[ \t]+(notice|holder|owner|law|statement|licen[cs]e)s?\b|[ \t]+(and|or|in|to|of)\b)|\(c\))[^\n]*$"
+#: (pattern, replacement, strings without all of which it can't match; none: it may always), in this order, on lower-cased text.
 STEPS = (
     ("[‘’‛´]", "'", ("‘", "’", "‛", "´")), ("[“”„«»]", '"', ("“", "”", "„", "«", "»")), ("[‐‑‒–—]", "-", ("‐", "‑", "‒", "–", "—")), ("©", "(c)", ("©",)),
-    (r"(?m)^[ \t*#/;-]*(portions )?(copyright( \(c\))?|\(c\))[ :,]*[0-9 ,-]*[^\n]*$", " ", ("copyright", "(c)")),
+    (_COPYRIGHT, " ", ("copyright", "(c)")),
     (r"(?m)^[ \t*#/;-]*all rights reserved[.]?[ \t\r]*$", " ", ("all rights reserved",)),
     (r"(?m)^[ \t*#/;-]*the mit license( \(mit\))?[ \t\r]*$|^[ \t*#/;-]*mit license[ \t\r]*$|^[ \t*#/;-]*isc license[ \t\r]*$", " ", ("license",)),
     (r"https?://", " ", ("://",)), (r"(?m)^[ \t*#/;-]*(\(?[0-9a-h][.)]|[*-])[ \t]+", " ", ()),
-    (r"\b(license)(d|s|e|es)?\b", "licence$2", ("license",)), (r"\bsub[- ]?license\b", "sublicence", ("license",)),
+    (r"\bsub[- ]?licen[cs]e\b", "sublicence", ("license", "licence")), (r"\b(license)(d|s|e|es)?\b", "licence$2", ("license",)),
     (r"\b(fav|col|hon|lab)or\b", "$1our", ("favor", "color", "honor", "labor")), (r"\backnowledgment\b", "acknowledgement", ("acknowledgment",)),
     (r"\bnon[- ]?infringement\b", "noninfringement", ("infringement",)), (r"\bcopyright (owner|holder)\b", "copyright holder", ("copyright ",)),
     (r"\b(authors?|contributors?)\(s\)", "$1", ("(s)",)), (r"\bper cent\b", "percent", ("per cent",)), ("[^a-z0-9\u0080-\U0010ffff]+", " ", ()),
 )
 
+#: The SQL keeps the patterns it was given, in the syntax that Java and RE2 share. It is right for texts in which no line within a sentence begins with copyright, and none has "sub-license".
+_SQL_PATTERNS = {
+    _COPYRIGHT: r"(?m)^[ \t*#/;-]*(portions )?(copyright( \(c\))?|\(c\))[ :,]*[0-9 ,-]*[^\n]*$",
+    r"\bsub[- ]?licen[cs]e\b": r"\b(license)(d|s|e|es)?\b", r"\b(license)(d|s|e|es)?\b": r"\bsub[- ]?license\b",
+}
+_SQL_REPLACEMENTS = {r"\bsub[- ]?licen[cs]e\b": "licence$2", r"\b(license)(d|s|e|es)?\b": "sublicence"}
+
 
 def _step(form: Column, pattern: str, replacement: str, needs: tuple[str, ...]) -> Column:
     done = F.regexp_replace(form, pattern, replacement)
@@ -103,12 +112,13 @@ def scan(documents: DataFrame, known: dict[str, str] | None = None) -> DataFrame
 
 
 def oracle_sql(known: dict[str, str] | None = None) -> str:
-    """The same scan in DuckDB's SQL, over the view ``documents``."""
+    """The scan in DuckDB's SQL, over the view ``documents``, with the patterns told at _SQL_PATTERNS."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(column: str) -> str:
         out = f"lower(coalesce({column}, ''))"
         for pattern, replacement, _ in STEPS:
+            pattern, replacement = _SQL_PATTERNS.get(pattern, pattern), _SQL_REPLACEMENTS.get(pattern, replacement)
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(replacement.replace('$', chr(92)))}, 'g')"
         return f"trim({out}, ' ')"
 

@@ -165,6 +165,16 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == len(ODD)
 
 
+def test_licences_wrapped_before_copyright(spark):
+    isc = licences.KNOWN["ISC"].replace("above copyright", "above\n * copyright")
+    bsd = licences.KNOWN["BSD-3-Clause"].replace("above copyright", "above\n   copyright").replace("the copyright holder", "the\n copyright holder").replace("THE COPYRIGHT", "THE\n# COPYRIGHT")
+    mit = licences.KNOWN["MIT"].replace("sublicense", "sub-license")
+    notices = ["Copyright (c) 2019 Jane Doe", "Copyright 2001-2004, The Authors", "* Copyright: Jane Doe", "Copyright Jane Doe <j@example.org>", "(c) Jane Doe", "Portions copyright Jane Doe"]
+    texts = [isc, bsd, mit, isc.replace("above\n * copyright notice", "above\n * copyright\n * notice"), *(n + "\n" + isc for n in notices)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.licence for r in licences.scan(docs).orderBy("doc_id").collect()] == ["ISC", "BSD-3-Clause", "MIT"] + ["ISC"] * 7
+
+
 def brute(rows, k, percent):
     word, sets = re.compile(r"[^\x20\x09-\x0D]+"), {}
     for i, t in rows:
