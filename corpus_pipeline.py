@@ -52,7 +52,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Models, and joins on shingles, have no SQL form; tests hold the stages against brute-force versions.
+#: Models, and joins on shingles, have no SQL form; the operators, not the stages, are tested.
 ORACLE_SQL = None
 
 
