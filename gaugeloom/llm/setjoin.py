@@ -17,10 +17,11 @@ Signatures are shuffled as packed arrays (six bytes a signature and one head for
 class in a hash bucket), and a task streams over its buckets and passes on only signatures that two classes
 share; what it holds is one entry a distinct signature of a hash bucket, however many classes share it.
 
-Candidates are not paired within a bucket. Each bucket has a pivot that its members are verified against;
-members that a link joins to the pivot's component are settled, and buckets that still hold several components
-go on with other pivots, until all pairs across components have been tried. So links that could join
-components are never lost, and a bucket of n copies costs n verifications. Verification is exact.
+Candidates are not paired within a bucket. Each bucket has a pivot that its members are verified against, and
+members that a link joins to the pivot's component are settled. Sets of buckets that still hold several components
+are encoded by how they differ from the centre of their group, and indexed anew under rare differences.
+Buckets of that index have PIVOTS pivots at a time, and go on until one component or no unmet pair is left.
+So links that could join components are never lost. Verification is exact.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; a null doc_id takes part
 in nothing and has a null component; repeated ids are joined like any other rows; ties go to the smaller id.
@@ -39,12 +40,15 @@ from pyspark.sql.window import Window
 
 from .bytehash import mix, shingles
 from .components import components
-from .shared import map_batches, size_chunks, texts_of, written
-from .skew import lookup_join
+from .shared import batch_bytes, dropped, map_batches, size_chunks, texts_of, written
 
 U = np.uint64
-#: Most rounds of pivots; each has four times as many pivots a bucket as the one before.
-_ROUNDS = 40
+#: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
+PIVOTS = 16
+#: Bytes that a task sends to Python at once, and signatures that it gathers before it passes them on.
+BATCH, FLUSH = "8m", 400_000
+#: Documents are found by a broadcast of at most so many ids (16 bytes each), else by a shuffle.
+BROADCAST_IDS = 200_000
 #: How much wider each band of w is than the one before.
 _STEP = 1.5
 
@@ -140,24 +144,45 @@ def common_shingles(documents: DataFrame, k: int, sample: int = 2000, share: flo
     return np.sort(np.array(found, np.int64).view(U))
 
 
-def sets_of(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the set's 128-bit digest (d1, d2) of every row."""
+def sets_of(documents: DataFrame, k: int, id_bits: int = 63) -> DataFrame:
+    """doc_id, n_shingles and the set's 126-bit digest (d1, d2) of every row; ``id_bits``: of d1."""
 
     def batch(rows: pa.RecordBatch) -> dict:
         texts = texts_of(rows.column("text"))
         n, digest = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2), np.int64)
         for i, j in size_chunks([len(t) for t in texts]):
             for r, found in enumerate(shingles(texts[i:j], k), i):
-                n[r], digest[r] = len(found), _digest(found)
+                n[r], digest[r] = len(found), _digest(found, id_bits)
         return {"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1])}
 
     return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _digest(found: np.ndarray) -> tuple[np.int64, np.int64]:
-    """128 bits of a set; the lowest of the first 64 is 0, since it marks probes in packed signatures."""
-    both = mix(np.array([mix(found).sum(), mix(found ^ U(0xA5A5A5A5A5A5A5A5)).sum()], U) + U(len(found))).view(np.int64)
-    return both[0] & np.int64(-2), both[1]
+def _digest(found: np.ndarray, id_bits: int = 63) -> tuple[int, int]:
+    """Two numbers of a set, even since the lowest bit marks probes in packed signatures; the first of ``id_bits`` bits."""
+    both = mix(np.array([mix(found).sum(), mix(found ^ U(0xA5A5A5A5A5A5A5A5)).sum()], U) + U(len(found)))
+    return int((both[:1] >> U(64 - id_bits) << U(1)).view(np.int64)[0]), int((both[1:] & ~U(1)).view(np.int64)[0])
+
+
+class Names:
+    """The name of a class in the graph: d1, and d2 for the few classes whose d1 is that of another class too."""
+
+    def __init__(self, classes: DataFrame):
+        # of n classes about n * n / 2^64 are such: a handful at 10^10
+        self.shared = [r["d1"] for r in classes.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1").collect()]
+
+    def column(self):
+        return F.when(F.col("d1").isin(self.shared), F.col("d2")).otherwise(F.col("d1")) if self.shared else F.col("d1")
+
+    def function(self, id_bits: int):
+        """From a set (hashes) to its name, for use in tasks."""
+        shared = frozenset(self.shared)
+
+        def name(found: np.ndarray) -> int:
+            d1, d2 = _digest(found, id_bits)
+            return d2 if d1 in shared else d1
+
+        return name
 
 
 def _packed(sigs: np.ndarray, heads: np.ndarray, counts: np.ndarray, buckets: int):
@@ -203,8 +228,8 @@ class _Shared:
         return result
 
 
-def _buckets(documents: DataFrame, k: int, percent: int, spread: int = 4) -> DataFrame:
-    """(sig, ent, probe) of the signatures that classes share: ent is d1 of a class's set. A task emits a set once, however many copies it reads.
+def _buckets(documents: DataFrame, k: int, percent: int, name, spread: int = 4) -> DataFrame:
+    """(sig, ent, probe) of the signatures that classes share, some more than once: ent is the ``name`` of a class's set. A task emits a set once, however many copies it reads.
 
     ``spread``: hash buckets for each shuffle partition; more of them hold less memory at a time.
     """
@@ -229,11 +254,12 @@ def _buckets(documents: DataFrame, k: int, percent: int, spread: int = 4) -> Dat
                 for found in shingles(texts[i:j], k):
                     if not len(found):
                         continue
-                    ent = int(_digest(found)[0])
+                    ent = name(found)
                     if ent in seen:
                         continue
-                    if len(seen) < 500_000:
-                        seen.add(ent)
+                    if len(seen) >= 250_000:  # a class that is met again is emitted again, which does no harm
+                        seen.clear()
+                    seen.add(ent)
                     band = scheme.band(len(found))
                     for b, probe in ((band, 0), (band - 1, 1)):
                         own = signatures(found, b, scheme, not probe, common.value) if b >= 0 else ()
@@ -242,8 +268,8 @@ def _buckets(documents: DataFrame, k: int, percent: int, spread: int = 4) -> Dat
                             heads.append(ent | probe)
                             counts.append(len(own))
                             total += len(own)
-                if total > 1_500_000:
-                    yield flush()
+                    if total > FLUSH:
+                        yield flush()
         if total:
             yield flush()
 
@@ -271,7 +297,7 @@ def _buckets(documents: DataFrame, k: int, percent: int, spread: int = 4) -> Dat
                 # the bucket makes up for bits that are left out
                 waiting.append((sig.view(U).reshape(-1) | U(which % 65536) << U(48), np.repeat(heads, counts)))
                 size += len(sig)
-                if size > 1_000_000:
+                if size > FLUSH:
                     yield rows()
         if waiting:
             yield rows()
@@ -280,52 +306,91 @@ def _buckets(documents: DataFrame, k: int, percent: int, spread: int = 4) -> Dat
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "sig long, ent long, probe boolean")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. The pivot's side, which may be very uneven, is joined last."""
-    left = pairs.join(sets.select(F.col("ent").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = left.join(sets.select(F.col("ent").alias("a"), F.col("hashes").alias("ha")), "a")
+def _pairs(pairs: DataFrame, sets: DataFrame, values: list[str], similar) -> DataFrame:
+    """The pairs (a, b) for which ``similar`` holds; it gets two tuples of ``values``, of which the last are arrays of hashes. The joins may be uneven, and Spark can split them."""
+    side = lambda end: sets.select(F.col("ent").alias(end), *(F.col(v).alias(f"{v}_{end}") for v in values))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def batch(rows: pa.RecordBatch) -> dict:
-        keep = np.zeros(rows.num_rows, bool)
-        for i, (x, y) in enumerate(zip(rows.column("ha"), rows.column("hb"))):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                inter = int((y[at] == x).sum())
-                keep[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
-        mask = pa.array(keep)
+        of = lambda end: zip(*([np.frombuffer(x.as_buffer(), U) for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in (rows.column(f"{v}_{end}") for v in values)))
+        mask = pa.array([similar(x, y) for x, y in zip(of("a"), of("b"))], pa.bool_())
         return {"a": rows.column("a").filter(mask), "b": rows.column("b").filter(mask)}
 
-    return map_batches(both.select("a", "b", "ha", "hb"), batch, "a long, b long")
+    return map_batches(both.select("a", "b", *(f"{v}_{end}" for end in "ab" for v in values)), batch, "a long, b long")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
 
-def _hashes(documents: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(ent, hashes): the sorted shingles of one document of each class in ``reps`` (ent, rep)."""
+def _similar_sets(percent: int):
+    def similar(x, y) -> bool:
+        (x,), (y,) = x, y
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        inter = _common(x, y)
+        return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+    return similar
+
+
+def _similar_differences(percent: int):
+    def similar(x, y) -> bool:
+        (w, d), (v, e) = x, y
+        need = w + v
+        return need <= 0 or (need <= 2 * (100 + percent) * min(len(d), len(e)) and need <= 2 * (100 + percent) * _common(np.sort(d), np.sort(e)))
+
+    return similar
+
+
+def _hashes(documents: DataFrame, reps: DataFrame, k: int, name) -> DataFrame:
+    """(ent, hashes), written: the sorted shingles of each class in ``reps`` (ent, rep), by the text of its smallest id."""
 
     def batch(rows: pa.RecordBatch):
-        texts = texts_of(rows.column("text"))
-        for i, j in size_chunks([len(t) for t in texts], 4 << 20):
-            yield {"ent": rows.column("ent").slice(i, j - i), "hashes": pa.array([h.tobytes() for h in shingles(texts[i:j], k)], pa.binary())}
+        texts, ents = texts_of(rows.column("text")), rows.column("ent").to_pylist()
+        for i, j in size_chunks([len(t) for t in texts]):
+            found = [(ent, h.tobytes()) for ent, h in zip(ents[i:j], shingles(texts[i:j], k)) if len(h) and name(h) == ent]  # an id may have several texts
+            yield {"ent": pa.array([x for x, _ in found], pa.int64()), "hashes": pa.array([x for _, x in found], pa.binary())}
+
+    n = reps.count()
+    docs = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if n <= BROADCAST_IDS else reps, "rep")
+    out = written(map_batches(docs.select("ent", "text"), batch, "ent long, hashes binary"), "hashes")
+    return out if out.count() == n else written(out.dropDuplicates(["ent"]), "hashes")  # rows were repeated
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep").dropDuplicates(["ent"])
-    return map_batches(chosen.select("ent", "text"), batch, "ent long, hashes binary")
 
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds the root of each ent, itself where it has no link."""
+    if roots is None:
+        return rows.withColumn("root", F.col("ent"))
+    return rows.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
 
-def _still_open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows (sig, ent, probe) of buckets that hold several components and not only probes, with root and rank in the bucket."""
-    by_sig = Window.partitionBy("sig")
+
+def _linked(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components ``roots`` (node, root) after new ``links`` (a, b); known components stand for the links that made them."""
     if roots is not None:
-        named = rows.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
-    else:
-        named = rows.withColumn("root", F.lit(None).cast("long"))
-    named = named.withColumn("root", F.coalesce("root", "ent")).withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig))
-    ranked = named.filter("lo <> hi").withColumn("rank", F.row_number().over(by_sig.orderBy("probe", "ent"))).withColumn("only_probes", F.min(F.col("probe").cast("int")).over(by_sig))
-    return written(ranked.filter("only_probes = 0").select("sig", "ent", "probe", "root", "rank"), "open")
+        links = links.unionByName(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    out = written(components(links), "roots")
+    dropped(roots)
+    return out
+
+
+def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(ent, g), written: classes that share, directly or in a chain, a bucket (without its pivot, which has met all) with several components and a class that isn't a probe."""
+    rows = _rooted(buckets.filter("ent <> pivot"), roots)
+    state = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("ent").alias("head"), F.max((~F.col("probe")).cast("int")).alias("asks"))
+    star = rows.select("sig", "ent").join(state.filter("lo <> hi and asks = 1"), "sig").filter("ent <> head")
+    return written(components(star.select(F.col("head").alias("a"), F.col("ent").alias("b"))).select(F.col("node").alias("ent"), F.col("root").alias("g")), "groups")
 
 
 def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int = 1000) -> DataFrame:
-    """(ent, g, w, n, diff) of ``members`` (ent, g, hashes): how each set differs from the centre of its group.
+    """(ent, g, w, n, diff), written, of ``members`` (ent, g, hashes): how each set differs from the centre of its group, whose number of sets is in ``sizes`` (g, size).
 
     The centre holds the shingles of more than half of the group's sets. ``diff`` is ordered by how many sets of the
     group differ there, rare first; shingles of at most a quarter of the sets count as equally rare. ``w`` is
@@ -346,14 +411,13 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
             yield {"g": pa.array(which[new]), "shingle": pa.array(found[new].view(np.int64)), "have": pa.array(np.diff(new, append=len(found)))}
 
     have = map_batches(members.select("g", "hashes"), counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
-    often = lookup_join(have, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"], stored=True).filter("4 * have > size")
+    often = have.join(sizes, "g").filter("4 * have > size")
     centre = often.groupBy("g").agg(F.max("size").alias("size"), F.collect_list(F.struct("shingle", "have")).alias("often"))
     parts = F.ceil(F.col("size") / part).cast("int")
     heads = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    sized = lookup_join(members, sizes.select("g", F.col("size").alias("weight"), "size"), "g", "weight", ["size"], stored=True)
     none = F.lit(None)
     rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", F.col("often.shingle").alias("shingle"), F.col("often.have").alias("have"))
-    rows = rows.unionByName(sized.select("g", F.pmod(F.xxhash64("ent"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), "ent", "hashes", "size", none.cast("array<bigint>").alias("shingle"), none.cast("array<bigint>").alias("have")))
+    rows = rows.unionByName(members.join(sizes, "g").select("g", F.pmod(F.xxhash64("ent"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), "ent", "hashes", "size", none.cast("array<bigint>").alias("shingle"), none.cast("array<bigint>").alias("have")))
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
 
     def differ(batches):
@@ -385,43 +449,24 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
     return written(rows.mapInArrow(differ, "ent long, g long, w long, n long, diff binary"), "differences")
 
 
-def _linked(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """The components ``roots`` (node, root) after new ``links`` (a, b); known components stand for the links that made them."""
-    if links.isEmpty():
-        return roots
-    if roots is not None:
-        links = links.unionByName(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    return written(components(links), "roots")
-
-
-def _centred(open_rows: DataFrame, roots: DataFrame | None, hashes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Replaces open buckets (sig, ent, probe) by fewer candidates: (new rows, roots).
+def _centred(diffs: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The second index: (sig, ent, probe, root), and links to leaders (a, b); both written.
 
-    Sets that share an open bucket, directly or in a chain, form a group with a centre. Sets whose
-    differences to it are d and e differ by |d| + |e| - 2 |d and e|; so they are similar if w + w' <= 0, and otherwise
-    only if d and e share at least (w + w') / (2 (100 + percent)) shingles. The first kind is settled by the member of least w.
-    For the second, sets are cut into bands of w, and for each band of partners a set is indexed under the rarest shingles
-    of its difference, as many as leave too few for such an overlap. Members of the leader's component are only
-    probes, for partners outside it: links within it change nothing.
+    Sets whose differences to their group's centre are d and e differ by |d| + |e| - 2 |d and e|; so they are similar
+    if w + w' <= 0, and otherwise only if d and e share at least (w + w') / (2 (100 + percent)) shingles. The first
+    kind is settled by the member of least w, the leader. For the second, sets are cut into bands of w, and for each
+    band of partners a set is indexed under the rarest shingles of its difference, as many as leave too few for
+    such an overlap. Members of the leader's component are only probes, for partners outside it: links within it
+    change nothing.
     """
-    star = open_rows.select(F.min("ent").over(Window.partitionBy("sig")).alias("a"), F.col("ent").alias("b")).filter("a <> b").distinct()
-    groups = written(components(star).select(F.col("node").alias("ent"), F.col("root").alias("g")), "groups")
-    sizes = written(groups.groupBy("g").agg(F.count("*").alias("size")), "sizes")
-    diffs = _differences(groups.join(hashes, "ent"), sizes, percent)
-    weighted = sizes.select("g", F.col("size").alias("weight"))
-    least = diffs.groupBy("g").agg(F.min(F.struct("w", "ent")).alias("m")).select("g", F.col("m.w").alias("least"), F.col("m.ent").alias("lead"))
-    led = written(lookup_join(diffs.select("ent", "g", "w"), weighted.join(least, "g"), "g", "weight", ["least", "lead"]), "led")
-    roots = _linked(roots, led.filter("w + least <= 0 and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")))
-    named = led if roots is None else led.join(roots.select(F.col("node").alias("ent"), "root"), "ent", "left")
-    named = named.withColumn("root", F.coalesce(F.col("root") if roots is not None else F.lit(None).cast("long"), "ent"))
-    named = written(named, "named")
-    main = named.filter("ent = lead").select("g", F.col("root").alias("main"))
-    sided = lookup_join(named, weighted.join(main, "g"), "g", "weight", ["main"])
+    named = _rooted(diffs.select("ent", "g", "w"), roots)
+    least = named.groupBy("g").agg(F.min(F.struct("w", "ent", "root")).alias("m")).select("g", F.col("m.w").alias("least"), F.col("m.ent").alias("lead"), F.col("m.root").alias("main"))
     band = F.floor(F.log(1 + (F.col("w") - F.col("least")) / (100 + percent)) / math.log(_STEP)).cast("int")
-    sided = written(sided.select("ent", "g", "w", "least", (F.col("root") == F.col("main")).alias("probe"), band.alias("band")), "sided")
+    led = F.col("w") + F.col("least") <= 0
+    sided = named.join(written(least, "leaders"), "g").withColumn("probe", led | (F.col("root") == F.col("main")))
+    sided = written(sided.select("ent", "g", "w", "least", "lead", "probe", led.alias("led"), F.when(F.col("probe"), F.col("main")).otherwise(F.col("root")).alias("root"), band.alias("band")), "sided")
     bands = sided.groupBy("g").agg(F.collect_set("band").alias("every"), F.collect_set(F.when(~F.col("probe"), F.col("band"))).alias("other")).filter(F.size("other") > 0)
-    asked = lookup_join(sided, weighted.join(bands, "g"), "g", "weight", ["every", "other"]).filter("other is not null")
-    asked = asked.select("ent", "w", "least", "probe", "band", F.when(F.col("probe"), F.col("other")).otherwise(F.col("every")).alias("partners"))
+    asked = sided.join(bands, "g").select("ent", "w", "least", "probe", "root", "band", F.when(F.col("probe"), F.col("other")).otherwise(F.col("every")).alias("partners"))
     rows = diffs.select("ent", "g", "diff").join(asked, "ent")
 
     def batch(rows: pa.RecordBatch) -> dict:
@@ -438,62 +483,61 @@ def _centred(open_rows: DataFrame, roots: DataFrame | None, hashes: DataFrame, p
                     at.append(r)
         sig = np.concatenate(sigs) if sigs else np.zeros(0, U)
         at = pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in sigs]))
-        return {"sig": pa.array(sig.view(np.int64)), "ent": rows.column("ent").take(at), "probe": rows.column("probe").take(at)}
-
-    return map_batches(rows, batch, "sig long, ent long, probe boolean"), roots
-
-
-def similar_classes(documents: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """(node, root) over classes (d1) that are linked with another class, directly or not; None if none is."""
-    by_sig = Window.partitionBy("sig")
-    rows = _buckets(documents, k, percent)
-    pivot = F.min(F.when(~F.col("probe"), F.col("ent"))).over(by_sig)
-    rows = rows.withColumn("pivot", pivot).withColumn("other", F.max("ent").over(by_sig)).withColumn("least", F.min("ent").over(by_sig))
-    open_rows = written(rows.filter("pivot is not null and least <> other").select("sig", "ent", "probe", "pivot").distinct(), "buckets")
-    pairs = written(open_rows.filter("ent <> pivot").select(F.col("pivot").alias("a"), F.col("ent").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        return None
-    ents = open_rows.select("ent").distinct()
-    reps = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("d1").alias("ent")).agg(F.min("doc_id").alias("rep"))
-    hashes = written(_hashes(documents, reps.join(ents, "ent", "left_semi"), k), "hashes")
-    tried, roots, pivots = pairs, None, 1
-    for step in range(_ROUNDS):
-        roots = _linked(roots, written(_verified(pairs, hashes, percent), "links"))
-        # rows of buckets that hold several components, without the pivots that have met all others
-        open_rows = _still_open(open_rows.filter("pivot is null or ent <> pivot").select("sig", "ent", "probe"), roots)
-        if open_rows.isEmpty():
-            break
-        if step == 0:
-            rows, roots = _centred(open_rows, roots, hashes, percent)
-            open_rows = _still_open(rows, roots)
-            if open_rows.isEmpty():
-                break
-        heads = open_rows.filter((F.col("rank") <= pivots) & ~F.col("probe")).select("sig", F.col("ent").alias("a"), F.col("root").alias("ra"), F.col("rank").alias("at"))
-        candidates = open_rows.join(heads, "sig").filter("root <> ra and ent <> a and (probe or rank > at)")
-        candidates = candidates.select("a", F.col("ent").alias("b")).distinct()
-        met = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = written(candidates.join(met, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        keep = (F.col("rank") > pivots) | F.col("probe")
-        open_rows = open_rows.filter(keep).select("sig", "ent", "probe", F.lit(None).cast("long").alias("pivot"))
+        return {"sig": pa.array(sig.view(np.int64))} | {c: rows.column(c).take(at) for c in ("ent", "probe", "root")}
+
+    index = written(map_batches(rows, batch, "sig long, ent long, probe boolean, root long"), "index")
+    return index, sided.filter("led and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b"))
+
+
+def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: int, names: Names, id_bits: int = 63) -> DataFrame:
+    """(node, root) over ``classes`` (ent, rep) that are linked with another class, directly or not."""
+    name = names.function(id_bits)
+    raw = written(_buckets(documents, k, percent, name).distinct(), "shared")
+    pivots = raw.groupBy("sig").agg(F.min(F.when(~F.col("probe"), F.col("ent"))).alias("pivot"), F.min("ent").alias("least"), F.max("ent").alias("most"))
+    buckets = written(raw.join(pivots.filter("pivot is not null and least <> most").select("sig", "pivot"), "sig"), "buckets")
+    dropped(raw)
+    pairs = buckets.filter("ent <> pivot").select(F.greatest("pivot", "ent").alias("a"), F.least("pivot", "ent").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
+    reps = written(classes.join(met, "ent", "left_semi").select("ent", "rep"), "reps")
+    hashes = _hashes(documents, reps, k, name)
+    roots = _linked(None, _pairs(pairs, hashes, ["hashes"], _similar_sets(percent)))
+    dropped(pairs, reps)
+    groups = _groups(buckets, roots)
+    sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    diffs = _differences(groups.join(hashes, "ent"), sizes, percent)
+    dropped(buckets, hashes, groups, sizes)
+    rows, links = _centred(diffs, roots, percent)
+    tried, pivots = None, PIVOTS
+    while True:
+        state = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max((~F.col("probe")).cast("int")).alias("asks"))
+        live = written(rows.join(state.filter("lo <> hi and asks = 1").select("sig"), "sig"), "open")
+        dropped(rows)
+        if live.isEmpty():
+            return _linked(roots, links) if tried is None else roots
+        place = F.row_number().over(Window.partitionBy("sig").orderBy("ent"))
+        heads = written(live.filter("not probe").withColumn("place", place).filter(F.col("place") <= pivots).select("sig", F.col("ent").alias("a"), F.col("root").alias("ra")), "heads")
+        pairs = live.join(heads, "sig").filter("root <> ra").select(F.greatest("a", "ent").alias("a"), F.least("a", "ent").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _pairs(pairs, diffs, ["w", "diff"], _similar_differences(percent))
+        roots = _linked(roots, found if tried is not None else found.unionByName(links))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        rest = live.join(heads.select("sig", F.col("a").alias("ent")), ["sig", "ent"], "left_anti")  # pivots have met all others of their buckets
+        rows = _rooted(rest.drop("root"), roots)
         pivots *= 4
-    else:
-        raise RuntimeError("buckets are still open")
-    return roots
 
 
-def join_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard percent / 100 or more."""
-    sets = written(sets_of(documents, k), "sets")
-    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    roots = similar_classes(documents, sets, k, percent)
-    if roots is not None:
-        classes = classes.join(roots.select(F.col("node").alias("d1"), "root"), "d1", "left")
-        named = written(classes.withColumn("root", F.coalesce("root", "d1")), "classes")
-        firsts = named.groupBy("root").agg(F.min("rep").alias("first"))
-        classes = named.join(firsts, "root").select("d1", "d2", F.least("rep", "first").alias("first"))
-    else:
-        classes = classes.withColumnRenamed("rep", "first")
-    classes = written(classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "first"), "classes")
-    joined = sets.join(classes, (sets["d1"] == classes["c1"]) & (sets["d2"] == classes["c2"]) & (sets["n_shingles"] > 0), "left")
+def join_components(documents: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 63) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard percent / 100 or more. ``id_bits``: see sets_of; fewer bits only cost time."""
+    with batch_bytes(documents.sparkSession, BATCH):
+        sets = written(sets_of(documents, k, id_bits), "sets")
+        classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+        names = Names(classes)
+        classes = classes.withColumn("ent", names.column())
+        roots = similar_classes(documents, classes, k, percent, names, id_bits)
+        firsts = roots.join(classes, F.col("node") == F.col("ent")).groupBy("root").agg(F.min("rep").alias("first"))
+        firsts = roots.join(firsts, "root").select(F.col("node").alias("ent"), "first")
+        named = classes.join(firsts, "ent", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.least("rep", "first").alias("first"))
+        named = written(named, "named")
+    joined = sets.join(named, (sets["d1"] == named["c1"]) & (sets["d2"] == named["c2"]) & (sets["n_shingles"] > 0), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("first"))).otherwise(F.col("doc_id")).alias("component_id"))

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +17,18 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``. Only in local mode, where it may be unset, a temporary folder stands for it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gaugeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared root; it is removed when the driver ends."""
+    """A fresh folder below the shared root; it is removed when the driver ends, if nothing has dropped it before."""
     path = f"{shared_root(spark)}/gaugeloom/{name}-{uuid.uuid4().hex}"
     atexit.register(drop_folder, spark, path)
     return path
@@ -45,7 +48,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it again: the lineage is cut, and lost executors lose nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def dropped(*stored: DataFrame | None) -> None:
+    """Delete the folders of DataFrames from ``written`` that nothing reads any more."""
+    for df in stored:
+        if df is not None and "_folder" in df.__dict__:
+            drop_folder(df.sparkSession, df._folder)
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, size: str):
+    """Within it, steps that are carried out send at most about ``size`` bytes at once to Python, whatever the length of the rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
