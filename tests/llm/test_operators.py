@@ -237,3 +237,65 @@ def test_mix(spark, odd, empty):
 def test_words_hash_alike_in_any_batch():
     one, at = bytehash.words(["The  cat\tsat", "", "cat"])
     assert list(at) == [0, 3, 3, 4] and one[1] == one[3] == bytehash.words(["CAT"])[0][0]
+
+
+def mixed_by_hand(rows, unit=1_000_000, phases=50):
+    """{(doc_id, source, size): sorted copies} of rows (doc_id, text, source), by the definition: halving for lambda, one ordering of each source."""
+    docs = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
+    names = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in docs if x == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), float(sum(size.values())), set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        open_ -= over
+    out = collections.defaultdict(list)
+    for s in names:
+        own = sorted(((n, hashlib.md5(str(i if i is not None else "").encode()).hexdigest(), i) for i, x, n in docs if x == s), key=lambda d: (d[0], d[1]))
+        sizes = np.array([d[0] for d in own], float)
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (sizes * np.minimum(3, np.exp(np.minimum(mid * sizes, 700)))).sum() < target[s] else (lo, mid)
+        rates = np.full(len(own), 3 * unit) if size[s] and target[s] >= 3 * size[s] * (1 - 1e-12) else np.round(np.minimum(3, np.exp(np.minimum(lo * sizes, 700))) * unit).astype(int) * (target[s] > 0)
+        upto = np.cumsum(rates)
+        tried = []
+        for f in [(2 * k + 1) * unit // (2 * phases) for k in range(phases)]:
+            copies = (upto + f) // unit - (upto - rates + f) // unit
+            tried.append((abs((copies * sizes).sum() - target[s]), f, (copies * sizes).sum() - target[s], copies))
+        _, _, excess, copies = min(tried, key=lambda t: t[:2])
+        can = [(abs(abs(excess) - d[0]), d[0], k) for k, d in enumerate(own) if (copies[k] > 0 if excess > 0 else copies[k] < 3) and abs(abs(excess) - d[0]) < abs(excess)]
+        if can:
+            copies[min(can)[2]] -= int(np.sign(excess))
+        for d, c in zip(own, copies):
+            out[d[2], d[0]].append(int(c))
+    return {k: sorted(v) for k, v in out.items()}, target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_equals_the_definition(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(rng.integers(0, 60)) if rng.random() > 0.05 else None, " ".join(["w"] * int(rng.integers(0, 40) ** (1 + (rng.random() < 0.1)))), [None, "", "a", "b", "é"][min(4, int(rng.exponential(1.2)))]) for _ in range(250)]
+    rows += [(7, "same words here", "a")] * 40 + [(8, None, "b"), (9, "", "z")]
+    got = mixing.mix(spark.createDataFrame([(i, t, s, "clash", 1) for i, t, s in rows], "doc_id long, text string, source string, rate string, place int")).collect()
+    found = collections.defaultdict(list)
+    for r in got:
+        assert 0 <= r.copies <= 3 and r.taken == r.copies * r.size
+        found[r.doc_id, r.size].append(r.copies)
+    expected, target = mixed_by_hand(rows)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
+def test_mix_tilts_rates_by_size(spark):
+    rows = [(i, "w " * (1 + i % 50), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "size", "rate").collect()
+    for s in (0, 2):  # b keeps its size
+        lams = [np.log(r.rate) / r.size for r in got if r.doc_id % 3 == s and 0 < r.rate < 3 and r["size"] > 10]
+        assert np.ptp(lams) < 1e-5 and len({r.rate for r in got if r.doc_id % 3 == s}) > 10
