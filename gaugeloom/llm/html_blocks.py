@@ -1,22 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one for each block-level piece of text), each line is given its length,
-lengths are summed over sliding windows of lines, and the text between a surge of that sum and the
-next dive is kept. Lines of menus, forms, notices and the like, known by their element, role, class
-or id, and lines that are mostly links count as empty, so they end a block of text and are never kept.
-Article and main elements are blocks of their own, and count double where found blocks are chosen.
-What stands in the container of the longest block's text belongs to it, whatever lies between.
+Markup is stripped to lines (one for each block-level piece of text), and each line is weighed: by its length,
+ELEMENT times in article and main elements, nothing in menus, forms, notices and the like (known by their element,
+role, class or id) nor where most of it is links. Weights are summed over sliding windows of lines; a
+block begins where that sum surges and ends at the dive, where a whole window weighs nothing or an article or main
+element begins or ends. The heaviest block is the main text. With it belongs all other text of its container,
+however short, and blocks of other containers that weigh at least a part of it; what is lighter is taken for
+the page's furniture that nothing names as such.
 
 Defined cases: a null or empty page has the empty text; unclosed elements end with their parent;
-a comment, script or style that is never closed runs to the end of the page; where all text is in
-elements that their class or id sets apart, the outermost of these are taken for wrappers.
+a comment, script or style that is never closed runs to the end of the page; after a quote in a tag that is never closed,
+tags end at the next ">"; where all text is in elements that their class or id sets apart, the outermost of these
+are taken for wrappers; repeated rows stay. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,21 +43,40 @@ APART_WORDS = frozenset(
     "footer masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments disqus respond replies reply widget toolbar pagination pager copyright legal disclaimer skip search".split()
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_QUOTED_END = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Elements that end an open one of their kind, unless one of the second kind was opened in between.
+REPLACE = frozenset("p li td tr dd dt option".split())
+HOLD = frozenset("ul ol table dl div section article main select".split())
+#: Times the weight of a line in an article or main element.
+ELEMENT = 4
+
+
 @dataclass(frozen=True)
 class Params:
-    """window: lines in a block; surge: characters in a block where text begins (outside article or main elements); share: part of the longest piece that a piece in another container needs to be kept; links: part of a line in links from which it is a menu line."""
+    """window: lines in a block; surge: characters in a window where text begins (a quarter of the heaviest, if that is less); share: part of the heaviest block's weight that a block in another container needs; links: part of a line in links from which it is a menu line."""
 
     window: int = 3
     surge: int = 86
-    share: float = 0.2
+    share: float = 0.1
     links: float = 0.5
 
 
+class Line(NamedTuple):
+    """text; characters in links; whether it is apart; number of the article or main element it is in, or 0; number of its element, and of that which holds it (0: the page)."""
+
+    text: str
+    linked: int
+    apart: bool
+    article: int
+    element: int
+    parent: int
+
+
 def _apart(tag: str, attributes: str, inside: bool, words: bool = True) -> bool:
     """Whether an element holds no article text; ``inside``: it is within an article or main element; ``words``: words of its class or id count."""
     if tag in APART or (tag == "header" and not inside):
@@ -73,157 +97,206 @@ def _apart(tag: str, attributes: str, inside: bool, words: bool = True) -> bool:
     return False
 
 
-def lines_of(page: str, unwrap: bool = False) -> list[tuple[str, int, bool, bool, tuple[int, ...]]]:
-    """(text, characters in links, apart, in an article or main element, numbers of the open elements) for each line of a page, empty ones left out; an apart stretch leaves one line for each of its own. The whole page is 0; ``unwrap``: the outermost elements that class or id sets apart are not apart."""
-    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements that hold blocks or are apart
-    numbers: list[int] = []  # of the elements in the stack
-    apart = links = article = opened = 0
-    wrapper: int | None = None  # place in the stack of an element that is not taken as apart
-    at, end = 0, len(page)
+@lru_cache(maxsize=None)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                out.append((text, linked, apart > 0, article > 0, (0, *numbers)))
-            parts.clear()
-        linked = 0
 
-    def close_to(depth: int) -> None:
-        nonlocal apart, article, wrapper
-        while len(stack) > depth:
-            tag, was = stack.pop()
-            numbers.pop()
-            apart -= was
-            article -= tag in ("article", "main")
-        if wrapper is not None and depth <= wrapper:
-            wrapper = None
-
-    def push(tag: str, was: bool) -> None:
-        nonlocal opened
-        opened += 1
-        stack.append((tag, was))
-        numbers.append(0 if tag in ("html", "body") else opened)
-
-    while at < end:
-        m = _MARKUP.search(page, at)
+def _pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, tag, whether it closes, attributes) for each tag, with the text before it; the last has no tag. What stands in RAW elements and comments is left out."""
+    at, end, quotes, text = 0, len(page), True, []
+    last = page.rfind(">")
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last:  # no tag can end any more
+            comment = page.find("<!--", at)
+            yield "".join(text) + page[at : comment if comment >= 0 else end], "", False, ""
+            return
+        text.append(page[at:start])
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith("<![CDATA[", start):
+            at = start + 9
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.index(">", start) + 1
+            continue
+        m = _TAG.match(page, start)
         if m is None:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+            text.append("<")
+            at = start + 1
             continue
-        closing = bool(m[1] or m[4])
+        close = _QUOTED_END.match(page, m.end()) if quotes else None
+        if close is None:
+            quotes = False
+            at = page.index(">", start) + 1
+        else:
+            at = close.end()
+        tag, closes, attributes = m[2].lower(), bool(m[1]), page[m.end() : at - 1]
         if tag in RAW:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not closes and not attributes.endswith("/"):
+                found = _closing(tag).search(page, at)
+                at = found.end() if found else end
             continue
+        yield "".join(text), tag, closes, attributes
+        text.clear()
+
+
+class _Open:
+    """The open elements that hold blocks or are apart, numbered as they open."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, int, bool]] = []  # tag, number, apart
+        self.at: dict[str, list[int]] = {}  # depths of each tag
+        self.holds: list[int] = []  # depths of HOLD, of BLOCK, of what is apart, and of what is apart by its tag
+        self.blocks: list[int] = []
+        self.apart: list[int] = []
+        self.named: list[int] = []
+        self.articles: list[int] = []  # numbers
+        self.last = [0]  # of each number, the highest number within it
+        self.wrapper: int | None = None  # depth of an element that is not taken as apart
+
+    def push(self, tag: str, apart: bool) -> None:
+        depth, number = len(self.elements), len(self.last)
+        self.last.append(number)
+        self.elements.append((tag, number, apart))
+        self.at.setdefault(tag, []).append(depth)
+        for depths, is_such in ((self.holds, tag in HOLD), (self.blocks, tag in BLOCK), (self.apart, apart), (self.named, apart and tag in APART)):
+            if is_such:
+                depths.append(depth)
+        if tag in ("article", "main"):
+            self.articles.append(number)
+
+    def close_to(self, depth: int) -> None:
+        while len(self.elements) > depth:
+            tag, number, _ = self.elements.pop()
+            top = len(self.elements)
+            for depths in (self.at[tag], self.holds, self.blocks, self.apart, self.named):
+                if depths and depths[-1] == top:
+                    depths.pop()
+            if self.articles and self.articles[-1] == number:
+                self.articles.pop()
+            self.last[number] = len(self.last) - 1
+        if self.wrapper is not None and depth <= self.wrapper:
+            self.wrapper = None
+
+    def close(self, tag: str, within: list[int] | None = None) -> bool:
+        """Close the innermost open element of that tag, if there is one (``within``: above the last of these depths)."""
+        depths = self.at.get(tag)
+        if not depths or (within and within[-1] > depths[-1]):
+            return False
+        self.close_to(depths[-1])
+        return True
+
+    def place(self) -> tuple[int, int]:
+        """The innermost element and the one that holds it."""
+        return tuple(0 if tag in ("html", "body") else number for tag, number, _ in [("html", 0, False)] * 2 + self.elements[-2:])[:-3:-1]
+
+
+def lines_of(page: str, unwrap: bool = False) -> tuple[list[Line], list[int]]:
+    """The lines of a page, empty ones left out, and of each element the highest number within it. ``unwrap``: the outermost elements that class or id sets apart are not apart."""
+    out: list[Line] = []
+    parts: list[str] = []
+    linked, links, opened = 0, False, _Open()
+
+    def flush() -> None:
+        nonlocal linked
+        text = " ".join(html.unescape("".join(parts)).split())
+        if text:
+            out.append(Line(text, linked, bool(opened.apart), opened.articles[-1] if opened.articles else 0, *opened.place()))
+        parts.clear()
+        linked = 0
+
+    for text, tag, closes, attributes in _pieces(page):
+        if text:
+            parts.append(text)
+            linked += len(text) * links
         if tag == "a":
-            links = 0 if closing else 1
+            links = not closes
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in BLOCK:
             flush()
-            links = 0
-        elif closing:
-            for depth in range(len(stack) - 1, -1, -1):  # an inline element that is apart
-                if stack[depth][0] == tag:
-                    flush()
-                    close_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+            links = False
+        if tag in VOID or not tag:
             continue
-        if tag in VOID:
+        if closes:
+            if tag in BLOCK:
+                opened.close(tag)
+            elif tag in opened.at and opened.at[tag] and (not opened.blocks or opened.at[tag][-1] > opened.blocks[-1]):  # an inline element that is apart
+                flush()
+                opened.close(tag)
             continue
-        if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
-            continue
-        is_apart = _apart(tag, attributes, article > 0)
-        unwraps = unwrap and is_apart and wrapper is None and not apart and not _apart(tag, attributes, article > 0, False)
-        is_apart = is_apart and not unwraps
+        apart = _apart(tag, attributes, bool(opened.articles))
+        unwraps = unwrap and apart and opened.wrapper is None and not opened.apart and not _apart(tag, attributes, bool(opened.articles), False)
+        apart = apart and not unwraps
         if tag in BLOCK:
-            if tag in ("article", "main") and apart and not any(t in APART for t, was in stack if was):
-                close_to(next(i for i, (_, was) in enumerate(stack) if was))  # a notice that was never closed
-            if tag in ("p", "li", "td", "tr", "dd", "dt", "option"):  # these end an open one of their kind
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        close_to(depth)
-                        break
-                    if stack[depth][0] in ("ul", "ol", "table", "dl", "div", "section", "article", "main", "select"):
-                        break
+            if tag in ("article", "main") and opened.apart and not opened.named:
+                opened.close_to(opened.apart[0])  # a notice that was never closed
+            if tag in REPLACE:
+                opened.close(tag, opened.holds)
             if unwraps:
-                wrapper = len(stack)
-            push(tag, is_apart)
-            apart += is_apart
-            article += tag in ("article", "main")
-        elif is_apart:
+                opened.wrapper = len(opened.elements)
+            opened.push(tag, apart)
+        elif apart:
             flush()
-            push(tag, True)
-            apart += 1
+            opened.push(tag, True)
     flush()
-    return out
+    opened.close_to(0)
+    return out, opened.last
 
 
-def main_text(page: str | None, params: Params = Params()) -> str:
-    """The article text of one page, its blocks joined by single spaces."""
-    if not page:
-        return ""
-    lines = lines_of(page)
-    if all(apart for _, _, apart, _, _ in lines):
-        lines = lines_of(page, unwrap=True)
-    weight = [0 if apart or (not article and linked > params.links * len(text)) else len(text) for text, linked, apart, article, _ in lines]
-    n, k = len(lines), params.window
+def blocks_of(weights: list[int], cuts: list[int], params: Params = Params()) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, weight) of the blocks between the surge and dive points of weighed lines; ``cuts``: a block ends where these differ."""
+    n, k = len(weights), params.window
     total = [0] * (n + 1)
-    for i, w in enumerate(weight):
+    for i, w in enumerate(weights):
         total[i + 1] = total[i] + w
-    block = [total[min(n, i + k)] - total[i] for i in range(n)]
-    surge = max(1, min(params.surge, max(block, default=0) // 4))
-    pieces = []  # (first line, line after the last, in an article or main element)
-    i = 0
+    window = [total[min(n, i + k)] - total[i] for i in range(n)]
+    surge = max(1, min(params.surge, max(window, default=0) // 4))
+    out, i = [], 0
     while i < n:
-        article = lines[i][3]
-        if block[i] < (1 if article else surge):
+        if window[i] < surge:
             i += 1
             continue
-        first = i
-        while i < n and block[i] > 0 and (lines[i][3] == article or not weight[i]):  # the dive: a whole window without text
+        first, cut = i, None
+        while i < n and window[i] > 0 and (not weights[i] or cut in (None, cuts[i])):
+            cut = cuts[i] if weights[i] else cut
             i += 1
-        pieces.append((first, i, article))
-    size = lambda piece: total[piece[1]] - total[piece[0]]
-    inside = sum(size(p) for p in pieces if p[2])
-    if inside and 2 * inside >= max((size(p) for p in pieces if not p[2]), default=0):
-        return " ".join(lines[j][0] for a, b, article in pieces if article for j in range(a, b) if weight[j] and lines[j][3])
-    longest = max(pieces, key=size, default=(0, 0, False))
+        out.append((first, i, total[i] - total[first]))
+    return out
+
+
+def main_text(page: str | None, params: Params = Params()) -> str:
+    """The article text of one page, its blocks joined by single spaces."""
+    if not page:
+        return ""
+    lines, last = lines_of(page)
+    if all(x.apart for x in lines):
+        lines, last = lines_of(page, unwrap=True)
+    weights = [0 if x.apart or (not x.article and x.linked > params.links * len(x.text)) else len(x.text) * (ELEMENT if x.article else 1) for x in lines]
+    blocks = blocks_of(weights, [x.article for x in lines], params)
+    if not blocks:
+        return ""
+    first, end, heaviest = max(blocks, key=lambda b: b[2])
     held: dict[int, int] = {}
-    for j in range(longest[0], longest[1]):
-        parent = _parent(lines[j][4])
-        held[parent] = held.get(parent, 0) + weight[j]
-    home = max(held, key=held.get, default=0)
-    kept = {j for j in range(n) if weight[j] and (home in lines[j][4] if home else not _parent(lines[j][4]))}
-    for piece in pieces:
-        if size(piece) >= params.share * size(longest):
-            a, b, _ = piece
-            kept.update(j for j in range(a, b) if weight[j] or (not lines[j][2] and a < j < b - 1 and weight[j - 1] and weight[j + 1]))
-    return " ".join(lines[j][0] for j in sorted(kept))
-
-
-def _parent(path: tuple[int, ...]) -> int:
-    """The element that holds the element of a line."""
-    return path[-2] if len(path) > 1 else 0
+    for j in range(first, end):
+        held[_container(lines[j])] = held.get(_container(lines[j]), 0) + weights[j]
+    home = max(held, key=held.get)
+    if home:
+        kept = {j for j, x in enumerate(lines) if weights[j] and home <= x.element <= last[home]}
+    else:  # text that stands in the page itself
+        kept = {j for j, x in enumerate(lines) if weights[j] and not _container(x)}
+    for a, b, weight in blocks:
+        if weight >= params.share * heaviest:
+            kept.update(j for j in range(a, b) if weights[j] or (not lines[j].apart and a < j < b - 1 and weights[j - 1] and weights[j + 1]))
+    return " ".join(lines[j].text for j in sorted(kept))
+
+
+def _container(line: Line) -> int:
+    """The element whose text a line belongs with: that which holds its own, but none around its article."""
+    return max(line.parent, line.article)
 
 
 def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
