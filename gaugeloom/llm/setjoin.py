@@ -44,11 +44,13 @@ from .shared import batch_bytes, dropped, map_batches, size_chunks, texts_of, wr
 
 U = np.uint64
 #: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
-PIVOTS = 16
+PIVOTS = 64
 #: Bytes that a task sends to Python at once, and signatures that it gathers before it passes them on.
 BATCH, FLUSH = "8m", 400_000
 #: Documents are found by a broadcast of at most so many ids (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 200_000
+#: Slots in which the rarer shingles of a group are counted.
+RARE_SLOTS = 1 << 14
 #: How much wider each band of w is than the one before.
 _STEP = 1.5
 
@@ -389,12 +391,38 @@ def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return written(components(star.select(F.col("head").alias("a"), F.col("ent").alias("b"))).select(F.col("node").alias("ent"), F.col("root").alias("g")), "groups")
 
 
-def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int = 1000) -> DataFrame:
+class _Centre:
+    """The centre of a group of ``size`` sets, and how many of them differ from it at a shingle: known of the shingles ``often`` and, by slot, of rarer ones."""
+
+    def __init__(self, often, often_have, slots, slots_have, size: int):
+        order = np.argsort(often.view(U))
+        self.often, count = often.view(U)[order], often_have[order]
+        central = 2 * count > size
+        self.below, self.heart = np.where(central, size - count, count), self.often[central]
+        order = np.argsort(slots)
+        self.slots, self.slots_have = slots[order], slots_have[order]
+
+    def difference(self, found: np.ndarray) -> np.ndarray:
+        """The symmetric difference of a set and the centre; where few sets differ comes first, ties by hash."""
+        diff = np.setxor1d(found, self.heart, assume_unique=True)
+        count = np.zeros(len(diff))
+        if len(self.slots):
+            slot = diff.view(np.int64) % RARE_SLOTS
+            at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+            count = np.where(self.slots[at] == slot, self.slots_have[at], 0)
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, diff), len(self.often) - 1)
+            count = np.where(self.often[at] == diff, self.below[at], count)
+        return diff[np.argsort(count, kind="stable")]
+
+
+def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int = 250) -> DataFrame:
     """(ent, g, w, n, diff), written, of ``members`` (ent, g, hashes): how each set differs from the centre of its group, whose number of sets is in ``sizes`` (g, size).
 
     The centre holds the shingles of more than half of the group's sets. ``diff`` is ordered by how many sets of the
-    group differ there, rare first; shingles of at most a quarter of the sets count as equally rare. ``w`` is
-    (100 + percent) * n - (100 - percent) * set size. Groups are dealt out in parts of about ``part`` sets.
+    group differ there, rare first; shingles of at most a quarter of the sets are counted in RARE_SLOTS slots, which
+    bounds what is known of a group. ``w`` is (100 + percent) * n - (100 - percent) * set size. Groups are dealt
+    out in parts of about ``part`` sets.
     """
 
     def counted(rows: pa.RecordBatch):
@@ -411,37 +439,33 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
             yield {"g": pa.array(which[new]), "shingle": pa.array(found[new].view(np.int64)), "have": pa.array(np.diff(new, append=len(found)))}
 
     have = map_batches(members.select("g", "hashes"), counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
-    often = have.join(sizes, "g").filter("4 * have > size")
-    centre = often.groupBy("g").agg(F.max("size").alias("size"), F.collect_list(F.struct("shingle", "have")).alias("often"))
+    often = 4 * F.col("have") > F.col("size")
+    slots = have.join(sizes, "g").withColumn("often", often).withColumn("key", F.when(F.col("often"), F.col("shingle")).otherwise(F.pmod("shingle", F.lit(RARE_SLOTS))))
+    slots = slots.groupBy("g", "often", "key").agg(F.max("have").alias("have"), F.max("size").alias("size"))
+    listed = lambda chosen: F.collect_list(F.when(chosen, F.struct("key", "have")))
+    centre = slots.groupBy("g").agg(F.max("size").alias("size"), listed(F.col("often")).alias("often"), listed(~F.col("often")).alias("rare"))
     parts = F.ceil(F.col("size") / part).cast("int")
     heads = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    none = F.lit(None)
-    rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", F.col("often.shingle").alias("shingle"), F.col("often.have").alias("have"))
-    rows = rows.unionByName(members.join(sizes, "g").select("g", F.pmod(F.xxhash64("ent"), parts).cast("int").alias("salt"), F.lit(1).alias("kind"), "ent", "hashes", "size", none.cast("array<bigint>").alias("shingle"), none.cast("array<bigint>").alias("have")))
+    none, counts = F.lit(None), ("often.key", "often.have", "rare.key", "rare.have")
+    names = [c.replace(".", "_") for c in counts]
+    rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", *(F.col(c).alias(n) for c, n in zip(counts, names)))
+    salted = members.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("ent"), parts).cast("int"))
+    rows = rows.unionByName(salted.select("g", "salt", F.lit(1).alias("kind"), "ent", "hashes", "size", *(none.cast("array<bigint>").alias(n) for n in names)))
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
 
     def differ(batches):
-        group, often, below, heart = None, np.zeros(0, U), np.zeros(0), np.zeros(0, U)
+        group, known = None, None
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
                 g, kind = batch.column("g")[r].as_py(), batch.column("kind")[r].as_py()
                 if g != group:
-                    group, often, below, heart = g, np.zeros(0, U), np.zeros(0), np.zeros(0, U)
+                    group, known = g, _Centre(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 0)
                 if kind == 0:
-                    size = batch.column("size")[r].as_py()
-                    often = batch.column("shingle")[r].values.to_numpy().view(U)
-                    count = batch.column("have")[r].values.to_numpy()
-                    order = np.argsort(often)
-                    often, count = often[order], count[order]
-                    central = 2 * count > size
-                    below, heart = np.where(central, size - count, count), often[central]
+                    known = _Centre(*(batch.column(n)[r].values.to_numpy() for n in names), batch.column("size")[r].as_py())
                     continue
                 found = np.frombuffer(batch.column("hashes")[r].as_buffer(), U)
-                diff = np.setxor1d(found, heart, assume_unique=True)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, diff), len(often) - 1)
-                    diff = diff[np.argsort(np.where(often[at] == diff, below[at], 0), kind="stable")]
+                diff = known.difference(found)
                 out.append((batch.column("ent")[r].as_py(), g, (100 + percent) * len(diff) - (100 - percent) * len(found), len(diff), diff.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["ent", "g", "w", "n", "diff"])
@@ -450,13 +474,13 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
 
 
 def _centred(diffs: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The second index: (sig, ent, probe, root), and links to leaders (a, b); both written.
+    """The second index: (sig, ent, probe, root, w, left), and links to leaders (a, b); both written.
 
     Sets whose differences to their group's centre are d and e differ by |d| + |e| - 2 |d and e|; so they are similar
     if w + w' <= 0, and otherwise only if d and e share at least (w + w') / (2 (100 + percent)) shingles. The first
     kind is settled by the member of least w, the leader. For the second, sets are cut into bands of w, and for each
     band of partners a set is indexed under the rarest shingles of its difference, as many as leave too few for
-    such an overlap. Members of the leader's component are only probes, for partners outside it: links within it
+    such an overlap; ``left`` is how many are left from that shingle on. Members of the leader's component are only probes, for partners outside it: links within it
     change nothing.
     """
     named = _rooted(diffs.select("ent", "g", "w"), roots)
@@ -471,7 +495,7 @@ def _centred(diffs: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFram
 
     def batch(rows: pa.RecordBatch) -> dict:
         w, least, own, salt = (rows.column(c).to_numpy() for c in ("w", "least", "band", "g"))
-        at, sigs = [], []
+        at, sigs, left = [], [], []
         for r, (d, partners) in enumerate(zip(rows.column("diff"), rows.column("partners"))):
             d = np.frombuffer(d.as_buffer(), U)
             for other in partners.as_py():
@@ -480,15 +504,25 @@ def _centred(diffs: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFram
                 if need <= len(d):
                     key = mix(np.array([salt[r]], np.int64).view(U) + U(256 * min(own[r], other) + max(own[r], other)))
                     sigs.append(mix(d[: len(d) - need + 1] ^ key))
+                    left.append(np.arange(len(d), need - 1, -1))
                     at.append(r)
         sig = np.concatenate(sigs) if sigs else np.zeros(0, U)
         at = pa.array(np.repeat(np.array(at, np.int64), [len(x) for x in sigs]))
-        return {"sig": pa.array(sig.view(np.int64))} | {c: rows.column(c).take(at) for c in ("ent", "probe", "root")}
+        return {"sig": pa.array(sig.view(np.int64))} | {c: rows.column(c).take(at) for c in ("ent", "probe", "root", "w")} | {"left": pa.array(np.concatenate(left) if left else np.zeros(0, np.int64))}
 
-    index = written(map_batches(rows, batch, "sig long, ent long, probe boolean, root long"), "index")
+    index = written(map_batches(rows, batch, "sig long, ent long, probe boolean, root long, w long, left long"), "index")
     return index, sided.filter("led and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b"))
 
 
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """(sig) of buckets that hold several components and a class that isn't a probe; of those with the same members only the first in the order of shingles."""
+    members = [F.bit_xor(F.xxhash64("ent", F.lit(x))).alias(f"members{x}") for x in (0, 1)]
+    state = rows.groupBy("sig").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max((~F.col("probe")).cast("int")).alias("asks"), F.count(F.lit(1)).alias("n"), F.sum("left").alias("left"), *members
+    )
+    return state.filter("lo <> hi and asks = 1").groupBy("n", "members0", "members1").agg(F.max(F.struct("left", "sig")).alias("m")).select("m.sig")
+
+
 def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: int, names: Names, id_bits: int = 63) -> DataFrame:
     """(node, root) over ``classes`` (ent, rep) that are linked with another class, directly or not."""
     name = names.function(id_bits)
@@ -510,14 +544,15 @@ def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: i
     rows, links = _centred(diffs, roots, percent)
     tried, pivots = None, PIVOTS
     while True:
-        state = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max((~F.col("probe")).cast("int")).alias("asks"))
-        live = written(rows.join(state.filter("lo <> hi and asks = 1").select("sig"), "sig"), "open")
+        live = written(rows.join(_open_buckets(rows), "sig"), "open")
         dropped(rows)
         if live.isEmpty():
             return _linked(roots, links) if tried is None else roots
         place = F.row_number().over(Window.partitionBy("sig").orderBy("ent"))
-        heads = written(live.filter("not probe").withColumn("place", place).filter(F.col("place") <= pivots).select("sig", F.col("ent").alias("a"), F.col("root").alias("ra")), "heads")
-        pairs = live.join(heads, "sig").filter("root <> ra").select(F.greatest("a", "ent").alias("a"), F.least("a", "ent").alias("b")).distinct()
+        heads = written(live.filter("not probe").withColumn("place", place).filter(F.col("place") <= pivots).select("sig", F.col("ent").alias("a"), F.col("root").alias("ra"), F.col("w").alias("wa"), F.col("left").alias("la")), "heads")
+        enough = F.col("w") + F.col("wa") <= 2 * (100 + percent) * F.least("left", "la")  # of two similar sets, from their first common shingle on
+        pairs = live.join(heads, "sig").filter((F.col("root") != F.col("ra")) & enough)
+        pairs = pairs.select(F.greatest("a", "ent").alias("a"), F.least("a", "ent").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = _pairs(pairs, diffs, ["w", "diff"], _similar_differences(percent))
         roots = _linked(roots, found if tried is not None else found.unionByName(links))

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -59,6 +60,38 @@ def test_html_keeps_all_text_of_a_container():
     assert html_blocks.main_text("<body><div class=menu><p>Menu</p></div><p>Text.</p></body>") == "Text."
 
 
+def test_html_line_blocks_decide():
+    """Without tags that mark an article, the blocks between surges and dives are the text; weights move them, tags alone don't."""
+    para = "<p>Some words of a paragraph that is part of the text and long enough to count.</p>"
+    card = "<div><p>A teaser of another story</p></div>"
+    gap = "".join(f'<div><a href="/{i}">Another page {i}</a></div>' for i in range(4))
+    page = f"<body>{card}{gap}<div>{para * 6}</div>{gap}{card}</body>"
+    text = re.sub("<[^>]*>", " ", para * 6).split()
+    assert html_blocks.main_text(page).split() == text
+    assert html_blocks.main_text(page, html_blocks.Params(surge=10**6, share=0)).split() != [] and html_blocks.blocks_of([0, 0, 5, 90, 0, 0, 0, 80, 1], [0] * 9) == [(1, 4, 95), (5, 9, 81)]
+    assert html_blocks.blocks_of([90, 90, 90], [0, 1, 1]) == [(0, 1, 90), (1, 3, 180)]
+    story = f"<article>{para * 3}</article>"
+    assert html_blocks.main_text(f"<body>{story}<div>{para * 30}</div></body>").split() == re.sub("<[^>]*>", " ", para * 33).split()
+    assert html_blocks.main_text(f"<body><article><p>Short card here.</p></article>{gap}<div>{para * 12}</div></body>").split() == text * 2
+
+
+@pytest.mark.parametrize("unit, end", [("<p class='", ""), ('<x ">" ', "'"), ("<div>x", ""), ("<", ""), ("<!--", ""), ("&", ""), ("<script></script ", ""), ("<p></p><center>", ""), ("<div class=ad><article>", "")])
+def test_html_takes_linear_time(unit, end):
+    times = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_blocks.main_text(unit * n + end)
+        times.append(time.process_time() - began)
+    assert times[1] < 5 and times[1] < 10 * times[0] + 0.2
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x", 3), (1, "u", None, "x", 3), (2, None, "<p>a  b\xa0&amp; c<p>d", "x", 3), (None, "v", "", None, 3), (4, "w", "<article>" + "<p>word word</p>" * 40_000, None, 0)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(((r.page_id, r.url, r.text[:20], r.n_chars) for r in html_blocks.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "a b & c d", 9), (None, "v", "", 0), (4, "w", ("word " * 80_000)[:20], 5 * 80_000 - 1)], key=str)
+    assert html_blocks.extract(pages.limit(0)).count() == 0
+
+
 def test_archives_round_trip_and_lookup(spark):
     pages = spark.createDataFrame([(3, "http://B.org/x", "same"), (1, "https://a.b.org/y?q=1", "same"), (2, "http://B.org/x", None), (7, None, ""), (9, "http://c.org/é ü", "ä" * 5000)], "page_id long, url string, html string")
     directory = warc.build_index(warc.write_archives(pages), block_lines=2)
@@ -214,6 +247,26 @@ def test_set_join_equals_brute_force(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_set_join_of_a_large_group_of_near_copies(spark, k, percent):
+    """A hot group whose members are close to the threshold, long texts, and names of classes that are not unique."""
+    rng = np.random.default_rng(percent)
+    base = [f"w{x}" for x in rng.integers(0, 900, 160)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.integers(0, len(copy), rng.integers(0, 7)):
+            copy[at] = f"e{rng.integers(0, 6)}"
+        texts.append(" ".join(copy))
+    long = [f"w{x}" for x in rng.integers(0, 900, 6000)]
+    texts += [" ".join(long), " ".join([*long[:3000], *long[3250:]]), " ".join(long[:5000]), *[" ".join(base)] * 20]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = brute(rows, k, percent)
+    for bits in (63, 4):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.join_components(table, k, percent, bits).collect()} == expected
+
+
 def test_set_join_on_odd_and_empty_tables(spark, odd, empty):
     assert setjoin.join_components(empty, 3, 90).count() == 0
     got = setjoin.join_components(odd, 3, 90).collect()
@@ -224,6 +277,8 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 40), (None, 1)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), local_edges=2).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 32: 30}
 
 
 def test_mix(spark, odd, empty):
