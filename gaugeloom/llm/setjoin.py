@@ -40,13 +40,13 @@ from pyspark.sql.window import Window
 
 from .bytehash import mix, shingles
 from .components import components
-from .shared import batch_bytes, dropped, map_batches, size_chunks, texts_of, written
+from .shared import bound_batches, dropped, map_batches, size_chunks, texts_of, written
 
 U = np.uint64
 #: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
 PIVOTS = 64
-#: Bytes that a task sends to Python at once, and signatures that it gathers before it passes them on.
-BATCH, FLUSH = "8m", 400_000
+#: Signatures that a task gathers before it passes them on.
+FLUSH = 300_000
 #: Documents are found by a broadcast of at most so many ids (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 200_000
 #: Slots in which the rarer shingles of a group are counted.
@@ -564,15 +564,15 @@ def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: i
 
 def join_components(documents: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 63) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard percent / 100 or more. ``id_bits``: see sets_of; fewer bits only cost time."""
-    with batch_bytes(documents.sparkSession, BATCH):
-        sets = written(sets_of(documents, k, id_bits), "sets")
-        classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-        names = Names(classes)
-        classes = classes.withColumn("ent", names.column())
-        roots = similar_classes(documents, classes, k, percent, names, id_bits)
-        firsts = roots.join(classes, F.col("node") == F.col("ent")).groupBy("root").agg(F.min("rep").alias("first"))
-        firsts = roots.join(firsts, "root").select(F.col("node").alias("ent"), "first")
-        named = classes.join(firsts, "ent", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.least("rep", "first").alias("first"))
-        named = written(named, "named")
+    bound_batches(documents.sparkSession)
+    sets = written(sets_of(documents, k, id_bits), "sets")
+    classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    names = Names(classes)
+    classes = classes.withColumn("ent", names.column())
+    roots = similar_classes(documents, classes, k, percent, names, id_bits)
+    firsts = roots.join(classes, F.col("node") == F.col("ent")).groupBy("root").agg(F.min("rep").alias("first"))
+    firsts = roots.join(firsts, "root").select(F.col("node").alias("ent"), "first")
+    named = classes.join(firsts, "ent", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.least("rep", "first").alias("first"))
+    named = written(named, "named")
     joined = sets.join(named, (sets["d1"] == named["c1"]) & (sets["d2"] == named["c2"]) & (sets["n_shingles"] > 0), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("first"))).otherwise(F.col("doc_id")).alias("component_id"))

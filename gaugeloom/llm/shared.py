@@ -6,14 +6,15 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound, in UTF-8 bytes, of what one numpy pass works on; a longer text is a pass of its own.
-CHUNK_BYTES = 1 << 20
+#: Upper bound, in characters, of what one numpy pass works on; a longer text is a pass of its own.
+CHUNK_BYTES = 1 << 18
+#: Bytes that a task sends to Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,16 +61,15 @@ def dropped(*stored: DataFrame | None) -> None:
             drop_folder(df.sparkSession, df._folder)
 
 
-@contextmanager
-def batch_bytes(spark: SparkSession, size: str):
-    """Within it, steps that are carried out send at most about ``size`` bytes at once to Python, whatever the length of the rows."""
+def bound_batches(spark: SparkSession) -> None:
+    """From now on a task of this session sends at most about BATCH_BYTES at once to Python, whatever the length of the rows; a smaller bound of the session stays.
+
+    Rows are bounded in number only by default, and a thousand long texts are much at once for both sides.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
@@ -82,6 +82,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | d
                 arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in cols.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(cols))
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
