@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import answers as AN
+from .functions import json_text as JT
+from .functions import records as RE
 from .functions import text as TX
 from .functions.stats import bootstrap_means, hash_uniform, percentile_interval
 from .operators import advise as AD
 from .operators import cells as CE
+from .operators import chapters as CH
 from .operators import frontier as FR
+from .operators import graders as GA
 from .operators import grading as GR
 from .operators import grid as GD
 from .operators import paired as PA
 from .operators import runs as RU
+from .operators import sanitize as SA
 from .operators import shuffled as SH
 from .operators import transcripts as TR
 from .operators.dedupe import latest_grade, latest_ok
+from .oracles import SQL
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL
 
@@ -72,9 +78,16 @@ def _pareto(axis):
     return query
 
 
+def cell_intervals(spark, sf_dir):
+    """Intervals of cells by month, most of them small; fewer resamples than a report takes."""
+    rows = orders_ledger(spark, sf_dir).withColumn("variant", F.substring("ts", 1, 7)).withColumn("cost_usd", F.lit(None).cast("double"))
+    grades = latest_grade(rows, TIES)
+    found = CE.with_small_intervals(CE.aggregate(grades), grades, 40)
+    return _rounded(found.select(*CELL, "n_epochs", "value_low", "value_high", "latency_low", "latency_high", "cost_low", "total_tokens_high"))
+
+
 def ab_compare(spark, sf_dir):
-    out = PA.compare(orders_ledger(spark, sf_dir), A, B, TIES).withColumn("note", PA.note())
-    return _rounded(out.drop("diffs"))
+    return _rounded(PA.compare(orders_ledger(spark, sf_dir), A, B, TIES).drop("diffs"))
 
 
 def _advice(axis, margin=0.2):
@@ -153,7 +166,7 @@ def verdict_parse(spark, sf_dir):
 
 def answer_forms(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    raw = F.concat(F.lit("`"), F.format_number(F.col("p_partkey") * 997, 0), F.lit("`."))
+    raw = F.concat(F.lit("$`"), F.format_number(F.col("p_partkey") * 997, 0), F.lit("`$ "))
     return p.select("p_partkey", TX.bare_integer(raw).alias("bare"), TX.squashed(F.concat(F.lit(" '"), F.col("p_name"), F.lit("..' # note"))).alias("squashed"), TX.first_number(F.concat(F.lit("about "), F.format_number(F.col("p_partkey") * 1000, 0), F.lit(" items"))).alias("number"))
 
 
@@ -169,22 +182,213 @@ def sanitize_violations(spark, sf_dir):
     return d.filter(leaks(F.col("text"), ("@", "License"), 5000)).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
+def ledger_leaks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select("event_type", "props", F.array("event_type").alias("tags"), F.struct(F.struct(F.col("event_type").alias("t")).alias("in")).alias("nested"), F.create_map("event_type", "props").alias("by_type"), "event_id")
+    return SA.violations(rows, ("click", "k"), 60).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def hashed_draws(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.round(hash_uniform(F.lit("42"), F.col("s_suppkey").cast("string")), 6).alias("u"))
 
 
 def shuffled_auroc(spark, sf_dir):
     labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
-    return _rounded(SH.shuffled_auroc(labels.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "doc_id", "quality", "toxic"))
+    return _rounded(SH.shuffled_auroc(labels.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "quality", "toxic"))
+
+
+def _replies(spark, sf_dir):
+    """Conversations' turns and documents as replies of many shapes (kind 0 to 11), with what they say."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    word = F.regexp_extract("text", r"([A-Za-z]+)", 1)
+    return c.select("conv_id", "turn", "role", "text", word.alias("word"), (F.col("conv_id") * 7 + F.col("turn")).alias("k")).withColumn("kind", (F.col("k") % 12).cast("int"))
+
+
+def exact_match(spark, sf_dir):
+    r, k, word = _replies(spark, sf_dir), F.col("k").cast("string"), F.col("word")
+    reply = F.element_at(F.array(
+        F.concat(F.lit("Well.\nANSWER: no\n> answer = "), word, F.lit("  # it is\n")), F.concat(F.lit('I think {"result": "x"} or rather {"answer": "'), word, F.lit('"} ok')), F.concat(F.lit("Code:\n```py\n"), word, F.lit("\n```\nDone")),
+        F.concat(F.lit("  `"), word, F.lit(".` ")), F.concat(F.lit("`'"), word, F.lit("'` # "), word), F.lit(" \n "), F.concat(F.lit("about "), k, F.lit(".0 of them")), F.concat(F.lit("ANSWER: 1,"), F.lpad(k, 3, "0"), F.lit(" apples")), k,
+        F.concat(F.lit('"'), word, F.lit('"')), F.concat(F.lit("[1, 2] then {\"line\": "), k, F.lit("}")), F.col("text"),
+    ), F.col("kind") + 1)
+    numeric = F.col("kind").isin(6, 7, 8, 10)
+    gold = F.when(F.col("turn") % 5 == 4, F.array().cast("array<string>")).when(numeric, F.array(k, F.lit("-1"))).otherwise(F.array(F.lit("nothing"), word))
+    read = r.select("conv_id", "turn", reply.alias("reply"), JT.answer_of(reply).alias("answer"), gold.alias("gold"), numeric.alias("numeric"))
+    s = GA.exact_match(F.col("reply"), F.col("answer"), F.col("gold"), F.col("numeric"))
+    return read.select("conv_id", "turn", "answer", s["value"].alias("value"), s["status"].alias("status"))
 
 
 def answer_set(spark, sf_dir):
+    r, k, word = _replies(spark, sf_dir), F.col("k").cast("string"), F.col("word")
+    lines = F.concat(F.lit("Well.\nANSWER 1: x\n> answer #2 = "), word, F.lit(" \nANSWER 1: **"), F.format_number(F.col("k") * 1000, 0), F.lit("**"))
+    reply = F.when(F.col("kind") % 4 == 0, lines).when(F.col("kind") % 4 == 1, F.concat(F.lit('So {"answers": {"1": "no"}} no, {"answers": {"1": '), F.col("k") * 1000, F.lit(', "2": "'), word, F.lit('", "x": 1}}')))
+    reply = reply.when(F.col("kind") % 4 == 2, F.concat(F.lit("ANSWER 1: $"), F.col("k") * 1000, F.lit("$\nanswer 2: +7\nANSWER 9: z"))).otherwise(F.col("text"))
+    gold = F.array((F.col("k") * 1000).cast("string"), F.when(F.col("kind") % 4 == 2, "7").otherwise(word), F.lit("third"))
+    gold = F.when(F.col("turn") % 3 == 0, F.slice(gold, 1, 1)).when(F.col("kind") % 4 == 2, F.slice(gold, 1, 2)).otherwise(gold)
+    read = r.select("conv_id", "turn", reply.alias("reply"), JT.answers_of(reply).alias("got"), gold.alias("gold"))
+    s = GA.exact_match_set(F.col("reply"), F.col("got"), F.col("gold"), F.col("turn") % 3 == 0)
+    return read.select("conv_id", "turn", _round(s["value"]).alias("value"), s["status"].alias("status"), s["subscores"]["found"].alias("found"))
+
+
+def verbatim_anchor(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", r'["\\\x00-\x1f]', " ").alias("text"))
+    d = d.withColumn("a", F.substring("text", 1, 30)).withColumn("b", F.substring("text", 8, 40))
+    quote = lambda q: F.concat(F.lit('{"claim": "c", "quote": "'), q, F.lit('"}'))
+    listed = F.concat(F.lit('Here: {"claims": ['), F.concat_ws(", ", quote(F.col("a")), quote(F.col("b")), quote(F.concat(F.lit("  "), F.col("a"))), quote(F.lit("not said there at all")), quote(F.lit("of")), F.lit('"loose"')), F.lit("]} and more }"))
+    reply = F.when(F.col("doc_id") % 4 == 0, "no claims at all {").when(F.col("doc_id") % 4 == 1, F.concat(F.lit("["), quote(F.col("b")), F.lit("]"))).otherwise(listed)
+    source = F.when(F.col("doc_id") % 10 == 9, "").otherwise(F.col("text"))
+    read = d.select("doc_id", reply.alias("reply"), JT.claims(reply).alias("quotes"), source.alias("source"))
+    loose, strict = (GA.anchor(F.col("reply"), F.col("quotes"), F.col("source"), expected, strict) for expected, strict in ((None, False), (F.lit(2), True)))
+    return read.select("doc_id", _round(loose["value"]).alias("value"), loose["status"].alias("status"), loose["subscores"]["n_verbatim"].alias("n_verbatim"), _round(strict["value"]).alias("strict"))
+
+
+def _verdicts(spark, sf_dir):
+    """Replies by conversation with a verdict for most turns, and the gold labels of turns."""
+    r = _replies(spark, sf_dir)
+    label = F.element_at(F.array(*(F.lit(x) for x in ('"injection"', '"safe"', "1", "0", "true", "0.4", '"unclear"', '"an INJECTION, no doubt"'))), (F.col("k") % 8 + 1).cast("int"))
+    item = F.concat(F.lit('{"idx": '), F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")).otherwise(F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('"'))), F.when(F.col("k") % 3 == 0, ', "verdict": ').otherwise(', "label": '), label, F.lit("}"))
+    items = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 5 != 4, F.struct("turn", item.alias("i"))))), lambda x: x["i"])
+    lists = F.concat(F.lit('Sure! {"verdicts": ['), F.array_join(items, ", "), F.lit(', {"idx": 999, "label": 1}]} done'))
+    replies = r.groupBy("conv_id").agg(lists.alias("output")).withColumn("output", F.when(F.col("conv_id") % 9 == 8, "I can't say.").when(F.col("conv_id") % 9 == 7, "[]").otherwise(F.col("output")))
+    gold = r.filter("conv_id % 11 <> 10").select("conv_id", F.col("turn").alias("idx"), (F.col("k") % 3 % 2).cast("int").alias("label"))
+    return replies, gold
+
+
+def grade_classification(spark, sf_dir):
+    graded = GA.classification(*_verdicts(spark, sf_dir), "conv_id")
+    return _rounded(graded.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("missing_idx", "extra_idx")}))
+
+
+def validator_grade(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    key = F.col("p_partkey").cast("string")
-    reply = F.concat(F.lit("Well.\nANSWER 1: "), key, F.lit("\n> answer #2 = "), F.col("p_name"), F.lit(" \nANSWER 1: 0"), key)
-    gold = F.create_map(F.lit(1).cast("bigint"), F.concat(F.lit("0"), key), F.lit(2).cast("bigint"), F.col("p_brand"))
-    found = p.select("p_partkey", AN.numbered_answers(reply).alias("found"), gold.alias("gold"))
-    return found.select("p_partkey", F.col("found")[F.lit(1).cast("bigint")].alias("first"), F.col("found")[F.lit(2).cast("bigint")].alias("second"), AN.hits(F.col("found"), F.col("gold")).alias("share"))
+    n, size = (F.col("p_partkey") % 8).cast("string"), F.col("p_size").cast("string")
+    stderr = F.when(F.col("p_partkey") % 5 == 0, "Traceback: boom").otherwise(F.concat(F.lit("checking\nVALIDATION FAILED: "), n, F.lit(" error(s)\n  - first of "), F.col("p_name"), F.lit("\n - second")))
+    v = GA.validator((F.col("p_partkey") % 3).cast("int"), stderr)
+    stdout = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("item ok\nCHECK PASSED: "), size, F.lit("/50 points\n\n"))).when(F.col("p_partkey") % 4 == 3, "").otherwise(F.concat(F.lit("CHECK FAILED: "), F.col("p_size").cast("string"), F.lit(".5/50 points, "), n, F.lit(" items below full")))
+    c = GA.checker_summary(F.when(F.col("p_partkey") % 4 == 0, F.lit(0)).otherwise((F.col("p_partkey") % 8).cast("int") - (F.col("p_partkey") % 7 == 0).cast("int")), stdout)
+    return p.select("p_partkey", _round(v["value"]).alias("value"), v["status"].alias("status"), F.from_json(v["details"]["errors"], "array<string>")[0].alias("first_error"), _round(c["value"]).alias("checked"), c["status"].alias("check_status"), c["subscores"]["below"].alias("below"))
+
+
+def grader_dispatch(spark, sf_dir):
+    runs = event_ledger(spark, sf_dir)
+    output = F.col("k").cast("string")
+    named = {"purchase": GA.score(F.col("value")), "click": GA.exact_match(output, output, F.array(F.lit("7"), F.lit("8")), F.lit(False))}
+    s = GA.dispatch(F.col("run_status"), F.col("event_type"), named)
+    return runs.select("event_id", _round(s["value"]).alias("value"), s["status"].alias("status"), s["details"]["reason"].alias("reason"))
+
+
+#: A rubric over chapters made of parts.
+RUBRIC = (
+    {"kind": "xref", "anchor": "see the part", "expected_id": "p1", "family": ["p2", "p9"]}, {"kind": "cite", "anchor": "as told by", "expected_key": "Brand#12"}, {"kind": "coderef", "anchor": "in file", "expected_path": "a.py"},
+    {"kind": "booklink", "anchor": "elsewhere"}, {"kind": "census", "tag": "cite", "min": 1, "max": 1}, {"kind": "cite", "anchor": "twice", "expected_key": "Brand#12"},
+)
+
+
+def _chapters(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey") % 4
+    xref = F.concat(F.lit('See the part <XRef id="p'), key.cast("string"), F.lit('" />. '))
+    cite = F.concat(F.lit("As told by <Cite key={'"), F.col("p_brand"), F.lit("'}/>. twice twice "))
+    code = F.concat(F.lit('In file <CodeRef path="'), F.when(F.col("p_size") % 3 == 0, "b.py").otherwise("a.py"), F.lit('" line="'), F.col("p_size").cast("string"), F.lit('" lineEnd="'), F.when(F.col("p_size") % 7 == 0, "x").otherwise("30"), F.lit('"/>. '))
+    book = F.concat(F.lit('Elsewhere <BookLink book="b" to="'), F.when(F.col("p_size") % 2 == 0, "").otherwise("t"), F.lit('">more</BookLink>. <!-- <Cite key="Brand#12"/> -->\n```\n<Cite key="Brand#12"/>\n```\n'))
+    return p.select("p_partkey", F.concat(xref, cite, code, book).alias("text"))
+
+
+_LABELS, _REFERENCES, _FILES = ("p1", "p2"), ("Brand#12", "Brand#13", "Brand#21"), (("a.py", 30), ("b.py", 10))
+
+
+def chapter_items(spark, sf_dir):
+    c = _chapters(spark, sf_dir)
+    arrays = [F.array(*(F.lit(x) for x in names)) for names in (_LABELS, _REFERENCES)]
+    files = F.create_map(*(F.lit(x) for pair in _FILES for x in pair))
+    points = [CH.item_points(F.col("text"), item, *arrays, files).alias(f"p{i}") for i, item in enumerate(RUBRIC)]
+    whole = CH.rubric_score(F.col("text"), list(RUBRIC), *arrays, files)
+    return c.select("p_partkey", *points, _round(whole["value"]).alias("value"), whole["below"].cast("long").alias("below"))
+
+
+def chapter_violations(spark, sf_dir):
+    one = lambda names, column: spark.createDataFrame([(x,) for x in names], f"{column} string")
+    return CH.violations(_chapters(spark, sf_dir), "p_partkey", "text", one(_LABELS, "id"), one(_REFERENCES, "key"), spark.createDataFrame(list(_FILES), "path string, n_lines int"))
+
+
+def run_records(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    k = F.col("k").cast("string")
+    usage = F.element_at(F.array(
+        F.concat(F.lit('{"input_tokens": '), k, F.lit(', "output_tokens": 0, "cache_read_input_tokens": 2.5, "cache_creation_input_tokens": "7"}')), F.concat(F.lit('{"input_tokens": -1, "output_tokens": true, "cache_read_input_tokens": '), k, F.lit(".0}")),
+        F.lit('{"tokens_in": 5}'), F.lit("{}"), F.lit("null"),
+    ), (F.col("k") % 5 + 1).cast("int"))
+    payload = F.concat(
+        F.lit('{"type": "result", "is_error": '), F.when(F.col("k") % 7 == 0, "true").otherwise("false"), F.lit(', "api_error_status": '), F.when(F.col("k") % 2 == 0, "429").otherwise("500"), F.lit(', "result": "'),
+        F.when(F.col("k") % 3 == 0, "Usage LIMIT reached").otherwise("fine"), F.lit('", "num_turns": '), k, F.lit('.7, "total_cost_usd": '), F.when(F.col("k") % 11 == 0, '"NaN"').otherwise(F.concat(k, F.lit("e-2"))), F.lit(', "modelUsage": {"m-'), k, F.lit('": 1, "other": 2}, "usage": '), usage, F.lit("}"),
+    )
+    payload = F.when(F.col("k") == 99, "cut short {").otherwise(payload)
+    out = RU.run_rows(e.select("event_id", payload.alias("payload"), (F.col("event_id") % 13 == 0).cast("int").alias("returncode")))
+    return out.select("event_id", "run_status", _round("cost_usd").alias("cost_usd"), "num_turns", "model_resolved", "usage_drifted", *RE.USAGE.values(), RE.is_hard_limit(F.get_json_object("payload", "$.result")).alias("hard_limit"))
+
+
+def sweep_summary(spark, sf_dir):
+    runs = event_ledger(spark, sf_dir)
+    action = F.when(F.col("k") % 4 == 0, "skip").when(F.col("k") % 4 == 1, "regrade").otherwise("run")
+    return RU.sweep_summary(runs.select(action.alias("action"), "run_status", "grade_status"))
+
+
+def tool_counts(spark, sf_dir):
+    runs = event_ledger(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("tools"))
+    tools = F.when(F.col("user_id") % 5 == 0, F.lit(None)).when(F.col("user_id") % 5 == 1, F.array().cast("array<string>")).otherwise(F.col("tools"))
+    counts = RU.tool_counts(tools)
+    text = F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return runs.select("user_id", text.alias("counts"), F.array_join(F.array_sort(SA.disallowed_tools(tools, ("click", "view", "zoom"))), ",").alias("disallowed"), F.size(SA.unknown_tools(tools, ("click", "view"))).cast("long").alias("n_unknown"))
+
+
+def spend_projection(spark, sf_dir):
+    tasks, models, efforts, variants, support = _axes(spark, sf_dir)
+    cells = GD.expand(tasks, models, efforts, variants, 2, support, ("asia",))
+    first = RU.calibration_cell(cells).select("task_id", "model", "effort", F.array_join(F.transform("pos", lambda x: x.cast("string")), ".").alias("pos"))
+    projected = RU.projection(cells, 0.25, 1.5, None)
+    return projected.select("*", first.select(F.concat_ws("|", *first.columns)).scalar().alias("first"))
+
+
+def regrade_selection(spark, sf_dir):
+    ledger = orders_ledger(spark, sf_dir).withColumn("epoch", F.col("tie_part") % 4).withColumn("seq", F.struct("ts", "run_id", *TIES))
+    tasks = spark.createDataFrame([("1-URGENT",), ("5-LOW",), ("9-NONE",)], "task_id string")
+    chosen = RU.regrade_selection(ledger.select(*CELL, "epoch", "run_status", "seq", "run_id", "grader_version", "grade_status"), tasks)
+    score = GA.score(F.lit(1.0), details={"by": F.lit("test")})
+    rows = RU.regraded(chosen.withColumn("score", score), "score", "v9", "2030-01-01")
+    return rows.select(*CELL, "epoch", "run_id", "value", "grade_status", "grader_version", F.get_json_object("details", "$.regrade_of").alias("regrade_of"))
+
+
+def task_filter(spark, sf_dir):
+    marked = SA.only_tasks(CE.report(SA.require_tasks(orders_ledger(spark, sf_dir), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")), TIES), ("1-URGENT",))
+    drawn = FR.drawing(marked.withColumn("x", F.col("mean_latency")), "latency_low", "latency_high")
+    return _rounded(drawn.select(*CELL, "pareto", "log_x", F.coalesce(F.col("bar_low") >= 0, F.lit(True)).alias("bars_fit"), F.col("n_dropped")))
+
+
+def label_prompt(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    gold = GA.gold_labels(c.withColumn("label", (F.col("role") == "user").cast("int")), "conv_id", "turn", "label")
+    listed = gold.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"].cast("string")), "").alias("gold"))
+    prompts = GA.label_prompt(c, "conv_id", "turn", "text").select("conv_id", F.md5("prompt").alias("prompt"))
+    return prompts.join(listed, "conv_id")
+
+
+def small_functions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat(F.when(F.col("p_partkey") % 3 == 0, "a:b").when(F.col("p_partkey") % 3 == 1, "with space").otherwise("srv"), F.lit(": http://"), F.col("p_brand"))
+    levels = FR.effort_order(F.when(F.col("p_size") < 20, "high").when(F.col("p_size") < 40, "zeal").otherwise("low"), ("low", "high"))
+    return p.select(
+        "p_partkey", RE.server_name(line).alias("server"), RE.pause((F.col("p_partkey") % 9).cast("int"), 2.0).alias("pause"), RE.slug(F.concat(F.lit(" "), F.col("p_name"), F.lit("/"), F.col("p_brand"))).alias("slug"),
+        RE.cell_label(F.col("p_name"), F.col("p_brand"), F.lit("low"), F.lit("none"), F.col("p_size").cast("bigint")).alias("label"), RE.digest_of(F.array("p_name", F.lit(None).cast("string"), "p_type")).alias("digest"),
+        levels["level"].cast("long").alias("level"), levels["name"].alias("level_name"), TX.is_close(F.col("p_retailprice"), F.col("p_retailprice") * 1.0001, 1e-3).alias("near"), TX.rendered(F.lit("{a}-{b}"), {"a": F.col("p_brand"), "b": F.lit("{a}")}).alias("rendered"),
+        RE.finite_count(F.concat(F.col("p_retailprice").cast("string"), F.when(F.col("p_size") == 1, "x").otherwise(""))).alias("whole"), F.md5(TX.normalized(F.concat(F.lit("\u00a0 "), F.col("p_name"), F.lit("\t\n x ")))).alias("normal"),
+    )
+
+
+def json_payloads(spark, sf_dir):
+    r = _replies(spark, sf_dir)
+    obj = F.concat(F.lit('{"a":'), F.col("k").cast("string"), F.lit("}"))
+    text = F.element_at(F.array(obj, F.concat(F.lit("log line\n"), obj, F.lit("\nnot {json")), F.concat(F.lit("pre "), obj, F.lit(" post")), F.concat(F.lit("x ["), F.col("k").cast("string"), F.lit("] "), obj), F.lit("none [here"), F.lit("")), (F.col("k") % 6 + 1).cast("int"))
+    return r.select("conv_id", "turn", F.get_json_object(JT.payload_object(text), "$.a").alias("payload"), F.regexp_replace(JT.lenient_json(text), " ", "").alias("lenient"))
 
 
 def chapter_fence(spark, sf_dir):
@@ -210,8 +414,9 @@ def stream_json_parse(spark, sf_dir):
 def queries() -> dict:
     plain = (
         cell_report, dropped_runs, fully_dropped_cells, ledger_latest_grade, last_ok_by_key, ab_compare, advise_total, epoch_interval, infra_breaker, tool_histogram, status_tallies,
-        balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws,
-        shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse,
+        balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws, ledger_leaks,
+        shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
+        chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -228,7 +433,7 @@ SELECT task_id, model, effort, variant, round(x + 1e-9, 4) AS x, round(mean_valu
 
 def _advice_sql(axis: str, tail: str) -> str:
     return LEDGER_SQL + f""", marked AS (
-  SELECT *, coalesce({_X[axis]}, 'Infinity'::DOUBLE) AS axis_key, {_X["throughput"]} AS tokens, max(mean_value) OVER (PARTITION BY task_id, variant) AS best,
+  SELECT *, coalesce({_X[axis]}, 'Infinity'::DOUBLE) AS axis_key, {_X["throughput"]} AS tokens, max(mean_value) OVER (PARTITION BY task_id, variant) AS best, count(*) OVER (PARTITION BY task_id, variant) AS n_cells,
     leakage OR n_spec > 1 OR n_grader_versions > 1 OR n_unparseable > 0 AS suspect,
     CASE WHEN model = 'R' AND effort = 'F' THEN 0 WHEN model = 'R' THEN 1 ELSE 2 END AS tier, CASE effort WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE -1 END AS level FROM cells
 ), reflex AS (
@@ -237,16 +442,20 @@ def _advice_sql(axis: str, tail: str) -> str:
   SELECT *, count(*) OVER (PARTITION BY task_id, variant) AS n_candidates FROM marked WHERE mean_value >= best - 0.2
   QUALIFY row_number() OVER (PARTITION BY task_id, variant ORDER BY axis_key, mean_latency, mean_cost, model, effort) = 1
 ), advice AS (
-  SELECT r.task_id, r.variant, r.best AS best_value, c.n_candidates, r.model AS reflex_model, r.effort AS reflex_effort, r.tier > 0 AS fallback, c.model AS rec_model, c.effort AS rec_effort,
+  SELECT r.task_id, r.variant, r.best AS best_value, r.n_cells, c.n_candidates, c.mean_value - r.mean_value AS quality_delta, r.model AS reflex_model, r.effort AS reflex_effort, r.tier > 0 AS fallback, c.model AS rec_model, c.effort AS rec_effort,
     c.mean_value AS rec_value, r.mean_cost - c.mean_cost AS save_cost, r.mean_latency - c.mean_latency AS save_latency, r.tokens - c.tokens AS save_tokens,
     CASE WHEN c.mean_cost > 0 THEN r.mean_cost / c.mean_cost END AS cost_multiple, r.best <= 0.2 AS vacuous, r.suspect OR c.suspect AS suspect
   FROM reflex r JOIN choice c ON r.task_id = c.task_id AND r.variant = c.variant
 ), led AS (SELECT *, {_LEAD[axis]} AS lead_saving FROM advice) {tail}"""
 
 
-_ADVICE_TAIL = """SELECT task_id, variant, round(best_value + 1e-9, 4) AS best_value, n_candidates, reflex_model, reflex_effort, fallback, rec_model, rec_effort, round(rec_value + 1e-9, 4) AS rec_value, round(save_cost + 1e-9, 4) AS save_cost,
-  round(save_latency + 1e-9, 4) AS save_latency, round(save_tokens + 1e-9, 4) AS save_tokens, round(cost_multiple + 1e-9, 4) AS cost_multiple, vacuous, suspect, round(lead_saving + 1e-9, 4) AS lead_saving FROM led"""
+_ADVICE_TAIL = """SELECT task_id, variant, round(best_value + 1e-9, 4) AS best_value, n_cells, n_candidates, round(quality_delta + 1e-9, 4) AS quality_delta, reflex_model, reflex_effort, fallback, rec_model, rec_effort, round(rec_value + 1e-9, 4) AS rec_value, round(save_cost + 1e-9, 4) AS save_cost,
+  round(save_latency + 1e-9, 4) AS save_latency, round(save_tokens + 1e-9, 4) AS save_tokens, round(cost_multiple + 1e-9, 4) AS cost_multiple, vacuous, suspect, round(lead_saving + 1e-9, 4) AS lead_saving,
+  CASE WHEN vacuous THEN 'n/a: best config scores ≤ margin' WHEN rec_model = reflex_model AND rec_effort = reflex_effort THEN CASE WHEN n_cells > 1 THEN 'reflex is already the {best}' ELSE 'only one config ran' END
+    ELSE CASE WHEN quality_delta > 0 THEN '+' || printf('%.3f', quality_delta) || ' quality vs reflex' WHEN quality_delta < 0 THEN printf('%.3f', -quality_delta) || ' quality drop (≤ margin 0.2)' ELSE 'same quality as reflex' END || ', ' ||
+      CASE WHEN lead_saving IS NULL THEN '{axis} unmeasured (incomplete token coverage)' WHEN lead_saving > 0 THEN '{better}' WHEN lead_saving = 0 THEN '{equal}' ELSE '{worse}' END END || CASE WHEN suspect THEN ' ⚠suspect' ELSE '' END AS note FROM led"""
 _CELL = "task_id, model, effort, variant"
+_MEASURED = {"value": "value", "cost": "cost_usd", "latency": "latency_s", "output_tokens": "output_tokens", "total_tokens": "input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens"}
 _GRID = """
 WITH tasks AS (SELECT n_name AS task_id, CASE WHEN n_nationkey % 2 = 1 THEN 'r' || (n_nationkey % 3) END AS repo FROM nation),
 pairs AS (
@@ -262,28 +471,16 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "cell_report": LEDGER_SQL + f"""SELECT {_CELL}, n_epochs, round(mean_value + 1e-9, 4) AS mean_value, round(std_value + 1e-9, 4) AS std_value, round(mean_cost + 1e-9, 4) AS mean_cost, round(mean_latency + 1e-9, 4) AS mean_latency, n_spec,
   n_grader_versions, n_unparseable, round(mean_output_tokens + 1e-9, 4) AS mean_output_tokens, n_token_epochs, round(mean_total_tokens + 1e-9, 4) AS mean_total_tokens, n_total_token_epochs,
-  round(mean_shuffled_auroc + 1e-9, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped,
+  round(mean_shuffled_auroc + 1e-9, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped, {", ".join(f"CASE WHEN k_{m} > 30 THEN round(m_{m} {sign} 1.959963984540054 * s_{m} / sqrt(k_{m}) + 1e-9, 4) END AS {m}_{end}" for m in CE.MEASURES for end, sign in (("low", "-"), ("high", "+")))},
   NOT EXISTS (SELECT 1 FROM cells o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.mean_latency <= c.mean_latency AND (o.mean_value > c.mean_value OR o.mean_latency < c.mean_latency)) AS pareto
-FROM cells c LEFT JOIN dropped USING ({_CELL})""",
+FROM cells c JOIN (SELECT {_CELL}, {", ".join(f"count({x}) AS k_{m}, avg({x}) AS m_{m}, stddev_samp({x}) AS s_{m}" for m, x in _MEASURED.items())} FROM grades GROUP BY ALL) w USING ({_CELL}) LEFT JOIN dropped USING ({_CELL})""",
         "dropped_runs": LEDGER_SQL + "SELECT * FROM dropped",
         "fully_dropped_cells": LEDGER_SQL + """, wide AS (SELECT *, concat_ws('-', variant, grader_version, run_id) AS v FROM ledger), best AS (SELECT DISTINCT task_id, model, effort, concat_ws('-', variant, grader_version, run_id) AS v FROM grades)
 SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped FROM wide w WHERE run_status <> 'ok'
   AND NOT EXISTS (SELECT 1 FROM best b WHERE b.task_id = w.task_id AND b.model = w.model AND b.effort = w.effort AND b.v = w.v) GROUP BY ALL""",
         "ledger_latest_grade": EVENT_SQL + """SELECT run_id, event_id, ts, grade_status, value FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'""",
         "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
-        "ab_compare": LEDGER_SQL + """, pairs AS (
-  SELECT task_id, model, effort, avg(value) FILTER (variant = 'F') AS ma, avg(value) FILTER (variant = 'O') AS mb, count(*) FILTER (grade_status = 'unparseable') AS bad FROM grades WHERE variant IN ('F', 'O') GROUP BY ALL
-), kept AS (SELECT *, round(mb - ma, 12) AS diff FROM pairs WHERE ma IS NOT NULL AND mb IS NOT NULL),
-tasks AS (SELECT task_id, count(*) AS n_pairs, avg(ma) AS mean_a, avg(mb) AS mean_b, avg(diff) AS delta, count(*) FILTER (diff <> 0) AS n_nonzero, sum(bad)::BIGINT AS n_unparseable, list(diff ORDER BY model, effort) FILTER (diff <> 0) AS d FROM kept GROUP BY task_id),
-tested AS (SELECT *, (SELECT avg((abs(s) / n_nonzero >= abs(list_sum(d)) / n_nonzero - 1e-12)::INT::DOUBLE) FROM
-  (SELECT list_sum(list_transform(d, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END)) AS s FROM (SELECT unnest(range((1 << n_nonzero)::BIGINT)) AS m))) AS p FROM tasks)
-SELECT task_id, n_pairs, round(mean_a + 1e-9, 4) AS mean_a, round(mean_b + 1e-9, 4) AS mean_b, round(delta + 1e-9, 4) AS delta, n_nonzero, n_unparseable, round(p + 1e-9, 4) AS p_value, coalesce(p <= 0.05, false) AS real,
-  concat_ws('; ', CASE WHEN n_nonzero = 0 THEN 'no directional evidence: all differences are zero' END, CASE WHEN n_nonzero BETWEEN 1 AND 5 THEN 'cannot reach p <= 0.05 with ' || n_nonzero || ' nonzero pairs' END, CASE WHEN n_nonzero > 0 THEN 'exact sign-flip test' END) AS note FROM tested""",
         "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous) + 1e-9, 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
-        "epoch_interval": EVENT_SQL + """, grades AS (SELECT * FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'),
-v AS (SELECT user_id, list(round(value, 6) ORDER BY value) AS v, count(*) AS n FROM grades GROUP BY user_id HAVING count(*) BETWEEN 3 AND 5),
-m AS (SELECT user_id, list_sum(list_transform(v, lambda x, i: v[1 + (floor(m / pow(n, i - 1))::BIGINT % n)])) / n AS mean FROM (SELECT *, unnest(range(pow(n, n)::BIGINT)) AS m FROM v))
-SELECT user_id, round(quantile_disc(mean, 0.025) + 1e-9, 4) AS low, round(quantile_disc(mean, 0.975) + 1e-9, 4) AS high FROM m GROUP BY user_id""",
         "infra_breaker": EVENT_SQL + """, i AS (SELECT *, sum((run_status = 'ok')::INT) OVER w AS island, row_number() OVER w AS pos FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 s AS (SELECT *, sum((run_status IN ('infra_error', 'timeout'))::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM i)
 SELECT user_id, count(*) AS n_runs, max(streak)::BIGINT AS longest, min(pos) FILTER (streak >= 5)::BIGINT AS halt_at FROM s GROUP BY user_id""",
@@ -294,6 +491,9 @@ SELECT row_number() OVER (ORDER BY md5('42o:' || doc_id), doc_id) - 1 AS idx, do
         "clf_confusion": """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels)
 SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn) + 1e-9, 4) AS accuracy, round(tp / (tp + fp) + 1e-9, 4) AS precision, round(tp / (tp + fn) + 1e-9, 4) AS recall, round(2 * tp / (2 * tp + fp + fn) + 1e-9, 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2 + 1e-9, 4) AS auroc FROM c""",
         "grid_expand": _GRID + "SELECT * FROM grid",
+        "spend_projection": _GRID + """SELECT count(*) AS n_cells, count(*) * 0.25::DOUBLE AS cost_usd, count(*) * 1.5::DOUBLE AS latency_s, NULL::BIGINT AS tokens,
+  (SELECT concat_ws('|', g.task_id, g.model, g.effort, n_nationkey || '.' || list_position(['none', 'r0@main', 'r1@main', 'r1@dev@x'], variant) - 1 || '.' || r_regionkey || '.' || list_position(['low', 'medium', 'high'], g.effort) - 1 || '.' || epoch)
+   FROM grid g JOIN nation ON n_name = g.task_id JOIN region ON lower(r_name) = g.model ORDER BY n_nationkey, list_position(['none', 'r0@main', 'r1@main', 'r1@dev@x'], variant), r_regionkey, list_position(['low', 'medium', 'high'], g.effort), epoch LIMIT 1) AS first FROM grid""",
         "grid_sizes": _GRID + f"SELECT {_CELL}, count(*) AS n_cells FROM grid GROUP BY ALL",
         "resume_plan": LEDGER_SQL + f""", l AS (SELECT *, tie_part % 4 AS epoch FROM ledger), ok AS (SELECT * FROM l WHERE run_status = 'ok'),
 g AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY {_CELL}, epoch, grader_version ORDER BY ts DESC, run_id DESC, tie_part DESC, tie_supplier DESC, tie_price DESC) = 1),
@@ -304,19 +504,14 @@ LEFT JOIN g ON g.task_id = c.task_id AND g.model = c.model AND g.effort = c.effo
 LEFT JOIN r ON r.task_id = c.task_id AND r.model = c.model AND r.effort = c.effort AND r.variant = c.variant AND r.epoch = c.epoch""",
         "verdict_parse": """WITH t AS (SELECT conv_id, turn, lower(trim(['Injection: ', ' safe ', 'is it an INJECTION? ', 'looks safe ', 'injection or safe ', ''][turn % 6 + 1] || role)) AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN starts_with(t, 'injection') THEN 1 WHEN starts_with(t, 'safe') THEN 0 WHEN contains(t, 'injection') AND NOT contains(t, 'safe') THEN 1 WHEN contains(t, 'safe') AND NOT contains(t, 'injection') THEN 0 END AS verdict FROM t""",
-        "answer_forms": "SELECT p_partkey, p_partkey * 997 AS bare, regexp_replace(p_name, '\\s+', '', 'g') AS squashed, (p_partkey * 1000)::DOUBLE AS number FROM part",
+        "answer_forms": "SELECT p_partkey, (p_partkey * 997)::VARCHAR AS bare, regexp_replace(p_name, '\\s+', '', 'g') AS squashed, (p_partkey * 1000)::DOUBLE AS number FROM part",
         "spec_fingerprint": "SELECT p_partkey, substr(sha256(concat_ws(chr(31), p_name, p_brand, p_type)), 1, 16) AS fingerprint FROM part",
         "sanitize_violations": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, '@') OR contains(text, 'License') OR length(text) > 5000",
         "hashed_draws": "SELECT s_suppkey, round(('0x' || substr(md5('42:' || s_suppkey), 1, 8))::BIGINT / 4294967296, 6) AS u FROM supplier",
-        "shuffled_auroc": """WITH r AS (SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id, quality, toxic) AS pos, quality AS g, toxic AS p FROM labels JOIN documents d USING (doc_id)),
-s AS (SELECT lang, b, g, row_number() OVER (PARTITION BY lang, b ORDER BY md5('12345:' || b || ':' || pos), pos) AS place FROM r, range(200) t(b)),
-c AS (SELECT s.lang, b, count(*) AS n, count(*) FILTER (s.g = 1 AND p = 1) / nullif(count(*) FILTER (s.g = 1), 0) AS one, count(*) FILTER (s.g = 0 AND p = 0) / nullif(count(*) FILTER (s.g = 0), 0) AS zero FROM s JOIN r ON r.lang = s.lang AND pos = place GROUP BY s.lang, b)
-SELECT lang, max(n) AS n, round(avg((one + zero) / 2) + 1e-9, 4) AS shuffled_auroc FROM c GROUP BY lang""",
-        "answer_set": "SELECT p_partkey, '0' || p_partkey AS first, trim(p_name) AS second, CASE WHEN trim(p_name) = p_brand THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM part",
         "chapter_fence": "SELECT p_partkey, '# ' || p_name || chr(10) || p_brand AS chapter, 2::BIGINT AS n_blocks FROM part",
         "tag_census": r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?sm)^[ \t]*```.*?^[ \t]*```', '', 'g') AS h FROM pages)
 SELECT page_id, len(regexp_extract_all(h, '<a\b([^>]*?)/?>'))::BIGINT AS n_a, len(regexp_extract_all(h, '<p\b([^>]*?)/?>'))::BIGINT AS n_p, len(regexp_extract_all(h, '<div\b([^>]*?)/?>'))::BIGINT AS n_div,
   len(list_filter(regexp_extract_all(h, '<a\b([^>]*?)/?>'), lambda x: regexp_matches(x, '\bhref\s*=\s*("[^"]*"|''[^'']*''|\{[^}]*\})')))::BIGINT AS n_href FROM h""",
         "stream_json_parse": """SELECT conv_id, '{"type":"result","n":' || max(turn) FILTER (turn % 3 = 1) || '}' AS payload, coalesce(string_agg(role, ',' ORDER BY turn, role) FILTER (turn % 3 = 0), '') AS tools FROM conversations GROUP BY conv_id""",
     }
-    return out | {f"pareto_{a}": _pareto_sql(a) for a in FR.AXES} | {f"advise_{a}": _advice_sql(a, _ADVICE_TAIL) for a in FR.AXES}
+    return out | SQL | {f"pareto_{a}": _pareto_sql(a) for a in FR.AXES} | {f"advise_{a}": _advice_sql(a, _ADVICE_TAIL.format(axis=a, **dict(zip(("better", "worse", "equal", "best"), AD.WORDS[a])))) for a in FR.AXES}

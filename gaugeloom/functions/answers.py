@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The formats of replies.
 NUMBERED = r"(?im)^[ \t>*\-]*answer[ \t]*#?[ \t]*(\d+)[ \t]*[:=][ \t]*(.+?)[ \t]*$"
+#: Of opening tags, after the name: attributes up to the end, which may close itself.
+OPENING = r"\b([^>]*?)/?>"
 ATTRIBUTE = r"""\b(\w+)\s*=\s*("[^"]*"|'[^']*'|\{[^}]*\})"""
 COMMENT = r"(?s)<!--.*?-->"
 FENCED = r"(?sm)^[ \t]*```.*?^[ \t]*```"
@@ -68,7 +70,7 @@ def rendered_only(text: Column) -> Column:
 
 def tags(text: Column, kind: str) -> Column:
     """Attributes of every opening tag of ``kind``, in order, as an array of maps; the last of a name wins."""
-    blobs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"<{kind}\b([^>]*?)/?>"), F.lit(1))
+    blobs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"<{kind}{OPENING}"), F.lit(1))
 
     def attributes(blob: Column) -> Column:
         part = lambda group: F.regexp_extract_all(blob, F.lit(ATTRIBUTE), F.lit(group))

@@ -33,10 +33,10 @@ def sign_flip_p(diffs: str, draws: int = 100_000) -> Column:
     END)[0]""")
 
 
-def bootstrap_means(values: str, resamples: int = 2000) -> Column:
-    """The means of all n^n resamples of an array column (n up to 5), or of ``resamples`` hashed ones; null under three values."""
+def bootstrap_means(values: str, resamples: int = 2000, least: int = 3) -> Column:
+    """The means of all n^n resamples of an array column (n up to 5), or of ``resamples`` hashed ones; null under ``least`` values."""
     return F.expr(f"""
-    CASE WHEN size({values}) < 3 THEN NULL
+    CASE WHEN size({values}) < {least} THEN NULL
     WHEN size({values}) <= 5 THEN transform(sequence(0, cast(pow(size({values}), size({values})) AS int) - 1),
       m -> aggregate(transform({values}, (x, i) -> {values}[cast(floor(m / pow(size({values}), i)) AS int) % size({values})]), 0D, (s, x) -> s + x) / size({values}))
     ELSE transform(sequence(1, {resamples}),

@@ -21,14 +21,20 @@ def verdict(text: Column) -> Column:
 def squashed(text: Column) -> Column:
     """An answer without comment tail, quotes, trailing dots and white space."""
     t = F.regexp_replace(text, r"\s+#.*$", "")
-    t = F.regexp_replace(t, "^[ `'\"]+|[ `'\"]+$", "")
+    t = F.regexp_replace(t, r"^[\s`'\"]+|[\s`'\"]+$", "")
     return F.regexp_replace(F.regexp_replace(t, r"\.+$", ""), r"\s+", "")
 
 
+# What may stand around an integer answer, and the format of one.
+WRAPPERS = r"[\s*_`'\"$]+"
+BARE_INTEGER = r"^[+-]?(\d+|\d{1,3}(,\d{3})+)$"
+
+
 def bare_integer(text: Column) -> Column:
-    """The integer that an answer is, with or without thousands separators; else null."""
-    t = F.regexp_replace(F.trim(text), r"^[`'\"*]+|[`'\"*.]+$", "")
-    return F.when(t.rlike(r"^[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)$"), F.regexp_replace(t, "[,+]", "").try_cast("long"))
+    """The integer that an answer is, with or without thousands separators, as digits without leading zeros (so of any length); else null."""
+    t = F.regexp_replace(text, rf"\A{WRAPPERS}|{WRAPPERS}\z", "")
+    digits = F.regexp_replace(F.regexp_replace(t, "[,+-]", ""), "^0+(?=.)", "")
+    return F.when(t.rlike(BARE_INTEGER), F.concat(F.when(t.startswith("-") & (digits != "0"), "-").otherwise(""), digits))
 
 
 def first_number(text: Column) -> Column:

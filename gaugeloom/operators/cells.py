@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import bootstrap_means, percentile_interval
 from ..schema import CELL, TOKENS
-from .dedupe import latest_grade
+from .dedupe import marked_runs
 
 LEAKAGE_BAND = 0.05
+#: Intervals of cells with more epochs are those of the normal law, which resampling comes to; no list of a large cell is gathered.
+SMALL_CELL = 30
+#: Names of the intervals, with what they are of.
+MEASURES = {"value": "value", "cost": "cost_usd", "latency": "latency_s", "output_tokens": "output_tokens", "total_tokens": "total_tokens"}
+_Z = 1.959963984540054
 
 
 def strict_mean(c: str) -> Column:
@@ -17,8 +23,8 @@ def strict_mean(c: str) -> Column:
 
 
 def distinct_with_null(c: str) -> Column:
-    """Number of distinct values, null counted as one."""
-    return F.count_distinct(c) + F.max(F.col(c).isNull().cast("long"))
+    """Number of distinct values, null counted as one; there are few, so they are gathered rather than repeated for a distinct aggregate."""
+    return (F.size(F.collect_set(c)) + F.max(F.col(c).isNull().cast("int"))).cast("long")
 
 
 def dropped_runs(rows: DataFrame) -> DataFrame:
@@ -31,34 +37,63 @@ def fully_dropped(rows: DataFrame, grades: DataFrame) -> DataFrame:
     return dropped_runs(rows).join(grades.select(*CELL).distinct(), list(CELL), "left_anti")
 
 
-def aggregate(grades: DataFrame) -> DataFrame:
-    """One row a cell: means, spread, coverage of tokens, versions and the leakage flag."""
+def _derived(grades: DataFrame) -> DataFrame:
     rows = grades.withColumn("total_tokens", sum((F.col(t) for t in TOKENS[1:]), F.col(TOKENS[0])))
-    rows = rows.withColumn("shuffled", F.get_json_object("subscores", "$.shuffled_auroc").try_cast("double"))
-    return rows.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n_epochs"),
-        strict_mean("value").alias("mean_value"),
-        F.stddev_samp("value").alias("std_value"),
-        strict_mean("cost_usd").alias("mean_cost"),
-        strict_mean("latency_s").alias("mean_latency"),
-        distinct_with_null("spec_sha").alias("n_spec"),
-        distinct_with_null("grader_version").alias("n_grader_versions"),
-        F.count_if(F.col("grade_status") == "unparseable").alias("n_unparseable"),
-        F.avg("output_tokens").alias("mean_output_tokens"),
-        F.count("output_tokens").alias("n_token_epochs"),
-        F.avg("total_tokens").alias("mean_total_tokens"),
-        F.count("total_tokens").alias("n_total_token_epochs"),
-        F.avg("shuffled").alias("mean_shuffled_auroc"),
-        F.coalesce(F.max(F.abs(F.col("shuffled") - 0.5)) > LEAKAGE_BAND, F.lit(False)).alias("leakage"),
-    )
+    return rows.withColumn("shuffled", F.get_json_object("subscores", "$.shuffled_auroc").try_cast("double"))
+
+
+def _measures(chosen: Column | None = None) -> list[Column]:
+    """Aggregates of a cell over derived columns, of which those of rows that aren't ``chosen`` are null."""
+    n = F.count(F.lit(1)) if chosen is None else F.count_if(chosen)
+    versions = distinct_with_null if chosen is None else lambda c: (F.size(F.collect_set(c)) + F.max((chosen & F.col(c).isNull()).cast("int"))).cast("long")
+    strict = lambda c: F.when(F.count(c) < n, F.lit(float("nan"))).otherwise(F.avg(c))
+
+    def wide(c: str, sign: int) -> Column:
+        return F.when(F.count(c) > SMALL_CELL, F.avg(c) + F.lit(sign * _Z) * F.stddev_samp(c) / F.sqrt(F.count(c)))
+
+    return [
+        n.alias("n_epochs"), strict("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), strict("cost_usd").alias("mean_cost"), strict("latency_s").alias("mean_latency"),
+        versions("spec_sha").alias("n_spec"), versions("grader_version").alias("n_grader_versions"), F.count_if(F.col("grade_status") == "unparseable").alias("n_unparseable"),
+        F.avg("output_tokens").alias("mean_output_tokens"), F.count("output_tokens").alias("n_token_epochs"), F.avg("total_tokens").alias("mean_total_tokens"), F.count("total_tokens").alias("n_total_token_epochs"),
+        F.avg("shuffled").alias("mean_shuffled_auroc"), F.coalesce(F.max(F.abs(F.col("shuffled") - 0.5)) > LEAKAGE_BAND, F.lit(False)).alias("leakage"),
+        *(wide(c, sign).alias(f"{name}_{end}") for name, c in MEASURES.items() for end, sign in (("low", -1), ("high", 1))),
+    ]
+
+
+def aggregate(grades: DataFrame) -> DataFrame:
+    """One row a cell: means, spread, coverage of tokens, versions, the leakage flag, and the intervals of means over more than SMALL_CELL epochs."""
+    return _derived(grades).groupBy(*CELL).agg(*_measures())
+
+
+def small_intervals(grades: DataFrame, cells: DataFrame, resamples: int = 2000) -> DataFrame:
+    """CELL with the bootstrap intervals of cells of 3 to SMALL_CELL epochs, so the lists that are gathered are bounded; a measure with fewer than three values has none."""
+    small = cells.filter(F.col("n_epochs").between(3, SMALL_CELL)).select(*CELL)
+    lists = _derived(grades).join(small, list(CELL), "left_semi").groupBy(*CELL).agg(*(F.array_sort(F.collect_list(F.struct("run_id", F.col(c).cast("double").alias("x")))).alias(f"_{name}") for name, c in MEASURES.items()))
+    lists = lists.select(*CELL, *(F.filter(F.transform(f"_{name}", lambda s: s["x"]), lambda x: x.isNotNull()).alias(name) for name in MEASURES))
+    means = lists.select(*CELL, *(bootstrap_means(name, resamples).alias(name) for name in MEASURES))
+    bounds = {f"{name}_{end}": bound for name in MEASURES for end, bound in zip(("low", "high"), percentile_interval(F.col(name)))}
+    return means.select(*CELL, *(bound.alias(name) for name, bound in bounds.items()))
+
+
+def with_small_intervals(cells: DataFrame, grades: DataFrame, resamples: int = 2000) -> DataFrame:
+    """``cells`` with the intervals of small cells too."""
+    small = small_intervals(grades, cells, resamples)
+    names = [c for c in small.columns if c not in CELL]
+    joined = cells.join(small.select(*CELL, *(F.col(c).alias(f"_{c}") for c in names)), list(CELL), "left")
+    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in names}).drop(*(f"_{c}" for c in names))
 
 
 def report(rows: DataFrame, ties: tuple[str, ...] = (), axis: str = "latency") -> DataFrame:
-    """The cells of a ledger with dropped runs and the Pareto mark on one axis."""
+    """The cells of a ledger with dropped runs and the Pareto mark on one axis, by one scan and one exchange of the ledger.
+
+    Intervals of cells of up to SMALL_CELL epochs are added by ``with_small_intervals``, where grades are at hand.
+    """
     from .frontier import mark_frontier
 
-    cells = aggregate(latest_grade(rows, ties))
-    cells = cells.join(dropped_runs(rows), list(CELL), "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)))
+    marked = marked_runs(rows, CELL, ties)
+    measured = ("value", "cost_usd", "latency_s", "spec_sha", "grader_version", "grade_status", "subscores", *TOKENS)
+    masked = _derived(marked.withColumns({c: F.when(F.col("chosen"), F.col(c)) for c in measured}))
+    cells = masked.groupBy(*CELL).agg(*_measures(F.col("chosen")), F.count_if("drop").alias("n_dropped")).filter("n_epochs > 0")
     return mark_frontier(cells, axis)
 
 

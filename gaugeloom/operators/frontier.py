@@ -35,3 +35,18 @@ def mark_frontier(cells: DataFrame, axis: str = "latency", within: tuple[str, ..
 def staircase(cells: DataFrame) -> DataFrame:
     """Frontier cells numbered by rising x, for drawing."""
     return cells.filter("pareto").withColumn("step", F.row_number().over(Window.partitionBy("task_id").orderBy("x", "model", "effort", "variant")))
+
+
+def effort_order(effort: Column, efforts: tuple[str, ...]) -> Column:
+    """The key by which drawings order efforts: known ones by their level, others behind them by name."""
+    at = F.array_position(F.array(*(F.lit(e) for e in efforts)), effort)
+    return F.struct(F.when(at > 0, at).otherwise(len(efforts) + 1).alias("level"), F.when(at > 0, "").otherwise(effort).alias("name"))
+
+
+def drawing(cells: DataFrame, low: str, high: str) -> DataFrame:
+    """Per task whether its x axis is better logarithmic, and per cell the lengths of its error bars, none of them negative."""
+    x = F.col("x")
+    of_task = Window.partitionBy("task_id")
+    log_x = F.coalesce((F.min("x").over(of_task) > 0) & (F.max("x").over(of_task) >= 10 * F.min("x").over(of_task)), F.lit(False))
+    bar = lambda length: F.when(length.isNotNull(), F.greatest(F.lit(0.0), length))
+    return cells.withColumn("log_x", log_x).withColumn("bar_low", bar(x - F.col(low))).withColumn("bar_high", bar(F.col(high) - x))

@@ -1,32 +1,82 @@
-"""Classification grades: confusion counts, AUROC of hard labels, shuffled labels, balanced samples."""
+"""Classification grades: confusion counts, AUROC of hard labels and its interval, balanced samples."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
+#: Least items of an interval, its resamples and seed.
+LEAST_ITEMS, RESAMPLES, SEED = 10, 1000, 42
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+def confusion_of(gold: Column, predicted: Column, counts: Column | None = None) -> list[Column]:
+    """Aggregates n, tp, fp, tn, fn, accuracy, precision, recall, f1 (0/0 is 0) and auroc (null with one class); a missing prediction is the wrong label. ``counts``: which rows do."""
+    counts = F.lit(True) if counts is None else counts
+    p = F.coalesce(predicted, 1 - gold)
+    count = lambda g, v: F.count_if(counts & (gold == g) & (p == v))
+    tp, fp, tn, fn = count(1, 1), count(0, 1), count(0, 0), count(1, 0)
+    return [
+        F.count_if(counts).alias("n"), tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"), _ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"),
+        _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.when((tp + fn > 0) & (fp + tn > 0), (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("auroc"),
+    ]
+
+
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """Counts, accuracy, precision, recall, F1 (0/0 is 0) and AUROC (null with one class); a missing prediction counts as the wrong label."""
-    p = F.coalesce(F.col(predicted), 1 - F.col(gold))
-    count = lambda g, v: F.count_if((F.col(gold) == g) & (p == v))
-    c = rows.agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(0, 0).alias("tn"), count(1, 0).alias("fn"))
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    return c.select(
-        "tp", "fp", "tn", "fn", _ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"),
-        _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), F.when((tp + fn > 0) & (fp + tn > 0), (tp / (tp + fn) + tn / (tn + fp)) / 2).alias("auroc"),
-    )
+    """Counts and ratios of all rows; see ``confusion_of``."""
+    return rows.agg(*confusion_of(F.col(gold), F.col(predicted))).drop("n")
+
+
+@pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("note", T.StringType())]))
+def auroc_interval(tp: pd.Series, fp: pd.Series, tn: pd.Series, fn: pd.Series) -> pd.DataFrame:
+    """Bias-corrected and accelerated 95 % interval of the AUROC of hard labels, from the counts alone.
+
+    Items of one cell of the table are alike, so a resample is a multinomial draw of the four counts. Under LEAST_ITEMS items
+    or with one class there is none; where resamples don't vary, it is degenerate.
+    """
+
+    def auroc(c):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (c[..., 0] / (c[..., 0] + c[..., 3]) + c[..., 2] / (c[..., 2] + c[..., 1])) / 2
+
+    def of(counts):
+        n = counts.sum()
+        if n < LEAST_ITEMS or not counts[0] + counts[3] or not counts[1] + counts[2]:
+            return None, None, None
+        draws = auroc(np.random.default_rng(SEED).multinomial(int(n), counts / n, RESAMPLES).astype(float))
+        draws, point = np.sort(draws[~np.isnan(draws)]), auroc(counts)
+        left = [auroc(counts - np.eye(4)[i]) if counts[i] else np.nan for i in range(4)]
+        spread = np.array([np.nanmean(np.repeat(left, counts.astype(int))) - x for x in left])
+        weight = np.where(np.isnan(spread), 0, counts)
+        square = np.nansum(weight * np.nan_to_num(spread) ** 2)
+        below = (np.sum(draws < point) + 0.5 * np.sum(draws == point)) / max(1, len(draws))
+        if not len(draws) or draws[0] == draws[-1] or square == 0 or not 0 < below < 1:
+            return None, None, "degenerate"
+        from statistics import NormalDist
+
+        normal = NormalDist()
+        z, a = normal.inv_cdf(below), np.nansum(weight * np.nan_to_num(spread) ** 3) / (6 * square**1.5)
+        at = [normal.cdf(z + (z + q) / (1 - a * (z + q))) for q in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+        low, high = np.quantile(draws, np.clip(at, 0, 1))
+        return float(low), float(high), None
+
+    return pd.DataFrame([of(np.array(c, float)) for c in zip(tp, fp, tn, fn)], columns=["low", "high", "note"])
 
 
 def balanced_subsample(rows: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
-    """(idx, key, label): n/2 rows of each label, chosen and ordered by hashes of the seed and the key."""
+    """(idx, key, label): n/2 rows of each of the labels 0 and 1, chosen and ordered by hashes of the seed and the key; a class that has fewer is an error."""
     if n <= 0 or n % 2:
         raise ValueError("n must be even and positive")
     h = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(key).cast("string")))
-    picked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(h(""), key))).filter(F.col("rn") <= n // 2)
+    picked = rows.filter(F.col(label).isin(0, 1)).withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(h(""), key))).filter(F.col("rn") <= n // 2)
+    short = F.assert_true(F.count(F.lit(1)).over(Window.partitionBy()) == n, F.lit(f"a class has fewer than {n // 2} rows"))
+    picked = picked.withColumn("short", short).filter("short is null")
     return picked.select((F.row_number().over(Window.orderBy(h("o"), key)) - 1).cast("long").alias("idx"), key, label)

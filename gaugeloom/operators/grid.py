@@ -17,42 +17,52 @@ def inert(model: Column, families: tuple[str, ...] = INERT_FAMILIES) -> Column:
     return model.rlike(r"(?i)\b(" + "|".join(families) + r")\b")
 
 
+def _listed(axis: DataFrame, *columns: str) -> Column:
+    """All rows of an axis of a grid, which is as short as a person writes it, as one array value, in the order of the first column."""
+    return axis.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+
+
 def expand(tasks: DataFrame, models: DataFrame, efforts: DataFrame, variants: DataFrame, epochs: int, support: DataFrame | None = None, families: tuple[str, ...] = INERT_FAMILIES) -> DataFrame:
-    """Cells of a grid in its order (pos).
+    """Cells of a grid with their place in it (pos).
 
     ``tasks`` (task_id, repo, task_pos), ``models`` (model, model_pos), ``efforts`` (effort, effort_pos),
     ``variants`` (variant, variant_pos); ``support`` (model, effort) lists what a model permits, and a model
-    without rows permits all. An inert model keeps its first permitted effort only. Pairs are pruned before
-    epochs multiply them; the axes are as small as a person writes, so their product is no join of data.
+    without rows permits all. An inert model keeps its first permitted effort only. The short axes are single array values
+    that each task unfolds after they are pruned, so nothing is joined but what a model permits.
     """
     if epochs < 1:
         raise ValueError("epochs must be at least 1")
-    pairs = models.crossJoin(efforts)
+    permitted = _listed(efforts, "effort_pos", "effort")
+    pairs = models.withColumn("efforts", permitted)
     if support is not None:
-        listed = support.select(F.col("model").alias("sm")).distinct()
-        pairs = pairs.join(support.select(F.col("model").alias("pm"), F.col("effort").alias("pe")), (F.col("model") == F.col("pm")) & (F.col("effort") == F.col("pe")), "left")
-        pairs = pairs.join(listed, F.col("model") == F.col("sm"), "left").filter("sm is null or pm is not null").drop("pm", "pe", "sm")
-    first = pairs.groupBy("model").agg(F.min("effort_pos").alias("first_pos"))
-    pairs = pairs.join(first, "model").filter(~inert(F.col("model"), families) | (F.col("effort_pos") == F.col("first_pos"))).drop("first_pos")
-    repo, ref = variant_parts(F.col("variant"))
+        listed = support.groupBy("model").agg(F.collect_set("effort").alias("permits"))
+        pairs = pairs.join(listed, "model", "left")
+        pairs = pairs.withColumn("efforts", F.filter("efforts", lambda e: F.col("permits").isNull() | F.array_contains("permits", e["effort"])))
+    pairs = pairs.withColumn("efforts", F.when(inert(F.col("model"), families), F.slice("efforts", 1, 1)).otherwise(F.col("efforts")))
+    pairs = pairs.select("model_pos", "model", F.explode("efforts").alias("e")).select("model_pos", F.col("e.effort_pos").alias("effort_pos"), "model", F.col("e.effort").alias("effort"))
+    repo, _ = variant_parts(F.col("variant"))
     usable = variants.withColumn("variant_repo", repo).filter((F.col("variant") == "none") | F.col("variant_repo").isNotNull())
-    fits = F.when(F.col("repo").isNull(), F.col("variant") == "none").otherwise(F.col("variant_repo").eqNullSafe(F.col("repo")))
-    cells = tasks.crossJoin(usable).filter(fits).crossJoin(pairs)
+    cells = tasks.withColumn("v", F.explode(_listed(usable, "variant_pos", "variant", "variant_repo")))
+    fits = F.when(F.col("repo").isNull(), F.col("v.variant") == "none").otherwise(F.col("v.variant_repo").eqNullSafe(F.col("repo")))
+    cells = cells.filter(fits).withColumn("p", F.explode(_listed(pairs, "model_pos", "effort_pos", "model", "effort")))
     cells = cells.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
-    return cells.select("task_id", "model", "effort", "variant", "epoch", F.array("task_pos", "variant_pos", "model_pos", "effort_pos", F.col("epoch").cast("int")).alias("pos"))
+    pos = F.array("task_pos", "v.variant_pos", "p.model_pos", "p.effort_pos", F.col("epoch").cast("int"))
+    return cells.select("task_id", F.col("p.model").alias("model"), F.col("p.effort").alias("effort"), F.col("v.variant").alias("variant"), "epoch", pos.alias("pos"))
 
 
 def resume(cells: DataFrame, ledger: DataFrame, sequence: str = "seq") -> DataFrame:
     """Adds ``action``: skip (settled under this grader version and spec), regrade (run, but not so graded) or run.
 
-    ``cells`` has the run key, grader_version and spec_sha.
+    ``cells`` has the run key, grader_version and spec_sha. The ledger is read once: the last row of each version of a run
+    gives the grades, and the last of these the run.
     """
-    by_grade = latest_ok(ledger, LEDGER_KEY, sequence).select(*LEDGER_KEY, F.col("spec_sha").alias("graded_spec"), F.col("grade_status").alias("graded"))
-    by_run = latest_ok(ledger, RUN_KEY, sequence).select(*RUN_KEY, F.col("spec_sha").alias("run_spec"))
-    joined = cells.join(by_grade, list(LEDGER_KEY), "left").join(by_run, list(RUN_KEY), "left")
-    settled = F.col("graded").isNotNull() & (F.col("graded_spec") == F.col("spec_sha")) & (F.col("graded") != "grader_error")
+    narrow = ledger.select(*LEDGER_KEY, "run_status", "spec_sha", "grade_status", F.col(sequence).alias("seq"))
+    by_grade = latest_ok(narrow.withColumn("at", F.col("seq")), LEDGER_KEY, "seq")
+    by_run = by_grade.groupBy(*RUN_KEY).agg(F.max_by("spec_sha", "at").alias("run_spec"), F.collect_list(F.struct("grader_version", "spec_sha", "grade_status")).alias("grades"))
+    joined = cells.join(by_run, list(RUN_KEY), "left")
+    settled = F.exists("grades", lambda g: g["grader_version"].eqNullSafe(F.col("grader_version")) & (g["spec_sha"] == F.col("spec_sha")) & (g["grade_status"] != "grader_error"))
     action = F.when(F.coalesce(settled, F.lit(False)), "skip").when(F.coalesce(F.col("run_spec") == F.col("spec_sha"), F.lit(False)), "regrade").otherwise("run")
-    return joined.withColumn("action", action).drop("graded_spec", "graded", "run_spec")
+    return joined.withColumn("action", action).drop("run_spec", "grades")
 
 
 def plan_sizes(cells: DataFrame) -> DataFrame:

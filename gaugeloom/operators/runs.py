@@ -1,4 +1,4 @@
-"""Operators on the stream of runs: circuit breaker, tools, tallies."""
+"""Operators on the stream of runs: circuit breaker, tools, tallies, dispositions, projections."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import records as RE
+
 FAILURES = ("infra_error", "timeout")
 LIMIT = 5
 
@@ -14,7 +16,8 @@ def breaker(runs: DataFrame, within: tuple[str, ...], order: tuple[str, ...], li
     """Per sequence, the longest streak of infrastructure failures and where it first reaches the limit (null: never).
 
     A success resets the streak; other statuses neither add nor reset. Islands between successes are numbered
-    by a running sum, and failures within an island by another.
+    by a running sum, and failures within an island by another. A sequence is one sweep, run by one process, so its
+    rows are few enough to be ordered by one task.
     """
     upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = runs.withColumn("island", F.sum((F.col("run_status") == "ok").cast("long")).over(upto)).withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
@@ -28,6 +31,62 @@ def tool_histogram(runs: DataFrame, key: str, tools: str) -> DataFrame:
     return runs.select(key, F.explode(tools).alias("tool")).groupBy(key, "tool").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tool_counts(tools: str | F.Column) -> F.Column:
+    """Map of tool to how often an array names it; null stays null (not measured), an empty array is an empty map."""
+    tools = F.col(tools) if isinstance(tools, str) else tools
+    count = lambda name: F.size(F.filter(tools, lambda x: x == name)).cast("long")
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(tools)), lambda name: F.struct(name.alias("key"), count(name).alias("value"))))
+
+
 def tallies(rows: DataFrame) -> DataFrame:
     """How many runs and grades have each status."""
     return rows.groupBy("run_status", "grade_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sweep_summary(planned: DataFrame) -> DataFrame:
+    """One row about cells with an ``action`` (skip, regrade, run) and, where one was taken, run_status and grade_status: counts of dispositions, which add up to n_cells, and of grades."""
+    done, action = F.col("run_status") == "ok", F.col("action")
+    graded = lambda s: F.count_if((action != "skip") & done & (F.col("grade_status") == s))
+    return planned.agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(action == "skip").alias("skipped"), F.count_if(action == "regrade").alias("regraded"), F.count_if((action == "run") & done).alias("ran"),
+        F.count_if((action == "run") & ~F.coalesce(done, F.lit(False))).alias("failed"), graded("ok").alias("graded_ok"), graded("unparseable").alias("unparseable"), graded("grader_error").alias("grader_error"),
+    )
+
+
+def calibration_cell(cells: DataFrame) -> DataFrame:
+    """The first cell of a grid, the one that an estimate runs."""
+    return cells.orderBy("pos").limit(1)
+
+
+def projection(cells: DataFrame, cost_usd: float, latency_s: float, tokens: int | None) -> DataFrame:
+    """What a sweep of ``cells`` takes if each is like the calibrated one; a null stays unknown."""
+    n = F.count(F.lit(1))
+    return cells.agg(n.alias("n_cells"), (n * F.lit(cost_usd)).alias("cost_usd"), (n * F.lit(latency_s)).alias("latency_s"), (n * F.lit(tokens).cast("long")).alias("tokens"))
+
+
+def regrade_selection(ledger: DataFrame, tasks: DataFrame, sequence: str = "seq") -> DataFrame:
+    """The last successful row of each run whose task is still in the suite; these are graded again."""
+    from ..schema import RUN_KEY
+    from .dedupe import latest_ok
+
+    return latest_ok(ledger.join(tasks.select("task_id").distinct(), "task_id", "left_semi"), RUN_KEY, sequence)
+
+
+def regraded(rows: DataFrame, score: str, version: str, ts: str) -> DataFrame:
+    """Ledger rows with the grade columns of a new ``score`` and a note of which grade it replaces; the run's columns stay."""
+    details = F.map_concat(F.map_filter(f"{score}.details", lambda k, v: k != "regrade_of"), F.create_map(F.lit("regrade_of"), F.coalesce("grader_version", F.lit(""))))
+    fresh = {"value": F.col(f"{score}.value"), "grade_status": F.col(f"{score}.status"), "subscores": F.to_json(f"{score}.subscores"), "details": F.to_json(details), "grader_version": F.lit(version), "ts": F.lit(ts)}
+    return rows.withColumns(fresh).drop(score)
+
+
+def run_rows(records: DataFrame, payload: str = "payload", returncode: str = "returncode") -> DataFrame:
+    """The columns of ``records`` with what the JSON object ``payload`` tells of a run: status, cost, turns, model, measured tokens and whether its usage has drifted."""
+    v = F.try_parse_json(payload)
+    usage = F.try_variant_get(v, "$.usage", "variant")
+    get = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    return records.withColumns({
+        "run_status": F.when(v.isNull(), "parse_fail").otherwise(RE.run_status(get("$.is_error", "boolean"), get("$.api_error_status", "bigint"), get("$.result"), F.col(returncode))),
+        "cost_usd": RE.finite(get("$.total_cost_usd")), "num_turns": RE.finite_count(get("$.num_turns")), "session_id": get("$.session_id"),
+        "model_resolved": RE.first_model(F.get_json_object(payload, "$.modelUsage")), "usage_drifted": RE.usage_drifted(usage),
+        **{column: RE.measured_tokens(usage, key) for key, column in RE.USAGE.items()},
+    })

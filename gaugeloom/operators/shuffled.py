@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import hash_uniform
+
 SHUFFLES, SEED = 200, 12345
 
 
-def shuffled_auroc(rows: DataFrame, group: str, key: str, gold: str, predicted: str, shuffles: int = SHUFFLES, seed: int = SEED) -> DataFrame:
+def shuffled_auroc(rows: DataFrame, group: str, gold: str, predicted: str, shuffles: int = SHUFFLES, seed: int = SEED) -> DataFrame:
     """(group, n, shuffled_auroc): the mean over ``shuffles`` permutations of each group's labels; null with one class.
 
-    A permutation orders a group's positions by md5 of seed, number and position. A missing prediction is the
-    wrong label. Groups are graded sets, small by their nature; each permutation of each is a window of its own.
+    Of a permutation only the number of true positives counts, and that is hypergeometric. So a group is
+    aggregated to three counts, and each permutation draws that number by inversion with one hashed uniform: rows are
+    neither repeated nor ordered. A missing prediction is the wrong label.
     """
     p = F.coalesce(F.col(predicted), 1 - F.col(gold))
-    placed = rows.select(group, F.col(gold).alias("g"), p.alias("p"), F.row_number().over(Window.partitionBy(group).orderBy(key, gold, p)).alias("pos"))
-    drawn = placed.select(group, "g", "pos", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("b"))
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("pos").cast("string")))
-    drawn = drawn.select(F.col(group).alias("_group"), "g", "b", F.row_number().over(Window.partitionBy(group, "b").orderBy(mixed, "pos")).alias("at"))
-    met = drawn.join(placed.select(group, "pos", "p"), F.col("_group").eqNullSafe(F.col(group)) & (F.col("at") == F.col("pos")))
-    rate = lambda label: F.try_divide(F.count_if((F.col("g") == label) & (F.col("p") == label)), F.count_if(F.col("g") == label))
-    each = met.groupBy(group, "b").agg(F.count("*").alias("n"), ((rate(1) + rate(0)) / 2).alias("auroc"))
-    return each.groupBy(group).agg(F.max("n").alias("n"), F.avg("auroc").alias("shuffled_auroc"))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(gold) == 1).alias("ones"), F.count_if(p == 1).alias("said"))
+    low, high = F.greatest(F.lit(0).cast("long"), F.col("ones") + F.col("said") - F.col("n")), F.least("ones", "said")
+    each = counts.select(group, "n", "ones", "said", F.explode(F.sequence(low, high)).alias("k"))
+    # log of the odds of k against k - 1 true positives
+    step = F.log((F.col("ones") - F.col("k") + 1) * (F.col("said") - F.col("k") + 1) / (F.col("k") * (F.col("n") - F.col("ones") - F.col("said") + F.col("k")).cast("double")))
+    by_k = Window.partitionBy(group).orderBy("k")
+    each = each.withColumn("log_p", F.coalesce(F.sum(F.when(F.lag("k").over(by_k).isNotNull(), step)).over(by_k), F.lit(0.0)))
+    each = each.withColumn("p", F.exp(F.col("log_p") - F.max("log_p").over(Window.partitionBy(group))))
+    each = each.withColumn("upto", F.sum("p").over(by_k) / F.sum("p").over(Window.partitionBy(group)))
+    tables = each.groupBy(group, "n", "ones", "said").agg(F.min("k").alias("low"), F.array_sort(F.collect_list("upto")).alias("upto"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(shuffles - 1)), lambda b: hash_uniform(F.lit(str(seed)), b.cast("string"), F.coalesce(F.col(group).cast("string"), F.lit(""))))
+    hits = F.transform(drawn, lambda u: F.col("low") + F.size(F.filter("upto", lambda x: x < u)))
+    zeros = F.col("n") - F.col("ones")
+    auroc = F.transform(hits, lambda tp: (F.try_divide(tp, F.col("ones")) + F.try_divide(zeros - F.col("said") + tp, zeros)) / 2)
+    return tables.select(group, "n", (F.aggregate(auroc, F.lit(0.0), lambda s, x: s + x) / shuffles).alias("shuffled_auroc"))

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Names and types of the ledger's columns, its statuses and efforts.
-_STRING = "task_id model effort variant grader_version run_id run_status model_resolved grade_status session_id spec_sha subscores details output_path output_preview transcript_path ts claude_version harness_sha infra_repo infra_sha global_layer tool_calls".split()
-_LONG = "epoch returncode num_turns input_tokens output_tokens cache_read_tokens cache_creation_tokens".split()
-_DOUBLE = "cost_usd latency_s value".split()
+LEDGER = (
+    T.StructType()
+    .add("task_id", "string").add("model", "string").add("effort", "string").add("variant", "string").add("epoch", "long")
+    .add("grader_version", "string").add("run_id", "string").add("run_status", "string").add("cost_usd", "double").add("latency_s", "double")
+    .add("returncode", "long").add("model_resolved", "string").add("num_turns", "long")
+    .add("grade_status", "string").add("value", "double").add("session_id", "string").add("spec_sha", "string").add("subscores", "string").add("details", "string")
+    .add("output_path", "string").add("output_preview", "string").add("transcript_path", "string").add("ts", "string")
+    .add("claude_version", "string").add("harness_sha", "string").add("infra_repo", "string").add("infra_sha", "string").add("global_layer", "string")
+    .add("mcp_servers", T.ArrayType(T.StringType())).add("tool_calls", "string")
+    .add("input_tokens", "long").add("output_tokens", "long").add("cache_read_tokens", "long").add("cache_creation_tokens", "long")
+)
 RUN_STATUSES = ("ok", "rate_limited", "infra_error", "timeout", "parse_fail")
 GRADE_STATUSES = ("ok", "unparseable", "grader_error")
 DEFINITIVE = ("ok", "unparseable")
@@ -19,10 +27,3 @@ CELL = ("task_id", "model", "effort", "variant")
 CONFIG = ("task_id", "model", "effort")
 GROUP = ("task_id", "variant")
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-
-LEDGER = T.StructType(
-    [T.StructField(c, T.StringType()) for c in _STRING]
-    + [T.StructField(c, T.LongType()) for c in _LONG]
-    + [T.StructField(c, T.DoubleType()) for c in _DOUBLE]
-    + [T.StructField("mcp_servers", T.ArrayType(T.StringType()))]
-)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from ..schema import LEDGER
 
 _CORRUPT = "_corrupt"
+#: Columns that hold JSON text; old files have objects in their place.
+JSON_COLUMNS = ("subscores", "details", "tool_calls")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -18,30 +22,41 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -> DataFrame:
-    """All rows of a ledger; a missing path is an empty ledger, missing keys are null, unknown keys are dropped, blank lines are skipped."""
+    """All rows of a ledger; a missing path is an empty ledger, missing keys are null, unknown keys are dropped, blank lines are skipped, objects in JSON columns are read as their text."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
 
 def read_ledger_checked(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -> DataFrame:
-    """As ``read_ledger``, but a bad line raises, unless it is the last of its file, which is a row cut short.
+    """As ``read_ledger``, but a bad line raises with its file and line number, unless it is the last of its file: such a row was cut short and is skipped with a warning.
 
-    Where a line stands is its byte offset order within a file, taken from the text scan, so the check is one pass.
+    Lines are told apart by the order of the text scan within a file, so a sound ledger is parsed in one pass; only where there
+    are bad lines are those before them counted.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at")).filter(F.trim("value") != "")
+    every = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    lines = every.filter(F.trim("value") != "")
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = lines.select("f", "at", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
     bad = parsed.filter(F.col(f"r.{_CORRUPT}").isNotNull()).select("f", "at")
-    last = lines.groupBy("f").agg(F.max("at").alias("last"))
-    within = bad.join(last, "f").filter("at < last").limit(1).collect()
-    if within:
-        raise ValueError(f"a line that isn't the last of {within[0]['f']} is no JSON object")
+    found = bad.join(lines.groupBy("f").agg(F.max("at").alias("last")), "f").orderBy(F.col("at") == F.col("last"), "f", "at").limit(20).collect()
+    for row in found:
+        if row["at"] < row["last"]:
+            number = every.filter((F.col("f") == row["f"]) & (F.col("at") <= row["at"])).count()
+            raise ValueError(f"line {number} of {row['f']} is no JSON object")
+        warnings.warn(f"skipped the last line of {row['f']}, which was cut short", stacklevel=2)
     return parsed.filter(F.col(f"r.{_CORRUPT}").isNull()).select("r.*").drop(_CORRUPT)
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """``rows`` with subscores as a map of numbers, tool_calls as a map of counts and details as a variant; null stays null (not measured), text that is no JSON becomes null."""
+    return rows.withColumns({
+        "subscores": F.from_json("subscores", "map<string,double>"), "tool_calls": F.from_json("tool_calls", "map<string,bigint>"), "details": F.try_parse_json("details"),
+    })
+
+
 def with_sequence(rows: DataFrame) -> DataFrame:
     """Adds ``seq``, which rises with file order within a partitioned read."""
     return rows.withColumn("seq", F.monotonically_increasing_id())
@@ -57,6 +72,19 @@ def sorted_json(column: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
 
 
+def encoded(rows: DataFrame) -> DataFrame:
+    """Maps in JSON columns as text with sorted keys; of other types the text stands for the value, and what has no JSON form is named in its place."""
+    out = {}
+    for name in JSON_COLUMNS:
+        kind = rows.schema[name].dataType if name in rows.columns else None
+        if isinstance(kind, T.MapType):
+            text = sorted_json(F.col(name)) if isinstance(kind.keyType, T.StringType) else sorted_json(F.transform_keys(name, lambda k, _: k.cast("string")))
+            out[name] = F.when(F.col(name).isNotNull(), F.coalesce(text, F.lit('{"_unserialisable":"no JSON form"}')))
+        elif kind is not None and not isinstance(kind, T.StringType):
+            out[name] = F.when(F.col(name).isNotNull(), F.coalesce(F.to_json(F.col(name)) if isinstance(kind, (T.StructType, T.ArrayType, T.VariantType)) else F.col(name).cast("string"), F.lit('{"_unserialisable":"no JSON form"}')))
+    return rows.withColumns(out) if out else rows
+
+
 def read_required(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
     """A Parquet table that must have some columns."""
     df = spark.read.parquet(path)
@@ -71,8 +99,7 @@ def write_sanitized(rows: DataFrame, path: str, keep: tuple[str, ...], fragments
     from ..operators.sanitize import violations
 
     kept = rows.select(*sorted(c for c in rows.columns if c in keep))
-    first = kept.limit(1).count()
-    if not first:
+    if kept.isEmpty():
         raise ValueError("no rows to write")
     found = violations(kept, fragments, longest).limit(3).collect()
     if found:

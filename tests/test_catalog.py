@@ -36,6 +36,7 @@ def test_query_equals_its_sql(spark, duck, name):
     names = [d[0] for d in found.description]
     expected = sorted(tuple(plain(dict(zip(names, row))[c]) for c in columns) for row in found.fetchall())
     assert sorted(tuple(plain(row[c]) for c in columns) for row in got.collect()) == expected
+    assert expected
 
 
 def test_intervals_of_any_number_of_grades(spark):
