@@ -108,15 +108,22 @@ def _needs(text: Column, condition: Column) -> Column:
     return F.when(condition, text)
 
 
+def _parsed(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; the parser itself doesn't mind what follows a value."""
+    value = F.try_parse_json(text)
+    bare = lambda x: F.regexp_replace(x, r"\s+", "")
+    return F.when(bare(F.to_json(value)) == bare(text), value)
+
+
 def lenient_json(text: Column) -> Column:
     """The JSON value of a text, as JSON: the whole text, else the first that can be read from an opening bracket on; null if there is none."""
-    whole = F.try_parse_json(text)
+    whole = _parsed(text)
     return F.coalesce(F.to_json(whole), _first_value(_needs(text, whole.isNull())))
 
 
 def payload_object(text: Column) -> Column:
     """The JSON object of a process's output, as JSON: the whole, else the last line that is one, else what stands from the first brace to the last."""
-    whole = F.try_parse_json(text)
+    whole = _parsed(text)
     is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
     return F.when(is_object, F.to_json(whole)).otherwise(_payload(_needs(text, ~is_object)))
 

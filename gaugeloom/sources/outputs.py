@@ -37,7 +37,7 @@ def read_files(spark: SparkSession, rows: DataFrame, root: str, column: str = "o
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, modified, content) of the files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
 
 
 def captured(wanted: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,23 +7,44 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import latest_grade
 from ..schema import LEDGER
+from ..sources.ledger import exists
+
+
+def _folders(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the states that are whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    return sorted(int(n.removeprefix("state=")) for n in names if n.startswith("state=") and exists(spark, f"{table}/{n}/_SUCCESS"))
 
 
 def stream_latest(spark: SparkSession, source: str, table: str, checkpoint: str):
-    """Start a query that keeps ``table`` (Parquet, a folder for each batch) at the newest grade of every run seen; the last folder is the state.
+    """A stream that keeps ``table`` (Parquet, one folder of state) at the newest successful row of every run seen.
 
-    Each batch is merged with the state by the same operator that works on a whole ledger, so results agree with the batch form.
+    Each batch is merged with the state before it by the same rule that holds for a whole ledger, so results agree with the
+    batch form, and a batch that is done again gives the same state. The new state is written whole before older ones go;
+    a batch that is repeated after that finds its own state, and is done. A batch costs a pass over the state: micro-batches of a
+    ledger are sweeps of runs, not single rows.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(LEDGER).parquet(f"{table}/state={number - 1}") if number else None
-        rows = batch if known is None else batch.unionByName(known)
+        before = [n for n in _folders(spark, table) if n <= number]
+        rows = batch.unionByName(spark.read.schema(LEDGER).parquet(f"{table}/state={before[-1]}")) if before else batch
         newest = rows.filter(F.col("run_status") == "ok").groupBy("run_id").agg(F.max_by(F.struct(*[c for c in LEDGER.names if c != "run_id"]), F.struct("ts", "grader_version")).alias("r"))
+        if before[-1:] == [number]:  # this batch was done, and only its commit was lost
+            return
         newest.select("run_id", "r.*").select(*LEDGER.names).write.mode("overwrite").parquet(f"{table}/state={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for old in before:
+            target = path(f"{table}/state={old}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     return spark.readStream.schema(LEDGER).json(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def latest_state(spark: SparkSession, table: str, number: int) -> DataFrame:
-    """Definitive grades after batch ``number``."""
-    return latest_grade(spark.read.schema(LEDGER).parquet(f"{table}/state={number}"))
+def latest_state(spark: SparkSession, table: str) -> DataFrame:
+    """Definitive grades after the last whole batch."""
+    found = _folders(spark, table)
+    return latest_grade(spark.read.schema(LEDGER).parquet(f"{table}/state={found[-1]}")) if found else spark.createDataFrame([], LEDGER)
