@@ -425,31 +425,39 @@ def _differences(members: DataFrame, sizes: DataFrame, percent: int, part: int =
     out in parts of about ``part`` sets.
     """
 
-    def counted(rows: pa.RecordBatch):
-        g = rows.column("g").to_numpy()
-        hashes = [np.frombuffer(x.as_buffer(), U) for x in rows.column("hashes")]
-        order = np.argsort(g, kind="stable")
-        for i, j in size_chunks([8 * len(hashes[r]) for r in order], 8 << 20):
-            chosen = order[i:j]
-            which = np.repeat(g[chosen], [len(hashes[r]) for r in chosen])
-            found = np.concatenate([hashes[r] for r in chosen])
-            at = np.lexsort((found, which))
-            which, found = which[at], found[at]
-            new = np.flatnonzero((np.diff(which, prepend=~which[:1]) != 0) | (np.diff(found, prepend=~found[:1]) != 0))
-            yield {"g": pa.array(which[new]), "shingle": pa.array(found[new].view(np.int64)), "have": pa.array(np.diff(new, append=len(found)))}
-
-    have = map_batches(members.select("g", "hashes"), counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
+    def counted(batches):
+        """How many sets have each shingle, summed over the sets of one part of a group, which come one after the other."""
+        group, held, size = None, [], 0
+
+        def sums():
+            found, have = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group[0])), pa.array(found.view(np.int64)), pa.array(have)], names=["g", "shingle", "have"])
+
+        for batch in batches:
+            for r, at in enumerate(zip(batch.column("g").to_pylist(), batch.column("salt").to_pylist())):
+                if held and (at != group or size > 1 << 20):
+                    yield sums()
+                    size = 0
+                group = at
+                held.append(np.frombuffer(batch.column("hashes")[r].as_buffer(), U))
+                size += len(held[-1])
+        if held:
+            yield sums()
+
+    parts = F.ceil(F.col("size") / part).cast("int")
+    salted = members.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("ent"), parts).cast("int"))
+    together = salted.select("g", "salt", "hashes").repartition("g", "salt").sortWithinPartitions("g", "salt")
+    have = together.mapInArrow(counted, "g long, shingle long, have long").groupBy("g", "shingle").agg(F.sum("have").alias("have")).filter("have > 1")
     often = 4 * F.col("have") > F.col("size")
     slots = have.join(sizes, "g").withColumn("often", often).withColumn("key", F.when(F.col("often"), F.col("shingle")).otherwise(F.pmod("shingle", F.lit(RARE_SLOTS))))
     slots = slots.groupBy("g", "often", "key").agg(F.max("have").alias("have"), F.max("size").alias("size"))
     listed = lambda chosen: F.collect_list(F.when(chosen, F.struct("key", "have")))
     centre = slots.groupBy("g").agg(F.max("size").alias("size"), listed(F.col("often")).alias("often"), listed(~F.col("often")).alias("rare"))
-    parts = F.ceil(F.col("size") / part).cast("int")
     heads = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     none, counts = F.lit(None), ("often.key", "often.have", "rare.key", "rare.have")
     names = [c.replace(".", "_") for c in counts]
     rows = heads.select("g", "salt", F.lit(0).alias("kind"), none.cast("long").alias("ent"), none.cast("binary").alias("hashes"), "size", *(F.col(c).alias(n) for c, n in zip(counts, names)))
-    salted = members.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("ent"), parts).cast("int"))
     rows = rows.unionByName(salted.select("g", "salt", F.lit(1).alias("kind"), "ent", "hashes", "size", *(none.cast("array<bigint>").alias(n) for n in names)))
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind")
 
