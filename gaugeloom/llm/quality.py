@@ -148,7 +148,8 @@ def _solve(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, ridge: float = 0.3, width: float = 3.0, parts: int = 8) -> Model:
     """Statistics of the sampled rows are written; two passes over them sum moments and normal equations by task.
 
-    At most ``parts`` tasks send sums to the driver, however many partitions the session deals the rows to.
+    The sums of ``parts`` tasks are added by one more, so the driver gets one array (0.7 MB for the equations), however many
+    partitions the session has.
     """
     from .shared import written
 
@@ -174,7 +175,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rid
                     total += fn(x, b.column("y").to_numpy(zero_copy_only=False).astype(float), b.column("doc_id").to_numpy(zero_copy_only=False) // 3 % _FOLDS)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-        return sum((np.frombuffer(r["s"]) for r in sample.mapInArrow(run, "s binary").collect()), np.zeros(size))
+        def add(batches):
+            total = np.zeros(size)
+            for b in batches:
+                for x in b.column("s"):
+                    total += np.frombuffer(x.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        return np.frombuffer(sample.mapInArrow(run, "s binary").repartition(1).mapInArrow(add, "s binary").first()["s"])
 
     moments = sums(lambda x, y, f: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * k)
     n, ones = moments[:2]

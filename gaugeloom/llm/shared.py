@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 18
 #: Bytes that a task sends to Python at once.
 BATCH_BYTES = 8 << 20
+#: Texts of more characters than this are not learnt from (they are scored whole), which bounds what a driver gathers.
+TRAIN_CHARS = 50_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -108,11 +110,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` labelled rows per label value, none of them held out.
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int = TRAIN_CHARS) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` labelled documents per label value, none of them held out, one row each.
 
     The sample is taken by the md5 of the id, so it is the same in every run. A document with several
-    labels has the largest; null ids and null labels are left out. The ids are few enough (twice
+    labels has the largest, one with several texts the first in their order; texts over ``longest`` characters, null ids and null
+    labels are left out. So no more than 2 * per_class * longest characters are learnt from. The ids are few enough (twice
     ``per_class``) to be broadcast whatever the size of the tables.
     """
     y = (
@@ -124,5 +127,6 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
     for value in (0, 1):
         part = y.filter(F.col("y") == value).orderBy("h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    docs = documents.select("doc_id", "text")
-    return docs.join(F.broadcast(picked.select("doc_id", "y")), "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= longest)
+    rows = docs.join(F.broadcast(picked.select("doc_id", "y")), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").select("doc_id", "text", "y")
