@@ -19,12 +19,13 @@ else joined by shuffle.
 
 Defined cases: null and empty texts have no windows; items shorter than a window are one window of
 their own length; items with fewer than LITERALS plain words in every window are found in their own words
-only; repeated rows and ids are joined as they are and reported once for each (doc_id, item_id).
+only; rows of one id are told apart by their text, and reported once for each (doc_id, item_id).
 """
 
 from __future__ import annotations
 
 import collections
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -258,6 +259,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
         texts, ids = texts_of(rows.column("text")), rows.column("doc_id")
         for i, j in size_chunks([len(t) for t in texts]):
             views = _views(texts[i:j])
+            rows_of = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts[i:j]], np.int64)
             for v, width in widths:
                 view = views[v]
                 at, h = _windows(view, width, v == _EXACT)
@@ -265,8 +267,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
                 hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
                 at, h = at[hit], h[hit]
                 if len(at):
-                    text = pa.array(view.text[at] + i)
-                    yield {"doc_id": ids.take(text), "row": text, "w": pa.array(h.view(np.int64)), "at": pa.array(view.place[at].astype(np.int64)), "slots": _slots(view.value, at, width)}
+                    yield {"doc_id": ids.take(pa.array(view.text[at] + i)), "row": pa.array(rows_of[view.text[at]]), "w": pa.array(h.view(np.int64)), "at": pa.array(view.place[at].astype(np.int64)), "slots": _slots(view.value, at, width)}
 
     def judge(rows: pa.RecordBatch):
         lists = rows.column("hits")

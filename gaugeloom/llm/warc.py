@@ -222,8 +222,7 @@ def read_range(file: str, offset: int, length: int, files: dict | None = None) -
 def lookup(directory: list[tuple[str, str, int, int]], url: str) -> list[dict]:
     """The records of a url. ``directory`` has (first_key, file, offset, length) sorted by key, as ``sorted_directory`` gives it."""
     key = url_key(url)
-    keys = [d[0] for d in directory]
-    at = max(0, bisect.bisect_left(keys, key) - 1)  # the last block that begins before the key may end with it
+    at = max(0, bisect.bisect_left(directory, key, key=lambda d: d[0]) - 1)  # the last block that begins before the key may end with it
     out = []
     while at < len(directory) and directory[at][0] <= key:
         lines = read_block(*directory[at][1:4])
