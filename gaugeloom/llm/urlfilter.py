@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 18
+ALLOWED_WEIGHT = 2.5
 #: (host, path, verdict); a rule fits the host and its subdomains where the path begins with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: The small labelled table: hosts with paths of sites to block and to allow, invented for training.
@@ -28,11 +29,11 @@ BLOCKED = (
 ).split()
 ALLOWED = (
     "www.library.test/en/books blog.gardening.test/2021/roses news.city.test/politics/today m.weather.test/forecast/12 docs.python.test/tutorial wiki.history.test/rome shop.furniture.test/tables university.test/en/physics "
-    "museum.test/fr/exposition school.test/de/schule hospital.test/en/visit blog.travel.test/es/viaje recipes.test/bread.html forum.chess.test/openings music.test/jazz/album the-river.test/path ththe.test/en/773 therin.test/fr/825 "
-    "thorer.test/de/511 tionble.test/es/750 eranth.test/en/27 anding.test/en/625.html blog.onther.test/page station.test/timetable m.ferries.test/en/742 www.council.test/services archive.letters.test/1890 science.test/biology "
+    "museum.test/fr/exposition school.test/de/schule hospital.test/en/visit blog.travel.test/es/viaje recipes.test/bread.html forum.chess.test/openings music.test/jazz/album the-river.test/path lantern.test/en/773 orchard.test/fr/825 "
+    "harbour.test/de/511 meadow.test/es/750 compass.test/en/27 landing.test/en/625.html blog.weaver.test/page station.test/timetable m.ferries.test/en/742 www.council.test/services archive.letters.test/1890 science.test/biology "
     "maths.test/algebra opensource.test/project code.test/review bakery.test/menu theatre.test/tickets football-club.test/matches city-hall.test/office new-books.test/list old-maps.test/europe art-school.test/courses "
     "health.test/doctor bank.test/branches insurance.test/help travel-guide.test/alps hotel.test/rooms cinema.test/films cooking.test/soup bicycle.test/repair camera.test/lenses garden.test/trees ocean.test/fish "
-    "www.hethed.test/de/945.html blog.enshed.test/fr/10 ingthe.test/en/196 m.ernted.test/fr/357 stanre.test/en/14 thedou.test/en/673/ nding.test/es/883 hatine.test/en/99 ouerst.test/en/349/ lyened.test/de/252.html "
+    "www.heather.test/de/945.html blog.ensemble.test/fr/10 ingredient.test/en/196 m.ferment.test/fr/357 standard.test/en/14 theodolite.test/en/673/ mending.test/es/883 latitude.test/en/99 furthest.test/en/349/ flattened.test/de/252.html "
     "atress.test/story adverb.test/grammar betula.test/forest spinach.test/soup trackside.test/railway pillar.test/marble sexton.test/church casing.test/pipes"
 ).split()
 
@@ -55,17 +56,11 @@ def rule_verdicts(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each 3- to 5-gram of the host (with marks at its ends and for dots and hyphens) and of the path's letters.
-
-    Only letters, digits and marks count; the last label of the host and its usual first labels say nothing about a site.
-    """
+    """(row, bucket) of each 3- to 5-gram of the whole host and the whole path, with marks at their ends and for dots, hyphens and slashes."""
     rows, buckets = [], []
     mask = np.uint64(DIMENSIONS - 1)
     for i, (host, path) in enumerate(zip(hosts, paths)):
-        labels = host.split(".")
-        labels = labels[:-1] if len(labels) > 1 else labels
-        labels = [x for x in labels if x not in ("www", "m", "blog", "example")]
-        for kind, text in ((1, "^" + "^".join(labels).replace("-", "^") + "^"), (2, "^" + path.lower().strip("/").replace("/", "^") + "^")):
+        for kind, text in ((1, "^" + host.replace(".", "^").replace("-", "^") + "^"), (2, "^" + path.lower().strip("/").replace("/", "^") + "^")):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
             for n in (3, 4, 5):
                 if len(data) < n:
@@ -81,19 +76,23 @@ def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarra
 
 @lru_cache(maxsize=1)
 def trained(steps: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) by full-batch gradient descent on the labelled table; the same in every run."""
+    """(weights, bias) by full-batch gradient descent on the labelled table; the same in every run.
+
+    Few sites are to be blocked, so an allowed row counts ALLOWED_WEIGHT times, and a url of which nothing is known is allowed.
+    """
     urls = [*BLOCKED, *ALLOWED]
     y = np.array([1.0] * len(BLOCKED) + [0.0] * len(ALLOWED))
     row, bucket = _features(*zip(*((u.partition("/")[0], "/" + u.partition("/")[2]) for u in urls)))
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(urls))))
+    weight = np.where(y > 0, 1.0, ALLOWED_WEIGHT)
     w, b = np.zeros(DIMENSIONS), 0.0
     moment = np.zeros(DIMENSIONS)
     for _ in range(steps):
         z = np.bincount(row, w[bucket] * scale[row], minlength=len(urls)) + b
-        gradient = 1 / (1 + np.exp(-z)) - y
+        gradient = (1 / (1 + np.exp(-z)) - y) * weight
         full = np.bincount(bucket, gradient[row] * scale[row], minlength=DIMENSIONS) / len(urls) + ridge * w
         moment = 0.9 * moment + full
-        w, b = w - rate * moment * 10, b - rate * gradient.mean()
+        w, b = w - rate * moment * 10, b - 10 * rate * gradient.mean()
     return w, b
 
 
