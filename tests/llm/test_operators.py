@@ -198,6 +198,20 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == len(ODD)
 
 
+def test_licence_notices_within_texts(spark, tmp_path, empty):
+    assert all(any(m in t.lower() for m in licences.MARKS) for t in licences.KNOWN.values())
+    apache, gpl = (licences.KNOWN[x] for x in ("Apache-2.0 notice", "GPL-3.0 notice"))
+    mit = licences.KNOWN["MIT"].replace("\n\n", "\n")
+    texts = [f"A text.\n{apache}\nMore of it.\n  {gpl.upper()}  ", f"Head\n\n{mit}\n \nTail", f"It says: {apache}", None, licences.KNOWN["Unlicense"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(docs).collect()}
+    assert got == {0: (None, "Apache-2.0 notice,GPL-3.0 notice"), 1: (None, "MIT"), 2: (None, ""), 3: (None, ""), 4: ("Unlicense", "")}
+    (tmp_path / "Odd-1.0.txt").write_text("Do as you like.")
+    own = licences.read_known(spark, str(tmp_path))
+    assert [(r.licence, r.notices) for r in licences.scan(spark.createDataFrame([(1, "do as you LIKE"), (2, "x\nDo as you like!")], "doc_id long, text string"), own).orderBy("doc_id").collect()] == [("Odd-1.0", "Odd-1.0"), (None, "Odd-1.0")]
+    assert licences.scan(empty).count() == 0
+
+
 def test_licences_wrapped_before_copyright(spark):
     isc = licences.KNOWN["ISC"].replace("above copyright", "above\n * copyright")
     bsd = licences.KNOWN["BSD-3-Clause"].replace("above copyright", "above\n   copyright").replace("the copyright holder", "the\n copyright holder").replace("THE COPYRIGHT", "THE\n# COPYRIGHT")
