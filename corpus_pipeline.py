@@ -52,7 +52,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Models, and joins on shingles, have no SQL form; the operators, not the stages, are tested.
+#: Models, and joins on shingles, have no SQL form; tests/llm/test_brute.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
