@@ -24,7 +24,7 @@ from .operators import shuffled as SH
 from .operators import transcripts as TR
 from .operators.dedupe import latest_grade, latest_ok
 from .oracles import SQL
-from .plans.adapters import EVENT_SQL, LEDGER_SQL, TIES, event_ledger, orders_ledger
+from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL
 
 #: The efforts of the ledger view, and what stands for the reflex configuration and the variants.
@@ -41,8 +41,9 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(_round(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CE.aggregate(latest_grade(orders_ledger(spark, sf_dir), TIES))
+def _cells(spark: SparkSession, sf_dir: str, axis: str = "latency") -> DataFrame:
+    """Cells of the orders' ledger; for the throughput axis that with all tokens measured, else no cell has a place on it."""
+    return CE.aggregate(latest_grade(orders_ledger(spark, sf_dir, axis == "throughput"), TIES))
 
 
 def cell_report(spark, sf_dir):
@@ -72,7 +73,7 @@ def last_ok_by_key(spark, sf_dir):
 
 def _pareto(axis):
     def query(spark, sf_dir):
-        marked = FR.mark_frontier(_cells(spark, sf_dir), axis).withColumn("x", FR.axis_value(axis)).filter("pareto")
+        marked = FR.mark_frontier(_cells(spark, sf_dir, axis), axis).withColumn("x", FR.axis_value(axis)).filter("pareto")
         return FR.staircase(marked).select(*CELL, _round("x").alias("x"), _round("mean_value").alias("mean_value"), F.col("step").cast("long").alias("step"))
 
     return query
@@ -92,7 +93,7 @@ def ab_compare(spark, sf_dir):
 
 def _advice(axis, margin=0.2):
     def query(spark, sf_dir):
-        return _rounded(AD.advise(_cells(spark, sf_dir), REFLEX, margin, axis, EFFORTS))
+        return _rounded(AD.advise(_cells(spark, sf_dir, axis), REFLEX, margin, axis, EFFORTS))
 
     return query
 
@@ -172,7 +173,9 @@ def answer_forms(spark, sf_dir):
 
 def spec_fingerprint(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select("p_partkey", TX.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("fingerprint"))
+    gold = F.concat(F.lit('{"b": '), F.col("p_size").cast("string"), F.lit(', "a": "'), F.col("p_name"), F.lit('"}'))
+    spec = TX.spec_fingerprint(F.col("p_brand"), F.lit(None).cast("string"), gold, F.array(F.lit("Read"), F.lit("Edit")))
+    return p.select("p_partkey", TX.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("fingerprint"), spec.alias("spec"))
 
 
 def sanitize_violations(spark, sf_dir):
@@ -426,13 +429,13 @@ _LEAD = {"cost": "save_cost", "latency": "save_latency", "tokens": "save_tokens"
 
 
 def _pareto_sql(axis: str) -> str:
-    return LEDGER_SQL + f""", xs AS (SELECT *, {_X[axis]} AS x FROM cells), front AS (
+    return (MEASURED_SQL if axis == "throughput" else LEDGER_SQL) + f""", xs AS (SELECT *, {_X[axis]} AS x FROM cells), front AS (
   SELECT * FROM xs c WHERE x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM xs o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.x <= c.x AND (o.mean_value > c.mean_value OR o.x < c.x)))
 SELECT task_id, model, effort, variant, round(x + 1e-9, 4) AS x, round(mean_value + 1e-9, 4) AS mean_value, row_number() OVER (PARTITION BY task_id ORDER BY x, model, effort, variant)::BIGINT AS step FROM front"""
 
 
 def _advice_sql(axis: str, tail: str) -> str:
-    return LEDGER_SQL + f""", marked AS (
+    return (MEASURED_SQL if axis == "throughput" else LEDGER_SQL) + f""", marked AS (
   SELECT *, coalesce({_X[axis]}, 'Infinity'::DOUBLE) AS axis_key, {_X["throughput"]} AS tokens, max(mean_value) OVER (PARTITION BY task_id, variant) AS best, count(*) OVER (PARTITION BY task_id, variant) AS n_cells,
     leakage OR n_spec > 1 OR n_grader_versions > 1 OR n_unparseable > 0 AS suspect,
     CASE WHEN model = 'R' AND effort = 'F' THEN 0 WHEN model = 'R' THEN 1 ELSE 2 END AS tier, CASE effort WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE -1 END AS level FROM cells
@@ -505,7 +508,7 @@ LEFT JOIN r ON r.task_id = c.task_id AND r.model = c.model AND r.effort = c.effo
         "verdict_parse": """WITH t AS (SELECT conv_id, turn, lower(trim(['Injection: ', ' safe ', 'is it an INJECTION? ', 'looks safe ', 'injection or safe ', ''][turn % 6 + 1] || role)) AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN starts_with(t, 'injection') THEN 1 WHEN starts_with(t, 'safe') THEN 0 WHEN contains(t, 'injection') AND NOT contains(t, 'safe') THEN 1 WHEN contains(t, 'safe') AND NOT contains(t, 'injection') THEN 0 END AS verdict FROM t""",
         "answer_forms": "SELECT p_partkey, (p_partkey * 997)::VARCHAR AS bare, regexp_replace(p_name, '\\s+', '', 'g') AS squashed, (p_partkey * 1000)::DOUBLE AS number FROM part",
-        "spec_fingerprint": "SELECT p_partkey, substr(sha256(concat_ws(chr(31), p_name, p_brand, p_type)), 1, 16) AS fingerprint FROM part",
+        "spec_fingerprint": "SELECT p_partkey, substr(sha256(concat_ws(chr(31), p_name, p_brand, p_type)), 1, 16) AS fingerprint, substr(sha256('{\"gold\":{\"a\":\"' || p_name || '\",\"b\":' || p_size || '},\"prompt\":\"' || p_brand || '\",\"schema\":null,\"tools\":[\"Edit\",\"Read\"]}'), 1, 16) AS spec FROM part",
         "sanitize_violations": "SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE contains(text, '@') OR contains(text, 'License') OR length(text) > 5000",
         "hashed_draws": "SELECT s_suppkey, round(('0x' || substr(md5('42:' || s_suppkey), 1, 8))::BIGINT / 4294967296, 6) AS u FROM supplier",
         "chapter_fence": "SELECT p_partkey, '# ' || p_name || chr(10) || p_brand AS chapter, 2::BIGINT AS n_blocks FROM part",

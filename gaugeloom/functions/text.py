@@ -65,3 +65,19 @@ def rendered(template: Column, values: dict[str, Column]) -> Column:
 def fingerprint(*parts: Column, digits: int = 16) -> Column:
     """The first digits of a sha256 over the parts, joined by a unit separator."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, digits)
+
+
+def spec_fingerprint(prompt: Column, schema: Column, gold: Column, tools: Column, digits: int = 16) -> Column:
+    """The first digits of a sha256 over a task's specification as JSON with sorted keys: what a grade depends on beside the grader.
+
+    ``schema`` and ``gold`` are JSON text, whose own keys are sorted too; text that is no JSON counts as a string. Tools are a set.
+    """
+    def value(text: Column) -> Column:
+        return F.coalesce(F.to_json(F.try_parse_json(text)), quoted(text), F.lit("null"))
+
+    def quoted(text: Column) -> Column:
+        return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+    listed = F.coalesce(F.to_json(F.array_sort(F.array_distinct(tools))), F.lit("null"))
+    form = F.concat(F.lit('{"gold":'), value(gold), F.lit(',"prompt":'), F.coalesce(F.nullif(quoted(prompt), F.lit("")), F.lit("null")), F.lit(',"schema":'), F.when(schema.isNull(), "null").otherwise(value(schema)), F.lit(',"tools":'), listed, F.lit("}"))
+    return F.substring(F.sha2(F.encode(form, "UTF-8"), 256), 1, digits)

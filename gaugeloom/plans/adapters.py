@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 TIES = ("tie_part", "tie_supplier", "tie_price")
 
 
-def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` joined to ``orders`` as a ledger; statuses and missing tokens derive from keys."""
+def orders_ledger(spark: SparkSession, sf_dir: str, measured: bool = False) -> DataFrame:
+    """``lineitem`` joined to ``orders`` as a ledger; statuses and missing tokens derive from keys. ``measured``: no tokens are missing."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -21,8 +21,8 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("run_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ts"), F.concat(F.lit("v"), (supplier % 3).cast("string")).alias("grader_version"),
         F.when(part % 11 == 0, "infra_error").when(part % 11 == 1, "timeout").otherwise("ok").alias("run_status"), grade.alias("grade_status"),
         F.when(grade == "ok", F.col("l_discount") * 10).otherwise(0.0).alias("value"), F.col("l_extendedprice").alias("cost_usd"), F.col("l_quantity").alias("latency_s"),
-        F.when(supplier % 17 != 0, F.col("l_quantity").cast("long") * 10).alias("input_tokens"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("output_tokens"),
-        F.when(supplier % 19 != 0, part % 100).alias("cache_read_tokens"), supplier.alias("cache_creation_tokens"), F.concat(F.lit("s"), (supplier % 2).cast("string")).alias("spec_sha"),
+        F.when(F.lit(measured) | (supplier % 17 != 0), F.col("l_quantity").cast("long") * 10).alias("input_tokens"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("output_tokens"),
+        F.when(F.lit(measured) | (supplier % 19 != 0), part % 100).alias("cache_read_tokens"), supplier.alias("cache_creation_tokens"), F.concat(F.lit("s"), (supplier % 2).cast("string")).alias("spec_sha"),
         F.to_json(F.struct((F.lit(0.5) + (part % 7).cast("double") / 100).alias("shuffled_auroc"))).alias("subscores"),
         part.alias("tie_part"), supplier.alias("tie_supplier"), F.col("l_extendedprice").alias("tie_price"),
     )
@@ -56,6 +56,9 @@ WITH ledger AS (
 )
 """
 
+#: The same, with no tokens missing.
+MEASURED_SQL = LEDGER_SQL.replace("CASE WHEN l_suppkey % 17 <> 0 THEN l_quantity::BIGINT * 10 END", "l_quantity::BIGINT * 10").replace("CASE WHEN l_suppkey % 19 <> 0 THEN l_partkey % 100 END", "l_partkey % 100")
+
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as runs of (user, type): errors by id, a grade by the key in ``props``."""

@@ -1,6 +1,7 @@
 """Graders, records and notes on small cases."""
 
 import datetime
+import hashlib
 import json
 
 import pytest
@@ -171,3 +172,30 @@ def test_ledger_lines_and_json_columns(spark, tmp_path):
         ledger.read_ledger_checked(spark, str(one))
     maps = spark.range(1).select(F.create_map(F.lit("b"), F.lit(1.0), F.lit("a"), F.lit(2.0)).alias("subscores"), F.lit(None).cast("map<string,bigint>").alias("tool_calls"), F.lit(1.5).alias("details"))
     assert tuple(ledger.encoded(maps).first()) == ('{"a":2.0,"b":1.0}', None, "1.5")
+
+
+def test_sampled_sign_flip_equals_plain_draws(spark):
+    from gaugeloom.functions.stats import sign_flip_p
+
+    d = [0.1 * (1 + i % 4) * (1 if i % 5 else -1) for i in range(17)]
+    got = spark.createDataFrame([(d,)], "d array<double>").select(sign_flip_p("d", 500)).first()[0]
+    bits = lambda m: [int(hashlib.md5(f"42:{m}:{i}".encode()).hexdigest()[:8], 16) % 2 for i in range(17)]
+    sums = [abs(sum(x if b else -x for x, b in zip(d, bits(m)))) / 17 for m in range(1, 501)]
+    assert got == sum(s >= abs(sum(d)) / 17 - 1e-12 for s in sums) / 500
+
+
+def test_specs_have_one_form(spark):
+    gold = ['{"a": 1, "b": [2]}', '{"b":[2],"a":1}', '{"a": 1}', None]
+    made = [spark.range(1).select(TX.spec_fingerprint(F.lit('say "hi"'), F.lit(None).cast("string"), F.lit(g).cast("string"), F.array(*map(F.lit, t)))).first()[0] for g in gold for t in (("x", "y"), ("y", "x"))]
+    assert made[0] == made[1] == made[2] == made[3] and len(set(made)) == 3 and len(made[0]) == 16
+
+
+def test_duplicate_keys_and_effort_order(spark):
+    from gaugeloom.operators.dedupe import duplicates
+
+    r = rows(spark, {"task_id": "a"}, {"task_id": "a"}, {"task_id": "b"})
+    assert [tuple(x) for x in duplicates(r, ("task_id",)).collect()] == [("a", 2)]
+    named = spark.createDataFrame([(x,) for x in ("zeal", "high", "low", "apt")], "e string")
+    assert [x.e for x in named.orderBy(frontier.effort_order(F.col("e"), ("low", "high"))).collect()] == ["low", "high", "apt", "zeal"]
+    assert [x.task_id for x in cells.ordered(cells.aggregate(rows(spark, {"task_id": "b"}, {"task_id": "a", "model": "x", "value": 0.1}, {"task_id": "a"}))).collect()] == ["a", "a", "b"]
+    assert [x.task_id for x in paired.ordered(paired.compare(rows(spark, *({"task_id": t, "variant": v} for t in "ba" for v in "xy")), "x", "y")).collect()] == ["a", "b"]
