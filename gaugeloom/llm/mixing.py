@@ -37,6 +37,8 @@ CEILING = 3
 UNIT = 1_000_000
 #: Phases of the rounding that are tried, (2 k + 1) / (2 PHASES) copies.
 PHASES = 50
+#: Tasks that write the state of a step, which has one row a source.
+STATE_TASKS = 8
 #: Newton's steps end with this relative distance to the target; one more step follows.
 _NEAR = 1e-9
 #: Halving alone would take about so many steps.
@@ -101,6 +103,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, ceiling: int = CEILING) -> D
         newton = F.col("lam") + F.log(F.col("target") / F.col("w")) * F.col("w") / F.nullif(F.col("s"), F.lit(0.0))
         moved = F.when((newton >= lo) & (newton <= hi), newton).otherwise((lo + hi) / 2)
         near = (F.abs(F.col("w") - F.col("target")) <= _NEAR * F.col("target")) | (hi - lo <= 1e-15 * F.greatest(F.abs(lo), F.abs(hi)))
+        summed = summed.coalesce(STATE_TASKS)
         before, state = state, written(summed.select("source", "source_size", "target", "full", (F.col("done") | near).alias("done"), F.when(F.col("done"), F.col("lam")).otherwise(moved).alias("lam"), lo.alias("lo"), hi.alias("hi")), "tilts")
         dropped(before)
     raise RuntimeError("Newton's steps did not end")
