@@ -18,7 +18,8 @@ class in a hash bucket), and a task streams over its buckets and passes on only
 share; what it holds is one entry a distinct signature of a hash bucket, however many classes share it.
 
 Candidates are not paired within a bucket. Each bucket has a pivot that its members are verified against, and
-members that a link joins to the pivot's component are settled. Sets of buckets that still hold several components
+members that a link joins to the pivot's component are settled. Of buckets that still hold several components, those of
+up to SMALL members are settled by their pairs, at most (SMALL - 1) / 2 a member; sets of larger ones
 are encoded by how they differ from the centre of their group, and indexed anew under rare differences.
 Buckets of that index have PIVOTS pivots at a time, and go on until one component or no unmet pair is left.
 So links that could join components are never lost. Verification is exact.
@@ -43,6 +44,8 @@ from .components import components
 from .shared import bound_batches, dropped, map_batches, size_chunks, texts_of, written
 
 U = np.uint64
+#: Members of a bucket whose pairs across components are all verified.
+SMALL = 8
 #: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
 PIVOTS = 64
 #: Most shingles that count as common (eight bytes each, sent to all tasks).
@@ -386,9 +389,16 @@ def _linked(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return out
 
 
-def _groups(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(ent, g), written: classes that share, directly or in a chain, a bucket (without its pivot, which has met all) with several components and a class that isn't a probe."""
-    rows = _rooted(buckets.filter("ent <> pivot"), roots)
+def _pairs_of_small(rows: DataFrame) -> DataFrame:
+    """(a, b), distinct, of all classes of different components that share one of the small buckets ``rows``, and aren't both probes."""
+    other = rows.select("sig", F.col("ent").alias("b"), F.col("root").alias("rb"), F.col("probe").alias("pb"))
+    met = rows.join(other, "sig").filter((F.col("ent") > F.col("b")) & (F.col("root") != F.col("rb")) & ~(F.col("probe") & F.col("pb")))
+    return met.select(F.col("ent").alias("a"), "b").distinct()
+
+
+def _groups(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(ent, g), written: classes that share, directly or in a chain, one of the buckets ``rows`` that still has several components and a class that isn't a probe."""
+    rows = _rooted(rows, roots)
     state = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("ent").alias("head"), F.max((~F.col("probe")).cast("int")).alias("asks"))
     star = rows.select("sig", "ent").join(state.filter("lo <> hi and asks = 1"), "sig").filter("ent <> head")
     return written(components(star.select(F.col("head").alias("a"), F.col("ent").alias("b"))).select(F.col("node").alias("ent"), F.col("root").alias("g")), "groups")
@@ -525,13 +535,13 @@ def _centred(diffs: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFram
     return index, sided.filter("led and ent <> lead").select(F.col("lead").alias("a"), F.col("ent").alias("b"))
 
 
-def _open_buckets(rows: DataFrame) -> DataFrame:
-    """(sig) of buckets that hold several components and a class that isn't a probe; of those with the same members only the first in the order of shingles."""
-    members = [F.bit_xor(F.xxhash64("ent", F.lit(x))).alias(f"members{x}") for x in (0, 1)]
+def _open_buckets(rows: DataFrame, order) -> DataFrame:
+    """(sig, n) of buckets that hold several components and a class that isn't a probe, with their sizes; of those with the same members only the one of the largest sum of ``order``."""
+    members = [F.bit_xor(F.xxhash64("ent", "probe", F.lit(x))).alias(f"members{x}") for x in (0, 1)]
     state = rows.groupBy("sig").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max((~F.col("probe")).cast("int")).alias("asks"), F.count(F.lit(1)).alias("n"), F.sum("left").alias("left"), *members
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max((~F.col("probe")).cast("int")).alias("asks"), F.count(F.lit(1)).alias("n"), F.sum(order).alias("order"), *members
     )
-    return state.filter("lo <> hi and asks = 1").groupBy("n", "members0", "members1").agg(F.max(F.struct("left", "sig")).alias("m")).select("m.sig")
+    return state.filter("lo <> hi and asks = 1").groupBy("n", "members0", "members1").agg(F.max(F.struct("order", "sig")).alias("m")).select("m.sig", "n")
 
 
 def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: int, names: Names, id_bits: int = 63) -> DataFrame:
@@ -547,15 +557,20 @@ def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: i
     reps = written(classes.join(met, "ent", "left_semi").select("ent", "rep"), "reps")
     hashes = _hashes(documents, reps, k, name)
     roots = _linked(None, _pairs(pairs, hashes, ["hashes"], _similar_sets(percent)))
-    dropped(pairs, reps)
-    groups = _groups(buckets, roots)
+    rows = _rooted(buckets.filter("ent <> pivot"), roots)  # pivots have met all others of their buckets
+    live = written(rows.join(_open_buckets(rows, F.lit(0)), "sig"), "open")
+    dropped(buckets, reps)
+    few = written(_pairs_of_small(live.filter(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = _linked(roots, _pairs(few, hashes, ["hashes"], _similar_sets(percent)))
+    dropped(pairs, few)
+    groups = _groups(live.filter(F.col("n") > SMALL).select("sig", "ent", "probe"), roots)
     sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
     diffs = _differences(groups.join(hashes, "ent"), sizes, percent)
-    dropped(buckets, hashes, groups, sizes)
+    dropped(live, hashes, groups, sizes)
     rows, links = _centred(diffs, roots, percent)
     tried, pivots = None, PIVOTS
     while True:
-        live = written(rows.join(_open_buckets(rows), "sig"), "open")
+        live = written(rows.join(_open_buckets(rows, F.col("left")).select("sig"), "sig"), "open")
         dropped(rows)
         if live.isEmpty():
             return _linked(roots, links) if tried is None else roots
