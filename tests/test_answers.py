@@ -38,5 +38,5 @@ def test_streams(spark):
 
 def test_shuffled_labels_are_near_one_half(spark):
     rows = [("g", i, i % 2, i % 2 if i % 5 else None) for i in range(40)] + [("one class", 1, 1, 1)]
-    got = {r.grp: (r.n, r.shuffled_auroc) for r in shuffled.shuffled_auroc(spark.createDataFrame(rows, "grp string, id int, gold int, p int"), "grp", "id", "gold", "p").collect()}
+    got = {r.grp: (r.n, r.shuffled_auroc) for r in shuffled.shuffled_auroc(spark.createDataFrame(rows, "grp string, id int, gold int, p int"), "grp", "gold", "p").collect()}
     assert got["g"][0] == 40 and abs(got["g"][1] - 0.5) < 0.05 and got["one class"] == (1, None)
