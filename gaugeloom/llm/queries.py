@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import digest, html_blocks, licences, mixing, quality, setjoin, templates, toxicity, urlfilter, warc
+from . import bpe, digest, html_blocks, licences, mixing, quality, resampling, setjoin, templates, toxicity, urlfilter, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +56,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to, by a published vocabulary."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    size = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_html_extraction, op2_warc_index, op3_document_fingerprints, op4_url_filter, op5_toxicity, op6_benchmark_decontamination,
         op7_licence_scan, op8_ngram_jaccard_join, op9_source_mixing, op10_quality_classifier,
+        op11_importance_resampling, op12_embedding_whitening, op13_byte_bpe,
     )
     return {f.__name__: f for f in ops}
 
