@@ -95,7 +95,7 @@ def _scatter(vectors: DataFrame, column: str, centre: np.ndarray) -> np.ndarray:
             _, x, _ = whole_vectors(batch.column(0), width)
             for a in range(0, len(x), PASS_ROWS):
                 z = x[a : a + PASS_ROWS] - centre
-                if int(np.abs(z).max()) < 1 << 20:  # sums of products stay below 2^53, where doubles are exact
+                if int(np.abs(z).max(initial=0)) < 1 << 20:  # sums of products stay below 2^53, where doubles are exact
                     d = z.astype(np.float64)
                     total += (d.T @ d).astype(np.int64)
                 else:
