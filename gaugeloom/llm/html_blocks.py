@@ -10,7 +10,9 @@ the page's furniture that nothing names as such.
 
 Defined cases: a null or empty page has the empty text; unclosed elements end with their parent;
 a comment, script or style that is never closed runs to the end of the page; after a quote in a tag that is never closed,
-tags end at the next ">"; where all text is in elements that their class or id sets apart, the outermost of these
+tags end at the next ">"; a slash at the end of a script, style or other raw element doesn't close it, and formulas are text; where
+elements set apart by a word that may name an article's subject (copyright, cookie, search ...) hold more text than all
+that isn't apart, such words set nothing apart on that page; where all text is in elements that their class or id sets apart, the outermost of these
 are taken for wrappers; repeated rows stay. Time is linear in the page.
 """
 
@@ -29,7 +31,9 @@ from pyspark.sql import DataFrame
 from .shared import map_batches
 
 # Fixed values of HTML.
-RAW = frozenset("script style title textarea noscript template svg math iframe object canvas select datalist audio video".split())
+RAW = frozenset("script style title textarea noscript template svg annotation annotation-xml iframe object canvas select datalist audio video".split())
+#: Of these, those that a slash can close: elsewhere it is part of the tag and closes nothing.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -49,6 +53,10 @@ _ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Of these, words that also name what an article is about: the weights of the lines decide about their elements.
+DOUBTFUL_WORDS = frozenset("promotion banner navigation cookie cookies consent notice notification popup overlay newsletter share sharing social widget copyright legal disclaimer search sponsor".split())
+
+
 #: Elements that end an open one of their kind, unless one of the second kind was opened in between.
 REPLACE = frozenset("p li td tr dd dt option".split())
 HOLD = frozenset("ul ol table dl div section article main select".split())
@@ -67,7 +75,7 @@ class Params:
 
 
 class Line(NamedTuple):
-    """text; characters in links; whether it is apart; number of the article or main element it is in, or 0; number of its element, and of that which holds it (0: the page)."""
+    """text; characters in links; whether it is apart; number of the article or main element it is in, or 0; number of its element, and of that which holds it (0: the page); whether only a doubtful word sets it apart."""
 
     text: str
     linked: int
@@ -75,10 +83,11 @@ class Line(NamedTuple):
     article: int
     element: int
     parent: int
+    doubtful: bool
 
 
-def _apart(tag: str, attributes: str, inside: bool, words: bool = True) -> bool:
-    """Whether an element holds no article text; ``inside``: it is within an article or main element; ``words``: words of its class or id count."""
+def _apart(tag: str, attributes: str, inside: bool, words: frozenset = APART_WORDS) -> bool:
+    """Whether an element holds no article text; ``inside``: it is within an article or main element; ``words``: those of its class or id that count."""
     if tag in APART or (tag == "header" and not inside):
         return True
     if not attributes or attributes.isspace():
@@ -87,7 +96,7 @@ def _apart(tag: str, attributes: str, inside: bool, words: bool = True) -> bool:
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if words and tag not in ("body", "html", "article", "main") and any(w.lower() in APART_WORDS for w in _WORD.findall(value)):
+            if words and tag not in ("body", "html", "article", "main") and any(w.lower() in words for w in _WORD.findall(value)):
                 return True
         elif name == "role":
             if value.strip().lower() in APART_ROLES:
@@ -136,7 +145,7 @@ def _pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
             at = close.end()
         tag, closes, attributes = m[2].lower(), bool(m[1]), page[m.end() : at - 1]
         if tag in RAW:
-            if not closes and not attributes.endswith("/"):
+            if not closes and not (tag in FOREIGN and attributes.endswith("/")):
                 found = _closing(tag).search(page, at)
                 at = found.end() if found else end
             continue
@@ -156,14 +165,15 @@ class _Open:
         self.named: list[int] = []
         self.articles: list[int] = []  # numbers
         self.last = [0]  # of each number, the highest number within it
+        self.sure: list[int] = []  # depths of what is apart by more than a doubtful word
         self.wrapper: int | None = None  # depth of an element that is not taken as apart
 
-    def push(self, tag: str, apart: bool) -> None:
+    def push(self, tag: str, apart: bool, sure: bool = False) -> None:
         depth, number = len(self.elements), len(self.last)
         self.last.append(number)
         self.elements.append((tag, number, apart))
         self.at.setdefault(tag, []).append(depth)
-        for depths, is_such in ((self.holds, tag in HOLD), (self.blocks, tag in BLOCK), (self.apart, apart), (self.named, apart and tag in APART)):
+        for depths, is_such in ((self.holds, tag in HOLD), (self.blocks, tag in BLOCK), (self.apart, apart), (self.named, apart and tag in APART), (self.sure, apart and sure)):
             if is_such:
                 depths.append(depth)
         if tag in ("article", "main"):
@@ -173,7 +183,7 @@ class _Open:
         while len(self.elements) > depth:
             tag, number, _ = self.elements.pop()
             top = len(self.elements)
-            for depths in (self.at[tag], self.holds, self.blocks, self.apart, self.named):
+            for depths in (self.at[tag], self.holds, self.blocks, self.apart, self.named, self.sure):
                 if depths and depths[-1] == top:
                     depths.pop()
             if self.articles and self.articles[-1] == number:
@@ -195,8 +205,8 @@ class _Open:
         return tuple(0 if tag in ("html", "body") else number for tag, number, _ in [("html", 0, False)] * 2 + self.elements[-2:])[:-3:-1]
 
 
-def lines_of(page: str, unwrap: bool = False) -> tuple[list[Line], list[int]]:
-    """The lines of a page, empty ones left out, and of each element the highest number within it. ``unwrap``: the outermost elements that class or id sets apart are not apart."""
+def lines_of(page: str, unwrap: bool = False, words: frozenset = APART_WORDS) -> tuple[list[Line], list[int]]:
+    """The lines of a page, empty ones left out, and of each element the highest number within it. ``unwrap``: the outermost elements that class or id sets apart are not apart; ``words``: of class and id, those that set an element apart."""
     out: list[Line] = []
     parts: list[str] = []
     linked, links, opened = 0, False, _Open()
@@ -205,7 +215,7 @@ def lines_of(page: str, unwrap: bool = False) -> tuple[list[Line], list[int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, linked, bool(opened.apart), opened.articles[-1] if opened.articles else 0, *opened.place()))
+            out.append(Line(text, linked, bool(opened.apart), opened.articles[-1] if opened.articles else 0, *opened.place(), bool(opened.apart) and not opened.sure))
         parts.clear()
         linked = 0
 
@@ -228,8 +238,9 @@ def lines_of(page: str, unwrap: bool = False) -> tuple[list[Line], list[int]]:
                 flush()
                 opened.close(tag)
             continue
-        apart = _apart(tag, attributes, bool(opened.articles))
-        unwraps = unwrap and apart and opened.wrapper is None and not opened.apart and not _apart(tag, attributes, bool(opened.articles), False)
+        apart = _apart(tag, attributes, bool(opened.articles), words)
+        unwraps = unwrap and apart and opened.wrapper is None and not opened.apart and not _apart(tag, attributes, bool(opened.articles), frozenset())
+        sure = apart and _apart(tag, attributes, bool(opened.articles), words - DOUBTFUL_WORDS)
         apart = apart and not unwraps
         if tag in BLOCK:
             if tag in ("article", "main") and opened.apart and not opened.named:
@@ -238,10 +249,10 @@ def lines_of(page: str, unwrap: bool = False) -> tuple[list[Line], list[int]]:
                 opened.close(tag, opened.holds)
             if unwraps:
                 opened.wrapper = len(opened.elements)
-            opened.push(tag, apart)
+            opened.push(tag, apart, sure)
         elif apart:
             flush()
-            opened.push(tag, True)
+            opened.push(tag, True, sure)
     flush()
     opened.close_to(0)
     return out, opened.last
@@ -273,6 +284,8 @@ def main_text(page: str | None, params: Params = Params()) -> str:
     if not page:
         return ""
     lines, last = lines_of(page)
+    if sum(len(x.text) - x.linked for x in lines if x.doubtful) > sum(len(x.text) - x.linked for x in lines if not x.apart):
+        lines, last = lines_of(page, words=APART_WORDS - DOUBTFUL_WORDS)
     if all(x.apart for x in lines):
         lines, last = lines_of(page, unwrap=True)
     weights = [0 if x.apart or (not x.article and x.linked > params.links * len(x.text)) else len(x.text) * (ELEMENT if x.article else 1) for x in lines]

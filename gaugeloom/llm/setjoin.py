@@ -152,8 +152,8 @@ def common_shingles(documents: DataFrame, k: int, sample: int = 2000, share: flo
     return np.sort(np.array(found, np.int64).view(U))
 
 
-def sets_of(documents: DataFrame, k: int, id_bits: int = 63) -> DataFrame:
-    """doc_id, n_shingles and the set's 126-bit digest (d1, d2) of every row; ``id_bits``: of d1."""
+def sets_of(documents: DataFrame, k: int, id_bits: int = 63, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles and the set's 126-bit digest (d1, d2) of every row, and its ``keep`` columns; ``id_bits``: of d1."""
 
     def batch(rows: pa.RecordBatch) -> dict:
         texts = texts_of(rows.column("text"))
@@ -161,9 +161,10 @@ def sets_of(documents: DataFrame, k: int, id_bits: int = 63) -> DataFrame:
         for i, j in size_chunks([len(t) for t in texts]):
             for r, found in enumerate(shingles(texts[i:j], k), i):
                 n[r], digest[r] = len(found), _digest(found, id_bits)
-        return {"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1])}
+        return {"doc_id": rows.column("doc_id"), "n_shingles": pa.array(n), "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1])} | {c: rows.column(c) for c in keep}
 
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, n_shingles long, d1 long, d2 long")
+    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+    return map_batches(documents.select(F.col("doc_id").cast("long"), "text", *keep), batch, "doc_id long, n_shingles long, d1 long, d2 long" + kinds)
 
 
 def _digest(found: np.ndarray, id_bits: int = 63) -> tuple[int, int]:
@@ -588,17 +589,50 @@ def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: i
         pivots *= 4
 
 
-def join_components(documents: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 63) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard percent / 100 or more. ``id_bits``: see sets_of; fewer bits only cost time."""
+def memberships(documents: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 63, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component, first and the ``keep`` columns of every row.
+
+    ``component`` names the component of links of Jaccard percent / 100 or more that a row's set is in, whatever ids the rows have, and
+    ``first`` is the smallest doc_id in it; both are null for an empty set, and for a set that only rows without a doc_id have. ``id_bits``: see sets_of; fewer bits only cost time.
+    """
     bound_batches(documents.sparkSession)
-    sets = written(sets_of(documents, k, id_bits), "sets")
+    sets = written(sets_of(documents, k, id_bits, keep), "sets")
     classes = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     names = Names(classes)
     classes = classes.withColumn("ent", names.column())
     roots = similar_classes(documents, classes, k, percent, names, id_bits)
     firsts = roots.join(classes, F.col("node") == F.col("ent")).groupBy("root").agg(F.min("rep").alias("first"))
-    firsts = roots.join(firsts, "root").select(F.col("node").alias("ent"), "first")
-    named = classes.join(firsts, "ent", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.least("rep", "first").alias("first"))
+    firsts = roots.join(firsts, "root").select(F.col("node").alias("ent"), "root", "first")
+    named = classes.join(firsts, "ent", "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("root", "ent").alias("component"), F.least("rep", "first").alias("first"))
     named = written(named, "named")
     joined = sets.join(named, (sets["d1"] == named["c1"]) & (sets["d2"] == named["c2"]) & (sets["n_shingles"] > 0), "left")
+    return joined.select("doc_id", "n_shingles", "component", "first", *keep)
+
+
+def join_components(documents: DataFrame, k: int = 5, percent: int = 80, id_bits: int = 63) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard percent / 100 or more."""
+    joined = memberships(documents, k, percent, id_bits)
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("first"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(documents: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` without near copies: of each component one row stays, that with the smallest ``key``.
+
+    Rows are told apart by a 128-bit digest of all their columns, not by their key, so a row never goes for another one of its key. Ties of the
+    key go by the digest; of rows that are equal in all columns one stays; rows without a key come last, and are compared like
+    others. Texts without words are linked with nothing, and all stay.
+    """
+    digest = {"_a": F.xxhash64(*documents.columns), "_b": F.xxhash64(F.lit("b"), *documents.columns)}
+    tagged = documents.withColumns(digest)
+    named = tagged.select(F.coalesce(F.col(key), -1 - F.abs(F.shiftright("_a", 1))).alias("doc_id"), "text", F.col(key).alias("_key"), "_a", "_b")
+    found = memberships(named, k, percent, keep=("_key", "_a", "_b")).filter("n_shingles > 0")
+    classes = written(found.groupBy("component", "_key", "_a", "_b").agg(F.count(F.lit(1)).alias("n")), "classes")
+    place = F.struct(F.col("_key").isNull(), "_key", "_a", "_b")
+    first = classes.groupBy("component").agg(F.min(place).alias("m"), F.sum("n").alias("all")).filter("all > 1").select("component", F.col("m._a").alias("ka"), F.col("m._b").alias("kb"))
+    judged = written(classes.join(first, "component").select("_a", "_b", "n", ((F.col("_a") == F.col("ka")) & (F.col("_b") == F.col("kb"))).alias("stays")), "judged")
+    kept = tagged.join(judged.filter("not stays").select("_a", "_b"), ["_a", "_b"], "left_anti")
+    repeated = judged.filter("stays and n > 1").select("_a", "_b")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+        kept = kept.join(repeated, ["_a", "_b"], "left_anti").unionByName(again)
+    return kept.select(*documents.columns)

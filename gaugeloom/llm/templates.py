@@ -25,7 +25,6 @@ only; rows of one id are told apart by their text, and reported once for each (d
 from __future__ import annotations
 
 import collections
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,8 +245,26 @@ def _judge(shift, no, at, offsets, left, right, reach: int) -> tuple[int, int, i
     return best
 
 
+def text_digest() -> list:
+    """Two 64-bit hashes by which texts are told apart; null is the empty text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit("b"), text).alias("text_b")]
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
+    """The rows of ``documents`` whose text holds no item. Texts are judged, not ids: rows of one id, or without one, stay or go by their own text."""
+    gone = written(holders(documents, benchmark, coverage, enough).select("text_a", "text_b").distinct(), "contaminated")
+    return documents.withColumns({"_a": text_digest()[0], "_b": text_digest()[1]}).join(gone, (F.col("_a") == F.col("text_a")) & (F.col("_b") == F.col("text_b")), "left_anti").select(*documents.columns)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
     """doc_id, item_id, matched (agreeing windows), n_windows, coverage (with gaps that one word explains), n_slots of the documents that hold an item, with its own or with other numbers, names and units."""
+    best = holders(documents, benchmark, coverage, enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "n_windows", "n_slots")).alias("m"))
+    return best.select("doc_id", "item_id", "m.matched", "m.n_windows", F.round("m.coverage", 6).alias("coverage"), "m.n_slots")
+
+
+def holders(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, enough: int = ENOUGH) -> DataFrame:
+    """As ``contaminated``, with the digest of the text (text_a, text_b) that holds the item; a row for each view of a text that does."""
     spark = documents.sparkSession
     items = written(item_windows(benchmark), "items")
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("source", "width")).alias("widths")).first()
@@ -259,7 +276,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
         texts, ids = texts_of(rows.column("text")), rows.column("doc_id")
         for i, j in size_chunks([len(t) for t in texts]):
             views = _views(texts[i:j])
-            rows_of = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts[i:j]], np.int64)
             for v, width in widths:
                 view = views[v]
                 at, h = _windows(view, width, v == _EXACT)
@@ -267,7 +283,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
                 hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
                 at, h = at[hit], h[hit]
                 if len(at):
-                    yield {"doc_id": ids.take(pa.array(view.text[at] + i)), "row": pa.array(rows_of[view.text[at]]), "w": pa.array(h.view(np.int64)), "at": pa.array(view.place[at].astype(np.int64)), "slots": _slots(view.value, at, width)}
+                    of = pa.array(view.text[at] + i)
+                    yield {"doc_id": ids.take(of), "text_a": rows.column("text_a").take(of), "text_b": rows.column("text_b").take(of), "w": pa.array(h.view(np.int64)), "at": pa.array(view.place[at].astype(np.int64)), "slots": _slots(view.value, at, width)}
 
     def judge(rows: pa.RecordBatch):
         lists = rows.column("hits")
@@ -288,13 +305,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
                 covered.append(c / n_windows[g])
                 slots.append(s)
         at = pa.array(keep, pa.int64())
-        return {"doc_id": rows.column("doc_id").take(at), "item_id": rows.column("item_id").take(at), "matched": pa.array(matched, pa.int64()), "n_windows": rows.column("n_windows").take(at), "coverage": pa.array(covered, pa.float64()), "n_slots": pa.array(slots, pa.int64())}
+        return {"doc_id": rows.column("doc_id").take(at), "text_a": rows.column("text_a").take(at), "text_b": rows.column("text_b").take(at), "item_id": rows.column("item_id").take(at), "matched": pa.array(matched, pa.int64()), "n_windows": rows.column("n_windows").take(at), "coverage": pa.array(covered, pa.float64()), "n_slots": pa.array(slots, pa.int64())}
 
-    hits = map_batches(documents.select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, row long, w long, at long, slots array<long>")
+    hits = map_batches(documents.select(F.col("doc_id").cast("long"), "text", *text_digest()), batch, "doc_id long, text_a long, text_b long, w long, at long, slots array<long>")
     right = F.broadcast(items) if stats["n"] <= BROADCAST_WINDOWS else items
     pairs = hits.join(right, "w").filter(F.size("slots") == F.size("item_slots"))
     hit = F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_no", "item_at", "item_slots", "slots")
-    groups = pairs.groupBy("doc_id", "item_id", "row", "view").agg(F.collect_list(hit).alias("hits"), F.max("n_windows").alias("n_windows"), F.max("reach").alias("reach"))
-    found = map_batches(groups.select("doc_id", "item_id", "hits", "n_windows", "reach"), judge, "doc_id long, item_id long, matched long, n_windows long, coverage double, n_slots long")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "n_windows", "n_slots")).alias("m"))
-    return best.select("doc_id", "item_id", "m.matched", "m.n_windows", F.round("m.coverage", 6).alias("coverage"), "m.n_slots")
+    groups = pairs.groupBy("doc_id", "text_a", "text_b", "item_id", "view").agg(F.collect_list(hit).alias("hits"), F.max("n_windows").alias("n_windows"), F.max("reach").alias("reach"))
+    return map_batches(groups.select("doc_id", "text_a", "text_b", "item_id", "hits", "n_windows", "reach"), judge, "doc_id long, text_a long, text_b long, item_id long, matched long, n_windows long, coverage double, n_slots long")

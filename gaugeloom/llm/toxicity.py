@@ -10,7 +10,8 @@ Averages of whole texts don't find it: on held-out rows of sf0.1 they catch 0.7
 At scoring time the softmax's weight difference is folded into the embedding table, which leaves one
 number for each subword bucket, and whole batches are scored from running sums over their bytes.
 
-Defined cases: null and empty texts, and texts without words, score the model's prior; ties are equal.
+Defined cases: null and empty texts, and texts without words, score the model's prior, which is one half if no text that is
+learnt from has a word, about 0.02 or 0.98 if only one label is learnt from; ties are equal.
 """
 
 from __future__ import annotations
@@ -110,6 +111,8 @@ def train(texts: list[str], labels: np.ndarray, warm_steps: int = 8, steps: int
     if not len(texts) or not 0 < y.sum() < len(y):
         return Model(np.zeros(size), 4.0 if len(y) and y.all() else -4.0)
     ids, offsets, docs = _distinct_words(texts)
+    if not len(ids):  # no text has a word; the classes weigh the same, so the prior is one half
+        return Model(np.zeros(size), 0.0)
     counts = np.diff(offsets)
     order = np.argsort(docs[0], kind="stable")
     word_of, doc_of = docs[1][order], docs[0][order]
@@ -202,6 +205,8 @@ def _distinct_words(texts: list[str]):
         all_ids.append(np.concatenate(bases)[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())])
         all_keys.append(unique[fresh])
         all_counts.append(size.reshape(len(w), -1).sum(axis=1))
+    if not all_keys:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
     keys, counts = np.concatenate(all_keys), np.concatenate(all_counts)
     order = np.argsort(keys)
     rank = np.empty(len(order), np.int64)

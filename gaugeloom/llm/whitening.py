@@ -139,6 +139,8 @@ def one_sided_jacobi(factor: np.ndarray, tolerance: float = 1e-15, most_sweeps:
         for _ in range(max(0, len(seats) - 1)):
             half = len(seats) // 2
             pairs = [(i, j) for i, j in zip(seats[:half], reversed(seats[half:])) if i >= 0 and j >= 0]
+            if not pairs:  # one column only
+                continue
             i, j = (np.array(x) for x in zip(*pairs))
             x, y = a[:, i], a[:, j]
             xx, yy, xy = (x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)
