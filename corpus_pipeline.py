@@ -7,7 +7,6 @@ Each stage works on all that the one before kept. All but the last return the co
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gaugeloom.llm import mixing, quality, setjoin, templates, toxicity
 from gaugeloom.llm.shared import written
@@ -26,17 +25,13 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of five-word-shingle Jaccard 0.8 or more; rows with a null doc_id stay."""
-    groups = setjoin.join_components(docs, k=5, percent=80)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of five-word-shingle Jaccard 0.8 or more: that with the smallest doc_id, null last; rows are judged, not ids, and equal rows are copies."""
+    return setjoin.representatives(docs, k=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = templates.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text holds no benchmark item; texts are judged, not ids."""
+    return templates.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
