@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES
+from .shared import CHUNK_BYTES, bound_batches
 
 BUCKETS = 256
 WINDOW = 5
@@ -145,4 +145,5 @@ def compare_with_edits(documents: DataFrame, partitions: int | None = None) -> D
             ]
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
+    bound_batches(dealt.sparkSession)
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

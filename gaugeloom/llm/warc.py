@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, new_folder, written
+from .shared import bound_batches, map_batches, new_folder, written
 from .skew import lookup_join
 
 #: Captures in a block of the index.
@@ -144,6 +144,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         if sink is not None:
             sink.close()
 
+    bound_batches(pages.sparkSession)
     return written(first_captures(pages, min_bytes).mapInArrow(run, _CAPTURES), "captures")
 
 
