@@ -29,9 +29,9 @@ from .bytehash import mix, span_hashes
 from .shared import map_batches, texts_of
 
 #: Characters of one numpy pass.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 #: Distinct merged pre-tokens that a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # White space of Unicode, and the letters and numbers that Unicode 16 added to what older Python versions know.
