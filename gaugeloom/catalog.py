@@ -9,7 +9,7 @@ from .functions import answers as AN
 from .functions import json_text as JT
 from .functions import records as RE
 from .functions import text as TX
-from .functions.stats import bootstrap_means, hash_uniform, percentile_interval
+from .functions.stats import hash_uniform
 from .operators import advise as AD
 from .operators import cells as CE
 from .operators import chapters as CH
@@ -23,7 +23,8 @@ from .operators import sanitize as SA
 from .operators import shuffled as SH
 from .operators import transcripts as TR
 from .operators.dedupe import latest_grade, latest_ok
-from .oracles import SQL
+from .operators.intervals import bootstrap_intervals
+from .oracles import SQL, intervals_sql
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL
 
@@ -80,11 +81,10 @@ def _pareto(axis):
 
 
 def cell_intervals(spark, sf_dir):
-    """Intervals of cells by month, most of them small; fewer resamples than a report takes."""
+    """Intervals of cells by month, most of them small."""
     rows = orders_ledger(spark, sf_dir).withColumn("variant", F.substring("ts", 1, 7)).withColumn("cost_usd", F.lit(None).cast("double"))
-    grades = latest_grade(rows, TIES)
-    found = CE.with_small_intervals(CE.aggregate(grades), grades, 40)
-    return _rounded(found.select(*CELL, "n_epochs", "value_low", "value_high", "latency_low", "latency_high", "cost_low", "total_tokens_high"))
+    found = CE.intervals(latest_grade(rows, TIES))
+    return _rounded(found.select(*CELL, "value_low", "value_high", "latency_low", "latency_high", "cost_low", "total_tokens_high"))
 
 
 def ab_compare(spark, sf_dir):
@@ -103,14 +103,9 @@ def advise_total(spark, sf_dir):
 
 
 def epoch_interval(spark, sf_dir):
-    grades = latest_grade(event_ledger(spark, sf_dir), ("event_id",)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.round("value", 6))).alias("v"))
-    return _intervals(grades)
-
-
-def _intervals(grades):
-    """user_id, low, high for each row of user_id and sorted grades ``v``; null under three grades."""
-    low, high = percentile_interval(F.col("means"))
-    return grades.withColumn("means", bootstrap_means("v")).select("user_id", _round(low).alias("low"), _round(high).alias("high"))
+    grades = latest_grade(event_ledger(spark, sf_dir), ("event_id",))
+    found = bootstrap_intervals(grades, ("user_id",), "run_id", {"value": "value"})
+    return found.select("user_id", _round("value_low").alias("low"), _round("value_high").alias("high"))
 
 
 def infra_breaker(spark, sf_dir):
@@ -472,11 +467,11 @@ grid AS (
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "cell_report": LEDGER_SQL + f"""SELECT {_CELL}, n_epochs, round(mean_value + 1e-9, 4) AS mean_value, round(std_value + 1e-9, 4) AS std_value, round(mean_cost + 1e-9, 4) AS mean_cost, round(mean_latency + 1e-9, 4) AS mean_latency, n_spec,
+        "cell_report": LEDGER_SQL + intervals_sql("grades", _CELL, _MEASURED) + f"""SELECT {_CELL}, n_epochs, round(mean_value + 1e-9, 4) AS mean_value, round(std_value + 1e-9, 4) AS std_value, round(mean_cost + 1e-9, 4) AS mean_cost, round(mean_latency + 1e-9, 4) AS mean_latency, n_spec,
   n_grader_versions, n_unparseable, round(mean_output_tokens + 1e-9, 4) AS mean_output_tokens, n_token_epochs, round(mean_total_tokens + 1e-9, 4) AS mean_total_tokens, n_total_token_epochs,
-  round(mean_shuffled_auroc + 1e-9, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped, {", ".join(f"CASE WHEN k_{m} > 30 THEN round(m_{m} {sign} 1.959963984540054 * s_{m} / sqrt(k_{m}) + 1e-9, 4) END AS {m}_{end}" for m in CE.MEASURES for end, sign in (("low", "-"), ("high", "+")))},
+  round(mean_shuffled_auroc + 1e-9, 4) AS mean_shuffled_auroc, leakage, coalesce(n_dropped, 0) AS n_dropped, {", ".join(f"round({m}_{end} + 1e-9, 4) AS {m}_{end}" for m in CE.MEASURES for end in ("low", "high"))},
   NOT EXISTS (SELECT 1 FROM cells o WHERE o.task_id = c.task_id AND o.mean_value >= c.mean_value AND o.mean_latency <= c.mean_latency AND (o.mean_value > c.mean_value OR o.mean_latency < c.mean_latency)) AS pareto
-FROM cells c JOIN (SELECT {_CELL}, {", ".join(f"count({x}) AS k_{m}, avg({x}) AS m_{m}, stddev_samp({x}) AS s_{m}" for m, x in _MEASURED.items())} FROM grades GROUP BY ALL) w USING ({_CELL}) LEFT JOIN dropped USING ({_CELL})""",
+FROM cells c JOIN intervals USING ({_CELL}) LEFT JOIN dropped USING ({_CELL})""",
         "dropped_runs": LEDGER_SQL + "SELECT * FROM dropped",
         "fully_dropped_cells": LEDGER_SQL + """, wide AS (SELECT *, concat_ws('-', variant, grader_version, run_id) AS v FROM ledger), best AS (SELECT DISTINCT task_id, model, effort, concat_ws('-', variant, grader_version, run_id) AS v FROM grades)
 SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped FROM wide w WHERE run_status <> 'ok'

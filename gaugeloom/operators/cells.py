@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import bootstrap_means, percentile_interval
 from ..schema import CELL, TOKENS
 from .dedupe import marked_runs
+from .intervals import BUCKETS, RESAMPLES, bootstrap_intervals, bounds, bucket_of, mean_of, resampled
 
 LEAKAGE_BAND = 0.05
-#: Intervals of cells with more epochs are those of the normal law, which resampling comes to; no list of a large cell is gathered.
-SMALL_CELL = 30
 #: Names of the intervals, with what they are of.
 MEASURES = {"value": "value", "cost": "cost_usd", "latency": "latency_s", "output_tokens": "output_tokens", "total_tokens": "total_tokens"}
-_Z = 1.959963984540054
 
 
 def strict_mean(c: str) -> Column:
@@ -42,58 +39,74 @@ def _derived(grades: DataFrame) -> DataFrame:
     return rows.withColumn("shuffled", F.get_json_object("subscores", "$.shuffled_auroc").try_cast("double"))
 
 
-def _measures(chosen: Column | None = None) -> list[Column]:
-    """Aggregates of a cell over derived columns, of which those of rows that aren't ``chosen`` are null."""
-    n = F.count(F.lit(1)) if chosen is None else F.count_if(chosen)
-    versions = distinct_with_null if chosen is None else lambda c: (F.size(F.collect_set(c)) + F.max((chosen & F.col(c).isNull()).cast("int"))).cast("long")
-    strict = lambda c: F.when(F.count(c) < n, F.lit(float("nan"))).otherwise(F.avg(c))
-
-    def wide(c: str, sign: int) -> Column:
-        return F.when(F.count(c) > SMALL_CELL, F.avg(c) + F.lit(sign * _Z) * F.stddev_samp(c) / F.sqrt(F.count(c)))
-
-    return [
-        n.alias("n_epochs"), strict("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), strict("cost_usd").alias("mean_cost"), strict("latency_s").alias("mean_latency"),
-        versions("spec_sha").alias("n_spec"), versions("grader_version").alias("n_grader_versions"), F.count_if(F.col("grade_status") == "unparseable").alias("n_unparseable"),
+def aggregate(grades: DataFrame) -> DataFrame:
+    """One row a cell: means, spread, coverage of tokens, versions and the leakage flag."""
+    return _derived(grades).groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("n_epochs"), strict_mean("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), strict_mean("cost_usd").alias("mean_cost"), strict_mean("latency_s").alias("mean_latency"),
+        distinct_with_null("spec_sha").alias("n_spec"), distinct_with_null("grader_version").alias("n_grader_versions"), F.count_if(F.col("grade_status") == "unparseable").alias("n_unparseable"),
         F.avg("output_tokens").alias("mean_output_tokens"), F.count("output_tokens").alias("n_token_epochs"), F.avg("total_tokens").alias("mean_total_tokens"), F.count("total_tokens").alias("n_total_token_epochs"),
         F.avg("shuffled").alias("mean_shuffled_auroc"), F.coalesce(F.max(F.abs(F.col("shuffled") - 0.5)) > LEAKAGE_BAND, F.lit(False)).alias("leakage"),
-        *(wide(c, sign).alias(f"{name}_{end}") for name, c in MEASURES.items() for end, sign in (("low", -1), ("high", 1))),
-    ]
+    )
 
 
-def aggregate(grades: DataFrame) -> DataFrame:
-    """One row a cell: means, spread, coverage of tokens, versions, the leakage flag, and the intervals of means over more than SMALL_CELL epochs."""
-    return _derived(grades).groupBy(*CELL).agg(*_measures())
+def intervals(grades: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
+    """CELL with the bootstrap intervals of all MEASURES, of cells of any size; a measure with fewer than three values has none."""
+    return bootstrap_intervals(_derived(grades), CELL, "run_id", MEASURES, resamples=resamples)
 
 
-def small_intervals(grades: DataFrame, cells: DataFrame, resamples: int = 2000) -> DataFrame:
-    """CELL with the bootstrap intervals of cells of 3 to SMALL_CELL epochs, so the lists that are gathered are bounded; a measure with fewer than three values has none."""
-    small = cells.filter(F.col("n_epochs").between(3, SMALL_CELL)).select(*CELL)
-    lists = _derived(grades).join(small, list(CELL), "left_semi").groupBy(*CELL).agg(*(F.array_sort(F.collect_list(F.struct("run_id", F.col(c).cast("double").alias("x")))).alias(f"_{name}") for name, c in MEASURES.items()))
-    lists = lists.select(*CELL, *(F.filter(F.transform(f"_{name}", lambda s: s["x"]), lambda x: x.isNotNull()).alias(name) for name in MEASURES))
-    means = lists.select(*CELL, *(bootstrap_means(name, resamples).alias(name) for name in MEASURES))
-    bounds = {f"{name}_{end}": bound for name in MEASURES for end, bound in zip(("low", "high"), percentile_interval(F.col(name)))}
-    return means.select(*CELL, *(bound.alias(name) for name, bound in bounds.items()))
+def _partial() -> list[Column]:
+    """What is kept of the rows of a cell that are in one bucket; what isn't ``chosen`` is null but for ``drop``. Bucket -1 keeps nothing but its versions."""
+    real = F.col("bucket") >= 0
+    of = lambda c: F.when(real, F.col(c))
+    kept = [F.count_if(real & F.col("chosen")).alias("n"), F.count_if(real & F.col("drop")).alias("dropped"), F.count_if(real & (F.col("grade_status") == "unparseable")).alias("bad")]
+    for name, c in MEASURES.items():
+        kept += [F.sum(of(c).cast("double")).alias(f"s_{name}"), F.count(of(c)).alias(f"k_{name}")]
+    return [*kept, F.var_pop(of("value")).alias("var"), F.sum(of("shuffled")).alias("s_shuffled"), F.count(of("shuffled")).alias("k_shuffled"), F.max(F.abs(of("shuffled") - 0.5)).alias("off")]
 
 
-def with_small_intervals(cells: DataFrame, grades: DataFrame, resamples: int = 2000) -> DataFrame:
-    """``cells`` with the intervals of small cells too."""
-    small = small_intervals(grades, cells, resamples)
-    names = [c for c in small.columns if c not in CELL]
-    joined = cells.join(small.select(*CELL, *(F.col(c).alias(f"_{c}") for c in names)), list(CELL), "left")
-    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in names}).drop(*(f"_{c}" for c in names))
+def _stats() -> list[Column]:
+    """What a cell's buckets add up to, and as ``parts`` their sums."""
+    n = F.sum("n")
+    mean = lambda m: F.try_divide(F.sum(f"s_{m}"), F.sum(f"k_{m}").cast("double"))
+    strict = lambda m: F.when(F.sum(f"k_{m}") < n, F.lit(float("nan"))).otherwise(mean(m))
+    real = F.col("bucket") >= 0
+    sized = F.filter(F.collect_list(F.struct(F.col("k_value").alias("k"), F.col("s_value").alias("s"), F.col("var"))), lambda x: x["k"] > 0)
+    about = F.aggregate(sized, F.lit(0.0), lambda a, x: a + x["k"] * (x["var"] + F.pow(x["s"] / x["k"] - mean("value"), F.lit(2))))
+    n_of = lambda c: (F.size(F.collect_set(c)) + F.max((~real & F.col(c).isNull()).cast("int"))).cast("long")
+    return [
+        n.alias("n_epochs"), strict("value").alias("mean_value"), F.when(F.sum("k_value") > 1, F.sqrt(about / (F.sum("k_value") - 1))).alias("std_value"), strict("cost").alias("mean_cost"), strict("latency").alias("mean_latency"),
+        n_of("spec_sha").alias("n_spec"), n_of("grader_version").alias("n_grader_versions"), F.sum("bad").alias("n_unparseable"), mean("output_tokens").alias("mean_output_tokens"), F.sum("k_output_tokens").alias("n_token_epochs"),
+        mean("total_tokens").alias("mean_total_tokens"), F.sum("k_total_tokens").alias("n_total_token_epochs"), F.try_divide(F.sum("s_shuffled"), F.sum("k_shuffled").cast("double")).alias("mean_shuffled_auroc"),
+        F.coalesce(F.max("off") > LEAKAGE_BAND, F.lit(False)).alias("leakage"), F.sum("dropped").alias("n_dropped"), *(F.sum(f"k_{m}").alias(f"n_{m}") for m in ("value", "cost", "latency")),
+        F.collect_list(F.when(real, F.struct("bucket", *(F.col(f"{kind}_{m}") for m in MEASURES for kind in "sk")))).alias("parts"),
+    ]
 
 
-def report(rows: DataFrame, ties: tuple[str, ...] = (), axis: str = "latency") -> DataFrame:
-    """The cells of a ledger with dropped runs and the Pareto mark on one axis, by one scan and one exchange of the ledger.
+def report(rows: DataFrame, ties: tuple[str, ...] = (), axis: str = "latency", resamples: int = RESAMPLES, buckets: int = BUCKETS) -> DataFrame:
+    """The cells of a ledger with dropped runs, the Pareto mark on one axis and the bootstrap intervals of all measures.
 
-    Intervals of cells of up to SMALL_CELL epochs are added by ``with_small_intervals``, where grades are at hand.
+    The ledger is scanned and dealt by run once. Its rows are summed by cell and bucket (see ``intervals``), and all that follows,
+    the resamples too, works on those sums, at most ``buckets`` a cell.
     """
     from .frontier import mark_frontier
 
     marked = marked_runs(rows, CELL, ties)
     measured = ("value", "cost_usd", "latency_s", "spec_sha", "grader_version", "grade_status", "subscores", *TOKENS)
     masked = _derived(marked.withColumns({c: F.when(F.col("chosen"), F.col(c)) for c in measured}))
-    cells = masked.groupBy(*CELL).agg(*_measures(F.col("chosen")), F.count_if("drop").alias("n_dropped")).filter("n_epochs > 0")
+    # each row counts in its bucket, and once more for its versions, of which there are few
+    none = F.lit(None).cast("string")
+    versions = ("spec_sha", "grader_version")
+    twice = F.array(F.struct(bucket_of(F.col("run_id"), buckets).alias("bucket"), *(none.alias(c) for c in versions)), F.when(F.col("chosen"), F.struct(F.lit(-1).alias("bucket"), *versions)))
+    dealt = masked.withColumn("key", F.explode(twice)).filter("key is not null").drop(*versions).select("*", "key.*")
+    sums = dealt.groupBy(*CELL, "bucket", *versions).agg(*_partial())
+    # a cell's sums meet in one task, at most ``buckets`` of them and one for each pair of versions, and stay there
+    met = sums.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *CELL).groupBy(*CELL).agg(*_stats()).filter("n_epochs > 0")
+    stats = [c for c in met.columns if c not in ("parts", *CELL)]
+    each = resampled(met.select(*CELL, *stats, F.inline("parts")), buckets, resamples).groupBy(*CELL, *stats, "b").agg(*(mean_of(f"s_{m}", f"k_{m}").alias(f"m_{m}") for m in MEASURES))
+    found = each.groupBy(*CELL, *stats).agg(*(F.collect_list(F.when(F.col("b") > 0, F.col(f"m_{m}"))).alias(f"m_{m}") for m in MEASURES))
+    counts = {"value": "n_value", "cost": "n_cost", "latency": "n_latency", "output_tokens": "n_token_epochs", "total_tokens": "n_total_token_epochs"}
+    ends = {f"{m}_{end}": bound for m in MEASURES for end, bound in zip(("low", "high"), bounds(f"m_{m}", F.col(counts[m])))}
+    cells = found.select(*CELL, *(c for c in stats if c not in ("n_value", "n_cost", "n_latency", "n_dropped")), *(bound.alias(name) for name, bound in ends.items()), "n_dropped")
     return mark_frontier(cells, axis)
 
 

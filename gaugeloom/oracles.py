@@ -169,18 +169,27 @@ _RESAMPLED = """, resampled AS (
   FROM (SELECT *, unnest(range(CASE WHEN n <= 5 THEN pow(n, n)::BIGINT ELSE {draws} END)) AS m FROM (SELECT *, len(v) AS n FROM lists) WHERE n >= {least})
 ), bounds AS (SELECT key, measure, quantile_disc(mean, 0.025) AS low, quantile_disc(mean, 0.975) AS high FROM resampled GROUP BY key, measure)"""
 
-CELL_INTERVALS = LEDGER_SQL + """, monthly AS (SELECT task_id, model, effort, substr(ts, 1, 7) AS variant, run_id, value, latency_s, (input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)::DOUBLE AS total FROM grades),
-sized AS (
-  SELECT task_id, model, effort, variant, count(*) AS n, avg(value) - 1.959963984540054 * stddev_samp(value) / sqrt(count(*)) AS vl, avg(value) + 1.959963984540054 * stddev_samp(value) / sqrt(count(*)) AS vh, avg(latency_s) - 1.959963984540054 * stddev_samp(latency_s) / sqrt(count(*)) AS ll,
-    avg(latency_s) + 1.959963984540054 * stddev_samp(latency_s) / sqrt(count(*)) AS lh, CASE WHEN count(total) > 30 THEN avg(total) + 1.959963984540054 * stddev_samp(total) / sqrt(count(total)) END AS th FROM monthly GROUP BY ALL
-), lists AS (
-  SELECT (task_id, model, effort, variant) AS key, measure, v FROM (
-    SELECT task_id, model, effort, variant, unnest(['value', 'latency', 'total']) AS measure, unnest([list(value::DOUBLE ORDER BY run_id, value), list(latency_s::DOUBLE ORDER BY run_id, latency_s), coalesce(list(total ORDER BY run_id, total) FILTER (total IS NOT NULL), [])]) AS v, count(*) AS n FROM monthly GROUP BY task_id, model, effort, variant)
-  WHERE n <= 30
-)""" + _RESAMPLED.format(draws=40, least=3) + """
-SELECT task_id, model, effort, variant, n AS n_epochs, round(CASE WHEN n > 30 THEN vl ELSE v.low END + 1e-9, 4) AS value_low, round(CASE WHEN n > 30 THEN vh ELSE v.high END + 1e-9, 4) AS value_high, round(CASE WHEN n > 30 THEN ll ELSE l.low END + 1e-9, 4) AS latency_low,
-  round(CASE WHEN n > 30 THEN lh ELSE l.high END + 1e-9, 4) AS latency_high, NULL::DOUBLE AS cost_low, round(CASE WHEN n > 30 THEN th ELSE t.high END + 1e-9, 4) AS total_tokens_high
-FROM sized s LEFT JOIN bounds v ON v.measure = 'value' AND v.key = (task_id, model, effort, variant) LEFT JOIN bounds l ON l.measure = 'latency' AND l.key = (task_id, model, effort, variant) LEFT JOIN bounds t ON t.measure = 'total' AND t.key = (task_id, model, effort, variant)"""
+
+
+def intervals_sql(source: str, keys: str, measures: dict[str, str], buckets: int = 1024, resamples: int = 200, least: int = 3) -> str:
+    """CTEs up to ``intervals``: ``keys`` with the bootstrap bounds of the mean of each measure over ``source``, runs dealt to buckets that have Poisson weights in each resample."""
+    poisson = " + ".join(f"(u >= {t})::INT" for t in (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535))
+    sums = ", ".join(f"coalesce(sum(({x})::DOUBLE), 0) AS s_{m}, count({x}) AS k_{m}" for m, x in measures.items())
+    means = ", ".join(f"sum(w * s_{m}) / nullif(sum(w * k_{m}), 0) AS m_{m}" for m in measures)
+    ends = ", ".join(f"CASE WHEN any_value(n_{m}) >= {least} THEN quantile_disc(m_{m}, {q}) END AS {m}_{end}" for m in measures for end, q in (("low", 0.025), ("high", 0.975)))
+    return f""", weights AS (
+  SELECT bucket, b, {poisson} AS w FROM (SELECT bucket, b, ('0x' || substr(md5('42:' || bucket || ':' || ((b - 1) // 8)), 1 + 4 * ((b - 1) % 8), 4))::INT AS u FROM range({buckets}) t(bucket), range(1, {resamples + 1}) s(b))
+), sums AS (SELECT {keys}, ('0x' || substr(md5(run_id), 1, 8))::BIGINT % {buckets} AS bucket, {sums} FROM {source} GROUP BY ALL),
+sizes AS (SELECT {keys}, {", ".join(f"sum(k_{m}) AS n_{m}" for m in measures)} FROM sums GROUP BY ALL),
+means AS (SELECT {keys}, b, {means} FROM sums JOIN weights USING (bucket) WHERE w > 0 GROUP BY ALL),
+intervals AS (SELECT {keys}, {ends} FROM sizes LEFT JOIN means USING ({keys}) GROUP BY {keys})
+"""
+
+
+CELL_INTERVALS = LEDGER_SQL + ", monthly AS (SELECT * REPLACE (substr(ts, 1, 7) AS variant, NULL::DOUBLE AS cost_usd) FROM grades)" + intervals_sql(
+    "monthly", _CELL, {"value": "value", "cost": "cost_usd", "latency": "latency_s", "total_tokens": "input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens"}
+) + """SELECT task_id, model, effort, variant, round(value_low + 1e-9, 4) AS value_low, round(value_high + 1e-9, 4) AS value_high, round(latency_low + 1e-9, 4) AS latency_low, round(latency_high + 1e-9, 4) AS latency_high, cost_low,
+  round(total_tokens_high + 1e-9, 4) AS total_tokens_high FROM intervals"""
 
 AB_COMPARE = LEDGER_SQL + """, pairs AS (
   SELECT task_id, model, effort, avg(value) FILTER (variant = 'F') AS ma, avg(value) FILTER (variant = 'O') AS mb, count(*) FILTER (grade_status = 'unparseable') AS bad FROM grades WHERE variant IN ('F', 'O') GROUP BY ALL
@@ -193,9 +202,9 @@ SELECT task_id, n_pairs, round(mean_a + 1e-9, 4) AS mean_a, round(mean_b + 1e-9,
   coalesce(nullif(concat_ws('; ', CASE WHEN p IS NULL THEN 'all diffs zero — no directional evidence' END, CASE WHEN p IS NOT NULL AND n_nonzero < 6 THEN 'n_nonzero=' || n_nonzero || ' < 6 — p cannot reach 0.05 (min p = ' || ['1', '0.5', '0.25', '0.125', '0.0625'][n_nonzero] || ')' END,
     CASE WHEN low = high THEN 'CI degenerate (all diffs identical)' END), ''), 'exact sign-flip test') AS note FROM tested"""
 
-EPOCH_INTERVAL = EVENT_SQL + """, grades AS (SELECT * FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'),
-lists AS (SELECT user_id AS key, 'value' AS measure, list(round(value, 6) ORDER BY value) AS v FROM grades GROUP BY user_id)""" + _RESAMPLED.format(draws=2000, least=3) + """
-SELECT l.key AS user_id, round(low + 1e-9, 4) AS low, round(high + 1e-9, 4) AS high FROM lists l LEFT JOIN bounds b ON b.key = l.key"""
+EPOCH_INTERVAL = EVENT_SQL + """, grades AS (SELECT * FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error')""" + intervals_sql(
+    "grades", "user_id", {"value": "value"}
+) + "SELECT user_id, round(value_low + 1e-9, 4) AS low, round(value_high + 1e-9, 4) AS high FROM intervals"
 
 SHUFFLED_AUROC = """
 WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS ones, count(*) FILTER (coalesce(toxic, 1 - quality) = 1) AS said FROM labels JOIN documents USING (doc_id) GROUP BY lang),

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from gaugeloom import catalog
+from gaugeloom.functions.stats import bootstrap_means, percentile_interval
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
@@ -53,8 +54,9 @@ def test_intervals_of_any_number_of_grades(spark):
             means = sorted(sum(v[pick(m, i)] for i in range(n)) / n for m in range(1, 2001))
         return tuple(means[max(1, math.ceil(len(means) * q - 1e-9)) - 1] for q in (0.025, 0.975))
 
-    got = {r.user_id: (r.low, r.high) for r in catalog._intervals(spark.createDataFrame(list(grades.items()), "user_id long, v array<double>")).collect()}
-    assert got == {k: tuple(x if x is None else pytest.approx(x, abs=6e-5) for x in interval(v)) for k, v in grades.items()}
+    low, high = percentile_interval(bootstrap_means("v"))
+    frame = spark.createDataFrame(list(grades.items()), "n long, v array<double>").select("n", low.alias("low"), high.alias("high"))
+    assert {r.n: (r.low, r.high) for r in frame.collect()} == {k: tuple(x if x is None else pytest.approx(x) for x in interval(v)) for k, v in grades.items()}
 
 
 def test_interval_query_has_a_row_for_every_graded_user(spark):
