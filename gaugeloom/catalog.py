@@ -26,7 +26,8 @@ from .operators.dedupe import latest_grade, latest_ok
 from .operators.intervals import bootstrap_intervals
 from .oracles import SQL, intervals_sql
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
-from .schema import CELL
+from .schema import CELL, LEDGER
+from .sources.ledger import append_ledger, append_new, encoded, read_ledger_checked, read_sequenced, scratch_folder
 
 #: The efforts of the ledger view, and what stands for the reflex configuration and the variants.
 EFFORTS, REFLEX, A, B = ("F", "O"), "R/F", "F", "O"
@@ -72,6 +73,31 @@ def last_ok_by_key(spark, sf_dir):
     return latest_ok(event_ledger(spark, sf_dir), ("run_id",), "event_id").select("run_id", "event_id", "k")
 
 
+def _as_ledger(events: DataFrame) -> DataFrame:
+    """Events as rows of the ledger's columns: the id is the epoch, the key in ``props`` the turns."""
+    known = {"epoch": F.col("event_id"), "num_turns": F.col("k"), "task_id": F.col("event_type")}
+    return events.select(*((known.get(f.name, F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType)).alias(f.name) for f in LEDGER))
+
+
+def last_in_file_order(spark, sf_dir):
+    """The ledger is written as JSON in parts and read again; the last successful row of a run in the order of the files counts."""
+    path = scratch_folder(spark, "ledger")
+    append_ledger(_as_ledger(event_ledger(spark, sf_dir)).repartitionByRange("epoch").sortWithinPartitions("epoch"), path)
+    return latest_ok(read_sequenced(spark, path), ("run_id",)).select("run_id", F.col("epoch").alias("event_id"), F.col("num_turns").alias("k"))
+
+
+def repeated_appends(spark, sf_dir):
+    """A sweep that is appended, broken off and done again, and once more with new grades: counts of what the ledger holds, read with checks."""
+    path = scratch_folder(spark, "sweep")
+    rows = _as_ledger(event_ledger(spark, sf_dir)).withColumn("run_id", F.col("epoch").cast("string")).withColumn("details", F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.col("task_id")))
+    rows = encoded(rows)
+    append_new(rows.filter("epoch % 3 = 0"), path)
+    append_new(rows, path)
+    append_new(rows, path)
+    append_new(rows.filter("epoch % 5 = 0").withColumn("grader_version", F.lit("v2")), path)
+    return read_ledger_checked(spark, path).groupBy("task_id", "grader_version", "details").agg(F.count(F.lit(1)).alias("n"), F.sum("num_turns").alias("turns"))
+
+
 def _pareto(axis):
     def query(spark, sf_dir):
         marked = FR.mark_frontier(_cells(spark, sf_dir, axis), axis).withColumn("x", FR.axis_value(axis)).filter("pareto")
@@ -279,16 +305,18 @@ def grader_dispatch(spark, sf_dir):
 RUBRIC = (
     {"kind": "xref", "anchor": "see the part", "expected_id": "p1", "family": ["p2", "p9"]}, {"kind": "cite", "anchor": "as told by", "expected_key": "Brand#12"}, {"kind": "coderef", "anchor": "in file", "expected_path": "a.py"},
     {"kind": "booklink", "anchor": "elsewhere"}, {"kind": "census", "tag": "cite", "min": 1, "max": 1}, {"kind": "cite", "anchor": "twice", "expected_key": "Brand#12"},
+    {"kind": "booklink", "anchor": "zz"},
 )
 
 
 def _chapters(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey") % 4
-    xref = F.concat(F.lit('See the part <XRef id="p'), key.cast("string"), F.lit('" />. '))
+    gap = F.repeat(F.lit("."), 198 + F.col("p_partkey") % 5)  # the window is 200 characters wide
+    xref = F.concat(F.lit("See the part"), gap, F.lit('<XRef id="p'), key.cast("string"), F.lit('" />. '))
     cite = F.concat(F.lit("As told by <Cite key={'"), F.col("p_brand"), F.lit("'}/>. twice twice "))
     code = F.concat(F.lit('In file <CodeRef path="'), F.when(F.col("p_size") % 3 == 0, "b.py").otherwise("a.py"), F.lit('" line="'), F.col("p_size").cast("string"), F.lit('" lineEnd="'), F.when(F.col("p_size") % 7 == 0, "x").otherwise("30"), F.lit('"/>. '))
-    book = F.concat(F.lit('Elsewhere <BookLink book="b" to="'), F.when(F.col("p_size") % 2 == 0, "").otherwise("t"), F.lit('">more</BookLink>. <!-- <Cite key="Brand#12"/> -->\n```\n<Cite key="Brand#12"/>\n```\n'))
+    book = F.concat(F.lit('Elsewhere <BookLink book="b" to="'), F.when(F.col("p_size") % 2 == 0, "").otherwise("t"), F.lit('">more</BookLink>. <!-- <Cite key="Brand#12"/> -->\n```\n<Cite key="Brand#12"/>\n```\nzzz <BookLink book="b" to="t"/>'))
     return p.select("p_partkey", F.concat(xref, cite, code, book).alias("text"))
 
 
@@ -415,6 +443,7 @@ def queries() -> dict:
         balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws, ledger_leaks,
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
+        last_in_file_order, repeated_appends,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -478,6 +507,8 @@ SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped
   AND NOT EXISTS (SELECT 1 FROM best b WHERE b.task_id = w.task_id AND b.model = w.model AND b.effort = w.effort AND b.v = w.v) GROUP BY ALL""",
         "ledger_latest_grade": EVENT_SQL + """SELECT run_id, event_id, ts, grade_status, value FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'""",
         "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
+        "last_in_file_order": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
+        "repeated_appends": EVENT_SQL + """SELECT event_type AS task_id, v AS grader_version, '{"a":"' || event_type || '","z":"1"}' AS details, count(*) AS n, sum(k)::BIGINT AS turns FROM runs, (VALUES ('v1'), ('v2')) t(v) WHERE v = 'v1' OR event_id % 5 = 0 GROUP BY ALL""",
         "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous) + 1e-9, 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
         "infra_breaker": EVENT_SQL + """, i AS (SELECT *, sum((run_status = 'ok')::INT) OVER w AS island, row_number() OVER w AS pos FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 s AS (SELECT *, sum((run_status IN ('infra_error', 'timeout'))::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM i)

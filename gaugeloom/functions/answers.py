@@ -68,25 +68,38 @@ def rendered_only(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, COMMENT, ""), FENCED, "")
 
 
-def tags(text: Column, kind: str) -> Column:
-    """Attributes of every opening tag of ``kind``, in order, as an array of maps; the last of a name wins."""
-    blobs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"<{kind}{OPENING}"), F.lit(1))
+def _attributes(blob: Column) -> Column:
+    """The attributes of an opening tag as a map; the last of a name wins."""
+    part = lambda group: F.regexp_extract_all(blob, F.lit(ATTRIBUTE), F.lit(group))
+    names, values = part(1), F.transform(part(2), lambda v: F.regexp_replace(F.regexp_replace(v, r"^[\"'{]|[\"'}]$", ""), r"^[\"']+|[\"']+$", ""))
+    last = F.filter(F.arrays_zip(names.alias("n"), values.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")), lambda x: ~F.array_contains(F.slice(names, x["i"] + 1, F.size(names)), x["n"]))
+    return F.when(F.size(names) == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(
+        F.map_from_arrays(F.transform(last, lambda x: x["n"]), F.transform(last, lambda x: x["v"]))
+    )
 
-    def attributes(blob: Column) -> Column:
-        part = lambda group: F.regexp_extract_all(blob, F.lit(ATTRIBUTE), F.lit(group))
-        names, values = part(1), F.transform(part(2), lambda v: F.regexp_replace(F.regexp_replace(v, r"^[\"'{]|[\"'}]$", ""), r"^[\"']+|[\"']+$", ""))
-        last = F.filter(F.arrays_zip(names.alias("n"), values.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")), lambda x: ~F.array_contains(F.slice(names, x["i"] + 1, F.size(names)), x["n"]))
-        return F.when(F.size(names) == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(
-            F.map_from_arrays(F.transform(last, lambda x: x["n"]), F.transform(last, lambda x: x["v"]))
-        )
 
-    return F.transform(blobs, attributes)
+def tags(text: Column, kind: str) -> Column:
+    """Attributes of every opening tag of ``kind``, in order, as an array of maps."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"<{kind}{OPENING}"), F.lit(1)), _attributes)
 
 
 def tag_near(text: Column, anchor: str, kind: str, window: int) -> Column:
-    """Attributes of the first tag of ``kind`` that begins within ``window`` characters after the anchor; null if the anchor is missing or not unique."""
+    """Attributes of the first tag of ``kind`` that begins up to ``window`` characters behind the anchor, wherever it ends; null if the anchor is missing or not unique.
+
+    Tags are sought in the whole text, and what stands between them gives their places. Occurrences of the anchor that overlap are two.
+    """
+    pattern = f"<{kind}{OPENING}"
     low, a = F.lower(text), anchor.lower()
     at = F.instr(low, a)
-    unique = (at > 0) & (F.size(F.split(low, rf"\Q{a}\E", -1)) == 2)
-    behind = F.substring(text, at + len(a), F.lit(window))
-    return F.when(unique, F.get(tags(behind, kind), F.lit(0)))
+    behind = at + len(a)
+    unique = (at > 0) & (F.position(F.lit(a), low, at + 1) == 0)
+    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(every(0))).alias("before"), every(0).alias("tag"), every(1).alias("blob"))
+
+    def step(s: Column, x: Column) -> Column:
+        begins = s["at"] + F.length(x["before"])
+        here = s["blob"].isNull() & begins.between(behind, behind + window)
+        return F.struct((begins + F.length(x["tag"])).alias("at"), F.when(here, x["blob"]).otherwise(s["blob"]).alias("blob"))
+
+    first = F.aggregate(found, F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("blob")), step, lambda s: s["blob"])
+    return F.when(unique & first.isNotNull(), _attributes(first))

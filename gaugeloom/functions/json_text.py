@@ -19,25 +19,104 @@ CLAIM_LISTS = ("claims", "anchors", "extractions")
 ANSWER_LINE = r"(?im)^[ \t>*\-]*answer[ \t]*[:=][ \t]*(.+?)[ \t]*$"
 FENCE_BODY = r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```"
 
-_OPENS = re.compile(r"[\[{]")
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+_OPEN = re.compile(r"[\[{]")
+#: White space, then an opening bracket, a closing one, a comma or colon, a string, or another scalar.
+_TOKEN = re.compile(
+    r"[ \t\n\r]*(?:([\[{])|([\]}])|([,:])|(\"[^\"\\\x00-\x1f]*(?:\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4})[^\"\\\x00-\x1f]*)*\")"
+    r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity))"
+)
+#: What may come next in a container.
+_FIRST, _ITEM, _COLON, _VALUE, _NEXT = range(5)
 
-def _whole(text: str):
-    """(whether the text is one JSON value, the value)."""
+
+def _settle(text: str, start: int, ends: dict[int, int | None]) -> None:
+    """Find the end of the JSON container at ``start``, and of those that are met in it; None where a container can't be read.
+
+    Containers that are open when an error is met can't be read either, and one that is known is not read again, so each is read once.
+    """
+    open_, at = [], start
+    while True:
+        m = _TOKEN.match(text, at)
+        kind = m.lastindex if m else 0
+        state = open_[-1][2] if open_ else _VALUE
+        is_object = bool(open_) and open_[-1][1] == "{"
+        takes_value = state == _VALUE or (state in (_FIRST, _ITEM) and not is_object)
+        if kind == 1 and takes_value:
+            q = m.start(1)
+            if q in ends:
+                if ends[q] is None:
+                    break
+                at = ends[q]
+                open_[-1][2] = _NEXT
+            else:
+                open_.append([q, m[1], _FIRST])
+                at = m.end()
+            continue
+        if kind == 2 and state in (_FIRST, _NEXT) and (m[2] == "}") == is_object:
+            q = open_.pop()[0]
+            at = ends[q] = m.end()
+            if not open_:
+                return
+            open_[-1][2] = _NEXT
+            continue
+        if kind in (4, 5) and takes_value:
+            open_[-1][2] = _NEXT
+        elif kind == 4 and is_object and state in (_FIRST, _ITEM):
+            open_[-1][2] = _COLON
+        elif kind == 3 and state == _COLON and m[3] == ":":
+            open_[-1][2] = _VALUE
+        elif kind == 3 and state == _NEXT and m[3] == ",":
+            open_[-1][2] = _ITEM
+        else:
+            break
+        at = m.end()
+    for q, _, _ in open_:
+        ends[q] = None
+
+
+def json_spans(text: str) -> list[tuple[int, int]]:
+    """Where JSON objects and arrays stand in a text, those within others left out; in time linear in the text, however many brackets lead to nothing."""
+    ends: dict[int, int | None] = {}
+    out, behind = [], 0
+    for m in _OPEN.finditer(text):
+        p = m.start()
+        if p < behind:
+            continue
+        if p not in ends:
+            _settle(text, p, ends)
+        if ends[p] is not None:
+            out.append((p, ends[p]))
+            behind = ends[p]
+    return out
+
+
+def _read(text: str):
+    """[value] of a JSON text, [] of any other, or of one that is nested too deeply."""
     try:
-        return True, json.loads(text)
+        return [json.loads(text)]
     except (ValueError, RecursionError):
-        return False, None
+        return []
 
 
-def _embedded(text: str) -> Iterator:
-    """Every value that can be read from an opening bracket on, in order, inner ones too."""
-    decoder = json.JSONDecoder()
-    for m in _OPENS.finditer(text):
-        try:
-            yield decoder.raw_decode(text, m.start())[0]
-        except (ValueError, RecursionError):
-            continue
+def _objects(value) -> Iterator[dict]:
+    """The objects of a value, outer ones before those they hold, in the order of the text."""
+    left = [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict):
+            yield x
+            left.extend(reversed(x.values()))
+        elif isinstance(x, list):
+            left.extend(reversed(x))
+
+
+def _said(text: str) -> Iterator[dict]:
+    """All objects that stand in a text."""
+    for a, b in json_spans(text):
+        for value in _read(text[a:b]):
+            yield from _objects(value)
 
 
 def _mapped(series: pd.Series, fn) -> pd.Series:
@@ -47,20 +126,8 @@ def _mapped(series: pd.Series, fn) -> pd.Series:
 @pandas_udf(T.StringType())
 def _first_value(texts: pd.Series) -> pd.Series:
     def find(text):
-        is_json, value = _whole(text)
-        if not is_json:
-            value = next(_embedded(text), None)
-        return None if value is None else json.dumps(value)
-
-    return _mapped(texts, find)
-
-
-@pandas_udf(T.StringType())
-def _payload(texts: pd.Series) -> pd.Series:
-    def find(text):
-        tries = [text, *(line for line in reversed(text.splitlines()) if line.lstrip().startswith("{")), text[max(0, text.find("{")) : text.rfind("}") + 1]]
-        found = (_whole(x.strip()) for x in tries if x.strip())
-        return next((json.dumps(value) for is_json, value in found if is_json and isinstance(value, dict)), None)
+        found = _read(text) or next(filter(None, (_read(text[a:b]) for a, b in json_spans(text))), [])
+        return json.dumps(found[0]) if found and found[0] is not None else None
 
     return _mapped(texts, find)
 
@@ -68,32 +135,23 @@ def _payload(texts: pd.Series) -> pd.Series:
 @pandas_udf(T.StructType([T.StructField("whole", T.StringType()), T.StructField("keyed", T.StringType())]))
 def _answers(texts: pd.Series) -> pd.DataFrame:
     def find(text):
-        is_json, value = _whole(text.strip())
-        if is_json and isinstance(value, (str, int, float)):
-            return str(value), None
-        keyed = None
-        for value in _embedded(text):
-            if isinstance(value, dict):
-                keyed = next((str(value[k]) for k in ANSWER_KEYS if value.get(k) is not None), keyed)
-        return None, keyed
+        for scalar in _read(text.strip()):
+            if isinstance(scalar, (str, int, float)):
+                return str(scalar), None
+        named = [[str(x[k]) for k in ANSWER_KEYS if x.get(k) is not None] for x in _said(text)]
+        return None, next((names[0] for names in reversed(named) if names), None)
 
     return pd.DataFrame([(None, None) if x is None else find(x) for x in texts], columns=["whole", "keyed"])
 
 
 @pandas_udf(T.MapType(T.LongType(), T.StringType()))
 def _answer_object(texts: pd.Series) -> pd.Series:
+    def numbered(answers: dict) -> dict:
+        return {int(k): str(v) for k, v in answers.items() if re.fullmatch(r"\s*[-+]?[0-9]+(?:_[0-9]+)*\s*", k)}
+
     def find(text):
-        last = None
-        for value in _embedded(text):
-            if isinstance(value, dict) and isinstance(value.get("answers"), dict):
-                last = value["answers"]
-        out = {}
-        for k, v in (last or {}).items():
-            try:
-                out[int(k)] = str(v)
-            except ValueError:
-                continue
-        return out
+        found = [x["answers"] for x in _said(text) if isinstance(x.get("answers"), dict)]
+        return numbered(found[-1]) if found else {}
 
     return _mapped(texts, find)
 
@@ -123,9 +181,12 @@ def lenient_json(text: Column) -> Column:
 
 def payload_object(text: Column) -> Column:
     """The JSON object of a process's output, as JSON: the whole, else the last line that is one, else what stands from the first brace to the last."""
-    whole = _parsed(text)
-    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, F.to_json(whole)).otherwise(_payload(_needs(text, ~is_object)))
+    as_object = lambda x: F.when(_is_object(_parsed(x)), F.to_json(_parsed(x)))
+    lines = F.filter(F.split(text, LINE_ENDS), lambda x: F.ltrim(x).startswith("{") & _is_object(_parsed(x)))
+    first, size = F.instr(text, "{"), F.length(text)
+    last = size - F.instr(F.reverse(text), "}") + 1
+    braced = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substring(text, first, last - first + 1))
+    return F.coalesce(as_object(text), F.to_json(_parsed(F.get(lines, F.size(lines) - 1))), as_object(braced))
 
 
 def answer_of(text: Column) -> Column:

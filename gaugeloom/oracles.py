@@ -105,8 +105,8 @@ GRADER_DISPATCH = EVENT_SQL + """SELECT event_id, round(CASE WHEN run_status <>
 
 _CHAPTERS = r"""
 WITH t AS (
-  SELECT p_partkey, 'See the part <XRef id="p' || p_partkey % 4 || '" />. As told by <Cite key={''' || p_brand || '''}/>. twice twice In file <CodeRef path="' || CASE WHEN p_size % 3 = 0 THEN 'b.py' ELSE 'a.py' END || '" line="' || p_size || '" lineEnd="'
-    || CASE WHEN p_size % 7 = 0 THEN 'x' ELSE '30' END || '"/>. Elsewhere <BookLink book="b" to="' || CASE WHEN p_size % 2 = 0 THEN '' ELSE 't' END || e'">more</BookLink>. <!-- <Cite key="Brand#12"/> -->\n```\n<Cite key="Brand#12"/>\n```\n' AS text FROM part
+  SELECT p_partkey, 'See the part' || repeat('.', (198 + p_partkey % 5)::INT) || '<XRef id="p' || p_partkey % 4 || '" />. As told by <Cite key={''' || p_brand || '''}/>. twice twice In file <CodeRef path="' || CASE WHEN p_size % 3 = 0 THEN 'b.py' ELSE 'a.py' END || '" line="' || p_size || '" lineEnd="'
+    || CASE WHEN p_size % 7 = 0 THEN 'x' ELSE '30' END || '"/>. Elsewhere <BookLink book="b" to="' || CASE WHEN p_size % 2 = 0 THEN '' ELSE 't' END || e'">more</BookLink>. <!-- <Cite key="Brand#12"/> -->\n```\n<Cite key="Brand#12"/>\n```\nzzz <BookLink book="b" to="t"/>' AS text FROM part
 ), shown AS (SELECT p_partkey, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?sm)^[ \t]*```.*?^[ \t]*```', '', 'g') AS s FROM t),
 a AS (
   SELECT p_partkey, regexp_extract(s, '<XRef id="([^"]*)"', 1) AS id, regexp_extract(s, '<Cite key=\{''([^'']*)''\}', 1) AS cite, regexp_extract(s, '<CodeRef path="([^"]*)"', 1) AS path, try_cast(regexp_extract(s, ' line="([^"]*)"', 1) AS INT) AS lo,
@@ -115,9 +115,9 @@ a AS (
 g AS (SELECT *, coalesce(lo BETWEEN 1 AND n_lines AND hi BETWEEN 1 AND n_lines AND lo <= hi, false) AS fits FROM f)"""
 
 CHAPTER_ITEMS = _CHAPTERS + """, p AS (
-  SELECT p_partkey, CASE WHEN id = 'p1' THEN 1.0 WHEN id IN ('p2', 'p9') AND id IN ('p1', 'p2') THEN 0.5 ELSE 0.0 END::DOUBLE AS p0, (cite = 'Brand#12')::INT::DOUBLE AS p1, (path = 'a.py' AND fits)::INT::DOUBLE AS p2, (goal <> '')::INT::DOUBLE AS p3, (n_cite = 1)::INT::DOUBLE AS p4, 0.0::DOUBLE AS p5 FROM g
+  SELECT p_partkey, CASE WHEN p_partkey % 5 > 2 THEN 0.0 WHEN id = 'p1' THEN 1.0 WHEN id IN ('p2', 'p9') AND id IN ('p1', 'p2') THEN 0.5 ELSE 0.0 END::DOUBLE AS p0, (cite = 'Brand#12')::INT::DOUBLE AS p1, (path = 'a.py' AND fits)::INT::DOUBLE AS p2, (goal <> '')::INT::DOUBLE AS p3, (n_cite = 1)::INT::DOUBLE AS p4, 0.0::DOUBLE AS p5, 0.0::DOUBLE AS p6 FROM g
 )
-SELECT *, round((p0 + p1 + p2 + p3 + p4 + p5) / 6 + 1e-9, 4) AS value, ((p0 < 1)::INT + (p1 < 1)::INT + (p2 < 1)::INT + (p3 < 1)::INT + (p4 < 1)::INT + 1)::BIGINT AS below FROM p"""
+SELECT *, round((p0 + p1 + p2 + p3 + p4 + p5 + p6) / 7 + 1e-9, 4) AS value, ((p0 < 1)::INT + (p1 < 1)::INT + (p2 < 1)::INT + (p3 < 1)::INT + (p4 < 1)::INT + 2)::BIGINT AS below FROM p"""
 
 CHAPTER_VIOLATIONS = _CHAPTERS + """SELECT p_partkey, 'xref' AS kind, 1::BIGINT AS n FROM g WHERE id NOT IN ('p1', 'p2') UNION ALL SELECT p_partkey, 'cite', 1 FROM g WHERE cite NOT IN ('Brand#12', 'Brand#13', 'Brand#21')
 UNION ALL SELECT p_partkey, 'coderef', 1 FROM g WHERE NOT fits UNION ALL SELECT p_partkey, 'booklink', 1 FROM g WHERE goal = ''"""

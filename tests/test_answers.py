@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import answers
+from gaugeloom.functions.answers import tag_near
 from gaugeloom.operators import shuffled, transcripts
 
 
@@ -40,3 +41,15 @@ def test_shuffled_labels_are_near_one_half(spark):
     rows = [("g", i, i % 2, i % 2 if i % 5 else None) for i in range(40)] + [("one class", 1, 1, 1)]
     got = {r.grp: (r.n, r.shuffled_auroc) for r in shuffled.shuffled_auroc(spark.createDataFrame(rows, "grp string, id int, gold int, p int"), "grp", "gold", "p").collect()}
     assert got["g"][0] == 40 and abs(got["g"][1] - 0.5) < 0.05 and got["one class"] == (1, None)
+
+
+def test_tags_are_found_by_where_they_begin(spark):
+    def near(text, anchor="x", window=5):
+        return spark.range(1).select(tag_near(F.lit(text), anchor, "Cite", window).alias("t")).first().t
+
+    assert near('x <Cite key="abc"/>') == {"key": "abc"}  # begins within, ends behind
+    assert near('x12345<Cite key="a"/>') == {"key": "a"} and near('x123456<Cite key="a"/>') is None
+    assert near('<Cite key="before"/> x <Cite key="a"/><Cite key="b"/>') == {"key": "a"}
+    assert near('aaa <Cite key="a"/>', "aa") is None and near('AA <Cite key="a"/>', "aa") == {"key": "a"}
+    assert near("x none") is None and near('y <Cite key="a"/>') is None and near(None) is None
+    assert near('x <Citess key="a"/><Cite >') == {} or near('x <Citess/>') is None
