@@ -9,7 +9,7 @@ from .functions import answers as AN
 from .functions import json_text as JT
 from .functions import records as RE
 from .functions import text as TX
-from .functions.stats import hash_uniform
+from .functions.stats import hash_uniform, sign_flip_p
 from .operators import advise as AD
 from .operators import cells as CE
 from .operators import chapters as CH
@@ -124,6 +124,14 @@ def _advice(axis, margin=0.2):
     return query
 
 
+def sign_flip_exact(spark, sf_dir):
+    """Sign-flip tests of up to 40 differences: balances of suppliers in groups, scaled so that some are near no effect."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey is not null")
+    diff = F.round((F.col("s_acctbal") - 3000 - 400 * (F.col("s_suppkey") % 5)) / 1000, 3)
+    groups = s.groupBy((F.col("s_suppkey") % 5).alias("team"), F.floor(F.col("s_suppkey") / 100).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", diff.alias("d")))), lambda x: x["d"]).alias("d"))
+    return groups.select("team", "block", F.size("d").cast("long").alias("n"), F.round(sign_flip_p("d") + 1e-9, 6).alias("p_value"))
+
+
 def advise_total(spark, sf_dir):
     return _rounded(AD.total(AD.advise(_cells(spark, sf_dir), REFLEX, 0.2, "latency", EFFORTS)))
 
@@ -443,7 +451,7 @@ def queries() -> dict:
         balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws, ledger_leaks,
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
-        last_in_file_order, repeated_appends,
+        last_in_file_order, repeated_appends, sign_flip_exact,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -509,6 +517,12 @@ SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped
         "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "last_in_file_order": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "repeated_appends": EVENT_SQL + """SELECT event_type AS task_id, v AS grader_version, '{"a":"' || event_type || '","z":"1"}' AS details, count(*) AS n, sum(k)::BIGINT AS turns FROM runs, (VALUES ('v1'), ('v2')) t(v) WHERE v = 'v1' OR event_id % 5 = 0 GROUP BY ALL""",
+        "sign_flip_exact": """WITH s AS (SELECT s_suppkey % 5 AS team, s_suppkey // 100 AS block, s_suppkey, round((s_acctbal - 3000 - 400 * (s_suppkey % 5)) / 1000, 3) AS d FROM supplier WHERE s_suppkey IS NOT NULL),
+g AS (SELECT team, block, count(*) AS n, list(d ORDER BY s_suppkey) FILTER (d <> 0) AS d FROM s GROUP BY ALL), h AS (SELECT *, d[1:len(d) // 2] AS l, d[len(d) // 2 + 1:] AS r FROM g),
+a AS (SELECT team, block, list_sum(list_append(list_transform(l, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END), 0)) AS s FROM (SELECT *, unnest(range((1 << len(l))::BIGINT)) AS m FROM h)),
+b AS (SELECT team, block, list_sum(list_transform(r, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END)) AS s FROM (SELECT *, unnest(range((1 << len(r))::BIGINT)) AS m FROM h)),
+p AS (SELECT team, block, avg((abs(a.s + b.s) >= abs(list_sum(d)) - len(d) * 1e-12)::INT) AS p FROM a JOIN b USING (team, block) JOIN h USING (team, block) GROUP BY team, block)
+SELECT team, block, n, round(p + 1e-9, 6) AS p_value FROM g LEFT JOIN p USING (team, block)""",
         "advise_total": _advice_sql("latency", "SELECT round(sum(greatest(0, lead_saving)) FILTER (NOT vacuous) + 1e-9, 4) AS total_saving, bool_or(fallback) AS any_fallback, bool_or(suspect) AS any_suspect, bool_or(vacuous) AS any_vacuous FROM led"),
         "infra_breaker": EVENT_SQL + """, i AS (SELECT *, sum((run_status = 'ok')::INT) OVER w AS island, row_number() OVER w AS pos FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 s AS (SELECT *, sum((run_status IN ('infra_error', 'timeout'))::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak FROM i)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 16
+#: Most differences of an exact sign-flip test: each half of them has up to 2^20 sums.
+EXACT_LIMIT = 40
 ALPHA = 0.05
 
 
@@ -14,23 +15,54 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _all_sums(half: Column) -> Column:
+    """The sums of an array under all patterns of signs."""
+    return F.aggregate(half, F.array(F.lit(0.0)), lambda sums, x: F.concat(F.transform(sums, lambda s: s + x), F.transform(sums, lambda s: s - x)))
+
+
+def _patterns_reaching(d: Column, goal: Column) -> Column:
+    """How many of the 2^n patterns of signs have a sum of at least ``goal``: each sum of one half meets those of the other that suffice, counted along one sorted array of both."""
+    middle = F.floor(F.size(d) / 2).cast("int")
+    asks = F.transform(_all_sums(F.slice(d, F.lit(1), middle)), lambda s: F.struct((s - goal).alias("x"), F.lit(1).cast("long").alias("asks")))
+    gives = F.transform(_all_sums(F.slice(d, middle + 1, F.size(d))), lambda s: F.struct((-s).alias("x"), F.lit(0).cast("long").alias("asks")))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("met"), none.alias("n"))
+    step = lambda a, e: F.struct((a["met"] + 1 - e["asks"]).alias("met"), (a["n"] + e["asks"] * a["met"]).alias("n"))
+    return F.aggregate(F.array_sort(F.concat(gives, asks)), start, step, lambda a: a["n"])
+
+
+def _drawn_sum(d: Column, draw: Column) -> Column:
+    """The sum of an array under the signs of one draw: the bits of a hash stand for 128 of them."""
+    hashes = F.transform(F.sequence(F.lit(0), F.floor((F.size(d) - 1) / 128).cast("int")), lambda k: F.md5(F.concat_ws(":", F.lit("42"), draw.cast("string"), k.cast("string"))))
+    digits = F.array_join(hashes, "")
+    bit = lambda i: F.floor(F.conv(F.substring(digits, F.floor(i / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int") / F.pow(F.lit(2), 3 - i % 4)).cast("int") % 2
+    return _sum(F.transform(d, lambda x, i: F.when(bit(i) == 1, x).otherwise(-x)))
+
+
 def sign_flip_p(diffs: str, draws: int = 100_000) -> Column:
     """Two-sided p of the mean of an array column under random signs; zeros are left out, null if none is left.
 
-    Up to EXACT_LIMIT differences all sign patterns are counted, beyond it ``draws`` hashed ones.
+    Up to EXACT_LIMIT differences all 2^n patterns count, by way of the 2^(n/2) sums of each half; beyond it ``draws`` hashed ones. Sums that
+    fall short of the observed one by less than n * 1e-12 reach it.
     """
-    return F.expr(f"""
-    transform(array(filter({diffs}, x -> x <> 0)), d -> CASE
-      WHEN size(d) = 0 THEN NULL
-      WHEN size(d) <= {EXACT_LIMIT} THEN
-        aggregate(sequence(0, shiftleft(1, size(d)) - 1), 0L, (n, m) -> n + IF(
-          abs(aggregate(transform(d, (x, i) -> IF(shiftright(m, i) % 2 = 1, x, -x)), 0D, (s, x) -> s + x)) / size(d)
-            >= abs(aggregate(d, 0D, (s, x) -> s + x)) / size(d) - 1e-12, 1L, 0L)) / shiftleft(1, size(d))
-      ELSE
-        aggregate(sequence(1, {draws}), 0L, (n, m) -> n + IF(
-          abs(aggregate(transform(d, (x, i) -> IF(conv(substr(md5(concat_ws(':', '42', m, i)), 1, 8), 16, 10) % 2 = 1, x, -x)), 0D, (s, x) -> s + x)) / size(d)
-            >= abs(aggregate(d, 0D, (s, x) -> s + x)) / size(d) - 1e-12, 1L, 0L)) / {draws}D
-    END)[0]""")
+
+    def test(d: Column) -> Column:
+        n = F.size(d)
+        goal = F.abs(_sum(d)) - n * F.lit(1e-12)
+        exact = F.least(F.lit(1.0), 2 * _let(goal, lambda g: _patterns_reaching(d, g)) / F.pow(F.lit(2.0), n))
+        hits = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0).cast("long"), lambda k, m: k + F.when(F.abs(_drawn_sum(d, m)) >= goal, 1).otherwise(0))
+        return F.when(n > 0, F.when(n <= EXACT_LIMIT, exact).otherwise(hits / F.lit(float(draws))))
+
+    return _let(F.filter(F.transform(diffs, lambda x: x.cast("double")), lambda x: x != 0), test)
 
 
 def bootstrap_means(values: str, resamples: int = 2000, least: int = 3) -> Column:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def test_advice_notes_and_order(spark):
     assert [r.task_id for r in tables.advice_table(many).collect()] == ["p", "q"] and tables.shown(tables.advice_table(many)).count("\n") == 3
 
 
-@pytest.mark.parametrize("n, step, note", [(3, 0.0, "all diffs zero — no directional evidence; CI degenerate (all diffs identical)"), (5, 0.1, "n_nonzero=5 < 6 — p cannot reach 0.05 (min p = 0.0625)"), (7, 0.1, "exact sign-flip test"), (18, 0.1, "sampled sign-flip test")])
+@pytest.mark.parametrize("n, step, note", [(3, 0.0, "all diffs zero — no directional evidence; CI degenerate (all diffs identical)"), (5, 0.1, "n_nonzero=5 < 6 — p cannot reach 0.05 (min p = 0.0625)"), (7, 0.1, "exact sign-flip test"), (18, 0.1, "exact sign-flip test"), (41, 0.1, "sampled sign-flip test")])
 def test_compare_notes(spark, n, step, note):
     r = rows(spark, *({"model": f"m{i:02}", "variant": v, "value": 0.1 + (v == "b") * step * (1 + i % 3)} for i in range(n) for v in "ab"))
     out = paired.compare(r, "a", "b").first()
@@ -177,11 +178,33 @@ def test_ledger_lines_and_json_columns(spark, tmp_path):
 def test_sampled_sign_flip_equals_plain_draws(spark):
     from gaugeloom.functions.stats import sign_flip_p
 
-    d = [0.1 * (1 + i % 4) * (1 if i % 5 else -1) for i in range(17)]
-    got = spark.createDataFrame([(d,)], "d array<double>").select(sign_flip_p("d", 500)).first()[0]
-    bits = lambda m: [int(hashlib.md5(f"42:{m}:{i}".encode()).hexdigest()[:8], 16) % 2 for i in range(17)]
-    sums = [abs(sum(x if b else -x for x, b in zip(d, bits(m)))) / 17 for m in range(1, 501)]
-    assert got == sum(s >= abs(sum(d)) / 17 - 1e-12 for s in sums) / 500
+    n = 150
+    d = [0.1 * (1 + i % 4) * (1 if i % 5 else -1) * (1 if i % 3 else -1) for i in range(n)]
+    got = spark.createDataFrame([(d,)], "d array<double>").select(sign_flip_p("d", 300)).first()[0]
+    bits = lambda m: "".join(f"{int(hashlib.md5(f'42:{m}:{k}'.encode()).hexdigest(), 16):0128b}" for k in range(2))
+    sums = [abs(sum(x if b == "1" else -x for x, b in zip(d, bits(m)))) for m in range(1, 301)]
+    assert 0 < got < 1 and got == sum(s >= abs(sum(d)) - n * 1e-12 for s in sums) / 300
+
+
+def test_sign_flips_of_many_differences_are_exact(spark):
+    import itertools
+    import time
+
+    from gaugeloom.functions.stats import sign_flip_p
+
+    lists = [[0.3], [0.0, 0.0], [], [1.0, -1.0], [0.1, 0.2, 0.3], [0.5, 0.0, -0.25, None], [0.1 * (i % 7 - 2) for i in range(17)], [((i * 37) % 19 - 7) / 16 for i in range(18)], None]
+
+    def plain(d):
+        d = [x for x in d or [] if x]
+        reach = abs(sum(d)) - len(d) * 1e-12
+        return sum(abs(sum(x * s for x, s in zip(d, signs))) >= reach for signs in itertools.product((1, -1), repeat=len(d))) / 2 ** len(d) if d else None
+
+    got = [r.p for r in spark.createDataFrame([(i, d) for i, d in enumerate(lists)], "i int, d array<double>").select("i", sign_flip_p("d").alias("p")).orderBy("i").collect()]
+    assert got == [plain(d) for d in lists]
+    began = time.time()
+    d = [1.0] * 30 + [-1.0] * 8  # 38 equal steps: a binomial law
+    p = spark.createDataFrame([(d,)], "d array<double>").select(sign_flip_p("d")).first()[0]
+    assert p == pytest.approx(2 * sum(math.comb(38, k) for k in range(30, 39)) / 2**38) and time.time() - began < 60
 
 
 def test_specs_have_one_form(spark):
