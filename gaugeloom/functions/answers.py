@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stats import let
+
 # The formats of replies.
 NUMBERED = r"(?im)^[ \t>*\-]*answer[ \t]*#?[ \t]*(\d+)[ \t]*[:=][ \t]*(.+?)[ \t]*$"
 #: Of opening tags, after the name: attributes up to the end, which may close itself.
@@ -89,17 +91,23 @@ def tag_near(text: Column, anchor: str, kind: str, window: int) -> Column:
     Tags are sought in the whole text, and what stands between them gives their places. Occurrences of the anchor that overlap are two.
     """
     pattern = f"<{kind}{OPENING}"
-    low, a = F.lower(text), anchor.lower()
-    at = F.instr(low, a)
-    behind = at + len(a)
-    unique = (at > 0) & (F.position(F.lit(a), low, at + 1) == 0)
-    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    found = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(every(0))).alias("before"), every(0).alias("tag"), every(1).alias("blob"))
-
-    def step(s: Column, x: Column) -> Column:
-        begins = s["at"] + F.length(x["before"])
-        here = s["blob"].isNull() & begins.between(behind, behind + window)
-        return F.struct((begins + F.length(x["tag"])).alias("at"), F.when(here, x["blob"]).otherwise(s["blob"]).alias("blob"))
-
-    first = F.aggregate(found, F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("blob")), step, lambda s: s["blob"])
-    return F.when(unique & first.isNotNull(), _attributes(first))
+    a = anchor.lower()
+
+    def first_in(text: Column, at: Column) -> Column:
+        behind = at + len(a)
+        every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        found = let(every(0), lambda whole: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("before"), whole.alias("tag"), every(1).alias("blob")))
+
+        def step(s: Column, x: Column) -> Column:
+            begins = s["at"] + F.length(x["before"])
+            here = s["blob"].isNull() & begins.between(behind, behind + window)
+            return F.struct((begins + F.length(x["tag"])).alias("at"), F.when(here, x["blob"]).otherwise(s["blob"]).alias("blob"))
+
+        return F.aggregate(found, F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("blob")), step, lambda s: s["blob"])
+
+    def near(text: Column) -> Column:
+        place = let(F.lower(text), lambda low: let(F.instr(low, a), lambda at: F.when((at > 0) & (F.position(F.lit(a), low, at + 1) == 0), at)))
+        blob = let(place, lambda at: F.when(at.isNotNull(), first_in(text, at)))
+        return let(blob, lambda b: F.when(b.isNotNull(), _attributes(b)))
+
+    return let(text, near)

@@ -15,7 +15,7 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
 
@@ -58,11 +58,11 @@ def sign_flip_p(diffs: str, draws: int = 100_000) -> Column:
     def test(d: Column) -> Column:
         n = F.size(d)
         goal = F.abs(_sum(d)) - n * F.lit(1e-12)
-        exact = F.least(F.lit(1.0), 2 * _let(goal, lambda g: _patterns_reaching(d, g)) / F.pow(F.lit(2.0), n))
+        exact = F.least(F.lit(1.0), 2 * let(goal, lambda g: _patterns_reaching(d, g)) / F.pow(F.lit(2.0), n))
         hits = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0).cast("long"), lambda k, m: k + F.when(F.abs(_drawn_sum(d, m)) >= goal, 1).otherwise(0))
         return F.when(n > 0, F.when(n <= EXACT_LIMIT, exact).otherwise(hits / F.lit(float(draws))))
 
-    return _let(F.filter(F.transform(diffs, lambda x: x.cast("double")), lambda x: x != 0), test)
+    return let(F.filter(F.transform(diffs, lambda x: x.cast("double")), lambda x: x != 0), test)
 
 
 def bootstrap_means(values: str, resamples: int = 2000, least: int = 3) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import rendered_only, tag_near, tags
+from ..functions.stats import let
 
 # The tag of each kind of item.
 TAG = {"xref": "XRef", "cite": "Cite", "coderef": "CodeRef", "booklink": "BookLink"}
@@ -28,13 +29,23 @@ def item_points(text: Column, item: dict, labels: Column, references: Column, fi
     ``labels`` and ``references`` are arrays of known names, ``files`` a map of paths to line counts. A located item
     reads the first tag of its kind behind its anchor, which must stand in the text once.
     """
-    shown, kind = rendered_only(text), item["kind"]
+    return let(rendered_only(text), lambda shown: _points(shown, item, labels, references, files, window))
+
+
+def _points(shown: Column, item: dict, labels: Column, references: Column, files: Column, window: int) -> Column:
+    """``item_points`` of what a chapter shows."""
+    kind = item["kind"]
     if kind == "census":
         count = F.size(tags(shown, TAG[item["tag"]]))
         return count.between(item.get("min", 1), item["max"]).cast("double")
     if kind not in TAG:
         return F.lit(0.0)
-    found = tag_near(shown, item["anchor"], TAG[kind], window)
+    return let(tag_near(shown, item["anchor"], TAG[kind], window), lambda found: _points_of(found, item, labels, references, files))
+
+
+def _points_of(found: Column, item: dict, labels: Column, references: Column, files: Column) -> Column:
+    """Points of a located item by the attributes ``found`` there; null if there is no tag."""
+    kind = item["kind"]
     attribute = lambda name: F.try_element_at(found, F.lit(name))
     known = lambda names, name: F.array_contains(names, name)
     if kind == "xref":
@@ -53,9 +64,11 @@ def item_points(text: Column, item: dict, labels: Column, references: Column, fi
 
 def rubric_score(text: Column, items: list[dict], labels: Column, references: Column, files: Column, window: int = 200) -> Column:
     """Struct of value, points, n and below (items under 1) of a chapter."""
-    each = F.array(*(item_points(text, x, labels, references, files, window) for x in items))
-    points = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
-    return F.struct((points / len(items)).alias("value"), points.alias("points"), F.lit(len(items)).alias("n"), F.size(F.filter(each, lambda x: x < 1)).alias("below"))
+    def score(each: Column) -> Column:
+        points = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+        return F.struct((points / len(items)).alias("value"), points.alias("points"), F.lit(len(items)).alias("n"), F.size(F.filter(each, lambda x: x < 1)).alias("below"))
+
+    return let(rendered_only(text), lambda shown: let(F.array(*(_points(shown, x, labels, references, files, window) for x in items)), score))
 
 
 def tag_rows(chapters: DataFrame, key: str, text: str, kind: str) -> DataFrame:
