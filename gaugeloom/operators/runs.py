@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,18 +12,53 @@ FAILURES = ("infra_error", "timeout")
 LIMIT = 5
 
 
-def breaker(runs: DataFrame, within: tuple[str, ...], order: tuple[str, ...], limit: int = LIMIT) -> DataFrame:
+def piece_summaries(runs: DataFrame, within: tuple[str, ...], order: tuple[str, ...], limit: int = LIMIT, pieces: int | None = None) -> DataFrame:
+    """Sequences cut into pieces that follow each other (by ranges of the order), and a summary of each as column ``s``.
+
+    A summary has what ``_joined`` needs: rows ``n``, whether a success ``resets``, failures before the first success (``head``, and in ``first``
+    where the first ``limit`` of them stand), failures after the last (``tail``), the ``longest`` streak and the row of the first ``halt``.
+    So a sequence of any length is as many tasks as it has ranges. ``pieces``: how many ranges (default: as Spark's shuffles are set).
+    """
+    cut = [*within, *order]
+    ranged = runs.select(*dict.fromkeys(cut), "run_status")
+    ranged = ranged.repartitionByRange(pieces, *cut) if pieces else ranged.repartitionByRange(*cut)
+    here = Window.partitionBy(*within, "piece").orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    ok, failed = F.coalesce(F.col("run_status") == "ok", F.lit(False)), F.coalesce(F.col("run_status").isin(*FAILURES), F.lit(False))
+    rows = ranged.withColumns({"piece": F.spark_partition_id(), "ok": ok, "failed": failed})
+    rows = rows.withColumns({"at": F.row_number().over(here).cast("long"), "failures": F.sum(F.col("failed").cast("long")).over(upto)})
+    rows = rows.withColumn("settled", F.max(F.when(F.col("ok"), F.col("failures"))).over(upto))
+    streak, open_head = F.col("failures") - F.coalesce("settled", F.lit(0)), F.col("settled").isNull()
+    return rows.groupBy(*within, "piece").agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.max("ok").alias("resets"), F.coalesce(F.max(F.when(open_head, F.col("failures"))), F.lit(0)).cast("long").alias("head"),
+        F.array_sort(F.collect_list(F.when(open_head & F.col("failed") & (F.col("failures") <= limit), F.col("at")))).alias("first"),
+        F.max_by(streak, "at").alias("tail"), F.max(streak).alias("longest"), F.min(F.when(streak >= limit, F.col("at"))).alias("halt"),
+    ).alias("s"))
+
+
+def _joined(a: Column, b: Column, limit: int) -> Column:
+    """The summary of a piece ``a`` that ``b`` follows. The operation is associative: a streak goes on from a's tail into b's head, and the failure of b that fills it to ``limit`` halts."""
+    filling = F.try_element_at(b["first"], (F.lit(limit) - a["tail"]).cast("int"))
+    both = F.concat(a["first"], F.transform(b["first"], lambda x: x + a["n"]))
+    return F.struct(
+        (a["n"] + b["n"]).alias("n"), (a["resets"] | b["resets"]).alias("resets"), F.when(a["resets"], a["head"]).otherwise(a["head"] + b["head"]).alias("head"),
+        F.when(a["resets"], a["first"]).otherwise(F.slice(both, 1, limit)).alias("first"), F.when(b["resets"], b["tail"]).otherwise(a["tail"] + b["tail"]).alias("tail"),
+        F.greatest(a["longest"], b["longest"], a["tail"] + b["head"]).alias("longest"), F.coalesce(a["halt"], F.when(a["tail"] < limit, a["n"] + filling), a["n"] + b["halt"]).alias("halt"),
+    )
+
+
+def breaker(runs: DataFrame, within: tuple[str, ...], order: tuple[str, ...], limit: int = LIMIT, pieces: int | None = None) -> DataFrame:
     """Per sequence, the longest streak of infrastructure failures and where it first reaches the limit (null: never).
 
-    A success resets the streak; other statuses neither add nor reset. Islands between successes are numbered
-    by a running sum, and failures within an island by another. A sequence is one sweep, run by one process, so its
-    rows are few enough to be ordered by one task.
+    A success resets the streak; other statuses, and none, neither add nor reset. Ranges of a sequence are summed up where they lie, and
+    the summaries, of which a sequence has at most as many as there are ranges, are folded in order. ``order`` should tell the rows of a sequence apart.
     """
-    upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = runs.withColumn("island", F.sum((F.col("run_status") == "ok").cast("long")).over(upto)).withColumn("at", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    inside = Window.partitionBy(*within, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("streak", F.sum(F.col("run_status").isin(*FAILURES).cast("long")).over(inside))
-    return rows.groupBy(*within).agg(F.count(F.lit(1)).alias("n_runs"), F.max("streak").alias("longest"), F.min(F.when(F.col("streak") >= limit, F.col("at"))).cast("long").alias("halt_at"))
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    parts = piece_summaries(runs, within, order, limit, pieces).groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("piece", "s"))).alias("parts"))
+    whole = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["s"], lambda a, b: _joined(a, b["s"], limit))
+    folded = parts.select(*within, whole.alias("s"))
+    return folded.select(*within, F.col("s.n").alias("n_runs"), F.col("s.longest").alias("longest"), F.col("s.halt").alias("halt_at"))
 
 
 def tool_histogram(runs: DataFrame, key: str, tools: str) -> DataFrame:
