@@ -28,6 +28,7 @@ from .oracles import SQL, intervals_sql
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL, LEDGER
 from .sources.ledger import append_ledger, append_new, encoded, read_ledger_checked, read_sequenced, scratch_folder
+from .streaming.ledger import compact, latest_state, stream_latest
 
 #: The efforts of the ledger view, and what stands for the reflex configuration and the variants.
 EFFORTS, REFLEX, A, B = ("F", "O"), "R/F", "F", "O"
@@ -86,6 +87,16 @@ def last_in_file_order(spark, sf_dir):
     return latest_ok(read_sequenced(spark, path), ("run_id",)).select("run_id", F.col("epoch").alias("event_id"), F.col("num_turns").alias("k"))
 
 
+def streamed_grades(spark, sf_dir):
+    """The ledger is written as three files, streamed a file a batch, and folded after it; the definitive grades are as if all was read at once."""
+    source, table, check = (scratch_folder(spark, name) for name in ("stream", "newest", "check"))
+    append_ledger(_as_ledger(event_ledger(spark, sf_dir)).repartition(3, "epoch"), source)
+    stream = stream_latest(spark, source, table, check, ("epoch",), files_per_batch=1).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    compact(spark, table, ("epoch",))
+    return latest_state(spark, table, ("epoch",)).select("run_id", F.col("epoch").alias("event_id"), "ts", "grade_status", "value")
+
+
 def repeated_appends(spark, sf_dir):
     """A sweep that is appended, broken off and done again, and once more with new grades: counts of what the ledger holds, read with checks."""
     path = scratch_folder(spark, "sweep")
@@ -451,7 +462,7 @@ def queries() -> dict:
         balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws, ledger_leaks,
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
-        last_in_file_order, repeated_appends, sign_flip_exact,
+        last_in_file_order, repeated_appends, sign_flip_exact, streamed_grades,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -514,6 +525,7 @@ FROM cells c JOIN intervals USING ({_CELL}) LEFT JOIN dropped USING ({_CELL})"""
 SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped FROM wide w WHERE run_status <> 'ok'
   AND NOT EXISTS (SELECT 1 FROM best b WHERE b.task_id = w.task_id AND b.model = w.model AND b.effort = w.effort AND b.v = w.v) GROUP BY ALL""",
         "ledger_latest_grade": EVENT_SQL + """SELECT run_id, event_id, ts, grade_status, value FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'""",
+        "streamed_grades": EVENT_SQL + """SELECT run_id, event_id, ts, grade_status, value FROM (SELECT * FROM runs WHERE run_status = 'ok' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) WHERE grade_status <> 'grader_error'""",
         "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "last_in_file_order": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "repeated_appends": EVENT_SQL + """SELECT event_type AS task_id, v AS grader_version, '{"a":"' || event_type || '","z":"1"}' AS details, count(*) AS n, sum(k)::BIGINT AS turns FROM runs, (VALUES ('v1'), ('v2')) t(v) WHERE v = 'v1' OR event_id % 5 = 0 GROUP BY ALL""",
