@@ -20,7 +20,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
-    records = warc.read_back(warc.build_index(captures))
+    records = warc.find(captures, warc.build_index(captures))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

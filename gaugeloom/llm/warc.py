@@ -4,8 +4,10 @@
 returns where each record lies. ``build_index`` sorts the captures by reversed-host URL key into
 compressed blocks and keeps a sparse directory: the first key, file, offset and length of each block.
 ``lookup`` finds the captures of one URL by binary search in the directory, one range read of a block,
-binary search in the block, and one range read a record. ``read_back`` reads every record through the
-index, block by block.
+binary search in the block, and one range read a record. ``find`` does the same for a table of keys:
+a key goes to the index files that may hold it, a search in the part of the directory that lies with such a file gives
+the blocks, and each block is read once for all keys sought in it. ``read_back`` reads every record,
+block by block, without a search.
 
 A task writes files of its own attempt, and only the rows of the attempt that Spark commits name them,
 so a lost executor costs a rewrite and never a wrong record. Paths may be in any store that
@@ -220,18 +222,24 @@ def read_range(file: str, offset: int, length: int, files: dict | None = None) -
     return data
 
 
+def _holding(firsts: list[str], key: str) -> range:
+    """Of ranges that follow each other and begin with ``firsts``, those that may hold ``key``: the last that begins before it, since it may end with it, and all that begin with it."""
+    at = bisect.bisect_left(firsts, key)
+    return range(max(0, at - 1), bisect.bisect_right(firsts, key, lo=at))
+
+
+def _of_key(lines: list[tuple[str, str, int, int]], key: str) -> list[tuple[str, int, int]]:
+    """Places (file, offset, length) of the captures of ``key`` in a block."""
+    lo = bisect.bisect_left(lines, key, key=lambda x: x[0])
+    hi = bisect.bisect_right(lines, key, lo=lo, key=lambda x: x[0])
+    return [x[1:] for x in lines[lo:hi]]
+
+
 def lookup(directory: list[tuple[str, str, int, int]], url: str) -> list[dict]:
     """The records of a url. ``directory`` has (first_key, file, offset, length) sorted by key, as ``sorted_directory`` gives it."""
     key = url_key(url)
-    at = max(0, bisect.bisect_left(directory, key, key=lambda d: d[0]) - 1)  # the last block that begins before the key may end with it
-    out = []
-    while at < len(directory) and directory[at][0] <= key:
-        lines = read_block(*directory[at][1:4])
-        lo = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        hi = bisect.bisect_right(lines, key, key=lambda x: x[0])
-        out += [parse(gzip.decompress(read_range(*x[1:]))) for x in lines[lo:hi]]
-        at += 1
-    return out
+    blocks = [directory[i][1:4] for i in _holding([d[0] for d in directory], key)]
+    return [parse(gzip.decompress(read_range(*place))) for block in blocks for place in _of_key(read_block(*block), key)]
 
 
 def sorted_directory(directory: DataFrame) -> list[tuple[str, str, int, int]]:
@@ -239,27 +247,98 @@ def sorted_directory(directory: DataFrame) -> list[tuple[str, str, int, int]]:
     return sorted(tuple(r) for r in directory.select("first_key", "file", "offset", "length").collect())
 
 
+def _records(wanted: list[tuple[str, int, int]], files: dict, payloads: bool):
+    """Columns of the records at some places, read in the order of files, in batches of bounded payloads."""
+    found, size = [], 0
+    for place in sorted(wanted):
+        found.append(parse(gzip.decompress(read_range(*place, files))))
+        size += place[2] if payloads else 0
+        if size > 8 << 20:
+            yield _record_columns(found, payloads)
+            found, size = [], 0
+    for handle in files.values():
+        handle.close()
+    yield _record_columns(found, payloads)
+
+
 def read_back(directory: DataFrame, payloads: bool = False) -> DataFrame:
     """Every record, read from the archives through the index: a task takes blocks, and range-reads their records in the order of files."""
 
     def batch(rows: pa.RecordBatch):
-        for file, offset, length in zip(*(rows.column(c).to_pylist() for c in ("file", "offset", "length"))):
+        for block in zip(*(rows.column(c).to_pylist() for c in ("file", "offset", "length"))):
             files: dict = {}
-            wanted = sorted(x[1:] for x in read_block(file, offset, length, files))
-            found, size = [], 0
-            for place in wanted:
-                found.append(parse(gzip.decompress(read_range(*place, files))))
-                size += place[1] if payloads else 0
-                if size > 8 << 20:
-                    yield _record_columns(found, payloads)
-                    found, size = [], 0
-            for handle in files.values():
-                handle.close()
-            yield _record_columns(found, payloads)
+            yield from _records([x[1:] for x in read_block(*block, files)], files, payloads)
 
-    schema = _RECORDS if payloads else _RECORDS.removesuffix(", payload binary")
     spread = directory.select("file", "offset", "length")
-    return map_batches(spread.repartition(*_spread(directory)), batch, schema)
+    return map_batches(spread.repartition(*_spread(directory)), batch, _schema(payloads))
+
+
+def locate(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """(file, offset, length, key): the blocks that may hold each distinct ``key`` (null: the empty key), by binary search.
+
+    The first keys of the index files, of which there are as many as ``build_index`` had tasks, are on the driver and go to all tasks. Keys are shuffled to the files
+    that may hold them, and meet the blocks of the file there, which a task holds one file at a time.
+    """
+    spark = directory.sparkSession
+    heads = sorted(tuple(r) for r in directory.groupBy("file").agg(F.min("first_key").alias("first_key")).select("first_key", "file").collect())
+    names, begins = [h[1] for h in heads], [h[0] for h in heads]
+
+    def files_of(rows: pa.RecordBatch):
+        pairs = [(names[i], key) for key in rows.column("key").to_pylist() for i in _holding(begins, key)]
+        return {"file": pa.array([p[0] for p in pairs], pa.string()), "key": pa.array([p[1] for p in pairs], pa.string())}
+
+    def blocks_of(batches):
+        here, firsts, places = None, [], []
+        for rows in batches:
+            out = []
+            for file, key, offset, length in zip(*(rows.column(c).to_pylist() for c in ("file", "key", "offset", "length"))):
+                if file != here:
+                    here, firsts, places = file, [], []
+                if offset is not None:
+                    firsts.append(key)
+                    places.append((offset, length))
+                else:
+                    out += [(file, *places[i], key) for i in _holding(firsts, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file", "offset", "length", "key"])
+
+    wanted = map_batches(keys.select(F.coalesce("key", F.lit("")).alias("key")).distinct(), files_of, "file string, key string")
+    sought = wanted.select("file", "key", F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"))
+    both = sought.unionByName(directory.select("file", F.col("first_key").alias("key"), "offset", "length"))
+    bound_batches(spark)
+    return both.repartition("file").sortWithinPartitions("file", F.col("offset").asc_nulls_last(), "key").mapInArrow(blocks_of, "file string, offset long, length long, key string")
+
+
+def find(keys: DataFrame, directory: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of all captures whose key is among ``keys`` (column ``key``; repeated keys count once, unknown ones find nothing).
+
+    A block is one range read and a binary search for each key sought in it, then one range read a record. A key that
+    holds a third of all captures fills many blocks, which are spread over the tasks.
+    """
+
+    def run(batches):
+        def records(block, sought):
+            files: dict = {}
+            lines = read_block(*block, files)
+            for columns in _records([place for key in sought for place in _of_key(lines, key)], files, payloads):
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        block, sought = None, []
+        for rows in batches:
+            for *place, key in zip(*(rows.column(c).to_pylist() for c in ("file", "offset", "length", "key"))):
+                if place != block:
+                    if block is not None:
+                        yield from records(block, sought)
+                    block, sought = place, []
+                sought.append(key)
+        if block is not None:
+            yield from records(block, sought)
+
+    bound_batches(directory.sparkSession)
+    return locate(keys, directory).repartition(*_spread(directory)).sortWithinPartitions("file", "offset", "key").mapInArrow(run, _schema(payloads))
+
+
+def _schema(payloads: bool) -> str:
+    return _RECORDS if payloads else _RECORDS.removesuffix(", payload binary")
 
 
 def _spread(directory: DataFrame) -> tuple:
