@@ -27,6 +27,7 @@ from .operators.intervals import bootstrap_intervals
 from .oracles import SQL, intervals_sql
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL, LEDGER
+from .sources.datasource import register
 from .sources.ledger import append_ledger, append_new, encoded, read_ledger_checked, read_sequenced, scratch_folder
 from .streaming.ledger import compact, latest_state, stream_latest
 
@@ -97,6 +98,15 @@ def streamed_grades(spark, sf_dir):
     return latest_state(spark, table, ("epoch",)).select("run_id", F.col("epoch").alias("event_id"), "ts", "grade_status", "value")
 
 
+def ledger_source(spark, sf_dir):
+    """The ledger is written as JSON and read by its own data source in ranges of 1 MB, which tests the statuses and tasks."""
+    path = scratch_folder(spark, "source")
+    append_ledger(_as_ledger(event_ledger(spark, sf_dir)).withColumn("run_id", F.concat_ws(":", "run_id", "epoch")), path)
+    rows = spark.read.format(register(spark)).option("splitBytes", 1 << 20).load(path)
+    kept = rows.filter((F.col("run_status") == "ok") & F.col("task_id").isin("click", "purchase") & (F.col("num_turns") >= 10))
+    return kept.groupBy("task_id", "grade_status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("n_runs"), F.sum("num_turns").alias("turns"), F.max("ts").alias("last"))
+
+
 def repeated_appends(spark, sf_dir):
     """A sweep that is appended, broken off and done again, and once more with new grades: counts of what the ledger holds, read with checks."""
     path = scratch_folder(spark, "sweep")
@@ -462,7 +472,7 @@ def queries() -> dict:
         balanced_subsample, clf_confusion, grid_expand, grid_sizes, resume_plan, verdict_parse, answer_forms, spec_fingerprint, sanitize_violations, hashed_draws, ledger_leaks,
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
-        last_in_file_order, repeated_appends, sign_flip_exact, streamed_grades,
+        last_in_file_order, repeated_appends, sign_flip_exact, streamed_grades, ledger_source,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -529,6 +539,8 @@ SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped
         "last_ok_by_key": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "last_in_file_order": EVENT_SQL + "SELECT run_id, max(event_id) AS event_id, arg_max(k, event_id) AS k FROM runs WHERE run_status = 'ok' GROUP BY run_id",
         "repeated_appends": EVENT_SQL + """SELECT event_type AS task_id, v AS grader_version, '{"a":"' || event_type || '","z":"1"}' AS details, count(*) AS n, sum(k)::BIGINT AS turns FROM runs, (VALUES ('v1'), ('v2')) t(v) WHERE v = 'v1' OR event_id % 5 = 0 GROUP BY ALL""",
+        "ledger_source": EVENT_SQL + """SELECT event_type AS task_id, grade_status, count(*) AS n, count(DISTINCT run_id || ':' || event_id) AS n_runs, sum(k)::BIGINT AS turns, max(ts) AS last FROM runs
+WHERE run_status = 'ok' AND event_type IN ('click', 'purchase') AND k >= 10 GROUP BY ALL""",
         "sign_flip_exact": """WITH s AS (SELECT s_suppkey % 5 AS team, s_suppkey // 100 AS block, s_suppkey, round((s_acctbal - 3000 - 400 * (s_suppkey % 5)) / 1000, 3) AS d FROM supplier WHERE s_suppkey IS NOT NULL),
 g AS (SELECT team, block, count(*) AS n, list(d ORDER BY s_suppkey) FILTER (d <> 0) AS d FROM s GROUP BY ALL), h AS (SELECT *, d[1:len(d) // 2] AS l, d[len(d) // 2 + 1:] AS r FROM g),
 a AS (SELECT team, block, list_sum(list_append(list_transform(l, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END), 0)) AS s FROM (SELECT *, unnest(range((1 << len(l))::BIGINT)) AS m FROM h)),
