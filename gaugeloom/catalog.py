@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import answers as AN
 from .functions import json_text as JT
@@ -22,13 +23,14 @@ from .operators import runs as RU
 from .operators import sanitize as SA
 from .operators import shuffled as SH
 from .operators import transcripts as TR
-from .operators.dedupe import latest_grade, latest_ok
+from .operators.dedupe import duplicates, latest_grade, latest_ok
 from .operators.intervals import bootstrap_intervals
 from .oracles import SQL, intervals_sql
 from .plans.adapters import EVENT_SQL, LEDGER_SQL, MEASURED_SQL, TIES, event_ledger, orders_ledger
 from .schema import CELL, LEDGER
 from .sources.datasource import register
-from .sources.ledger import append_ledger, append_new, encoded, read_ledger_checked, read_sequenced, scratch_folder
+from .sources.ledger import append_ledger, append_new, encoded, read_ledger, read_ledger_checked, read_sequenced, scratch_folder, write_sanitized
+from .sources.outputs import captured
 from .streaming.ledger import compact, latest_state, stream_latest
 
 #: The efforts of the ledger view, and what stands for the reflex configuration and the variants.
@@ -107,6 +109,49 @@ def ledger_source(spark, sf_dir):
     return kept.groupBy("task_id", "grade_status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("n_runs"), F.sum("num_turns").alias("turns"), F.max("ts").alias("last"))
 
 
+def _as_shown(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a table that is shown, written in their order and read again, with their ``position``."""
+    path = scratch_folder(rows.sparkSession, name)
+    append_ledger(rows, path)
+    back = read_sequenced(rows.sparkSession, path, rows.schema)
+    return back.withColumn("position", F.row_number().over(Window.orderBy("seq")).cast("long")).drop("seq")
+
+
+def report_order(spark, sf_dir):
+    """The report's rows in the order in which they are shown."""
+    return _as_shown(CE.ordered(_rounded(_cells(spark, sf_dir))).select(*CELL, "mean_value"), "report")
+
+
+def advice_order(spark, sf_dir):
+    """Advice on tokens in the order in which it is shown, unmeasured savings last."""
+    return _as_shown(AD.ordered(_rounded(AD.advise(_cells(spark, sf_dir, "tokens"), REFLEX, 0.2, "tokens", EFFORTS))).select("task_id", "variant", "lead_saving"), "advice")
+
+
+def compare_order(spark, sf_dir):
+    """Compared tasks in the order in which they are shown."""
+    return _as_shown(PA.ordered(PA.compare(orders_ledger(spark, sf_dir), A, B, TIES)).select("task_id", "n_pairs"), "compared")
+
+
+def duplicate_keys(spark, sf_dir):
+    return duplicates(event_ledger(spark, sf_dir), ("user_id", "event_type"))
+
+
+def sanitized_ledger(spark, sf_dir):
+    """What a published ledger holds: allowed columns only, written after the check for leaks and read again."""
+    path = scratch_folder(spark, "published")
+    write_sanitized(_as_ledger(event_ledger(spark, sf_dir)), path, ("task_id", "run_status", "num_turns"), ("/home/", "@"))
+    return read_ledger(spark, path).groupBy("task_id", "run_status").agg(F.count(F.lit(1)).alias("n"), F.sum("num_turns").alias("turns"), F.count("run_id").alias("n_ids"), F.count("ts").alias("n_times"))
+
+
+def captured_artifacts(spark, sf_dir):
+    """Events as files that runs left, and the one that counts for each run: at its very place if it is new enough, else the newest of its name."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type"), F.lit(".md"))
+    files = e.select(F.concat(F.lit("/w/"), (F.col("event_id") % 3).cast("string"), F.lit("/"), name).alias("path"), name.alias("name"), F.col("ts").alias("modified"), F.col("props").alias("content"))
+    wanted = e.groupBy(F.concat_ws(":", "user_id", "event_type").alias("run_id"), F.concat(F.lit("1/"), name).alias("artifact")).agg(F.min(F.when(F.col("event_id") % 2 == 0, F.col("ts"))).alias("since"))
+    return captured(wanted, files)
+
+
 def repeated_appends(spark, sf_dir):
     """A sweep that is appended, broken off and done again, and once more with new grades: counts of what the ledger holds, read with checks."""
     path = scratch_folder(spark, "sweep")
@@ -473,6 +518,7 @@ def queries() -> dict:
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
         last_in_file_order, repeated_appends, sign_flip_exact, streamed_grades, ledger_source,
+        report_order, advice_order, compare_order, duplicate_keys, sanitized_ledger, captured_artifacts,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 
@@ -541,6 +587,16 @@ SELECT task_id, model, effort, v AS variant, count(DISTINCT run_id) AS n_dropped
         "repeated_appends": EVENT_SQL + """SELECT event_type AS task_id, v AS grader_version, '{"a":"' || event_type || '","z":"1"}' AS details, count(*) AS n, sum(k)::BIGINT AS turns FROM runs, (VALUES ('v1'), ('v2')) t(v) WHERE v = 'v1' OR event_id % 5 = 0 GROUP BY ALL""",
         "ledger_source": EVENT_SQL + """SELECT event_type AS task_id, grade_status, count(*) AS n, count(DISTINCT run_id || ':' || event_id) AS n_runs, sum(k)::BIGINT AS turns, max(ts) AS last FROM runs
 WHERE run_status = 'ok' AND event_type IN ('click', 'purchase') AND k >= 10 GROUP BY ALL""",
+        "report_order": LEDGER_SQL + f"""SELECT {_CELL}, round(mean_value + 1e-9, 4) AS mean_value, row_number() OVER (ORDER BY task_id, round(mean_value + 1e-9, 4) DESC NULLS LAST, model, effort, variant) AS position FROM cells""",
+        "advice_order": _advice_sql("tokens", "SELECT task_id, variant, round(lead_saving + 1e-9, 4) AS lead_saving, row_number() OVER (ORDER BY round(lead_saving + 1e-9, 4) DESC NULLS LAST, task_id, variant) AS position FROM led"),
+        "compare_order": LEDGER_SQL + f""", pairs AS (SELECT task_id, model, effort FROM grades WHERE variant IN ('{A}', '{B}') GROUP BY ALL HAVING avg(value) FILTER (variant = '{A}') IS NOT NULL AND avg(value) FILTER (variant = '{B}') IS NOT NULL)
+SELECT task_id, count(*) AS n_pairs, row_number() OVER (ORDER BY task_id) AS position FROM pairs GROUP BY task_id""",
+        "duplicate_keys": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
+        "sanitized_ledger": EVENT_SQL + "SELECT event_type AS task_id, run_status, count(*) AS n, sum(k)::BIGINT AS turns, 0::BIGINT AS n_ids, 0::BIGINT AS n_times FROM runs GROUP BY ALL",
+        "captured_artifacts": """WITH f AS (SELECT user_id || '-' || event_type || '.md' AS name, (event_id % 3) || '/' || user_id || '-' || event_type || '.md' AS path, ts AS modified, props AS content FROM events),
+w AS (SELECT user_id || ':' || event_type AS run_id, user_id || '-' || event_type || '.md' AS name, '1/' || user_id || '-' || event_type || '.md' AS artifact, min(ts) FILTER (event_id % 2 = 0) AS since FROM events GROUP BY user_id, event_type)
+SELECT run_id, artifact, coalesce(content, '') AS content, content IS NULL AS missing FROM w LEFT JOIN f ON f.name = w.name AND modified >= since
+QUALIFY row_number() OVER (PARTITION BY run_id, artifact ORDER BY (path = artifact) DESC, modified DESC, path DESC) = 1""",
         "sign_flip_exact": """WITH s AS (SELECT s_suppkey % 5 AS team, s_suppkey // 100 AS block, s_suppkey, round((s_acctbal - 3000 - 400 * (s_suppkey % 5)) / 1000, 3) AS d FROM supplier WHERE s_suppkey IS NOT NULL),
 g AS (SELECT team, block, count(*) AS n, list(d ORDER BY s_suppkey) FILTER (d <> 0) AS d FROM s GROUP BY ALL), h AS (SELECT *, d[1:len(d) // 2] AS l, d[len(d) // 2 + 1:] AS r FROM g),
 a AS (SELECT team, block, list_sum(list_append(list_transform(l, lambda x, i: CASE WHEN (m >> (i - 1)) % 2 = 1 THEN x ELSE -x END), 0)) AS s FROM (SELECT *, unnest(range((1 << len(l))::BIGINT)) AS m FROM h)),
