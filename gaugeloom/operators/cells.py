@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CELL, TOKENS
 from .dedupe import marked_runs
-from .intervals import BUCKETS, RESAMPLES, bootstrap_intervals, bounds, bucket_of, mean_of, resampled
+from .intervals import BUCKETS, RESAMPLES, bootstrap_intervals, bucket_of, interval_of
 
 LEAKAGE_BAND = 0.05
 #: Names of the intervals, with what they are of.
@@ -77,7 +77,7 @@ def _stats() -> list[Column]:
         n.alias("n_epochs"), strict("value").alias("mean_value"), F.when(F.sum("k_value") > 1, F.sqrt(about / (F.sum("k_value") - 1))).alias("std_value"), strict("cost").alias("mean_cost"), strict("latency").alias("mean_latency"),
         n_of("spec_sha").alias("n_spec"), n_of("grader_version").alias("n_grader_versions"), F.sum("bad").alias("n_unparseable"), mean("output_tokens").alias("mean_output_tokens"), F.sum("k_output_tokens").alias("n_token_epochs"),
         mean("total_tokens").alias("mean_total_tokens"), F.sum("k_total_tokens").alias("n_total_token_epochs"), F.try_divide(F.sum("s_shuffled"), F.sum("k_shuffled").cast("double")).alias("mean_shuffled_auroc"),
-        F.coalesce(F.max("off") > LEAKAGE_BAND, F.lit(False)).alias("leakage"), F.sum("dropped").alias("n_dropped"), *(F.sum(f"k_{m}").alias(f"n_{m}") for m in ("value", "cost", "latency")),
+        F.coalesce(F.max("off") > LEAKAGE_BAND, F.lit(False)).alias("leakage"), F.sum("dropped").alias("n_dropped"),
         F.collect_list(F.when(real, F.struct("bucket", *(F.col(f"{kind}_{m}") for m in MEASURES for kind in "sk")))).alias("parts"),
     ]
 
@@ -102,11 +102,8 @@ def report(rows: DataFrame, ties: tuple[str, ...] = (), axis: str = "latency", r
     # a cell's sums meet in one task, at most ``buckets`` of them and one for each pair of versions, and stay there
     met = sums.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *CELL).groupBy(*CELL).agg(*_stats()).filter("n_epochs > 0")
     stats = [c for c in met.columns if c not in ("parts", *CELL)]
-    each = resampled(met.select(*CELL, *stats, F.inline("parts")), buckets, resamples).groupBy(*CELL, *stats, "b").agg(*(mean_of(f"s_{m}", f"k_{m}").alias(f"m_{m}") for m in MEASURES))
-    found = each.groupBy(*CELL, *stats).agg(*(F.collect_list(F.when(F.col("b") > 0, F.col(f"m_{m}"))).alias(f"m_{m}") for m in MEASURES))
-    counts = {"value": "n_value", "cost": "n_cost", "latency": "n_latency", "output_tokens": "n_token_epochs", "total_tokens": "n_total_token_epochs"}
-    ends = {f"{m}_{end}": bound for m in MEASURES for end, bound in zip(("low", "high"), bounds(f"m_{m}", F.col(counts[m])))}
-    cells = found.select(*CELL, *(c for c in stats if c not in ("n_value", "n_cost", "n_latency", "n_dropped")), *(bound.alias(name) for name, bound in ends.items()), "n_dropped")
+    found = met.withColumn("i", interval_of("parts", tuple(MEASURES), buckets, resamples))
+    cells = found.select(*CELL, *(c for c in stats if c != "n_dropped"), "i.*", "n_dropped")
     return mark_frontier(cells, axis)
 
 

@@ -5,19 +5,25 @@ is a sum over buckets: partial sums of a group's buckets are all that is kept of
 A group has one estimator at every size. Where it has fewer rows than buckets, nearly each row is a bucket of its own, which is the
 plain bootstrap; where it has more, rows are resampled in bundles, whose spread between them is that of their rows.
 
-Weights come from hashes of the bucket and the number of the resample, so every engine draws the same ones.
+Weights come from hashes of the bucket and the number of the resample, so every engine draws the same ones. All resamples of a group
+are one product of two matrices, weights by bucket and sums by bucket, which numpy forms in the task that holds the group's sums;
+as rows they would be 127 for each bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import functools
+import hashlib
 
-from ..functions.stats import percentile_interval
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BUCKETS, RESAMPLES, LEAST = 1024, 200, 3
 #: Distribution function of the Poisson law of mean 1, in 65536ths.
 POISSON = (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535)
+ENDS = {"low": 0.025, "high": 0.975}
 
 
 def bucket_of(unit: Column, buckets: int = BUCKETS) -> Column:
@@ -25,38 +31,45 @@ def bucket_of(unit: Column, buckets: int = BUCKETS) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(unit.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
-def weights(spark: SparkSession, buckets: int = BUCKETS, resamples: int = RESAMPLES) -> DataFrame:
-    """(bucket, w): the weights of each bucket, the first of which is 1 and stands for what was measured; eight are read off each hash."""
-    weight = lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)), lambda k: F.md5(F.concat_ws(":", F.lit("42"), F.col("bucket").cast("string"), k.cast("string"))))
-    eight = F.transform(hashes, lambda h: F.transform(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(h, 4 * j + 1, F.lit(4)), 16, 10).cast("int")), weight))
-    table = spark.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    return table.select("bucket", F.concat(F.array(F.lit(1)), F.slice(F.flatten(eight), 1, resamples)).alias("w"))
-
+@functools.lru_cache(2)
+def weights(buckets: int, resamples: int) -> np.ndarray:
+    """The weights of each bucket (a row) in each resample; eight are read off each hash."""
+    digests = b"".join(hashlib.md5(f"42:{bucket}:{k}".encode()).digest() for bucket in range(buckets) for k in range((resamples + 7) // 8))
+    drawn = np.searchsorted(POISSON, np.frombuffer(digests, ">u2"), side="right").reshape(buckets, -1)
+    return drawn[:, :resamples].astype(np.uint8)
 
-def resampled(sums: DataFrame, buckets: int = BUCKETS, resamples: int = RESAMPLES) -> DataFrame:
-    """Each row of ``sums`` (with ``bucket``) once for each resample ``b`` in which its bucket has a weight ``w``; resample 0 is what was measured."""
-    table = weights(sums.sparkSession, buckets, resamples)  # ``buckets`` rows of ``resamples`` small numbers
-    return sums.join(F.broadcast(table), "bucket").select("*", F.posexplode("w").alias("b", "weight")).drop("w").withColumnRenamed("weight", "w").filter("w > 0")
 
+def interval_of(parts: str, names: tuple[str, ...], buckets: int = BUCKETS, resamples: int = RESAMPLES, least: int = LEAST) -> Column:
+    """A struct of ``{name}_low`` and ``{name}_high`` from a group's sums by bucket, an array of structs of bucket, sum and count of each name (``s_``, ``k_``).
 
-def mean_of(total: str, count: str) -> Column:
-    """The mean of a resample, null without a value."""
-    w = F.col("w")
-    return F.try_divide(F.sum(w * F.coalesce(F.col(total), F.lit(0.0))), F.sum(w * F.col(count)).cast("double"))
+    Bounds are by the inverse of the distribution function, and null where a name has fewer than ``least`` values. An array has at most ``buckets`` entries.
+    """
+    ends = [f"{name}_{end}" for name in names for end in ENDS]
+    table, quantiles = weights(buckets, resamples), tuple(ENDS.values())  # go along with the function: 200 kB
 
+    def of_groups(groups: pa.Array) -> pa.Array:
+        begin, flat = groups.offsets.to_numpy(), groups.values
+        column = lambda c: flat.field(c).fill_null(0).to_numpy(zero_copy_only=False)
+        bucket, sums, counts = column("bucket"), np.stack([column(f"s_{n}") for n in names], 1).astype(float), np.stack([column(f"k_{n}") for n in names], 1).astype(float)
+        found = np.full((len(groups), len(names), len(quantiles)), np.nan)
+        for g in range(len(groups)):
+            rows = slice(begin[g], begin[g + 1])
+            w = table[bucket[rows]].T.astype(float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                means = np.sort((w @ sums[rows]) / (w @ counts[rows]), axis=0)  # without a value: not a number, at the end
+            n = (~np.isnan(means)).sum(axis=0)
+            for e, at in enumerate(quantiles):
+                place = np.maximum(1, np.ceil(n * at - 1e-9)).astype(int) - 1
+                found[g, :, e] = means[place, np.arange(len(names))]
+            found[g, counts[rows].sum(axis=0) < least] = np.nan
+        return pa.StructArray.from_arrays([pa.array(found[:, i, e], from_pandas=True) for i in range(len(names)) for e in range(len(quantiles))], ends)
 
-def bounds(means: str, count: Column, least: int = LEAST) -> tuple[Column, Column]:
-    """(low, high) of an array of means; null under ``least`` values."""
-    low, high = percentile_interval(F.col(means))
-    return F.when(count >= least, low), F.when(count >= least, high)
+    return F.arrow_udf(of_groups, ", ".join(f"{name} double" for name in ends))(parts)
 
 
 def bootstrap_intervals(rows: DataFrame, by: tuple[str, ...], unit: str, measures: dict[str, str], buckets: int = BUCKETS, resamples: int = RESAMPLES, least: int = LEAST) -> DataFrame:
     """``by`` with ``{name}_low`` and ``{name}_high`` of the mean of each measure (name to column): a row for every group, null where a measure has fewer than ``least`` values."""
     dealt = rows.withColumn("bucket", bucket_of(F.col(unit), buckets))
-    sums = dealt.groupBy(*by, "bucket").agg(*(a for name, c in measures.items() for a in (F.sum(F.col(c).cast("double")).alias(f"s_{name}"), F.count(c).alias(f"k_{name}"))))
-    each = resampled(sums, buckets, resamples).groupBy(*by, "b").agg(*(a for name in measures for a in (mean_of(f"s_{name}", f"k_{name}").alias(f"m_{name}"), F.sum(F.when(F.col("b") == 0, F.col(f"k_{name}"))).alias(f"k_{name}"))))
-    groups = each.groupBy(*by).agg(*(a for name in measures for a in (F.collect_list(F.when(F.col("b") > 0, F.col(f"m_{name}"))).alias(f"m_{name}"), F.max(f"k_{name}").alias(f"k_{name}"))))
-    found = {f"{name}_{end}": bound for name in measures for end, bound in zip(("low", "high"), bounds(f"m_{name}", F.col(f"k_{name}"), least))}
-    return groups.select(*by, *(bound.alias(name) for name, bound in found.items()))
+    kept = [a for name, c in measures.items() for a in (F.sum(F.col(c).cast("double")).alias(f"s_{name}"), F.count(c).alias(f"k_{name}"))]
+    groups = dealt.groupBy(*by, "bucket").agg(*kept).groupBy(*by).agg(F.collect_list(F.struct("bucket", *(f"{kind}_{name}" for name in measures for kind in "sk"))).alias("parts"))
+    return groups.select(*by, interval_of("parts", tuple(measures), buckets, resamples, least).alias("i")).select(*by, "i.*")
