@@ -295,6 +295,13 @@ def shuffled_auroc(spark, sf_dir):
     return _rounded(SH.shuffled_auroc(labels.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "quality", "toxic"))
 
 
+def auroc_intervals(spark, sf_dir):
+    labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    rows = labels.join(docs.select("doc_id", "source"), "doc_id")
+    counts = rows.groupBy("source").agg(*GR.confusion_of(F.col("quality"), 1 - F.col("toxic"))).select("source", "tp", "fp", "tn", "fn")
+    return _rounded(GR.auroc_interval(counts, "source"))
+
+
 def _replies(spark, sf_dir):
     """Conversations' turns and documents as replies of many shapes (kind 0 to 11), with what they say."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -518,7 +525,7 @@ def queries() -> dict:
         shuffled_auroc, answer_set, chapter_fence, tag_census, stream_json_parse, cell_intervals, exact_match, verbatim_anchor, grade_classification, validator_grade, grader_dispatch,
         chapter_items, chapter_violations, run_records, sweep_summary, tool_counts, spend_projection, regrade_selection, task_filter, label_prompt, small_functions, json_payloads,
         last_in_file_order, repeated_appends, sign_flip_exact, streamed_grades, ledger_source,
-        report_order, advice_order, compare_order, duplicate_keys, sanitized_ledger, captured_artifacts,
+        report_order, advice_order, compare_order, duplicate_keys, sanitized_ledger, captured_artifacts, auroc_intervals,
     )
     return {f.__name__: f for f in plain} | {f"pareto_{a}": _pareto(a) for a in FR.AXES} | {f"advise_{a}": _advice(a) for a in FR.AXES}
 

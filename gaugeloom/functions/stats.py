@@ -81,3 +81,40 @@ def percentile_interval(means: Column, level: float = 0.95) -> tuple[Column, Col
     ordered, n = F.array_sort(means), F.size(means)
     at = lambda q: F.element_at(ordered, F.greatest(F.lit(1), F.ceil(n * F.lit(q) - 1e-9)).cast("int"))
     return at((1 - level) / 2), at((1 + level) / 2)
+
+
+#: Coefficients of a rational approximation of the normal law's quantiles (relative error 1.2e-9), for the middle and for the tails below TAIL.
+MIDDLE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+MIDDLE_BELOW = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+OUTER = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+OUTER_BELOW = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+TAIL = 0.02425
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The number below which a standard normal one lies with probability ``p``; null at 0 and 1."""
+
+    def of(p: Column) -> Column:
+        q = p - 0.5
+        tail = let(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda t: _polynomial(OUTER, t) / _polynomial(OUTER_BELOW, t))
+        middle = let(q * q, lambda r: q * _polynomial(MIDDLE, r) / _polynomial(MIDDLE_BELOW, r))
+        return F.when((p > 0) & (p < 1), F.when(p < TAIL, tail).when(p > 1 - TAIL, -tail).otherwise(middle))
+
+    return let(p, of)
+
+
+def normal_share(x: Column) -> Column:
+    """The probability that a standard normal number lies below ``x``: the series of odd powers over odd factorials up to the 161st, beyond 7 the limits."""
+
+    def of(x: Column) -> Column:
+        series = let(x * x, lambda square: F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1 + square / (2 * k + 1) * s))
+        return F.when(x < -7, 0.0).when(x > 7, 1.0).otherwise(0.5 + F.exp(-x * x / 2) / F.sqrt(2 * F.pi()) * x * series)
+
+    return let(x, of)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.stats import MIDDLE, MIDDLE_BELOW, OUTER, OUTER_BELOW, TAIL
 from .plans.adapters import EVENT_SQL, LEDGER_SQL
 
 _REPLIES = """
@@ -215,7 +216,52 @@ u AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY k) / sum(p) OVER (PARTIT
 b AS (SELECT lang, n, ones, said, low, b, low + count(*) FILTER (upto < ('0x' || substr(md5('12345:' || b || ':' || lang), 1, 8))::BIGINT / 4294967296) AS tp FROM u, range(200) t(b) GROUP BY lang, n, ones, said, low, b)
 SELECT lang, n, round(avg((tp / nullif(ones, 0) + (n - ones - said + tp) / nullif(n - ones, 0)) / 2) + 1e-9, 4) AS shuffled_auroc FROM b GROUP BY lang, n"""
 
+
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _share_sql(x: str) -> str:
+    """The normal law's distribution function; 80 terms of its series."""
+    series = "1.0"
+    for k in range(80, 0, -1):
+        series = f"(1 + {x} * {x} / {2 * k + 1} * {series})"
+    return f"CASE WHEN {x} < -7 THEN 0 WHEN {x} > 7 THEN 1 ELSE 0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {x} * {series} END"
+
+
+AUROC_INTERVALS = f"""
+WITH m AS (SELECT source, quality AS y, coalesce(1 - toxic, 1 - quality) AS p FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT source, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn FROM m GROUP BY source),
+pt AS (SELECT *, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS auroc, tp + fp + tn + fn >= 10 AND tp + fn > 0 AND fp + tn > 0 AS fit FROM c),
+e AS (SELECT source, unnest(['tp', 'fp', 'tn', 'fn']) AS name, unnest([tp, fp, tn, fn]) AS n FROM pt WHERE fit),
+ks AS (SELECT *, unnest(CASE WHEN n > 0 THEN range(greatest(0, n - ceil(10 * sqrt(n))::BIGINT - 20), n + ceil(10 * sqrt(n))::BIGINT + 21) ELSE [0::BIGINT] END) AS k FROM e),
+lp AS (SELECT *, sum(CASE WHEN k > low THEN ln(n / k::DOUBLE) ELSE 0 END) OVER (PARTITION BY source, name ORDER BY k) AS log_p FROM (SELECT *, min(k) OVER (PARTITION BY source, name) AS low FROM ks)),
+p AS (SELECT *, exp(log_p - max(log_p) OVER (PARTITION BY source, name)) AS p FROM lp),
+upto AS (SELECT source, name, k, sum(p) OVER (PARTITION BY source, name ORDER BY k) / sum(p) OVER (PARTITION BY source, name) AS u FROM p),
+draws AS (SELECT source, name, b, ('0x' || substr(md5('42:' || b || ':' || name || ':' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296 AS u FROM e, range(1000) t(b)),
+d AS (SELECT s.source, s.name, s.b, min(k) AS k FROM draws s JOIN upto t ON s.source IS NOT DISTINCT FROM t.source AND s.name = t.name AND t.u >= s.u GROUP BY s.source, s.name, s.b),
+w AS (SELECT source, b, max(k) FILTER (name = 'tp') AS tp, max(k) FILTER (name = 'fp') AS fp, max(k) FILTER (name = 'tn') AS tn, max(k) FILTER (name = 'fn') AS fn FROM d GROUP BY source, b),
+x AS (SELECT source, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS x FROM w),
+r AS (SELECT source, count(x) AS n_x, min(x) AS lo, max(x) AS hi, (count(*) FILTER (x < auroc - 1e-12) + 0.5 * count(*) FILTER (abs(x - auroc) <= 1e-12)) / nullif(count(x), 0) AS share FROM x JOIN pt USING (source) GROUP BY source),
+j AS (SELECT source, unnest([tp, fp, tn, fn]) AS n, unnest([
+    CASE WHEN tp > 0 THEN ((tp - 1) / nullif(tp - 1 + fn, 0) + tn / nullif(tn + fp, 0)) / 2 END, CASE WHEN fp > 0 THEN (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp - 1, 0)) / 2 END,
+    CASE WHEN tn > 0 THEN (tp / nullif(tp + fn, 0) + (tn - 1) / nullif(tn - 1 + fp, 0)) / 2 END, CASE WHEN fn > 0 THEN (tp / nullif(tp + fn - 1, 0) + tn / nullif(tn + fp, 0)) / 2 END]) AS v FROM pt WHERE fit),
+jm AS (SELECT source, sum(n * v) / sum(n) FILTER (v IS NOT NULL) AS m FROM j GROUP BY source),
+ja AS (SELECT source, sum(n * (m - v) ** 2) AS sq, sum(n * (m - v) ** 3) AS cu FROM j JOIN jm USING (source) GROUP BY source),
+z AS (SELECT *, cu / nullif(6 * sq ** 1.5, 0) AS a, coalesce(lo < hi AND sq > 0 AND share > 0 AND share < 1, false) AS vary, least(share, 1 - share) AS t, share - 0.5 AS q FROM r JOIN ja USING (source)),
+zq AS (SELECT *, CASE WHEN NOT vary THEN NULL WHEN t < {TAIL} THEN -sign(q) * {_horner(OUTER, "sqrt(-2 * ln(t))")} / {_horner(OUTER_BELOW, "sqrt(-2 * ln(t))")}
+  ELSE q * {_horner(MIDDLE, "(q * q)")} / {_horner(MIDDLE_BELOW, "(q * q)")} END AS z FROM z),
+pos AS (SELECT *, z + (z - 1.959963984540054) / (1 - a * (z - 1.959963984540054)) AS xl, z + (z + 1.959963984540054) / (1 - a * (z + 1.959963984540054)) AS xh FROM zq),
+pl AS (SELECT source, vary, n_x, ({_share_sql("xl")}) * (n_x - 1) AS hl, ({_share_sql("xh")}) * (n_x - 1) AS hh FROM pos),
+o AS (SELECT source, x, row_number() OVER (PARTITION BY source ORDER BY x) - 1 AS i FROM x WHERE x IS NOT NULL),
+f AS (SELECT pl.source, vary, sum(x * greatest(0, 1 - abs(i - hl))) AS low, sum(x * greatest(0, 1 - abs(i - hh))) AS high FROM pl JOIN o USING (source) GROUP BY pl.source, vary)
+SELECT pt.source, round(auroc + 1e-9, 4) AS auroc, CASE WHEN vary THEN round(low + 1e-9, 4) END AS low, CASE WHEN vary THEN round(high + 1e-9, 4) END AS high, CASE WHEN NOT vary THEN 'degenerate' END AS note FROM pt LEFT JOIN f ON pt.source IS NOT DISTINCT FROM f.source"""
+
 SQL = {
+    "auroc_intervals": AUROC_INTERVALS,
     "exact_match": EXACT_MATCH, "answer_set": ANSWER_SET, "verbatim_anchor": VERBATIM_ANCHOR, "grade_classification": GRADE_CLASSIFICATION, "validator_grade": VALIDATOR_GRADE, "grader_dispatch": GRADER_DISPATCH,
     "chapter_items": CHAPTER_ITEMS, "chapter_violations": CHAPTER_VIOLATIONS, "run_records": RUN_RECORDS, "sweep_summary": SWEEP_SUMMARY, "tool_counts": TOOL_COUNTS, "label_prompt": LABEL_PROMPT, "small_functions": SMALL_FUNCTIONS,
     "json_payloads": JSON_PAYLOADS, "regrade_selection": REGRADE_SELECTION, "task_filter": TASK_FILTER, "cell_intervals": CELL_INTERVALS, "ab_compare": AB_COMPARE, "epoch_interval": EPOCH_INTERVAL, "shuffled_auroc": SHUFFLED_AUROC, "ledger_leaks": LEDGER_LEAKS,

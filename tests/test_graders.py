@@ -4,12 +4,14 @@ import datetime
 import hashlib
 import json
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import json_text as JT
 from gaugeloom.functions import records as RE
+from gaugeloom.functions import stats as ST
 from gaugeloom.functions import text as TX
 from gaugeloom.operators import advise, cells, frontier, graders, grading, paired, runs, sanitize, shuffled
 from gaugeloom.plans import tables
@@ -44,12 +46,67 @@ def test_classification_value_and_status(spark):
 
 
 def test_auroc_interval(spark):
-    counts = spark.createDataFrame([(40, 10, 40, 10), (50, 0, 50, 0), (2, 1, 2, 1), (10, 0, 0, 5)], "tp int, fp int, tn int, fn int")
-    got = [r.i for r in counts.select(grading.auroc_interval("tp", "fp", "tn", "fn").alias("i")).collect()]
+    counts = spark.createDataFrame([(1, 40, 10, 40, 10), (2, 50, 0, 50, 0), (3, 2, 1, 2, 1), (4, 10, 0, 0, 5)], "k int, tp int, fp int, tn int, fn int")
+    got = grading.auroc_interval(counts, "k").orderBy("k").collect()
     assert 0.68 < got[0].low < 0.75 and 0.85 < got[0].high < 0.9
     assert got[1].note == "degenerate" and [x.low for x in got[1:]] == [None] * 3
 
 
+def _plain_auroc_interval(key, counts):
+    """(low, high, note) by loops: Poisson draws by inversion, then the bias-corrected and accelerated bounds."""
+    names, normal = ("tp", "fp", "tn", "fn"), statistics.NormalDist()
+
+    def auroc(c):
+        return (c[0] / (c[0] + c[3]) + c[2] / (c[2] + c[1])) / 2 if c[0] + c[3] and c[1] + c[2] else None
+
+    def drawn(name, n, b):
+        u, k = int(hashlib.md5(f"42:{b}:{name}:{key}".encode()).hexdigest()[:8], 16) / 2**32, 0
+        upto = math.exp(-n)
+        p = upto
+        while upto < u:
+            k += 1
+            p *= n / k
+            upto += p
+        return k
+
+    if sum(counts) < 10 or auroc(counts) is None:
+        return None, None, None
+    xs = sorted(x for x in (auroc([drawn(name, n, b) for name, n in zip(names, counts)]) for b in range(1000)) if x is not None)
+    point = auroc(counts)
+    left = [(n, auroc([m - (i == j) for j, m in enumerate(counts)])) for i, n in enumerate(counts) if n]
+    left = [(n, x) for n, x in left if x is not None]
+    mean = sum(n * x for n, x in left) / sum(n for n, _ in left) if left else 0
+    square, cube = (sum(n * (mean - x) ** e for n, x in left) for e in (2, 3))
+    share = (sum(x < point - 1e-12 for x in xs) + 0.5 * sum(abs(x - point) <= 1e-12 for x in xs)) / len(xs)
+    if xs[0] == xs[-1] or not square or not 0 < share < 1:
+        return None, None, "degenerate"
+    z, a, bounds = normal.inv_cdf(share), cube / (6 * square**1.5), []
+    for q in (normal.inv_cdf(0.025), normal.inv_cdf(0.975)):
+        at = normal.cdf(z + (z + q) / (1 - a * (z + q))) * (len(xs) - 1)
+        bounds.append(xs[math.floor(at)] * (1 - at % 1) + xs[math.ceil(at)] * (at % 1))
+    return *bounds, None
+
+
+def test_auroc_interval_equals_loops(spark):
+    cases = {"a": (40, 10, 40, 10), "b": (3, 1, 5, 2), "c": (30, 0, 9, 1), "d": (1, 0, 300, 0), "e": (0, 8, 0, 9), "f": (12, 0, 0, 3), "": (5, 5, 5, 5), "g": (200, 3, 7, 400), "h": (0, 0, 0, 0)}
+    frame = spark.createDataFrame([(k, *v) for k, v in cases.items()], "k string, tp long, fp long, tn long, fn long")
+    got = {r.k: (r.low, r.high, r.note) for r in grading.auroc_interval(frame, "k").collect()}
+    assert got == {k: tuple(pytest.approx(x, abs=1e-6) if isinstance(x, float) else x for x in _plain_auroc_interval(k, v)) for k, v in cases.items()}
+    assert grading.auroc_interval(frame.limit(0), "k").count() == 0
+    large = grading.auroc_interval(spark.createDataFrame([(None, 8_000_000, 1_000_000, 9_000_000, 2_000_000)], "k string, tp long, fp long, tn long, fn long"), "k").first()
+    half = 1.96 * math.sqrt(0.8 * 0.2 / 10**7 + 0.9 * 0.1 / 10**7) / 2
+    assert large.low == pytest.approx(0.85 - half, abs=half / 5) and large.high == pytest.approx(0.85 + half, abs=half / 5)
+
+
+def test_normal_law(spark):
+    normal = statistics.NormalDist()
+    ps, xs = [1e-9, 0.0004, 0.02424, 0.02426, 0.3, 0.5, 0.8, 0.97, 0.99999], [-8.0, -6.5, -3.0, -0.1, 0.0, 1.96, 5.0, 7.5]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(ST.normal_quantile(F.col("p")).alias("z")).collect()
+    assert [r.z for r in got] == [pytest.approx(normal.inv_cdf(p), rel=2e-9, abs=1e-12) for p in ps]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(ST.normal_share(F.col("x")).alias("p")).collect()
+    assert [r.p for r in got] == [pytest.approx(normal.cdf(x), abs=1e-11) for x in xs]
+
+
 def test_shuffled_labels_are_near_a_half(spark):
     data = spark.createDataFrame([("a", i % 2, i % 2) for i in range(200)] + [("one", 1, 1)] * 5 + [("none", 1, None), ("none", 0, None)], "g string, y int, p int")
     got = {r.g: (r.n, r.shuffled_auroc) for r in shuffled.shuffled_auroc(data, "g", "y", "p").collect()}
