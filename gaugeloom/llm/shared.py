@@ -7,14 +7,19 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytehash import mix
+
 #: Upper bound, in characters, of what one numpy pass works on; a longer text is a pass of its own.
 CHUNK_BYTES = 1 << 18
 #: Bytes that a task sends to Python at once.
 BATCH_BYTES = 8 << 20
+#: Most bits of a Bloom filter that is sent to all tasks (8 MB).
+SIEVE_BITS = 1 << 26
 #: Texts of more characters than this are not learnt from (they are scored whole), which bounds what a driver gathers.
 TRAIN_CHARS = 50_000
 
@@ -63,6 +68,49 @@ def dropped(*stored: DataFrame | None) -> None:
             drop_folder(df.sparkSession, df._folder)
 
 
+def swept(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect its garbage: shuffle files that nothing reads any more stay on the executors' disks until it does."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def sieve(keys: DataFrame, n: int, most_bits: int = SIEVE_BITS) -> Callable[[Column], Column]:
+    """A test that every long in the one column of ``keys`` (about ``n``) passes, and few others: a Bloom filter of three bits a key, ten or more bits wide a key up to ``most_bits``.
+
+    It is put together in slabs by tasks and is at most ``most_bits`` in all, on the driver too; with more keys than that serves, more others pass.
+    """
+    bits = min(most_bits, 1 << max(13, (10 * n).bit_length()))
+    slab = min(bits, 1 << 19)
+
+    def places(key: np.ndarray) -> np.ndarray:
+        first, step = mix(key), mix(key ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        return np.stack([(first + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(3)]).astype(np.int64)
+
+    def dealt(batches):
+        for batch in batches:
+            at = np.unique(places(batch.column(0).drop_null().to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // slab), pa.array(at % slab)], names=["slab", "at"])
+
+    def filled(batches):
+        slabs = {}
+        for batch in batches:
+            which, at = batch.column("slab").to_numpy(), batch.column("at").to_numpy()
+            for one in np.unique(which).tolist():
+                slabs.setdefault(one, np.zeros(slab, bool))[at[which == one]] = True
+        for one, held in slabs.items():
+            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["slab", "bits"])
+
+    table = np.zeros((bits // slab, slab // 8), np.uint8)
+    for row in keys.mapInArrow(dealt, "slab long, at long").repartition("slab").mapInArrow(filled, "slab long, bits binary").toLocalIterator():
+        table[row["slab"]] = np.frombuffer(row["bits"], np.uint8)
+    known = keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def passes(column: pa.Array) -> pa.Array:
+        at = places(column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.array((known.value[at >> 3] >> (7 - (at & 7)) & 1).all(axis=0))
+
+    return F.arrow_udf(passes, "boolean")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """From now on a task of this session sends at most about BATCH_BYTES at once to Python, whatever the length of the rows; a smaller bound of the session stays.
 
