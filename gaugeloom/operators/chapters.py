@@ -62,13 +62,20 @@ def _points_of(found: Column, item: dict, labels: Column, references: Column, fi
     return F.coalesce(points, F.lit(0.0))
 
 
+def rubric_points(text: Column, items: list[dict], labels: Column, references: Column, files: Column, window: int = 200) -> Column:
+    """Array of the points of all items in a chapter, of which comments and fences are taken out once."""
+    return let(rendered_only(text), lambda shown: F.array(*(_points(shown, x, labels, references, files, window) for x in items)))
+
+
+def score_of(each: Column, n: int) -> Column:
+    """Struct of value, points, n and below (items under 1) of an array of the points of ``n`` items."""
+    points = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    return F.struct((points / n).alias("value"), points.alias("points"), F.lit(n).alias("n"), F.size(F.filter(each, lambda x: x < 1)).alias("below"))
+
+
 def rubric_score(text: Column, items: list[dict], labels: Column, references: Column, files: Column, window: int = 200) -> Column:
     """Struct of value, points, n and below (items under 1) of a chapter."""
-    def score(each: Column) -> Column:
-        points = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
-        return F.struct((points / len(items)).alias("value"), points.alias("points"), F.lit(len(items)).alias("n"), F.size(F.filter(each, lambda x: x < 1)).alias("below"))
-
-    return let(rendered_only(text), lambda shown: let(F.array(*(_points(shown, x, labels, references, files, window) for x in items)), score))
+    return let(rubric_points(text, items, labels, references, files, window), lambda each: score_of(each, len(items)))
 
 
 def tag_rows(chapters: DataFrame, key: str, text: str, kind: str) -> DataFrame:
