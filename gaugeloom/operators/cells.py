@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CELL, TOKENS
+from ..schema import CELL, DEFINITIVE, TOKENS
 from .dedupe import marked_runs
 from .intervals import BUCKETS, RESAMPLES, bootstrap_intervals, bucket_of, interval_of
 
@@ -58,7 +58,7 @@ def _partial() -> list[Column]:
     """What is kept of the rows of a cell that are in one bucket; what isn't ``chosen`` is null but for ``drop``. Bucket -1 keeps nothing but its versions."""
     real = F.col("bucket") >= 0
     of = lambda c: F.when(real, F.col(c))
-    kept = [F.count_if(real & F.col("chosen")).alias("n"), F.count_if(real & F.col("drop")).alias("dropped"), F.count_if(real & (F.col("grade_status") == "unparseable")).alias("bad")]
+    kept = [F.count_if(real & F.col("chosen")).alias("n"), F.count_if(real & F.col("drop")).alias("dropped"), F.count_if(real & F.col("unparseable")).alias("bad")]
     for name, c in MEASURES.items():
         kept += [F.sum(of(c).cast("double")).alias(f"s_{name}"), F.count(of(c)).alias(f"k_{name}")]
     return [*kept, F.var_pop(of("value")).alias("var"), F.sum(of("shuffled")).alias("s_shuffled"), F.count(of("shuffled")).alias("k_shuffled"), F.max(F.abs(of("shuffled") - 0.5)).alias("off")]
@@ -90,9 +90,12 @@ def report(rows: DataFrame, ties: tuple[str, ...] = (), axis: str = "latency", r
     """
     from .frontier import mark_frontier
 
-    marked = marked_runs(rows, CELL, ties)
-    measured = ("value", "cost_usd", "latency_s", "spec_sha", "grader_version", "grade_status", "subscores", *TOKENS)
-    masked = _derived(marked.withColumns({c: F.when(F.col("chosen"), F.col(c)) for c in measured}))
+    # what is derived of a row is derived before it is moved, and a row that can't be chosen takes no measures along; ties are told by the values as they were
+    tied = {f"_tie{i}": F.col(c) for i, c in enumerate(ties)}
+    measured = ("value", "cost_usd", "latency_s", "output_tokens", "total_tokens", "shuffled", "spec_sha", "unparseable")
+    eligible = (F.col("run_status") == "ok") & F.col("grade_status").isin(*DEFINITIVE)
+    light = _derived(rows.withColumns(tied)).withColumn("unparseable", F.col("grade_status") == "unparseable").withColumns({c: F.when(eligible, F.col(c)) for c in measured})
+    masked = marked_runs(light, CELL, tuple(tied)).withColumns({c: F.when(F.col("chosen"), F.col(c)) for c in measured})
     # each row counts in its bucket, and once more for its versions, of which there are few
     none = F.lit(None).cast("string")
     versions = ("spec_sha", "grader_version")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.ledger import scratch_folder
+
 
 def leaks(value: Column, fragments: tuple[str, ...], longest: int = 200) -> Column:
     """Whether a string is too long or holds one of the fragments; null doesn't leak."""
@@ -63,8 +65,14 @@ def require_tasks(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
 
 
 def only_tasks(rows: DataFrame, tasks: tuple[str, ...]) -> DataFrame:
-    """Rows of some tasks, chosen after marks were made; none at all is an error."""
+    """Rows of some tasks, chosen after marks were made; none at all is an error.
+
+    They are written to shared storage once and read from there by the test and by all that follows, so the marks are made once.
+    """
     kept = rows.filter(F.col("task_id").isin(*tasks)) if tasks else rows
+    path = scratch_folder(rows.sparkSession, "kept")
+    kept.write.parquet(path)
+    kept = rows.sparkSession.read.schema(kept.schema).parquet(path)
     if kept.isEmpty():
         raise ValueError(f"no rows of the tasks {sorted(tasks)}")
     return kept
