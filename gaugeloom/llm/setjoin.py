@@ -13,9 +13,10 @@ two similar sets are weak, then among any (weak - slack) strong segments of the
 differs by exactly one shingle; the smallest that have two strong shingles are probed. A set that has not
 so many is indexed by all its parts. So the sample moves cost about, never the result.
 
-Signatures are shuffled as packed arrays (six bytes a signature and one head for the signatures of a
+Signatures are shuffled as packed arrays (four bytes a signature and one head for the signatures of a
 class in a hash bucket), and a task streams over its buckets and passes on only signatures that two classes
-share; what it holds is one entry a distinct signature of a hash bucket, however many classes share it.
+share; what it holds is one entry a distinct signature of a hash bucket, however many classes share it. Those of
+every other band go first, so half of all are on disk at a time.
 
 Most of the classes that a signature brings together have little else in common, and the more, the larger the corpus is.
 So candidates are first held against each other by parities of their sets (see _sketch), which never reject similar
@@ -23,7 +24,8 @@ ones; only the sets of those that pass are written and moved.
 
 Candidates are not paired within a bucket. Each bucket has a pivot that its members are verified against, and
 members that a link joins to the pivot's component are settled. Of buckets that still hold several components, those of
-up to SMALL members are settled by their pairs, at most (SMALL - 1) / 2 a member; sets of larger ones
+up to SMALL members are settled by their pairs, at most (SMALL - 1) / 2 a member, and so are those of up to MIDDLE, whose
+pairs are told apart by sketches within the task that has the bucket, so that only pairs left open are passed on. Sets of larger ones
 are encoded by how they differ from the centre of their group, and indexed anew under rare differences.
 Buckets of that index have PIVOTS pivots at a time, and go on until one component or no unmet pair is left.
 So links that could join components are never lost. Verification is exact.
@@ -35,7 +37,7 @@ in nothing and has a null component; repeated ids are joined like any other rows
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,14 @@ from .shared import bound_batches, dropped, map_batches, sieve, size_chunks, swe
 U = np.uint64
 #: Members of a bucket whose pairs across components are all verified.
 SMALL = 8
+#: Members of a bucket whose pairs are all held against each other by sketches; what more members than that share goes to the second index.
+MIDDLE = 1024
 #: Pivots of a bucket in the first round of the second index; each round has four times as many as the one before.
 PIVOTS = 64
 #: Most shingles that count as common (eight bytes each, sent to all tasks).
 COMMON = 500_000
+#: Signatures are shuffled in so many turns, by their band.
+TURNS = 2
 #: Signatures that a task gathers before it passes them on.
 FLUSH = 300_000
 #: Documents are found by a broadcast of at most so many ids (16 bytes each), else by a shuffle.
@@ -199,16 +205,16 @@ class Names:
 
 
 def _packed(sigs: np.ndarray, heads: np.ndarray, counts: np.ndarray, buckets: int):
-    """Per hash bucket: (bucket, heads, signatures of each head, low 48 bits of the signatures), as bytes."""
+    """Per hash bucket, which the upper half of a signature gives: (bucket, heads, signatures of each head, lower half of the signatures), as bytes."""
     row_head = np.repeat(np.arange(len(heads)), counts)
     bucket = (((sigs >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, sigs, row_head = bucket[order], sigs[order], row_head[order]
-    low = np.ascontiguousarray(sigs).view(np.uint8).reshape(-1, 8)[:, :6]
+    low = sigs.astype(np.uint32)
     present, at = np.unique(bucket, return_index=True)
     for which, i, j in zip(present.tolist(), at, [*at[1:], len(bucket)]):
         run = np.flatnonzero(np.diff(row_head[i:j], prepend=-1))
-        yield which, heads[row_head[i:j][run]].tobytes(), np.diff(run, append=j - i).astype(np.int32).tobytes(), np.ascontiguousarray(low[i:j]).tobytes()
+        yield which, heads[row_head[i:j][run]].tobytes(), np.diff(run, append=j - i).astype(np.int32).tobytes(), low[i:j].tobytes()
 
 
 class _Shared:
@@ -241,14 +247,13 @@ class _Shared:
         return result
 
 
-def _buckets(documents: DataFrame, k: int, percent: int, name, spread: int = 4) -> DataFrame:
-    """(sig, ent, probe) of the signatures that classes share, some more than once: ent is the ``name`` of a class's set. A task emits a set once, however many copies it reads.
+def _buckets(documents: DataFrame, k: int, percent: int, name, common, turn: int, spread: int = 2) -> DataFrame:
+    """(sig, ent, probe) of the signatures that classes share under the bands of a ``turn``, some more than once: ent is the ``name`` of a class's set. A task emits a set once, however many copies it reads.
 
-    ``spread``: hash buckets for each shuffle partition; more of them hold less memory at a time.
+    ``common``: a broadcast of sorted shingles that make no part strong. ``spread``: hash buckets for each shuffle partition; more of them hold less memory at a time.
     """
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * spread
-    common = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, k))
 
     def signed(batches):
         scheme, seen = Scheme(percent), set()
@@ -275,7 +280,7 @@ def _buckets(documents: DataFrame, k: int, percent: int, name, spread: int = 4)
                     seen.add(ent)
                     band = scheme.band(len(found))
                     for b, probe in ((band, 0), (band - 1, 1)):
-                        own = signatures(found, b, scheme, not probe, common.value) if b >= 0 else ()
+                        own = signatures(found, b, scheme, not probe, common.value) if b >= 0 and b % TURNS == turn else ()
                         if len(own):
                             sigs.append(own)
                             heads.append(ent | probe)
@@ -304,12 +309,10 @@ def _buckets(documents: DataFrame, k: int, percent: int, name, spread: int = 4)
                     if waiting:
                         yield rows()
                     state, bucket = _Shared(), which
-                heads, counts, low = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("heads", np.int64), ("counts", np.int32), ("sigs", np.uint8)))
-                sig = np.zeros((len(low) // 6, 8), np.uint8)
-                sig[:, :6] = low.reshape(-1, 6)
-                # the bucket makes up for bits that are left out
-                waiting.append((sig.view(U).reshape(-1) | U(which % 65536) << U(48), np.repeat(heads, counts)))
-                size += len(sig)
+                heads, counts, low = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("heads", np.int64), ("counts", np.int32), ("sigs", np.uint32)))
+                # the turn and the bucket make up for bits that are left out; two signatures taken for one are a candidate more
+                waiting.append((low.astype(U) | U(which * TURNS + turn) << U(32), np.repeat(heads, counts)))
+                size += len(low)
                 if size > FLUSH:
                     yield rows()
         if waiting:
@@ -384,6 +387,62 @@ def _maybe_similar(percent: int):
     return similar
 
 
+def _left_open(ent: np.ndarray, probe: np.ndarray, root: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a bucket's classes, of different components and not both probes, that _maybe_similar leaves open."""
+    width = np.array([len(s) for s in sketches])
+    order = np.argsort(width, kind="stable")
+    ent, probe, root, size, width = ent[order], probe[order], root[order], size[order], width[order]
+    a, b = [], []
+    for one in np.unique(width).tolist():
+        first, end = np.searchsorted(width, [one, one + 1])
+        bits = []
+        for i in order[first:]:
+            x = sketches[i]
+            while len(x) > one:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            bits.append(x)
+        bits = np.stack(bits)
+        for r in range(first, end):
+            others = slice(r + 1, None)
+            fits = (root[others] != root[r]) & ~(probe[others] & probe[r]) & (100 * np.minimum(size[others], size[r]) >= percent * np.maximum(size[others], size[r]))
+            at = r + 1 + np.flatnonzero(fits)
+            apart = np.bitwise_count(bits[at - first] ^ bits[r - first]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + percent) * apart <= (100 - percent) * (size[at] + size[r])]
+            a.append(np.maximum(ent[at], ent[r]))
+            b.append(np.minimum(ent[at], ent[r]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs_of_middle(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b), distinct, of the classes of different components that share one of the buckets ``rows`` (of at most MIDDLE), aren't both probes, and may be similar by their ``sketches``.
+
+    A task has the sketches of one bucket at a time.
+    """
+
+    def met(batches):
+        sig, held = None, []
+
+        def pairs():
+            ent, probe, root, size = (np.concatenate([h.column(c).to_numpy(zero_copy_only=False) for h in held]) for c in ("ent", "probe", "root", "size"))
+            a, b = _left_open(ent, probe, root, size, [np.frombuffer(x.as_buffer(), U) for h in held for x in h.column("bits")], percent)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            sigs = batch.column("sig").to_numpy()
+            begins = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(sigs)]):
+                if held and sigs[i] != sig:
+                    yield pairs()
+                sig = sigs[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield pairs()
+
+    together = rows.select("sig", "ent", "probe", "root").join(sketches.withColumnRenamed("n", "size"), "ent").repartition("sig").sortWithinPartitions("sig")
+    return together.select("sig", "ent", "probe", "root", "size", "bits").mapInArrow(met, "a long, b long").distinct()
+
+
 def _by_text(documents: DataFrame, reps: DataFrame, k: int, name, values: dict, label: str) -> DataFrame:
     """(ent, ``values``), written: functions of the sorted shingles (name and type to function) of each class in ``reps`` (ent, rep), by the text of its smallest id."""
 
@@ -587,11 +646,15 @@ def _open_buckets(rows: DataFrame, order) -> DataFrame:
 def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: int, names: Names, id_bits: int = 63) -> DataFrame:
     """(node, root) over ``classes`` (ent, rep) that are linked with another class, directly or not."""
     name = names.function(id_bits)
-    raw = written(_buckets(documents, k, percent, name).distinct(), "shared")
-    swept(documents.sparkSession)
+    common = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, k))
+    turns = []
+    for turn in range(TURNS):
+        turns.append(written(_buckets(documents, k, percent, name, common, turn).distinct(), "shared"))
+        swept(documents.sparkSession)
+    raw = reduce(DataFrame.unionByName, turns)
     pivots = raw.groupBy("sig").agg(F.min(F.when(~F.col("probe"), F.col("ent"))).alias("pivot"), F.min("ent").alias("least"), F.max("ent").alias("most"))
     buckets = written(raw.join(pivots.filter("pivot is not null and least <> most").select("sig", "pivot"), "sig"), "buckets")
-    dropped(raw)
+    dropped(*turns)
     pairs = buckets.filter("ent <> pivot").select(F.greatest("pivot", "ent").alias("a"), F.least("pivot", "ent").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
     swept(documents.sparkSession)
@@ -617,12 +680,14 @@ def similar_classes(documents: DataFrame, classes: DataFrame, k: int, percent: i
         return hashes.unionByName(_hashes(documents, more, k, name))
 
     few = _pairs_of_small(live.filter(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti")
-    few = written(_pairs(few, sketches, ["n", "bits"], _maybe_similar(percent)), "few")
+    few = _pairs(few, sketches, ["n", "bits"], _maybe_similar(percent))
+    some = _pairs_of_middle(live.filter((F.col("n") > SMALL) & (F.col("n") <= MIDDLE)), sketches, percent).join(pairs, ["a", "b"], "left_anti")
+    few = written(few.unionByName(some).distinct(), "few")
     hashes = with_hashes_of(_ents(few))
     roots = _linked(roots, _pairs(few, hashes, ["hashes"], _similar_sets(percent)))
     dropped(pairs, few, sketches)
     swept(documents.sparkSession)
-    groups = _groups(live.filter(F.col("n") > SMALL).select("sig", "ent", "probe"), roots)
+    groups = _groups(live.filter(F.col("n") > MIDDLE).select("sig", "ent", "probe"), roots)
     hashes = with_hashes_of(groups.select("ent"))
     sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
     diffs = _differences(groups.join(hashes, "ent"), sizes, percent)
